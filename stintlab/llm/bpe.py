@@ -40,24 +40,34 @@ class Transducer:
         self.lefts = dict.fromkeys(self.bytes_of, -1)
         self.rights = dict.fromkeys(self.bytes_of, -1)
         self.reachable = {t: k for t, k in ranks.items() if len(t) == 1 or self._merge(t, k) == [k]}
-        self.proper = {t[:i] for t in self.reachable for i in range(1, len(t))}
         self.lookahead = max(map(len, self.reachable), default=1)
-        self._stable: dict[tuple[int, int], bool] = {}
-        self._states: list[tuple] = []
-        self._number: dict[tuple, int] = {}
-        self._next: dict[int, tuple[int, tuple]] = {}
+        # the tokens' trie: a node's children by byte, and the token that ends there or -1
+        self.children: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for token, rank in self.reachable.items():
+            node = 0
+            for byte in token:
+                below = self.children[node].get(byte)
+                if below is None:
+                    below = self.children[node][byte] = len(self.ends)
+                    self.children.append({})
+                    self.ends.append(-1)
+                node = below
+            self.ends[node] = rank
         self._reset()
 
     def _reset(self) -> None:
-        self._states, self._number, self._next = [], {}, {}
-        self._stable = {}
-        self.start = self._state((((), b"", -1),))
-
-    def _state(self, places: tuple) -> int:
-        if (n := self._number.get(places)) is None:
-            n = self._number[places] = len(self._states)
-            self._states.append(places)
-        return n
+        self._stable: dict[int, bool] = {}
+        self._states: dict[tuple, dict] = {}
+        self.made = 0
+        self.start = self._state((((), 0, -1),))
+
+    def _state(self, places: tuple) -> dict:
+        """A state: its transitions by byte, and its places under -1."""
+        found = self._states.get(places)
+        if found is None:
+            found = self._states[places] = {-1: places}
+        return found
 
     def _merge(self, piece: bytes, note: int | None = None) -> list[int]:
         """Greedy merging by rank, which defines stability; the parts of the last merge into ``note`` are remembered."""
@@ -81,10 +91,6 @@ class Transducer:
         Goes back in time through the parts that touch the border, undoing the later merge first; of equal merges
         the left one was made first.
         """
-        if a < 0:
-            return True
-        if (known := self._stable.get((a, b))) is not None:
-            return known
         x, y, until, known = a, b, 1 << 60, True
         ranks, text, lefts, rights = self.ranks, self.bytes_of, self.lefts, self.rights
         while True:
@@ -99,22 +105,25 @@ class Transducer:
                 until, y = y + 1, right
             else:
                 break
-        self._stable[a, b] = known
+        self._stable[a << 32 | b] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The next state and what is emitted. A place: its tokens not yet emitted, the bytes since, and the last emitted
-        token if it has none."""
-        key = byte.to_bytes(1, "little")
-        reachable, proper = self.reachable, self.proper
+    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
+        """The next state and what is emitted. A place: its tokens not yet emitted, where the bytes since lead in the
+        trie, and the last emitted token if it has none."""
+        children, ends, known = self.children, self.ends, self._stable
         grown, end = [], None
-        for path, tail, before in self._states[state]:
-            tail += key
-            token = reachable.get(tail)
-            if token is not None and self.stable(path[-1] if path else before, token):
-                end = (*path, token)
-            if tail in proper:
-                grown.append((path, tail, before))
+        for path, node, before in state[-1]:
+            node = children[node].get(byte)
+            if node is None:
+                continue
+            token = ends[node]
+            if token >= 0:
+                last = path[-1] if path else before
+                if last < 0 or (ok := known.get(last << 32 | token)) or ok is None and self.stable(last, token):
+                    end = (*path, token)
+            if children[node]:
+                grown.append((path, node, before))
         if end is None:
             raise ValueError("the vocabulary lacks a byte or its merges contradict each other")
         same = len(end)
@@ -125,26 +134,26 @@ class Transducer:
             same = k
         out = end[:same]
         if same:
-            grown = [(p[same:], tail, out[-1] if len(p) == same else -1) for p, tail, _ in grown]
+            grown = [(p[same:], node, out[-1] if len(p) == same else -1) for p, node, _ in grown]
         # the token before matters only where no token stands between it and the place
-        grown.append((end[same:], b"", out[-1] if same == len(end) else -1))
-        return self._state(tuple(grown)), out
+        grown.append((end[same:], 0, out[-1] if same == len(end) else -1))
+        step = state[byte] = (self._state(tuple(grown)), out)
+        self.made += 1
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._next) > self.max_kept or len(self._stable) > 4 * self.max_kept:
+        if self.made > self.max_kept:
             self._reset()
-        state, out, table = self.start, [], self._next
+        state, out = self.start, []
         for byte in piece:
-            step = table.get(state << 8 | byte)
-            if step is None:
-                step = table[state << 8 | byte] = self._step(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        return out + list(self._states[state][-1][0])
+            step = state.get(byte) or self._step(state, byte)
+            state = step[0]
+            if step[1]:
+                out += step[1]
+        return out + list(state[-1][-1][0])
 
 
 class Utf8Stream:
@@ -206,8 +215,18 @@ class Codec:
         self.units: dict[str, tuple] = {}
 
     def _unit(self, unit: str) -> tuple:
+        """Ids of a space and what follows it up to the next."""
+        encode = self.transducer.encode
+        if unit.isascii():  # the common shapes need no pattern: a word, alone or with one mark after it
+            if unit[1:].isalpha():
+                return tuple(encode(unit.encode()))
+            if unit[1:-1].isalpha() and unit[-1] in ",.;:!?)":
+                return (*encode(unit[:-1].encode()), *encode(unit[-1:].encode()))
+        return tuple(self._whole(unit))
+
+    def _whole(self, text: str) -> list[int]:
         encode = self.transducer.encode
-        return tuple(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces(unit)))
+        return list(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces(text)))
 
     def encode(self, text: str | None) -> list[int]:
         """A space before a character that isn't white space always begins a piece, so texts are cut there; a text
@@ -215,7 +234,7 @@ class Codec:
         if not text:
             return []
         if self.odd(text):
-            return list(self._unit(text))
+            return self._whole(text)
         first, *words = text.split(" ")
         units = self.units
         if len(units) > self.max_kept:
@@ -228,7 +247,7 @@ class Codec:
                     if (known := units.get(word)) is None:
                         known = units[word] = self._unit(" " + word)
                     got[i] = known
-        return [*self._unit(first), *chain.from_iterable(got)]
+        return [*self._whole(first), *chain.from_iterable(got)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
