@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, langid, secrets, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, jaccard, langid, secrets, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -43,6 +47,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
         "op7_decontaminate": op7_decontaminate,
