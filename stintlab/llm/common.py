@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,33 @@ def map_texts(
     return id_text(docs).mapInArrow(run, schema)
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of the rows between changes of ``key``, which the rows are sorted by; each has whole groups, many where
+    they are small."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        last = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
+        if held and held[-1].column(batch.schema.get_field_index(key))[-1].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spans(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
+    """Where each group of such a table begins and ends."""
+    k = table[key].to_numpy()
+    edges = np.flatnonzero(np.diff(k)) + 1
+    yield from zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [len(k)])).tolist(), strict=True)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -132,6 +132,26 @@ def decontaminate(
     return id_text(docs).mapInArrow(run, OUT)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """The documents, all columns, without those that hold a window of an item."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total > max_benchmark_bytes:
+        hit = hits_by_join(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+        return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = build_automaton(held.value, window)
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array([not len(scan(automaton, t)[1]) for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+
+
 _TYPES = [
     ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()),
     ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64())),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlab.llm.common import cut, id_text, slices
+from stintlab.llm.common import cut, groups, id_text, slices, spans
 from stintlab.llm.components import components
 from stintlab.llm.shingles import digest, mix, shingle_set
 
@@ -71,32 +71,6 @@ def child_nodes(nodes: np.ndarray, sketches: np.ndarray, branches: int = BRANCHE
     return out.view(np.int64)
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows between changes of ``key``, which the rows are sorted by; each has whole groups, many where
-    they are small."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(batch.schema.get_field_index(key)).to_numpy()
-        last = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
-        if held and held[-1].column(batch.schema.get_field_index(key))[-1].as_py() != k[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _split(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
-    k = table[key].to_numpy()
-    edges = np.flatnonzero(np.diff(k)) + 1
-    yield from zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [len(k)])).tolist(), strict=True)
-
-
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     column = column.combine_chunks()
     flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
@@ -155,7 +129,7 @@ def _likely(threshold: float) -> Callable:
             leaves = _lists(table["leaves"])
             values = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, SKETCH)
             keep = np.zeros(table.num_rows, bool)
-            for a, b in _split(table, "gkey"):
+            for a, b in spans(table, "gkey"):
                 own = values[a:b]
                 alike = np.zeros((b - a, b - a), np.int32)
                 for k in range(SKETCH):
@@ -179,7 +153,7 @@ def _linked(threshold: float) -> Callable:
             sets = [np.frombuffer(s, np.uint64) for s in table["hashes"].to_pylist()]
             size, reps = table["size"].to_numpy(), table["rep"].to_numpy()
             rows: list[tuple] = []
-            for a, b in _split(table, "gkey"):
+            for a, b in spans(table, "gkey"):
                 if b - a < 2:
                     continue
                 shared = overlaps(sets[a:b]).astype(np.float64)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, jaccard, langid, secrets, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, secrets, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nn_descent": op1_nn_descent,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
