@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, secrets, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, secrets, suffixes, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nn_descent": op1_nn_descent,
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_suffix_array": op3_suffix_array,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_warc": op6_warc,
