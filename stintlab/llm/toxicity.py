@@ -116,7 +116,7 @@ def fit(bags: list[list[tuple[str, bool]]], labels: np.ndarray, weight: np.ndarr
     for step in range(1, steps + 1):
         by_word = np.bincount(of_word, w[column], len(number))
         z = b + np.bincount(sentence, by_word[place], n)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(bags)))
         up = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-12), 1.0) * weight
         g = p * up[owner]
