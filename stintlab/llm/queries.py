@@ -67,5 +67,72 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_VECTORS = """WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+ r AS (SELECT vec_id AS u, vec_id AS v FROM x UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u)
+ SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM x
+ LEFT JOIN (SELECT u, count(*) AS n FROM p GROUP BY 1) l ON l.u = vec_id JOIN (SELECT u, min(v) AS c FROM r GROUP BY 1) m ON m.u = vec_id"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WINDOWS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
+ ns AS (SELECT DISTINCT n FROM bw),
+ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, ns, unnest(range(1, len(w) - n + 2)) AS t(i)),
+ hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, s)),
+ ps AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+ it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN ps USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def _quoted(text: str) -> str:
+    """A SQL literal; control characters by their codes."""
+    parts = text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
+    return f"('{parts}')"
+
+
+def _warc_sql() -> str:
+    plain = "payload"
+    for pattern, by in warc.TEXT_STEPS:
+        plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    for entity, by in warc.ENTITIES:
+        plain = f"replace({plain}, {_quoted(entity)}, {_quoted(by)})"
+    for pattern, by in warc.SPACE_STEPS:
+        plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    plain = f"trim({plain}, {_quoted(' ' + chr(10))})"
+
+    def urn(of: str) -> str:
+        cuts = " || '-' || ".join(f"substr(md5({of}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+        return f"'<urn:uuid:' || {cuts} || '>'"
+
+    http, eol = warc.HTTP_HEADERS, _quoted("\r\n")
+    lines = "".join(f"source-http: {line}\r\n" for line in http.splitlines())
+    fields = " || ".join([
+        "'title: '", r"trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1), '[ \t\r\n\f]+', ' ', 'g'))",
+        _quoted("\r\nlanguage: "), """regexp_extract(payload, '(?i)<html[^>]* lang="([^">]*)"', 1)""",
+        _quoted("\r\nlinks: "), "CAST(len(regexp_extract_all(payload, '(?i)<a [^>]*href=')) AS VARCHAR)",
+        _quoted("\r\ntext-length: "), "CAST(strlen(plain) AS VARCHAR)", _quoted("\r\nsource-payload-digest: "), "digest",
+        _quoted("\r\nsource-block-digest: "), f"'sha256:' || sha256({_quoted(http)} || {eol} || payload)",
+        _quoted("\r\nsource-payload-length: "), "CAST(strlen(payload) AS VARCHAR)", eol, _quoted(lines), eol,
+    ])
+
+    def record(kind: str, content_type: str, block: str) -> str:
+        own = urn(f"'{kind}|' || record_id")
+        headers = " || ".join([
+            _quoted(f"{warc.VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), own, _quoted(f"\r\nWARC-Date: {warc.DATE}"),
+            f"coalesce({_quoted(chr(13) + chr(10) + 'WARC-Target-URI: ')} || url, '')", _quoted("\r\nWARC-Refers-To: "), "record_id",
+            _quoted("\r\nWARC-Block-Digest: "), f"'sha256:' || sha256({block})",
+            _quoted(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), f"CAST(strlen({block}) AS VARCHAR)", eol,
+        ])
+        return f"SELECT page_id, record_id AS refers_to, digest AS payload_digest, '{kind}' AS warc_type, {own} AS record_id, {headers} AS headers, {block} AS block FROM f"
+
+    response = urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")
+    return (
+        f"WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {response} AS record_id FROM pages), "
+        f"q AS (SELECT *, 'sha256:' || sha256(payload) AS digest, {plain} AS plain FROM p), f AS (SELECT *, {fields} AS fields FROM q) "
+        + record("metadata", "application/warc-fields", "fields") + " UNION ALL " + record("conversion", "text/plain; charset=utf-8", "plain")
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS}
