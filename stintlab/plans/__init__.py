@@ -1 +1,9 @@
 """Registered queries over the shared tables, each with the DuckDB text that says the same."""
+
+
+def registered() -> tuple[dict, dict]:
+    """Queries by name and their SQL."""
+    from stintlab.plans import across  # noqa: F401
+    from stintlab.plans.registry import QUERIES, SQL
+
+    return QUERIES, SQL

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from stintlab.functions import geo, stats, units
 from stintlab.operators import intervals, sectors, timeseries, track
-from stintlab.plans.registry import QUERIES, SQL
+from stintlab.plans import registered
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = registered()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
