@@ -36,28 +36,51 @@ INDEX = "doc_id long, file string, at long, n_tokens long"
 
 
 class Encoder:
-    """Ids of whole texts, by way of their words: the pre-tokenizer never joins what a space or newline parts."""
+    """Ids of whole texts, by way of their words: the pre-tokenizer never joins what a space or newline parts.
+
+    Words are kept with their ids' bytes. A full table is set aside rather than dropped, so that frequent words
+    come back from it and only words that neither table has are encoded.
+    """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.max_words, self.words = max_words, {"": b""}
+        self.max_words, self.words, self.older = max_words, {"": b""}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids' bytes, without an end id."""
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > self.max_words:
-            self.words = {"": b""}
+            self.words, self.older = {"": b""}, self.words
+        self._learn({w for words in cut for w in words if w not in self.words})
         known = self.words
-        new = list({w for words in cut for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def _learn(self, new: set[str]) -> None:
+        known, older, rest = self.words, self.older, []
+        for word in new:
+            if (got := older.get(word)) is not None:
+                known[word] = got
+            elif word.isascii() and word.isalpha():
+                known[word] = self._plain(word)
+            elif word.isascii() and word[-1] in ",.;:!?" and word[:-1].isalpha():
+                known[word] = self._plain(word[:-1]) + self._plain(word[-1])
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[word] = np.array(got.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def _plain(self, piece: str) -> bytes:
+        """Of ASCII letters, or one mark: normalised by lower case, and one piece to the pre-tokenizer."""
+        low = piece.lower()
+        got = self.words.get(low) if low != piece else None
+        return got if got is not None else np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
