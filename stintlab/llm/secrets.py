@@ -73,7 +73,8 @@ def spans_of(text: str | None, encode, min_ratio: float = MAX_RATIO) -> tuple[li
                 continue
             if any(s < b and a < e for s, _, e in base):
                 continue
-            if len(set(run)) >= 8 and len(run) < min_ratio * len(encode(run)):
+            # in parts, as an encoder's time may grow with the square of an unbroken run
+            if len(set(run)) >= 8 and len(run) < min_ratio * sum(len(encode(run[k : k + 1000])) for k in range(0, len(run), 1000)):
                 added.append((a, 3, b))
     return base, sorted(base + added)
 
