@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stintlab.operators import driving, laps, matching, profile
+from stintlab.operators import driving, laps, matching, profile, quality
 from stintlab.plans import tables as t
 from stintlab.plans.registry import _PIECES, query, rounded
 from stintlab.plans.tables import LAPS_SQL, SAMPLES_SQL, TIMES_SQL
@@ -168,3 +168,51 @@ def sector_coverage(spark, sf_dir):
     """How many laps have all sectors, or only some: the incomplete ones count in no theoretical best."""
     lap = t.sector_times(spark, sf_dir).groupBy("group_id", "run_id", "lap_no").agg(F.sum("seconds").alias("s"), F.count("*").alias("sectors"))
     return rounded(lap.groupBy("group_id", "sectors").agg(F.count("*").alias("laps"), F.min("s").alias("quickest")), 4)
+
+
+@query(f"""WITH {SAMPLES_SQL}, z AS (SELECT run_id, channel, CASE WHEN v < 5 THEN 0.0 ELSE v END AS v FROM samples),
+ p AS (SELECT run_id, channel, count(*) AS n, min(v) AS low, max(v) AS high, list_sort(list(v))[count(*) // 2 + 1] AS mid, count(*) FILTER (v = 0) AS zeros FROM z GROUP BY 1, 2)
+ SELECT run_id, channel, n, zeros, CASE WHEN n = 0 THEN 'none' WHEN low = high THEN 'constant' WHEN abs(mid) > 20 AND zeros > 0 THEN 'zeros' ELSE 'values' END AS kind FROM p""")
+def channel_placeholders(spark, sf_dir):
+    return quality.placeholders(t.samples(spark, sf_dir).withColumn("v", F.when(F.col("v") < 5, 0.0).otherwise(F.col("v"))))
+
+
+@query(f"""WITH {SAMPLES_SQL}, e AS (SELECT run_id, t AS t0, t + 90000 AS t1, row_number() OVER () AS event FROM samples WHERE channel = 'error' AND v > 40),
+ h AS (SELECT e.run_id, event, max(v) AS top FROM e LEFT JOIN (SELECT * FROM samples WHERE channel = 'view') s ON e.run_id = s.run_id AND t BETWEEN t0 AND t1 GROUP BY 1, 2),
+ c AS (SELECT run_id, count(*) AS n, count(*) FILTER (top >= 30) AS pressed FROM h GROUP BY 1)
+ SELECT *, CASE WHEN n < 3 THEN 'unknown' WHEN pressed >= 0.5 * n THEN 'trusted' ELSE 'distrusted' END AS trust FROM c""")
+def source_trust(spark, sf_dir):
+    events = _channel(spark, sf_dir, "error").where("v > 40").select("run_id", F.col("t").alias("t0"), (F.col("t") + 90000).alias("t1"), F.col("t").alias("event"))
+    return quality.source_trust(events, _channel(spark, sf_dir, "view"), 30.0)
+
+
+@query(f"""WITH {SAMPLES_SQL}, s AS (SELECT run_id, channel, list_sort(list(v)) AS l, count(*) AS n FROM samples WHERE channel IN ('click', 'view') GROUP BY 1, 2),
+ w AS (SELECT run_id, channel, l[greatest(1, CAST(ceil(0.95 * n) AS BIGINT))] - l[greatest(1, CAST(ceil(0.05 * n) AS BIGINT))] AS s FROM s),
+ r AS (SELECT a.run_id, a.s / b.s AS ratio FROM w a JOIN w b ON a.run_id = b.run_id AND a.channel = 'click' AND b.channel = 'view' WHERE a.s > 0 AND b.s > 0)
+ SELECT run_id, round(ratio, 6) AS ratio, ratio > 2 OR ratio < 0.5 AS differ FROM r""")
+def scales_differ(spark, sf_dir):
+    return rounded(quality.scales_differ(_channel(spark, sf_dir, "click"), _channel(spark, sf_dir, "view")))
+
+
+@query(f"""WITH {TIMES_SQL}, v AS (SELECT segment, CASE WHEN run_id % 3 = 0 THEN 'measured' ELSE 'inferred' END AS source, seconds FROM times),
+ q AS (SELECT segment, source, count(*) AS n, quantile_cont(seconds, 0.5) AS m, quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25) AS i FROM v GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, source) AS r FROM q)
+ SELECT segment, source, n, round(m + 1e-8, 4) AS median, round(i + 1e-8, 4) AS iqr FROM r WHERE r = 1 AND n >= 3""")
+def corner_variability(spark, sf_dir):
+    rows = t.sector_times(spark, sf_dir).select("segment", F.when(F.col("run_id") % 3 == 0, "measured").otherwise("inferred").alias("source"), F.col("seconds").alias("value"))
+    out = quality.variability(rows)
+    return rounded(out.withColumns({c: F.col(c) + 1e-8 for c in ("median", "iqr")}), 4)
+
+
+@query(f"""WITH {TIMES_SQL}, m AS (SELECT group_id, segment, quantile_cont(seconds, 0.5) AS m FROM times GROUP BY 1, 2),
+ s AS (SELECT group_id, run_id, lap_no, count(*) AS n, count(*) FILTER ((seconds - m) / m < -0.05) AS quicker, count(*) FILTER ((seconds - m) / m > 0.05) AS slower FROM times JOIN m USING (group_id, segment) GROUP BY 1, 2, 3)
+ SELECT *, CASE WHEN 2 * quicker > n THEN 'quick' WHEN 2 * slower > n THEN 'slow' ELSE 'mixed' END AS style FROM s""")
+def lap_styles(spark, sf_dir):
+    return quality.styles(t.sector_times(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' WHEN (o_orderkey % 13) - (o_orderkey % 17) <= -1 THEN 'better' WHEN (o_orderkey % 13) - (o_orderkey % 17) >= 1 THEN 'worse' ELSE 'unchanged' END AS outcome FROM orders""")
+def goal_outcomes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    goals = t.read(spark, sf_dir, "orders").select(k.alias("id"), (k % 17).alias("before"), F.when(k % 11 != 0, k % 13).alias("after"))
+    return quality.goal_outcome(goals, 1)
