@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM, BUCKET_DOCS = 50, 20, 256
+#: Bytes of segments that are sorted at once, about.
+SORTED_BYTES = 1 << 20
 #: Places of a chunk in the low bits of the order that anchors are chosen by.
 _PLACE_BITS, _CHUNK = 22, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -213,7 +215,7 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = rows.count()
     buckets = max(1, math.ceil(count / bucket_docs))
-    bits = min(16, max(4, math.ceil(math.log2(max(2, buckets / 8)))))
+    bits = min(16, max(4, math.ceil(math.log2(max(2, buckets / 4)))))
     shift, five = np.uint64(64 - bits), np.uint64(24 - bits)
     mask = np.uint64((1 << 40) - 1)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets))).groupBy("bucket")
@@ -270,46 +272,47 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame
             "part": ([p for p, _, _ in own], pa.int64()), "bucket": ([key[0].as_py()] * len(own), pa.int64()),
             "numbers": ([first[a:z].astype("<u4").tobytes() for _, a, z in own], pa.binary()),
             "docs": ([b.owner[first[a:z]].astype("<i8").tobytes() for _, a, z in own], pa.binary()),
+            "subs": ([(b.hash[first[a:z]] >> (shift - np.uint64(8))).astype(np.uint8).tobytes() for _, a, z in own], pa.binary()),
             "sizes": ([np.array([len(t) for t in texts[a:z]], np.uint8).tobytes() for _, a, z in own], pa.binary()),
             "texts": ([b"".join(texts[a:z]) for _, a, z in own], pa.binary()),
         })
 
     def compared(key: tuple, table: pa.Table) -> pa.Table:
         """Suffix-sorts a range's distinct segments; where an earlier document has a window, says so to the bucket."""
-        number: dict[bytes, int] = {}
-        places, owners, counts = [], [], []
-        for sizes, owner, text in zip(table["sizes"].to_pylist(), table["docs"].to_pylist(), table["texts"].to_pylist(), strict=True):
-            at = 0
-            for n in sizes:
-                places.append(number.setdefault(text[at : at + n], len(number)))
-                at += n
-            owners.append(np.frombuffer(owner, "<i8"))
-            counts.append(len(sizes))
-        place, owner = np.array(places, np.int64), np.concatenate(owners)
-        least = np.full(len(number), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, owner)
-        low, starts, widths = window_minima(list(number), least)
-        # runs of windows of a segment with the same least document
-        segment = np.repeat(np.arange(len(number)), widths)
-        offset = np.arange(len(low)) - np.repeat(starts, widths)
-        edge = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (segment[1:] != segment[:-1]))))
-        run_low, run_from = low[edge], offset[edge]
-        run_to = offset[np.append(edge[1:], len(low)) - 1]
-        run_of = segment[edge]
-        first_run = np.searchsorted(run_of, np.arange(len(number) + 1))
-        out, at = [], 0
-        for bucket, numbers, n in zip(table["bucket"].to_pylist(), table["numbers"].to_pylist(), counts, strict=True):
-            own, mine, ids = place[at : at + n], owner[at : at + n], np.frombuffer(numbers, "<u4")
-            at += n
-            many = first_run[own + 1] - first_run[own]
-            which = np.repeat(np.arange(n), many)
-            runs = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_run[own], many)
-            earlier = run_low[runs] < mine[which]
-            which, runs = which[earlier], runs[earlier]
-            if len(which):
-                out.append((bucket, ids[which].tobytes(), run_from[runs].astype(np.uint8).tobytes(), run_to[runs].astype(np.uint8).tobytes(), run_low[runs].astype("<i8").tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return _table({k: (list(c), t) for (k, t), c in zip(FOUND, columns, strict=True)})
+        sizes = np.concatenate([np.frombuffer(x, np.uint8) for x in table["sizes"].to_pylist()]).astype(np.int64)
+        counts = [len(x) for x in table["sizes"].to_pylist()]
+        bucket = np.repeat(table["bucket"].to_numpy(), counts)
+        owner, ids, sub = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("docs", "<i8"), ("numbers", "<u4"), ("subs", np.uint8)))
+        raw, ends = b"".join(table["texts"].to_pylist()), np.cumsum(sizes)
+        # equal anchors have equal further bits, so the range is sorted in parts of a bounded size
+        turn = sub.astype(np.int64) * math.ceil(max(1, len(raw)) / SORTED_BYTES) >> 8
+        out = []
+        for k in np.unique(turn).tolist():
+            which = np.flatnonzero(turn == k)
+            number: dict[bytes, int] = {}
+            place = np.fromiter((number.setdefault(raw[e - n : e], len(number)) for e, n in zip(ends[which].tolist(), sizes[which].tolist(), strict=True)), np.int64, len(which))
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, owner[which])
+            low, starts, widths = window_minima(list(number), least)
+            # runs of windows of a segment with the same least document
+            segment = np.repeat(np.arange(len(number)), widths)
+            offset = np.arange(len(low)) - np.repeat(starts, widths)
+            edge = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (segment[1:] != segment[:-1]))))
+            to = offset[np.append(edge[1:], len(low)) - 1]
+            first_run = np.searchsorted(segment[edge], np.arange(len(number) + 1))
+            many = first_run[place + 1] - first_run[place]
+            own = np.repeat(which, many)
+            runs = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_run[place], many)
+            earlier = low[edge[runs]] < owner[own]
+            own, runs = own[earlier], runs[earlier]
+            out.append((bucket[own], ids[own], offset[edge[runs]].astype(np.uint8), to[runs].astype(np.uint8), low[edge[runs]]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        names, at = np.unique(columns[0], return_index=True)
+        cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(order)][: len(at)], strict=True))
+        packed = [[c[a:z].tobytes() for a, z in cuts] for c in columns[1:]]
+        return _table({k: (v, t) for (k, t), v in zip(FOUND, [names.tolist(), *packed], strict=True)})
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -330,12 +333,12 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame
 
     shared = dealt.applyInArrow(hashed, "part long, bucket long, keys binary, flags binary")
     shared = shared.groupBy("part").applyInArrow(met, "bucket long, part long, keys binary")
-    segs = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(sent, "part long, bucket long, numbers binary, docs binary, sizes binary, texts binary")
+    segs = dealt.cogroup(shared.groupBy("bucket")).applyInArrow(sent, "part long, bucket long, numbers binary, docs binary, subs binary, sizes binary, texts binary")
     found = segs.groupBy("part").applyInArrow(compared, "bucket long, numbers binary, `from` binary, `to` binary, low binary")
     return dealt.cogroup(found.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-SENT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+SENT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("numbers", pa.binary()), ("docs", pa.binary()), ("subs", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
 FOUND = [("bucket", pa.int64()), ("numbers", pa.binary()), ("from", pa.binary()), ("to", pa.binary()), ("low", pa.binary())]
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
