@@ -12,19 +12,21 @@ Documents that have several labels count as toxic if any says so.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlab.llm.common import crc_mod, id_text, map_texts, slices
 
-MAX_A_CLASS = 3000
+MAX_A_CLASS = 2500
 MIN_DOCS, STEPS, RATE, DECAY = 3, 150, 0.2, 1e-6
 PREFIXES = (3, 4, 5, 6)
-_MAX_MEMO = 1_000_000
+_MAX_MEMO = 300_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
 #: Weights are kept as whole multiples of this, with the lowest bit marking the end of a sentence.
@@ -85,30 +87,41 @@ class Model:
         return score
 
 
-def fit(bags: list[list[tuple[str, bool]]], labels: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Model:
-    """Trains on documents' words by Adam on the noisy-or's weighted log loss.
+def fit(words: pa.ListArray, ends: pa.ListArray, labels: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Model:
+    """Trains on documents' words, and which of them end sentences, by Adam on the noisy-or's weighted log loss.
 
     A gradient reaches a feature by way of the distinct words, so a step costs one pass over the words' places.
     """
-    if not len(bags) or labels.min() == labels.max():
-        return Model(-20.0 if not len(bags) or not labels.max() else 20.0, {})
-    number: dict[str, int] = {"": 0}
-    sizes = np.array([max(len(b), 1) for b in bags])
-    place = np.fromiter((number.setdefault(w, len(number)) for b in bags for w, _ in b or (("", True),)), np.int64, sizes.sum())
-    ends = np.fromiter((e for b in bags for _, e in b or (("", True),)), np.int64, sizes.sum())
-    ends[np.cumsum(sizes) - 1] = 1
-    sentence = np.cumsum(ends) - ends
+    if not len(labels) or labels.min() == labels.max():
+        return Model(-20.0 if not len(labels) or not labels.max() else 20.0, {})
+    known = pc.list_value_length(words).to_numpy()
+    sizes = np.maximum(known, 1)
+    starts = np.cumsum(sizes) - sizes
+    there = np.arange(known.sum()) + np.repeat(starts - (np.cumsum(known) - known), known)
+    coded = words.flatten().dictionary_encode()
+    number = ["", *coded.dictionary.to_pylist()]
+    place = np.zeros(sizes.sum(), np.int64)
+    place[there] = coded.indices.to_numpy() + 1
+    end = np.zeros(sizes.sum(), np.int64)
+    end[there] = ends.flatten().to_numpy(zero_copy_only=False)
+    end[starts + sizes - 1] = 1
+    sentence = np.cumsum(end) - end
     n = int(sentence[-1]) + 1
-    doc = np.repeat(np.arange(len(bags)), sizes)
+    doc = np.repeat(np.arange(len(labels)), sizes)
     owner = np.zeros(n, np.int64)
     owner[sentence] = doc
+    seen = np.bincount(np.unique(place * len(labels) + doc) // len(labels), minlength=len(number))
+    del coded, there, doc, end
     keys: dict[str, int] = {}
-    pairs = np.array([(i, keys.setdefault(f, len(keys))) for w, i in number.items() if w for f in features(w)] or np.empty((0, 2)), np.int64)
-    seen = np.unique(place * len(bags) + doc) // len(bags)
-    common = np.bincount(pairs[:, 1], np.bincount(seen, minlength=len(number))[pairs[:, 0]], len(keys)) >= MIN_DOCS
-    pairs = pairs[common[pairs[:, 1]]]
-    column = np.where(common, np.cumsum(common) - 1, -1)[pairs[:, 1]]
-    of_word = pairs[:, 0]
+    of_word, column = array("q"), array("q")
+    for i, word in enumerate(number):
+        for f in features(word) if word else ():
+            of_word.append(i)
+            column.append(keys.setdefault(f, len(keys)))
+    of_word, column = np.array(of_word), np.array(column)
+    common = np.bincount(column, seen[of_word], len(keys)) >= MIN_DOCS
+    of_word, column = of_word[common[column]], column[common[column]]
+    column = (np.cumsum(common) - 1)[column]
     size = int(common.sum())
     w, b = np.zeros(size), -4.0
     m = v = np.zeros(size + 1)
@@ -117,7 +130,7 @@ def fit(bags: list[list[tuple[str, bool]]], labels: np.ndarray, weight: np.ndarr
         by_word = np.bincount(of_word, w[column], len(number))
         z = b + np.bincount(sentence, by_word[place], n)
         p = np.exp(-np.logaddexp(0, -z))
-        clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(bags)))
+        clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(labels)))
         up = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-12), 1.0) * weight
         g = p * up[owner]
         blame = np.bincount(place, g[sentence], len(number))
@@ -155,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS) ->
     got = sample.select("doc_id", "text", "toxic").mapInArrow(cut, "doc_id long, toxic int, words array<string>, ends array<boolean>").toArrow()
     got = got.sort_by("doc_id")
     labels_of = got["toxic"].to_numpy()
-    bags = [list(zip(w.as_py(), e.as_py(), strict=True)) for w, e in zip(got["words"], got["ends"], strict=True)]
     shares = {k: totals.get(k, 0) / max(1, int((labels_of == k).sum())) for k in (0, 1)}
-    return fit(bags, labels_of, np.array([shares[k] for k in labels_of.tolist()], float))
+    words, ends = (got[c].combine_chunks() if got.num_rows else None for c in ("words", "ends"))
+    return fit(words, ends, labels_of, np.array([shares[k] for k in labels_of.tolist()], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
