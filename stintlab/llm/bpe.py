@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from stintlab.llm.common import map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a worker's tables; a table that reaches this is emptied and fills again.
-MAX_KEPT = 600_000
+#: Entries of a worker's tables: words, of which as many older ones stay at hand, and transitions, which start again.
+MAX_KEPT = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -213,6 +213,7 @@ class Codec:
         self.odd = regex.compile(r" (?:\s|$)").search
         self.max_kept = max_kept
         self.units: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _unit(self, unit: str) -> tuple:
         """Ids of a space and what follows it up to the next."""
@@ -236,16 +237,16 @@ class Codec:
         if self.odd(text):
             return self._whole(text)
         first, *words = text.split(" ")
+        if len(self.units) > self.max_kept * 2 // 3:
+            self.units, self.older = {}, self.units
         units = self.units
-        if len(units) > self.max_kept:
-            units.clear()
         got = list(map(units.get, words))
         if None in got:
             for i, known in enumerate(got):
                 if known is None:
                     word = words[i]
                     if (known := units.get(word)) is None:
-                        known = units[word] = self._unit(" " + word)
+                        known = units[word] = self.older.get(word) or self._unit(" " + word)
                     got[i] = known
         return [*self._whole(first), *chain.from_iterable(got)]
 

@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: Languages that may be learned; their prototypes go to every task.
 MAX_LANGUAGES = 2000
 #: Texts whose vectors are made in one product.
-ROWS = 256
+ROWS = 128
 
 
 @functools.cache

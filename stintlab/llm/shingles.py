@@ -13,7 +13,7 @@ import numpy as np
 
 SIZE = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MAX_MEMO = 1_000_000
+_MAX_MEMO = 300_000
 
 
 class _Hashes(dict):
