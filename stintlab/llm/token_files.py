@@ -13,6 +13,7 @@ A file is written under a name of its attempt and then renamed, so a task that r
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,11 @@ MAX_WORDS = 600_000
 #: Documents of one file, about.
 DOCS_A_FILE = 8192
 
+#: The character that stands for each byte in a byte-level vocabulary: itself where Latin-1 has a visible one, else
+#: the next free one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
 INDEX = "doc_id long, file string, at long, n_tokens long"
 
 
@@ -65,9 +71,9 @@ class Encoder:
         for word in new:
             if (got := older.get(word)) is not None:
                 known[word] = got
-            elif word.isascii() and word.isalpha():
+            elif self._is_plain(word):
                 known[word] = self._plain(word)
-            elif word.isascii() and word[-1] in ",.;:!?" and word[:-1].isalpha():
+            elif word[-1] in ",.;:!?" and self._is_plain(word[:-1]):
                 known[word] = self._plain(word[:-1]) + self._plain(word[-1])
             else:
                 rest.append(word)
@@ -76,11 +82,22 @@ class Encoder:
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[word] = np.array(got.ids, self.dtype).tobytes()
 
+    @staticmethod
+    def _is_plain(word: str) -> bool:
+        """Letters that the normalizer only lowers, one for one: ASCII, or composed Latin ones."""
+        if not word.isalpha():
+            return False
+        return word.isascii() or max(word) < "\u0250" and len(word.lower()) == len(word) and unicodedata.is_normalized("NFC", word)
+
     def _plain(self, piece: str) -> bytes:
-        """Of ASCII letters, or one mark: normalised by lower case, and one piece to the pre-tokenizer."""
+        """Of plain letters, or one mark: one piece to the pre-tokenizer, whose bytes the model knows as characters."""
         low = piece.lower()
         got = self.words.get(low) if low != piece else None
-        return got if got is not None else np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
+        if got is not None:
+            return got
+        if not low.isascii():
+            low = "".join(map(_BYTE_CHARS.__getitem__, low.encode()))
+        return np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
