@@ -31,7 +31,7 @@ from stintlab.llm.components import components
 from stintlab.llm.shingles import digest, mix, shingle_set
 
 THRESHOLD, TARGET_RECALL = 0.8, 0.999
-SKETCH, BRANCHES, SMALL, BLOCK, DEPTH = 128, 2, 64, 256, 6
+SKETCH, BRANCHES, SMALL, BLOCK, DEPTH = 128, 2, 64, 1024, 6
 #: A child with this share of its parent's sets isn't split further.
 DENSE = 0.4
 #: Bits of the filter of documents whose sets are needed, which is broadcast: 8 MB.
@@ -80,10 +80,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 def _met_before(leaves: list[np.ndarray], node: int) -> np.ndarray:
     """Which pairs share a leaf with a lesser number than this one."""
     own = [x[x < node] for x in leaves]
-    names, place = np.unique(np.concatenate(own), return_inverse=True)
-    there = np.zeros((len(leaves), len(names)), np.float32)
-    there[np.repeat(np.arange(len(own)), [len(x) for x in own]), place] = 1
-    return there @ there.T > 0
+    return overlaps(own) > 0
 
 
 def overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
