@@ -1,15 +1,15 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors are one class. Random hyperplanes deal the classes into small blocks, whose nearest members start
-every vector's neighbour list; then lists are refined by local joins: the neighbours of a vector, forward and
-reverse, are compared with each other, and what is nearer than a list's last entry enters it. The pairs of at
-least the threshold link vectors.
+every vector's neighbour list. The number of trees of planes grows with their depth, so that a pair at the threshold
+misses all of them as seldom among many vectors as among few; where more vectors than a block's lie on the same sides,
+they are split further by where they lie. Then lists are refined by local joins until few links are new: the
+neighbours of a vector, forward and reverse, are compared with each other, and what is nearer than a list's last entry
+enters it. The pairs of at least the threshold link vectors, and all members of a component are compared in blocks.
 
-A list is saturated if even its last entry is a link, so that more may exist. The lists of all vectors that
-such a one is linked to, directly or not, are then enlarged to their whole component, compared in blocks.
-
-Recall is audited: a bounded sample of vectors is compared with all vectors, and while the share of their links
-that was found is below the target, the lists are doubled and refined again.
+Recall is audited: samples of all vectors and of the linked ones are compared with all vectors, and while the mean
+share of a vector's links that was found is below the target in either, the lists are doubled, started again from
+other planes and refined. If the last audit fails, all pairs are compared.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths never link. Rows with a null vec_id are returned without links. Repeated rows count as vectors.
@@ -30,8 +30,12 @@ from stintlab.llm.common import cut, groups, spans
 from stintlab.llm.components import components
 
 THRESHOLD, TARGET_RECALL = 0.95, 0.99
-NEIGHBOURS, TREES, ROUNDS, BLOCK = 8, 4, 2, 192
-AUDIT, MAX_DOUBLINGS, SEED = 256, 3, 11
+NEIGHBOURS, BLOCK = 8, 192
+#: The chance that a pair at the threshold shares no code; the share of new links at which rounds end, and their bound.
+MISS, FEW_NEW, MAX_ROUNDS = 0.03, 0.001, 12
+AUDIT, MAX_DOUBLINGS, SEED = 2048, 3, 11
+#: Bytes of vectors with one code that a task splits at once, and the side of an exact comparison's blocks.
+GROUP_BYTES, EXACT_BLOCK = 16 << 20, 2048
 
 
 def unit_rows(column: pa.Array) -> list[bytes | None]:
@@ -72,7 +76,13 @@ def _by_length(vecs: list[bytes]) -> list[np.ndarray]:
     return [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
 
 
-def _codes(reps: DataFrame, trees: int, bits: int) -> DataFrame:
+def trees_for(bits: int, threshold: float) -> int:
+    """As many trees as let a pair at the threshold lie on the same sides of all of one's planes, but for ``MISS``."""
+    same = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return 1 if same >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-same))
+
+
+def _codes(reps: DataFrame, trees: int, bits: int, turn: int) -> DataFrame:
     """(rep, vec, tree, code): on which sides of the tree's planes a vector lies, and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +92,7 @@ def _codes(reps: DataFrame, trees: int, bits: int) -> DataFrame:
                 part = batch.take(pa.array(own))
                 x = matrix(part.column(1))
                 for tree in range(trees):
-                    planes = np.random.Generator(np.random.PCG64([SEED, tree, x.shape[1]])).standard_normal((x.shape[1], bits))
+                    planes = np.random.Generator(np.random.PCG64([SEED, turn, tree, x.shape[1]])).standard_normal((x.shape[1], bits))
                     code = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) * 65536 + x.shape[1]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), pa.array(np.full(len(x), tree)), pa.array(code)], names=["rep", "vec", "tree", "code"]
@@ -91,6 +101,54 @@ def _codes(reps: DataFrame, trees: int, bits: int) -> DataFrame:
     return reps.select("rep", "vec").mapInArrow(run, "rep long, vec binary, tree long, code long")
 
 
+def leaves(x: np.ndarray, most: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Row numbers in parts of at most ``most``, halved along the line between two of a part's rows."""
+    todo = [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            yield own
+            continue
+        a, b = rng.choice(len(own), 2, replace=False)
+        order = np.argpartition(x[own] @ (x[own[a]] - x[own[b]]), len(own) // 2)
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+
+
+def _split(coded: DataFrame, most: int) -> DataFrame:
+    """The rows with new codes wherever more than ``most`` had one: each goes to the nearest of some of their vectors."""
+    for level in range(20):
+        over = coded.groupBy("tree", "code").agg(F.count("*").alias("m")).where(F.col("m") > most)
+        chance = F.pmod(F.xxhash64("rep", "tree", F.lit(level)), F.col("m")) < F.ceil(4 * F.col("m") / most)
+        # at most 4 vectors for every ``most`` rows
+        pivots: dict[tuple[int, int], list[bytes]] = {}
+        for r in coded.join(over, ["tree", "code"]).where(chance).select("tree", "code", "vec").toLocalIterator():
+            pivots.setdefault((r.tree, r.code), []).append(bytes(r.vec))
+        if not pivots:
+            if over.isEmpty():
+                return coded
+            continue
+        held = coded.sparkSession.sparkContext.broadcast(pivots)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, level=level) -> Iterator[pa.RecordBatch]:
+            near = {key: np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1) for key, v in held.value.items()}
+            for batch in batches:
+                tree, code = batch.column(2).to_numpy(), batch.column(3).to_numpy().copy()
+                at: dict[tuple[int, int], list[int]] = {}
+                for i, key in enumerate(zip(tree.tolist(), code.tolist(), strict=True)):
+                    if key in near:
+                        at.setdefault(key, []).append(i)
+                vecs = batch.column(1)
+                for key, own in at.items():
+                    x = matrix(vecs.take(pa.array(own)))
+                    cells = (x @ near[key].T).argmax(1).tolist()
+                    named = {c: int.from_bytes(hashlib.blake2b(f"{key[1]},{level},{c}".encode(), digest_size=8).digest(), "big", signed=True) for c in set(cells)}
+                    code[own] = [named[c] for c in cells]
+                yield pa.RecordBatch.from_arrays([batch.column(0), vecs, batch.column(2), pa.array(code)], names=["rep", "vec", "tree", "code"])
+
+        coded = cut(coded.mapInArrow(run, "rep long, vec binary, tree long, code long"), "split")
+    raise RuntimeError(f"more than {most} vectors can't be told apart")
+
+
 def _nearest(k: int):
     """Of each block, every member's k nearest others: (u, v, sim)."""
 
@@ -100,15 +158,17 @@ def _nearest(k: int):
             out = []
             for a, b in spans(table, "gkey"):
                 for own in _by_length(vecs[a:b]):
-                    n = len(own)
-                    if n < 2:
-                        continue
-                    x = np.frombuffer(b"".join(vecs[a + i] for i in own), np.float64).reshape(n, -1)
-                    sim = x @ x.T
-                    np.fill_diagonal(sim, -2)
-                    best = np.argpartition(-sim, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
-                    ids = reps[a + own]
-                    out.append((np.repeat(ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel()))
+                    whole = np.frombuffer(b"".join(vecs[a + i] for i in own), np.float64).reshape(len(own), -1)
+                    for part in leaves(whole, BLOCK, np.random.Generator(np.random.PCG64([SEED, len(own)]))):
+                        n = len(part)
+                        if n < 2:
+                            continue
+                        x = whole[part]
+                        sim = x @ x.T
+                        np.fill_diagonal(sim, -2)
+                        best = np.argpartition(-sim, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
+                        ids = reps[a + own[part]]
+                        out.append((np.repeat(ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel()))
             yield from _edges(out)
 
     return run
@@ -153,13 +213,12 @@ def _merged(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("u", "v", "sim", "new").repartition(F.col("u")).sortWithinPartitions("u").mapInArrow(_top(k), _GRAPH)
 
 
-def _start(reps: DataFrame, n: int, k: int) -> DataFrame:
+def _start(reps: DataFrame, n: int, k: int, threshold: float, turn: int) -> DataFrame:
     bits = max(1, math.ceil(math.log2(max(n, 2) / (BLOCK / 2))))
-    coded = _codes(reps, TREES, bits)
-    sizes = coded.groupBy("tree", "code").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = coded.join(sizes, ["tree", "code"]).withColumn("block", F.pmod(F.xxhash64("rep", "tree"), blocks))
-    dealt = dealt.select(F.xxhash64("tree", "code", "block").alias("gkey"), "rep", "vec").repartition(F.col("gkey")).sortWithinPartitions("gkey")
+    longest = reps.agg(F.max(F.octet_length("vec"))).first()[0] or 1
+    coded = cut(_codes(reps, trees_for(bits, threshold), bits, turn), "codes")
+    coded = _split(coded, max(BLOCK, GROUP_BYTES // longest))
+    dealt = coded.select(F.xxhash64("tree", "code").alias("gkey"), "rep", "vec").repartition(F.col("gkey")).sortWithinPartitions("gkey", "rep")
     found = dealt.mapInArrow(_nearest(k), "u long, v long, sim double").withColumn("new", F.lit(True))
     return cut(_merged(found, k), "graph")
 
@@ -223,19 +282,13 @@ def _counted(threshold: float):
     return run
 
 
-def _links(graph: DataFrame, reps: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) and (node, component)."""
+def _links(graph: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rep, links), of all pairs within a component, and (node, component)."""
     near = graph.where(F.col("sim") >= threshold)
     pairs = cut(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     joined = cut(components(pairs), "components")
-    saturated = near.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("u").alias("node"))
     names = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
-    wide = names.join(saturated, "node").select("component").distinct()
-    members = cut(names.join(wide, "component").select("component", F.col("node").alias("rep")), "members")
-
-    few = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    few = few.join(members.select(F.col("rep").alias("u")), "u", "left_anti").join(reps.select(F.col("rep").alias("v"), "size"), "v")
-    few = few.groupBy("u").agg(F.sum("size").alias("links")).select(F.col("u").alias("rep"), "links")
+    members = cut(names.select("component", F.col("node").alias("rep")), "members")
 
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -246,33 +299,82 @@ def _links(graph: DataFrame, reps: DataFrame, threshold: float, k: int) -> tuple
         (F.col("own") != F.col("other")).alias("cross"), F.col("own").alias("side"), "size", "vec",
     )
     many = rows.repartition(F.col("gkey")).sortWithinPartitions("gkey").mapInArrow(_counted(threshold), "rep long, links long")
-    many = many.groupBy("rep").agg(F.sum("links").alias("links"))
-    return cut(few.unionByName(many), "links"), joined
+    return cut(many.groupBy("rep").agg(F.sum("links").alias("links")), "links"), joined
+
+
+def _all_pairs(threshold: float):
+    """Of each pair of blocks, every member's number of linked vectors, and the least row it is joined with in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "gkey"):
+            reps, side, size = (table[c].to_numpy() for c in ("rep", "side", "size"))
+            for a, b in spans(table, "gkey"):
+                x = np.frombuffer(b"".join(table["vec"][a:b].to_pylist()), np.float64).reshape(b - a, -1)
+                near = x @ x.T >= threshold
+                np.fill_diagonal(near, False)
+                if (side[a:b] != side[a]).any():
+                    near &= side[a:b, None] != side[None, a:b]
+                i, j = np.nonzero(near)
+                label = np.arange(b - a)
+                while True:
+                    low = label.copy()
+                    np.minimum.at(low, i, label[j])
+                    low = low[low]
+                    if (low == label).all():
+                        break
+                    label = low
+                own = np.flatnonzero(near.any(1))
+                ids = reps[a:b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own]), pa.array((near @ size[a:b])[own]), pa.array(ids[label[own]])], names=["rep", "links", "least"]
+                )
+
+    return run
+
+
+def exact_links(reps: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The same as :func:`_links` from all pairs of vectors of a length, a row for each of n / ``EXACT_BLOCK`` blocks."""
+    blocks = max(1, math.ceil(n / EXACT_BLOCK))
+    rows = reps.withColumn("side", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    key = F.xxhash64(F.octet_length("vec"), F.least("side", "other"), F.greatest("side", "other"))
+    rows = rows.select(key.alias("gkey"), "rep", "side", "size", "vec").repartition(F.col("gkey")).sortWithinPartitions("gkey", "side")
+    found = cut(rows.mapInArrow(_all_pairs(threshold), "rep long, links long, least long"), "exact")
+    pairs = found.where("rep <> least").select(F.greatest("rep", "least").alias("u"), F.least("rep", "least").alias("v")).distinct()
+    return cut(found.groupBy("rep").agg(F.sum("links").alias("links")), "links"), cut(components(cut(pairs, "pairs")), "components")
 
 
 def audited_recall(links: DataFrame, reps: DataFrame, threshold: float, audit: int = AUDIT) -> float:
-    """The share of a sample's links, by comparison with all vectors, that was found."""
+    """The mean share of a linked vector's links, by comparison with all vectors, that was found: the less of what
+    samples of all vectors and of those with links found give."""
     spark = reps.sparkSession
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(audit).select("rep", "vec").collect()
-    held = spark.sparkContext.broadcast([(r.rep, bytes(r.vec)) for r in sample])
+    order = (F.xxhash64("rep", F.lit(SEED)), "rep")
+    any_ = reps.orderBy(*order).limit(audit).select("rep", "vec").collect()
+    linked = reps.join(links.where("links > 0").select("rep"), "rep").orderBy(*order).limit(audit).select("rep", "vec").collect()
+    both = {r.rep: bytes(r.vec) for r in (*any_, *linked)}
+    held = spark.sparkContext.broadcast(list(both.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = np.array([i for i, _ in held.value]), np.zeros(len(held.value), np.int64)
+        ids, total = np.array([i for i, _ in held.value], np.int64), np.zeros(len(held.value), np.int64)
+        lengths = np.array([len(v) for _, v in held.value])
         for batch in batches:
             vecs, reps_, size = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for own in _by_length(vecs) if vecs else ():
-                asked = np.array([i for i, (_, v) in enumerate(held.value) if len(v) == len(vecs[own[0]])], int)
+            for same in _by_length(vecs) if vecs else ():
+                asked = np.flatnonzero(lengths == len(vecs[same[0]]))
                 if not len(asked):
                     continue
                 q = np.frombuffer(b"".join(held.value[i][1] for i in asked), np.float64).reshape(len(asked), -1)
-                x = np.frombuffer(b"".join(vecs[i] for i in own), np.float64).reshape(len(own), -1)
-                near = (q @ x.T >= threshold) & (ids[asked, None] != reps_[own][None, :])
-                total[asked] += near @ size[own]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total)], names=["rep", "true"])
+                for own in np.array_split(same, math.ceil(len(same) / 1024)):
+                    x = np.frombuffer(b"".join(vecs[i] for i in own), np.float64).reshape(len(own), -1)
+                    near = (q @ x.T >= threshold) & (ids[asked, None] != reps_[own][None, :])
+                    total[asked] += near @ size[own]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "true"])
 
     true = reps.select("rep", "vec", "size").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    row = true.join(links, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "true")).alias("f")).first()
-    return 1.0 if not row.t else row.f / row.t
+    share = F.least(F.coalesce("links", F.lit(0)), "true") / F.col("true")
+    found = {r.rep: r.share for r in true.where(F.col("true") > 0).join(links, "rep", "left").select("rep", share.alias("share")).collect()}
+    parts = [[found[r.rep] for r in rows if r.rep in found] for rows in (any_, linked)]
+    return min((float(np.mean(p)) for p in parts if p), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -282,16 +384,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     classes = cut(classes.agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec")), "classes")
     reps = classes.select("rep", "size", "vec")
     n, k = reps.count(), NEIGHBOURS
-    graph = _start(reps, n, k)
+    graph = _start(reps, n, k, threshold, 0)
     for doubling in range(MAX_DOUBLINGS + 1):
-        for _ in range(ROUNDS):
+        for _ in range(MAX_ROUNDS):
             graph = _refined(graph, reps, k)
-        links, joined = _links(graph, reps, threshold, k)
-        if doubling == MAX_DOUBLINGS or audited_recall(links, reps, threshold) >= target_recall:
+            row = graph.where(F.col("sim") >= threshold).agg(F.count("*").alias("all"), F.count_if("new").alias("new")).first()
+            if row.new <= FEW_NEW * row.all:
+                break
+        links, joined = _links(graph, reps, threshold)
+        if audited_recall(links, reps, threshold) >= target_recall:
+            break
+        if doubling == MAX_DOUBLINGS:
+            links, joined = exact_links(reps, n, threshold)
             break
         k *= 2
-        more = graph.select("u", "v", "sim", F.lit(True).alias("new")).unionByName(_start(reps, n, k).select("u", "v", "sim", "new"))
-        graph = cut(_merged(more, k), "graph")
+        other = _start(reps, n, k, threshold, doubling + 1).select("u", "v", "sim", "new")
+        graph = cut(_merged(graph.select("u", "v", "sim", F.lit(True).alias("new")).unionByName(other), k), "graph")
     of_class = classes.select("key", "rep", "size").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     rows = known.select("vec_id", "key").join(of_class, "key", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))

@@ -321,6 +321,45 @@ def test_vectors(spark):
     assert len(got) == len(rows)
 
 
+def test_vectors_in_a_cone_and_without_candidates(spark, monkeypatch):
+    from stintlab.llm import nn_descent as nn
+
+    assert [nn.trees_for(b, 0.95) for b in (5, 17)] == [4, 20]
+    rng = np.random.default_rng(5)
+    # a cone that no plane splits evenly, with pairs at 0.95 to 0.97 in it and outside
+    x = np.concatenate((rng.standard_normal((1200, 32)), rng.standard_normal((1200, 32)) * 0.5 + 8 * np.eye(32)[0] * 0.2))
+    own = x[::6]
+    aside = rng.standard_normal(own.shape)
+    aside -= own * ((aside * own).sum(1) / (own * own).sum(1))[:, None]
+    c = rng.uniform(0.951, 0.97, len(own))[:, None]
+    x = np.concatenate((x, c * own + np.sqrt(1 - c * c) * aside * (np.linalg.norm(own, axis=1) / np.linalg.norm(aside, axis=1))[:, None]))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    true = near.sum(1) - 1
+    got = {r["vec_id"]: r for r in rows_of(nn.near_duplicates(df))}
+    share = [min(got[i]["n_links"], n) / n for i, n in enumerate(true) if n]
+    assert len(share) >= 400 and np.mean(share) >= 0.99
+    # groups of one code beyond what a task splits at once
+    monkeypatch.setattr(nn, "GROUP_BYTES", 32 * 8 * 400)
+    got = {r["vec_id"]: r for r in rows_of(nn.near_duplicates(df))}
+    assert np.mean([min(got[i]["n_links"], n) / n for i, n in enumerate(true) if n]) >= 0.99
+    # a search that finds nothing ends in the comparison of all pairs, in several blocks
+    monkeypatch.setattr(nn, "MAX_DOUBLINGS", 0)
+    monkeypatch.setattr(nn, "EXACT_BLOCK", 500)
+    graph = spark.createDataFrame([], "u long, v long, sim double, new boolean, bar double")
+    monkeypatch.setattr(nn, "_start", lambda *a: graph)
+    got = {r["vec_id"]: r for r in rows_of(nn.near_duplicates(df))}
+    assert [got[i]["n_links"] for i in range(len(x))] == true.tolist()
+    label = np.arange(len(x))
+    while True:
+        low = np.where(near, label[None, :], len(x)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
+
+
 def test_components(spark):
     from stintlab.llm.components import components
 
