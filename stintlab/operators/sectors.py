@@ -63,32 +63,125 @@ def repeated_losses(times: DataFrame, least_s: float = 0.1, top: int = 3, visits
     return out.where(F.col("visits") >= visits)
 
 
-def quickest_chain(seconds: list[list[float]], entry: list[list[float]], exit_: list[list[float]], reach: float = 2 / 3.6) -> tuple[float, list[int]] | None:
-    """The least sum of one candidate a segment whose speeds join (within ``reach``) where neighbours meet."""
-    total, back = np.asarray(seconds[0], float), []
-    for k in range(1, len(seconds)):
-        joins = np.abs(np.asarray(exit_[k - 1], float)[:, None] - np.asarray(entry[k], float)[None, :]) <= reach
-        way = np.where(joins, total[:, None], np.inf)
-        back.append(way.argmin(0))
-        total = way.min(0) + np.asarray(seconds[k], float)
-    if not len(total) or not np.isfinite(total.min()):
+class _Join:
+    """Which candidates before each candidate it may follow: all, or those of its lap and those whose exit speed is
+    within reach of its entry speed, which lie side by side in the order of exit speeds."""
+
+    def __init__(self, exit_: np.ndarray, entry: np.ndarray, before: np.ndarray, after: np.ndarray, meets: bool, reach: float):
+        self.meets, self.laps, self.before, self.after = meets, int(max(before.max(), after.max())) + 1, before, after
+        self.order = np.argsort(exit_, kind="stable")[: int(np.isfinite(exit_).sum())]
+        speed, self.known = exit_[self.order], np.isfinite(entry)
+        into = np.where(self.known, entry, 0.0)
+        self.low, self.high = np.searchsorted(speed, into - reach, "left"), np.searchsorted(speed, into + reach, "right")
+        # the sums above round otherwise than the differences that count
+        wide = np.concatenate(([-np.inf], speed, [np.inf]))
+        for _ in range(len(speed) + 1):
+            step = (wide[self.low + 1] - into < -reach).astype(int) - (wide[self.low] - into >= -reach)
+            turn = (wide[self.high + 1] - into <= reach).astype(int) - (wide[self.high] - into > reach)
+            if not (step.any() or turn.any()):
+                break
+            self.low, self.high = self.low + step, self.high + turn
+        self.known &= self.low < self.high
+
+    def least(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each candidate, the least total before it and where that is."""
+        if not self.meets:
+            at = int(total.argmin())
+            return np.full(len(self.after), total[at]), np.full(len(self.after), at)
+        of_lap = np.full(self.laps, -1)
+        down = np.argsort(-total, kind="stable")
+        of_lap[self.before[down]] = down
+        at = of_lap[self.after]
+        best = np.where(at >= 0, total[at], np.inf)
+        if self.known.any():
+            table = [self.order]  # of the places before the least in each run of 1, 2, 4, ...
+            while (half := 1 << (len(table) - 1)) * 2 <= len(self.order):
+                x, y = table[-1][:-half], table[-1][half:]
+                table.append(np.where(total[y] < total[x], y, x))
+            low, high = self.low[self.known], self.high[self.known]
+            level = np.frexp(high - low)[1] - 1
+            found = np.empty(len(low), int)
+            for k in np.unique(level):
+                own = level == k
+                x, y = table[k][low[own]], table[k][high[own] - (1 << k)]
+                found[own] = np.where(total[y] < total[x], y, x)
+            near, where = np.full(len(best), np.inf), np.zeros(len(best), int)
+            near[self.known], where[self.known] = total[found], found
+            best, at = np.minimum(best, near), np.where(near < best, where, at)
+        return best, at
+
+
+def quickest_chain(
+    seconds: list[list[float]], entry: list[list[float]], exit_: list[list[float]], reach: float = 2 / 3.6,
+    laps: list[list[int]] | None = None, meets: list[bool] | None = None, closes: bool = False,
+) -> tuple[float, list[int]] | None:
+    """The least sum of one candidate a segment, of which neighbours join wherever their segments meet (everywhere
+    unless ``meets`` tells) and, with ``closes``, the last and the first too.
+
+    Two candidates join if they are of one lap or their speeds are known and within ``reach``.
+    """
+    n = len(seconds)
+    if not n or not all(map(len, seconds)):
         return None
-    at = [int(total.argmin())]
-    for b in reversed(back):
-        at.append(int(b[at[-1]]))
-    return float(total.min()), at[::-1]
-
-
-def realistic_best(times: DataFrame, reach: float = 2 / 3.6) -> DataFrame:
-    """(group_id, realistic_s, laps): the quickest chain of passages (entry and exit speeds known) of each group.
-
-    A group is a driver's laps of one layout in one day; its passages are a few hundred rows a segment at most.
+    s, en, ex = ([np.asarray(x, float) for x in part] for part in (seconds, entry, exit_))
+    if laps is None:
+        ends = np.cumsum([0, *map(len, s)])
+        laps = [np.arange(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+    own = [np.asarray(x, int) for x in laps]
+    meets = [True] * (n - 1) if meets is None else meets
+    joins = [_Join(ex[i], en[i + 1], own[i], own[i + 1], meets[i], reach) for i in range(n - 1)]
+
+    def chain(total: np.ndarray, ends: np.ndarray | None = None) -> tuple[float, list[int]] | None:
+        back = []
+        for join, own_s in zip(joins, s[1:], strict=True):
+            total, at = join.least(total)
+            total = total + own_s
+            back.append(at)
+        if ends is not None:
+            total = np.where(ends, total, np.inf)
+        last = int(total.argmin())
+        if not np.isfinite(total[last]):
+            return None
+        way = [last]
+        for at in reversed(back):
+            way.append(int(at[way[-1]]))
+        return float(total[last]), way[::-1]
+
+    if not closes or n < 2:
+        return chain(s[0])
+    # no closed chain from a first candidate is quicker than the quickest open one
+    bound = s[-1]
+    for i in range(n - 2, -1, -1):
+        bound = s[i] + _Join(en[i + 1], ex[i], own[i + 1], own[i], meets[i], reach).least(bound)[0]
+    best = None
+    for first in np.argsort(bound, kind="stable"):
+        # but for the rounding of sums in another order
+        if not np.isfinite(bound[first]) or best is not None and bound[first] > best[0] + 1e-9 * abs(best[0]):
+            break
+        total = np.full(len(s[0]), np.inf)
+        total[first] = s[0][first]
+        got = chain(total, (own[-1] == own[0][first]) | (np.abs(ex[-1] - en[0][first]) <= reach))
+        if got and (best is None or got[0] < best[0]):
+            best = got
+    return best
+
+
+def realistic_best(times: DataFrame, segments: int, reach: float = 2 / 3.6, meets: list[bool] | None = None, closes: bool = False) -> DataFrame:
+    """(group_id, realistic_s, laps): the quickest chain of passages (entry and exit speeds known or null) of each group.
+
+    Null and without laps where a segment has no passage, no speed is known or nothing joins. A group is a driver's
+    laps of one layout in one day; its passages are a few hundred rows a segment at most.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [p.sort_values(["seconds", "lap_no"]) for _, p in pdf.groupby("segment", sort=True)]
-        got = quickest_chain(*([p[c].tolist() for p in parts] for c in ("seconds", "entry", "exit")), reach)
+        lap = pdf.groupby(["run_id", "lap_no"], dropna=False).ngroup()
+        timed = pdf.assign(lap=lap)[np.isfinite(pdf["seconds"].astype(float))]
+        parts = [p.sort_values(["seconds", "run_id", "lap_no"]) for _, p in timed.groupby("segment", sort=True)]
+        got = None
+        if len(parts) == segments and pdf[["entry", "exit"]].notna().any(axis=None):
+            got = quickest_chain(*([p[c].tolist() for p in parts] for c in ("seconds", "entry", "exit")), reach, [p["lap"].tolist() for p in parts], meets, closes)
         chain = [int(p["lap_no"].iloc[i]) for p, i in zip(parts, got[1], strict=True)] if got else []
         return pd.DataFrame({"group_id": pdf["group_id"].iloc[:1], "realistic_s": [got[0] if got else None], "laps": [chain]})
 
-    return times.select("group_id", "lap_no", "segment", "seconds", "entry", "exit").groupBy("group_id").applyInPandas(run, "group_id long, realistic_s double, laps array<long>")
+    columns = times.select("group_id", "run_id", "lap_no", "segment", "seconds", "entry", "exit")
+    return columns.groupBy("group_id").applyInPandas(run, "group_id long, realistic_s double, laps array<long>")

@@ -171,9 +171,9 @@ def repeated_losses(spark, sf_dir):
 
 @query()
 def realistic_best(spark, sf_dir):
-    """Passages with entry and exit speeds made from the segment's time; the chain is by group."""
+    """Passages with entry and exit speeds made from the segment's time; the chain is by group and closes over the gate."""
     times = t.sector_times(spark, sf_dir)
-    return rounded(sectors.realistic_best(times.withColumns({"entry": F.col("seconds") % 7, "exit": F.col("seconds") % 5})))
+    return rounded(sectors.realistic_best(times.withColumns({"entry": F.col("seconds") % 7, "exit": F.col("seconds") % 5}), t.SEGMENTS, closes=True))
 
 
 # channels

@@ -106,6 +106,38 @@ def test_quickest_chain_is_the_least_of_all():
         assert (got[0] if got else math.inf) == pytest.approx(best)
 
 
+def test_realistic_best_joins_laps_as_the_layout_says(spark):
+    rng = random.Random(8)
+
+    def brute(s, en, ex, laps, meets, closes):
+        best, n = math.inf, len(s)
+        for c in pd.MultiIndex.from_product([range(len(x)) for x in s]):
+            def joins(i, j):
+                a, b = ex[i][c[i]], en[j][c[j]]
+                return laps[i][c[i]] == laps[j][c[j]] or a is not None and b is not None and abs(a - b) <= 0.5
+
+            if all(joins(i, i + 1) for i in range(n - 1) if meets[i]) and (not closes or joins(n - 1, 0)):
+                best = min(best, sum(s[i][c[i]] for i in range(n)))
+        return best
+
+    for _ in range(150):
+        laps = [rng.sample(range(6), rng.randint(1, 5)) for _ in range(4)]
+        s = [[rng.random() * 3 for _ in k] for k in laps]
+        en, ex = ([[None if rng.random() < 0.2 else rng.randint(0, 12) / 4 for _ in k] for k in laps] for _ in range(2))
+        meets, closes = [rng.random() < 0.8 for _ in range(3)], rng.random() < 0.6
+        got = sectors.quickest_chain(s, en, ex, 0.5, laps, meets, closes)
+        assert (got[0] if got else math.inf) == pytest.approx(brute(s, en, ex, laps, meets, closes))
+
+    rows = [(1, 1, 1, k, 10.0, 30.0, 40.0) for k in (1, 2, 3)]  # a lap joins itself at any speeds
+    rows += [(1, 1, 2, k, 9.0, None, None) for k in (1, 3)]
+    rows += [(2, 1, 1, k, 10.0, 30.0, 40.0) for k in (1, 3)]  # a segment without a passage
+    rows += [(3, 1, 1, k, 10.0, 30.0, 30.0) for k in (1, 2, 3)] + [(3, 1, 2, 1, 8.0, 20.0, 30.0), (3, 2, 2, 3, 7.0, 30.0, 30.0)]
+    times = spark.createDataFrame(rows, "group_id long, run_id long, lap_no long, segment long, seconds double, entry double, exit double")
+    closed = {r.group_id: (r.realistic_s, r.laps) for r in sectors.realistic_best(times, 3, closes=True).collect()}
+    assert closed == {1: (30.0, [1, 1, 1]), 2: (None, []), 3: (27.0, [1, 1, 2])}
+    assert {r.group_id: r.realistic_s for r in sectors.realistic_best(times, 3).collect()}[3] == 25.0
+
+
 def test_laps_of_a_circle(spark):
     rows, period = [], 31.4
     for i in range(1000):
