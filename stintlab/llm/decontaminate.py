@@ -7,7 +7,8 @@ substring of the text's; the automaton passes over each text once, and word numb
 original follow from the separators' places.
 
 Null texts and texts without words hit nothing, items without words match nothing, and repeated items count by
-their distinct ids. An empty benchmark leaves every document clean.
+their distinct ids; those without an id hit too, count as one and aren't listed. Rows that share a doc_id, or have
+none, are told apart. An empty benchmark leaves every document clean.
 
 The automaton is broadcast, so its size is checked first: beyond ``max_benchmark_bytes`` of item text, windows
 are joined by hash instead (:func:`hits_by_join`), which has no such bound.
@@ -49,11 +50,11 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
+def build_automaton(items: list[tuple[int | None, str]], size: int = WINDOW):
     """The automaton over all items' padded windows; each carries its words and its items' ids."""
     import ahocorasick
 
-    found: dict[bytes, set[int]] = {}
+    found: dict[bytes, set[int | None]] = {}
     for item, text in items:
         for w in windows_of(words_of(text), size):
             found.setdefault(w, set()).add(item)
@@ -65,13 +66,13 @@ def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
     return automaton
 
 
-def scan(automaton, text: str | None) -> tuple[int, np.ndarray, list[int]]:
+def scan(automaton, text: str | None) -> tuple[int, np.ndarray, list[int | None]]:
     """Of a text: its number of words, the hit words' numbers, the ids of the items with occurring windows."""
     words = words_of(text)
     if not words or not len(automaton):
         return len(words), np.empty(0, np.int64), []
     joined = b" " + b" ".join(words) + b" "
-    items: set[int] = set()
+    items: set[int | None] = set()
     ends, lengths = [], []
     for end, (n, ids) in automaton.iter(joined.decode("latin-1")):
         ends.append(end)
@@ -85,7 +86,7 @@ def scan(automaton, text: str | None) -> tuple[int, np.ndarray, list[int]]:
     marks = np.zeros(len(words) + 1, np.int64)
     np.add.at(marks, last - np.asarray(lengths), 1)
     np.add.at(marks, last, -1)
-    return len(words), np.flatnonzero(np.cumsum(marks[:-1]) > 0), sorted(items)
+    return len(words), np.flatnonzero(np.cumsum(marks[:-1]) > 0), list(items)
 
 
 def char_spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -105,6 +106,11 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+def _row(text: str | None, n_words: int, hit: np.ndarray, items: list[int | None]) -> tuple:
+    named = sorted(i for i in items if i is not None)
+    return n_words, len(hit), len(items), _digest(named), len(hit) > 0, named, char_spans(text, hit) if len(hit) else []
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -113,7 +119,7 @@ def decontaminate(
 ) -> DataFrame:
     """One row a document: word and hit counts, the items found and the hit character ranges."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null and text is not null")
+    items = items.where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total > max_benchmark_bytes:
         return hits_by_join(docs, items, window)
@@ -125,8 +131,7 @@ def decontaminate(
             for part in slices(batch):
                 rows = []
                 for text in part.column(1).to_pylist():
-                    n, hit, found = scan(automaton, text)
-                    rows.append((n, len(hit), len(found), _digest(found), len(hit) > 0, found, char_spans(text, hit) if len(hit) else []))
+                    rows.append(_row(text, *scan(automaton, text)))
                 yield _batch(part.column(0), rows)
 
     return id_text(docs).mapInArrow(run, OUT)
@@ -135,11 +140,11 @@ def decontaminate(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """The documents, all columns, without those that hold a window of an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id is not null and text is not null")
+    items = items.where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total > max_benchmark_bytes:
-        hit = hits_by_join(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-        return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+        rows = _numbered(docs)
+        return rows.join(_found_by_join(rows, items, window), _ROW, "left_anti").drop(_ROW)
     held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
     at = docs.columns.index("text")
 
@@ -167,13 +172,18 @@ def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same rows for a benchmark of any size: windows of both sides meet by their text's 128-bit digest.
+#: A number of its own for every row: ids may be null or shared.
+_ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    # written, since the numbers follow the partitions
+    return cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
 
-    Short items (fewer words than a window) give windows of their own lengths, so texts are cut by every length
-    that occurs. Pieces of a text come back as (word number, length), never the text itself.
-    """
-    spark = docs.sparkSession
+
+def _found_by_join(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(row, at, ids): where the windows that occur in a row with hits lie, and their items' ids as structs."""
+    spark = rows.sparkSession
 
     def cut_items(batches):
         for batch in batches:
@@ -206,15 +216,26 @@ def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "at", "h", "n"]
+                    [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[_ROW, "at", "h", "n"]
                 )
 
-    cuts = id_text(docs).mapInArrow(cut_docs, "doc_id long, at long, h binary, n long")
-    per_window = grams.groupBy("h", "n").agg(F.collect_set("item_id").alias("ids"))
-    found = cuts.join(per_window, ["h", "n"]).groupBy("doc_id").agg(
-        F.collect_set(F.struct("at", "n")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids")
+    texts = rows.select(_ROW, F.col("text").cast("string").alias("text"))
+    cuts = texts.mapInArrow(cut_docs, f"{_ROW} long, at long, h binary, n long")
+    # structs, as sets leave nulls out
+    per_window = grams.groupBy("h", "n").agg(F.collect_set(F.struct("item_id")).alias("ids"))
+    return cuts.join(per_window, ["h", "n"]).groupBy(_ROW).agg(
+        F.collect_set(F.struct("at", "n")).alias("at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids")
     )
-    joined = id_text(docs).join(found, "doc_id", "left").select("doc_id", "text", "at", "ids")
+
+
+def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The same rows for a benchmark of any size: windows of both sides meet by their text's 128-bit digest.
+
+    Short items (fewer words than a window) give windows of their own lengths, so texts are cut by every length
+    that occurs. Pieces of a text come back as (word number, length), never the text itself.
+    """
+    rows = _numbered(id_text(docs))
+    joined = rows.join(_found_by_join(rows, items, window), _ROW, "left").select("doc_id", "text", "at", "ids")
 
     def finish(batches):
         for batch in batches:
@@ -225,8 +246,7 @@ def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
                     mark = np.zeros(n, bool)
                     for x in at or ():
                         mark[x["at"] : x["at"] + x["n"]] = True
-                    hit = np.flatnonzero(mark)
-                    rows.append((n, len(hit), len(ids or ()), _digest(ids or []), len(hit) > 0, ids or [], char_spans(text, hit) if len(hit) else []))
+                    rows.append(_row(text, n, np.flatnonzero(mark), [x["item_id"] for x in ids or ()]))
                 yield _batch(part.column(0), rows)
 
     return joined.mapInArrow(finish, OUT)

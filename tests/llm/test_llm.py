@@ -197,6 +197,23 @@ def test_decontamination_by_both_ways(spark, texts):
     assert 900 not in kept and 405 not in kept and {0, 400, 401} <= kept
 
 
+def test_decontamination_tells_rows_apart_by_both_ways(spark, texts):
+    from stintlab.llm import decontaminate as d
+
+    passage, unnamed = (" ".join(texts[k][1].split()[5:25]) for k in (50, 51))
+    bench = spark.createDataFrame([(1, passage), (2, "SHORT one"), (None, "items without ids"), (None, unnamed), (3, None)], "item_id long, text string")
+    rows = [*texts, (None, f"null {passage}", "en"), (7000, f"hit {passage}", "en"), (7000, "clean words", "en"), (7001, "some items without ids", "en")]
+    docs = docs_of(spark, rows)
+    one, two = (sorted(map(repr, rows_of(d.decontaminate(docs, bench, max_benchmark_bytes=most)))) for most in (1 << 20, 1))
+    assert one == two and len(one) == len(rows)
+    by_id = [r for r in rows_of(d.decontaminate(docs, bench)) if r["doc_id"] in (7000, 7001)]
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["items"]) for r in by_id)[0] == (7000, 0, 0, [])
+    assert [(r["n_hit"], r["n_items"], r["items"]) for r in by_id if r["doc_id"] == 7001] == [(3, 1, [])]
+    one, two = (sorted(map(repr, rows_of(d.keep_clean(docs, bench, max_benchmark_bytes=most)))) for most in (1 << 20, 1))
+    assert one == two and any("clean words" in r for r in one) and not any("null " in r or "without ids" in r or "hit " in r for r in one)
+    assert d.keep_clean(docs, bench, max_benchmark_bytes=1).columns == docs.columns
+
+
 def test_secrets(spark):
     from stintlab.llm import secrets as s
 
