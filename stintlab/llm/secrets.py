@@ -3,7 +3,8 @@
 A random string costs a token for little more than one character, while words, even invented ones, cost a token
 for several. Candidates are runs of at least ``MIN_RUN`` characters of the base64 and identifier alphabets; those
 with fewer than ``MAX_RATIO`` characters a token are reported as kind ``random`` unless they are a known digest
-(pure hex of a digest's length), a UUID, a number, or lie in a span that a pattern has found.
+(pure hex of a digest's length), a UUID, a number, or lie in a span that a pattern has found. Of a run that spans
+cover in part, each uncovered piece of at least ``MIN_RUN`` characters is a candidate.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive.
 """
@@ -56,6 +57,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _is_known(run: str) -> bool:
+    return run.isdigit() or len(run) in DIGEST_LENGTHS and bool(_ALL_HEX.fullmatch(run)) or bool(_UUID.fullmatch(run))
+
+
+def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range outside of spans, which are sorted by their starts."""
+    out = []
+    for s, _, e in base:
+        if s >= b:
+            break
+        if a < s:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
 def spans_of(text: str | None, encode, min_ratio: float = MAX_RATIO) -> tuple[list[tuple], list[tuple]]:
     """The patterns' spans and all spans, each by start and then kind."""
     if not text:
@@ -68,14 +85,16 @@ def spans_of(text: str | None, encode, min_ratio: float = MAX_RATIO) -> tuple[li
     added = []
     if any(_RUN.search(w) for w in long):
         for m in _RUN.finditer(text):
-            run, a, b = m[0], m.start(), m.end()
-            if run.isdigit() or len(run) in DIGEST_LENGTHS and _ALL_HEX.fullmatch(run) or _UUID.fullmatch(run):
-                continue
-            if any(s < b and a < e for s, _, e in base):
+            if _is_known(m[0]):
                 continue
-            # in parts, as an encoder's time may grow with the square of an unbroken run
-            if len(set(run)) >= 8 and len(run) < min_ratio * sum(len(encode(run[k : k + 1000])) for k in range(0, len(run), 1000)):
-                added.append((a, 3, b))
+            for a, b in uncovered(m.start(), m.end(), base):
+                run = text[a:b]
+                # a piece begins or ends with what joined it to a span
+                if len(run) < MIN_RUN or len(run) < len(m[0]) and _is_known(run.strip("-_/+=")):
+                    continue
+                # in parts, as an encoder's time may grow with the square of an unbroken run
+                if len(set(run)) >= 8 and len(run) < min_ratio * sum(len(encode(run[k : k + 1000])) for k in range(0, len(run), 1000)):
+                    added.append((a, 3, b))
     return base, sorted(base + added)
 
 
