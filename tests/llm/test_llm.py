@@ -311,6 +311,21 @@ def test_warc_records_refer_to_their_source(spark):
     assert "language: fr" in meta["block"] and "links: 1" in meta["block"]
 
 
+def test_warc_text_resolves_every_reference(spark):
+    import html
+    from html.entities import html5
+
+    from stintlab.llm import warc
+
+    refs = [*(f"&{n}" for n in html5), "&#8217;", "&#x27;", "&#X1F642;", "&#39", "&#0;", "&#xD800;", "&#1114112;", "&amp;copy;", "&amp;#39;", "&unknown;", "&", "& b", "&copyright", "&nbsp;&#160;"]
+    assert all(warc.resolved(f"a{r}z") == html.unescape(f"a{r}z").replace("\xa0", " ") for r in refs) and warc.resolved(None) is None
+    pages = spark.createDataFrame([(1, "u", "<p>&copy;&nbsp;2024 &middot; it&#8217;s caf&eacute; &mdash; &lt;b&gt; &amp;lt;</p>")], "page_id long, url string, html string")
+    got = {r["warc_type"]: r for r in rows_of(warc.derivatives(warc.responses(pages)))}
+    block = "© 2024 · it’s café — <b> &lt;"
+    assert got["conversion"]["block"] == block
+    assert f"Content-Length: {len(block.encode())}\r\n" in got["conversion"]["headers"] and f"text-length: {len(block.encode())}\r\n" in got["metadata"]["block"]
+
+
 def test_token_files_round_trip(spark, texts):
     from pyarrow import fs
 
