@@ -7,23 +7,25 @@ which a later token could still start, the tokens between the last emitted one a
 all those places agree are emitted, which happens at most one longest token later (the lookahead). A state is
 that set of open places; states and transitions are made when a text first needs them and kept in tables.
 
-Decoding concatenates the tokens' bytes; :class:`Utf8Stream` turns any chunks of them into text as they come.
+Decoding feeds the tokens' bytes, some thousand tokens at a time, to an incremental UTF-8 state machine,
+:class:`Utf8Stream`, which gives the text as it comes.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stintlab.llm.common import map_texts
+from stintlab.llm.common import kept, map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a worker's tables: words, of which as many older ones stay at hand, and transitions, which start again.
+#: Entries of a worker's tables: transitions, which then start again, and words, half of them of an older generation.
 MAX_KEPT = 300_000
 
 
@@ -39,36 +41,47 @@ class Transducer:
         # of the last merge into a token: its left and its right part, -1 for bytes
         self.lefts = dict.fromkeys(self.bytes_of, -1)
         self.rights = dict.fromkeys(self.bytes_of, -1)
-        self.reachable = {t: k for t, k in ranks.items() if len(t) == 1 or self._merge(t, k) == [k]}
-        self.lookahead = max(map(len, self.reachable), default=1)
-        # the tokens' trie: a node's children by byte, and the token that ends there or -1
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for token, rank in self.reachable.items():
+        reachable = {t: k for t, k in ranks.items() if len(t) == 1 or self._merge(t, k) == [k]}
+        self.lookahead = max(map(len, reachable), default=1)
+        # the tokens' trie: nodes by parent and byte, the token that ends at each or -1, and whether it goes on
+        self.below: dict[int, int] = {}
+        self.ends, self.goes_on = array("q", [-1]), bytearray(1)
+        for token, rank in reachable.items():
             node = 0
             for byte in token:
-                below = self.children[node].get(byte)
+                key = node << 8 | byte
+                below = self.below.get(key)
                 if below is None:
-                    below = self.children[node][byte] = len(self.ends)
-                    self.children.append({})
+                    self.goes_on[node] = 1
+                    below = self.below[key] = len(self.ends)
                     self.ends.append(-1)
+                    self.goes_on.append(0)
                 node = below
             self.ends[node] = rank
         self._reset()
 
     def _reset(self) -> None:
+        """Empty tables. They refer to states by number, so nothing in them is a cycle and all is freed at once."""
         self._stable: dict[int, bool] = {}
-        self._states: dict[tuple, dict] = {}
-        self.made = 0
-        self.start = self._state((((), 0, -1),))
-
-    def _state(self, places: tuple) -> dict:
-        """A state: its transitions by byte, and its places under -1."""
-        found = self._states.get(places)
+        self._number: dict[tuple, int] = {}
+        self._places: list[tuple] = []
+        self._same: dict[tuple, tuple] = {}  # one object for equal parts of states
+        self._next: dict[int, int] = {}  # by state and byte: twice the next state, and one more if something is emitted
+        self._emitted: dict[int, tuple] = {}
+        self._state((((), 0, -1),))
+
+    def _state(self, places: tuple) -> int:
+        found = self._number.get(places)
         if found is None:
-            found = self._states[places] = {-1: places}
+            same = self._same
+            places = tuple([same.setdefault(p, p) for p in places])
+            found = self._number[places] = len(self._places)
+            self._places.append(places)
         return found
 
+    def kept(self) -> int:
+        return len(self._next) + len(self._stable) // 4
+
     def _merge(self, piece: bytes, note: int | None = None) -> list[int]:
         """Greedy merging by rank, which defines stability; the parts of the last merge into ``note`` are remembered."""
         ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
@@ -108,13 +121,14 @@ class Transducer:
         self._stable[a << 32 | b] = known
         return known
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        """The next state and what is emitted. A place: its tokens not yet emitted, where the bytes since lead in the
-        trie, and the last emitted token if it has none."""
-        children, ends, known = self.children, self.ends, self._stable
+    def _step(self, key: int) -> int:
+        """The table's entry for a state and a byte. A place of a state: its tokens not yet emitted, where the bytes
+        since lead in the trie, and the last emitted token if it has none."""
+        state, byte = key >> 8, key & 255
+        below, ends, known, goes_on = self.below, self.ends, self._stable, self.goes_on
         grown, end = [], None
-        for path, node, before in state[-1]:
-            node = children[node].get(byte)
+        for path, node, before in self._places[state]:
+            node = below.get(node << 8 | byte)
             if node is None:
                 continue
             token = ends[node]
@@ -122,7 +136,7 @@ class Transducer:
                 last = path[-1] if path else before
                 if last < 0 or (ok := known.get(last << 32 | token)) or ok is None and self.stable(last, token):
                     end = (*path, token)
-            if children[node]:
+            if goes_on[node]:
                 grown.append((path, node, before))
         if end is None:
             raise ValueError("the vocabulary lacks a byte or its merges contradict each other")
@@ -132,28 +146,31 @@ class Transducer:
             while k < same and k < len(path) and path[k] == end[k]:
                 k += 1
             same = k
-        out = end[:same]
         if same:
+            out = end[:same]
             grown = [(p[same:], node, out[-1] if len(p) == same else -1) for p, node, _ in grown]
+            self._emitted[key] = out
         # the token before matters only where no token stands between it and the place
-        grown.append((end[same:], 0, out[-1] if same == len(end) else -1))
-        step = state[byte] = (self._state(tuple(grown)), out)
-        self.made += 1
-        return step
+        grown.append((end[same:], 0, end[-1] if same == len(end) else -1))
+        found = self._next[key] = self._state(tuple(grown)) << 1 | (same > 0)
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if self.made > self.max_kept:
+        if self.kept() > self.max_kept:
             self._reset()
-        state, out = self.start, []
+        table, emitted, state, out = self._next, self._emitted, 0, []
         for byte in piece:
-            step = state.get(byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        return out + list(state[-1][-1][0])
+            key = state << 8 | byte
+            found = table.get(key)
+            if found is None:
+                found = self._step(key)
+            if found & 1:
+                out += emitted[key]
+            state = found >> 1
+        return out + list(self._places[state][-1][0])
 
 
 class Utf8Stream:
@@ -167,8 +184,25 @@ class Utf8Stream:
         self.pending, self.due, self.low, self.high = bytearray(), 0, 0x80, 0xBF
 
     def feed(self, chunk: bytes) -> str:
-        if not self.due and chunk.isascii():
-            return chunk.decode("ascii")
+        """Text of the characters that are complete now. Whole stretches of good bytes pass at once; the bytes of a
+        character that began or goes on outside of the chunk, and stretches with bad bytes, one at a time."""
+        head, at, end = "", 0, len(chunk)
+        while self.due and at < end:
+            head += self._step(chunk[at : at + 1])
+            at += 1
+        for k in range(1, min(3, end - at) + 1):
+            b = chunk[end - k]
+            if b >= 0xC0 and k < 2 + (b >= 0xE0) + (b >= 0xF0):
+                end -= k
+            if b >= 0xC0 or b < 0x80:
+                break
+        try:
+            body = chunk[at:end].decode()
+        except UnicodeDecodeError:
+            return head + self._step(chunk[at:])
+        return head + body + self._step(chunk[end:])
+
+    def _step(self, chunk: bytes) -> str:
         out = []
         for b in chunk:
             if self.due:
@@ -237,7 +271,7 @@ class Codec:
         if self.odd(text):
             return self._whole(text)
         first, *words = text.split(" ")
-        if len(self.units) > self.max_kept * 2 // 3:
+        if len(self.units) > self.max_kept // 2:
             self.units, self.older = {}, self.units
         units = self.units
         got = list(map(units.get, words))
@@ -253,22 +287,20 @@ class Codec:
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
 
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+    def stream(self, ids: list[int], chunk: int = 4096) -> Iterator[str]:
+        """The text of ``chunk`` tokens at a time; a character whose bytes two chunks share comes with the second."""
         stream = Utf8Stream()
-        parts = [stream.feed(self.decode_bytes(ids[i : i + chunk])) for i in range(0, len(ids), chunk)]
-        return "".join([*parts, stream.end()])
+        for i in range(0, len(ids), chunk):
+            yield stream.feed(self.decode_bytes(ids[i : i + chunk]))
+        yield stream.end()
 
-
-_CODECS: dict[tuple[str, int], Codec] = {}
+    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+        return "".join(self.stream(ids, chunk))
 
 
 def codec(path: str, max_kept: int = MAX_KEPT) -> Codec:
     """A worker's codec, kept from task to task."""
-    if (path, max_kept) not in _CODECS:
-        _CODECS[path, max_kept] = Codec(path, max_kept)
-        gc.freeze()  # the tables hold no cycles, so the collector needn't walk them
-        gc.set_threshold(100_000, 20, 50)
-    return _CODECS[path, max_kept]
+    return kept(("codec", path, max_kept), lambda: Codec(path, max_kept))
 
 
 def default_vocabulary() -> str:
@@ -283,7 +315,8 @@ COLUMNS = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string
 def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """One row a document: its number of tokens and digests of its ids and of the bytes that they decode to.
 
-    Null and empty texts have no tokens. The text is encoded whole, whatever its length.
+    Null and empty texts have no tokens. The text is encoded whole, whatever its length. Repeated rows give repeated
+    rows.
     """
     path = vocabulary_path or default_vocabulary()
 
@@ -297,7 +330,10 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
                 ids = c.encode(t)
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
-                bytes_hash.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+                decoded = hashlib.sha256()
+                for part in c.stream(ids):
+                    decoded.update(part.encode("utf-8"))
+                bytes_hash.append(decoded.hexdigest())
             return n, ids_hash, bytes_hash
 
         return fn

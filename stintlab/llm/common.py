@@ -88,6 +88,20 @@ def spans(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
     yield from zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [len(k)])).tolist(), strict=True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """What ``make`` gave for ``key`` in this worker. A worker holds one such object: asking for another drops it, so
+    that one operator's tables don't lie beside the next one's. Key None only drops."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        if key is None:
+            return None
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -1,22 +1,23 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
 A word is a maximal run of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased. A window is
-ten consecutive words of an item, or the whole item if it has fewer. Each text is normalised to its words with
-one space before, between and after them, so that a window occurs in a text if and only if its padded form is a
-substring of the text's; the automaton passes over each text once, and word numbers and byte offsets of the
-original follow from the separators' places.
+ten consecutive words of an item, or the whole item if it has fewer. A window
+occurs in a text if it is a run of the text's words, and offsets in the original follow from its words' places.
 
 Null texts and texts without words hit nothing, items without words match nothing, and repeated items count by
-their distinct ids; those without an id hit too, count as one and aren't listed. Rows that share a doc_id, or have
-none, are told apart. An empty benchmark leaves every document clean.
+their distinct ids; those without an id hit too, count as one and aren't listed. Rows that share a doc_id, have
+none or repeat are told apart. An empty benchmark leaves every document clean.
 
-The automaton is broadcast, so its size is checked first: beyond ``max_benchmark_bytes`` of item text, windows
-are joined by hash instead (:func:`hits_by_join`), which has no such bound.
+The automaton reads words, not bytes: a text's words become the numbers that the benchmark's words have, which makes
+about ten states of a word of an item. It is broadcast by part: each part has up to ``PART_WORDS`` words of items,
+so a worker's automaton has a fixed bound whatever the benchmark's size, and every part passes over each text once.
+A document's hits in several parts meet by a number of its row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlab.llm.common import cut, id_text, slices
+from stintlab.llm.common import cut, id_text, kept, slices
 
 WINDOW = 10
-MAX_BENCHMARK_BYTES = 32 << 20
+#: Words of items in one automaton, some 200 MB in a worker.
+PART_WORDS = 200_000
 
 #: Byte to byte: lower case for A-Z, space for what isn't in a word. All bytes of non-ASCII characters stay.
 _FOLD = bytes(
@@ -50,43 +52,44 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def build_automaton(items: list[tuple[int | None, str]], size: int = WINDOW):
-    """The automaton over all items' padded windows; each carries its words and its items' ids."""
-    import ahocorasick
-
-    found: dict[bytes, set[int | None]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), size):
-            found.setdefault(w, set()).add(item)
-    automaton = ahocorasick.Automaton()
-    for w, ids in found.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-    if found:
-        automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton, text: str | None) -> tuple[int, np.ndarray, list[int | None]]:
-    """Of a text: its number of words, the hit words' numbers, the ids of the items with occurring windows."""
-    words = words_of(text)
-    if not words or not len(automaton):
-        return len(words), np.empty(0, np.int64), []
-    joined = b" " + b" ".join(words) + b" "
-    items: set[int | None] = set()
-    ends, lengths = [], []
-    for end, (n, ids) in automaton.iter(joined.decode("latin-1")):
-        ends.append(end)
-        lengths.append(n)
-        items.update(ids)
-    if not ends:
-        return len(words), np.empty(0, np.int64), []
-    # the k-th separator (from 0) precedes word k, so a match that ends on it ends with word k - 1
-    separators = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    last = np.searchsorted(separators, np.asarray(ends))
-    marks = np.zeros(len(words) + 1, np.int64)
-    np.add.at(marks, last - np.asarray(lengths), 1)
-    np.add.at(marks, last, -1)
-    return len(words), np.flatnonzero(np.cumsum(marks[:-1]) > 0), list(items)
+class Automaton:
+    """One part's automaton over word numbers; each window carries its number of words and its items' ids."""
+
+    def __init__(self, items: list[tuple[int | None, str]], size: int = WINDOW):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[int | None]] = {}
+        for item, text in items:
+            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            for i in range(max(1, len(own) - size + 1)) if own else ():
+                found.setdefault(tuple(own[i : i + size]), set()).add(item)
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in found.items():
+            self.tree.add_word(window, (len(window), tuple(ids)))
+        if found:
+            self.tree.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, list[int | None]]:
+        """Of a text: its number of words, the hit words' numbers, the ids of the items with occurring windows."""
+        words = words_of(text)
+        if not words or not len(self.tree):
+            return len(words), np.empty(0, np.int64), []
+        get = self.numbers.get
+        items: set[int | None] = set()
+        ends, lengths = [], []
+        # 0 is no word of an item, so no window goes past it
+        for end, (n, ids) in self.tree.iter(tuple([get(w, 0) for w in words])):
+            ends.append(end)
+            lengths.append(n)
+            items.update(ids)
+        if not ends:
+            return len(words), np.empty(0, np.int64), []
+        last = np.asarray(ends) + 1
+        marks = np.zeros(len(words) + 1, np.int64)
+        np.add.at(marks, last - np.asarray(lengths), 1)
+        np.add.at(marks, last, -1)
+        return len(words), np.flatnonzero(np.cumsum(marks[:-1]) > 0), list(items)
 
 
 def char_spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -111,50 +114,63 @@ def _row(text: str | None, n_words: int, hit: np.ndarray, items: list[int | None
     return n_words, len(hit), len(items), _digest(named), len(hit) > 0, named, char_spans(text, hit) if len(hit) else []
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
-) -> DataFrame:
-    """One row a document: word and hit counts, the items found and the hit character ranges."""
+def parts_of(benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> list:
+    """Broadcasts of the items, a list of (id, words) for each part. The driver holds one part at a time; a long item
+    is cut so that each of its windows lies whole in one piece."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > max_benchmark_bytes:
-        return hits_by_join(docs, items, window)
-    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    context, step = benchmark.sparkSession.sparkContext, max(part_words, window)
+    out, held, total = [], [], 0
+    for r in items.where("text is not null").toLocalIterator():
+        words = words_of(r.text)
+        for i in range(0, max(1, len(words) - window + 1), step):
+            piece = words[i : i + step + window - 1]
+            if held and total + len(piece) > part_words:
+                out.append(context.broadcast(held))
+                held, total = [], 0
+            held.append((r.item_id, b" ".join(piece).decode("utf-8", "surrogatepass")))
+            total += len(piece)
+    return [*out, context.broadcast(held)] if held or not out else out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """One row a document: word and hit counts, the items found and the hit character ranges."""
+    parts = parts_of(benchmark, window, part_words)
+    if len(parts) > 1:
+        return _by_parts(docs, parts, window)
+    scan = _scanner(parts[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(held.value, window)
+        automaton = scan()
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for text in part.column(1).to_pylist():
-                    rows.append(_row(text, *scan(automaton, text)))
-                yield _batch(part.column(0), rows)
+                yield _batch(part.column(0), [_row(t, *automaton.scan(t)) for t in part.column(1).to_pylist()])
 
     return id_text(docs).mapInArrow(run, OUT)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+def _scanner(held, window: int):
+    """Gives a worker's automaton of a part, which stays from task to task."""
+    name = uuid.uuid4().hex
+    return lambda: kept(name, lambda: Automaton(held.value, window))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """The documents, all columns, without those that hold a window of an item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > max_benchmark_bytes:
-        rows = _numbered(docs)
-        return rows.join(_found_by_join(rows, items, window), _ROW, "left_anti").drop(_ROW)
-    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
     at = docs.columns.index("text")
+    clean = docs.select(*(F.col(f"`{c}`") for c in docs.columns))
+    for k, held in enumerate(parts_of(benchmark, window, part_words)):
+        if k:  # a task holds one automaton at a time
+            clean = cut(clean, "clean")
+        scan = _scanner(held, window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(held.value, window)
-        for batch in batches:
-            for part in slices(batch, at):
-                yield part.filter(pa.array([not len(scan(automaton, t)[1]) for t in part.column(at).to_pylist()], pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            automaton = scan()
+            for batch in batches:
+                for part in slices(batch, at):
+                    yield part.filter(pa.array([not len(automaton.scan(t)[1]) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+        clean = clean.mapInArrow(run, docs.schema)
+    return clean
 
 
 _TYPES = [
@@ -172,81 +188,48 @@ def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-#: A number of its own for every row: ids may be null or shared.
-_ROW = "__row"
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    # written, since the numbers follow the partitions
-    return cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+def _by_parts(docs: DataFrame, parts: list, window: int) -> DataFrame:
+    """The same rows from several parts: each gives hit ranges and items of the rows with hits, never their texts."""
+    # ids may be null or shared, so rows have numbers of their own; written, since the numbers follow the partitions
+    rows = cut(id_text(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    schema = "row long, hits array<struct<a:long,z:long>>, items array<struct<id:long>>"
+    found = None
+    for held in parts:
+        scan = _scanner(held, window)
+
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            automaton = scan()
+            for batch in batches:
+                for part in slices(batch):
+                    out = []
+                    for row, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        _, hit, items = automaton.scan(text)
+                        if len(hit):
+                            breaks = np.flatnonzero(np.diff(hit) > 1)
+                            first, last = hit[np.concatenate(([0], breaks + 1))], hit[np.concatenate((breaks, [len(hit) - 1]))]
+                            ranges = [{"a": a, "z": z + 1} for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                            out.append({"row": row, "hits": ranges, "items": [{"id": i} for i in items]})
+                    yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+
+        own = rows.mapInArrow(run, schema)
+        found = own if found is None else found.unionByName(own)
+    # a row a document and part at most
+    told = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
-
-def _found_by_join(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(row, at, ids): where the windows that occur in a row with hits lie, and their items' ids as structs."""
-    spark = rows.sparkSession
-
-    def cut_items(batches):
+    def finish(batches):
         for batch in batches:
             for part in slices(batch):
-                rows = [
-                    (i, hashlib.md5(w).digest(), w.count(b" ") + 1)
-                    for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                    for w in windows_of(words_of(t), window)
-                ]
-                columns = list(zip(*rows, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True)],
-                    names=["item_id", "h", "n"],
-                )
-
-    grams = cut(items.mapInArrow(cut_items, "item_id long, h binary, n long").distinct(), "grams")
-    sizes = spark.sparkContext.broadcast([r.n for r in grams.select("n").distinct().collect()])  # window values at most
-
-    def cut_docs(batches):
-        for batch in batches:
-            for part in slices(batch, most=400_000):
-                rows = []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = words_of(t)
-                    rows += [
-                        (i, k, hashlib.md5(b" ".join(words[k : k + n])).digest(), n)
-                        for n in sizes.value
-                        for k in range(len(words) - n + 1)
-                    ]
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[_ROW, "at", "h", "n"]
-                )
-
-    texts = rows.select(_ROW, F.col("text").cast("string").alias("text"))
-    cuts = texts.mapInArrow(cut_docs, f"{_ROW} long, at long, h binary, n long")
-    # structs, as sets leave nulls out
-    per_window = grams.groupBy("h", "n").agg(F.collect_set(F.struct("item_id")).alias("ids"))
-    return cuts.join(per_window, ["h", "n"]).groupBy(_ROW).agg(
-        F.collect_set(F.struct("at", "n")).alias("at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids")
-    )
+                out = []
+                for text, hits, items in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    mark = np.zeros(len(words_of(text)), bool)
+                    for x in hits or ():
+                        mark[x["a"] : x["z"]] = True
+                    out.append(_row(text, len(mark), np.flatnonzero(mark), [x["id"] for x in items or ()]))
+                yield _batch(part.column(0), out)
 
+    return rows.join(told, "row", "left").select("doc_id", "text", "hits", "items").mapInArrow(finish, OUT)
 
-def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same rows for a benchmark of any size: windows of both sides meet by their text's 128-bit digest.
 
-    Short items (fewer words than a window) give windows of their own lengths, so texts are cut by every length
-    that occurs. Pieces of a text come back as (word number, length), never the text itself.
-    """
-    rows = _numbered(id_text(docs))
-    joined = rows.join(_found_by_join(rows, items, window), _ROW, "left").select("doc_id", "text", "at", "ids")
-
-    def finish(batches):
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for text, at, ids in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    n = len(words_of(text))
-                    mark = np.zeros(n, bool)
-                    for x in at or ():
-                        mark[x["at"] : x["at"] + x["n"]] = True
-                    rows.append(_row(text, n, np.flatnonzero(mark), [x["item_id"] for x in ids or ()]))
-                yield _batch(part.column(0), rows)
-
-    return joined.mapInArrow(finish, OUT)
+_FOUND = pa.schema([
+    ("row", pa.int64()), ("hits", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), ("items", pa.list_(pa.struct([("id", pa.int64())]))),
+])

@@ -6,7 +6,8 @@ a text's vector bundles (adds) its n-grams' vectors. A language's prototype bund
 language, and a text gets the language whose prototype is nearest by cosine. Runs of characters that aren't
 letters count as one blank, so n-grams also see where words begin and end.
 
-Texts that are null or have no letter get ``und`` with score 0, as do all texts if nothing was learned.
+Texts that are null or have no letter get ``und`` with score 0, as do all texts if nothing was learned. Of equally
+near languages the first by name wins; repeated rows give repeated rows and count as often where they are learned from.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stintlab.llm.common import crc_mod, slices
+from stintlab.llm.common import crc_mod, kept, slices
 
 DIM, ORDER, SEED = 1024, 3, 20240229
 UNKNOWN = "und"
 #: Languages that may be learned; their prototypes go to every task.
 MAX_LANGUAGES = 2000
+#: Letters whose vectors a worker keeps, a kilobyte each; then it starts again.
+MAX_LETTERS = 20_000
 #: Texts whose vectors are made in one product.
 ROWS = 128
 
@@ -46,6 +49,8 @@ class Space:
         self._of: dict[int, np.ndarray] = {}
 
     def letters(self, points: np.ndarray) -> np.ndarray:
+        if len(self._of) > MAX_LETTERS:
+            self._of.clear()
         for p in points.tolist():
             if p not in self._of:
                 bits = np.random.Generator(np.random.PCG64([self.seed, p])).integers(0, 2, self.dim, dtype=np.int8)
@@ -60,6 +65,10 @@ class Space:
         return out
 
 
+def _space(dim: int, order: int, seed: int) -> Space:
+    return kept(("space", dim, order, seed), lambda: Space(dim, order, seed))
+
+
 def profile(texts: list[str | None], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a few texts: counts by text and n-gram, the n-grams' vectors, and whether each text has a letter."""
     joined, owner = [], []
@@ -125,7 +134,7 @@ def learn(training: DataFrame, dim: int = DIM, order: int = ORDER, seed: int = S
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, held = Space(dim, order, seed), {}
+        space, held = _space(dim, order, seed), {}
         for batch in batches:
             for part in slices(batch, 0):
                 texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -163,7 +172,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, profiles = Space(dim, order, seed), held.value
+        space, profiles = _space(dim, order, seed), held.value
         for batch in batches:
             for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
@@ -174,7 +183,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     size = np.linalg.norm(vectors, axis=1)
                     near = vectors @ profiles.T / np.maximum(size, 1e-9)[:, None]
                     best = near.argmax(1)
-                    for i in np.flatnonzero(has & (size > 0)).tolist():
+                    for i in np.flatnonzero(has).tolist():
                         lang[start + i] = names[best[i]]
                         score[start + i] = float(min(1.0, max(0.0, near[i, best[i]])))
                 yield pa.RecordBatch.from_arrays(

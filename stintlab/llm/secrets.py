@@ -6,7 +6,7 @@ with fewer than ``MAX_RATIO`` characters a token are reported as kind ``random``
 (pure hex of a digest's length), a UUID, a number, or lie in a span that a pattern has found. Of a run that spans
 cover in part, each uncovered piece of at least ``MIN_RUN`` characters is a candidate.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
+Null and empty texts have no spans; repeated rows give repeated rows. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlab.llm.common import map_texts
+from stintlab.llm.common import kept, map_texts, slices
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN, MAX_RATIO = 20, 1.9
@@ -46,6 +46,10 @@ def vocabulary(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _encoder(path: str):
+    return kept(("encoding", path), lambda: vocabulary(path)).encode_ordinary
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the patterns' matches that are long enough."""
     low = text.lower()
@@ -119,7 +123,7 @@ def find_secrets(docs: DataFrame, vocabulary_path: str | None = None, max_ratio:
     path = vocabulary_path or default_vocabulary()
 
     def make():
-        encode = vocabulary(path).encode_ordinary
+        encode = _encoder(path)
 
         def fn(texts):
             out = []
@@ -155,15 +159,16 @@ def redact_secrets(docs: DataFrame, vocabulary_path: str | None = None, max_rati
         return "".join([*parts, text[last:]])
 
     def run(batches):
-        encode = vocabulary(path).encode_ordinary
+        encode = _encoder(path)
         for batch in batches:
-            columns = list(batch.columns)
-            old = columns[at].to_pylist()
-            new = [clean(t, encode) for t in old]
-            columns[at] = pa.array(new, pa.string())
-            if counted is not None:
-                n = columns[counted].to_pylist()
-                columns[counted] = pa.array([len(t) if t != o else k for t, o, k in zip(new, old, n, strict=True)], columns[counted].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in slices(batch, at):
+                columns = list(part.columns)
+                old = columns[at].to_pylist()
+                new = [clean(t, encode) for t in old]
+                columns[at] = pa.array(new, pa.string())
+                if counted is not None:
+                    n = columns[counted].to_pylist()
+                    columns[counted] = pa.array([len(t) if t != o else k for t, o, k in zip(new, old, n, strict=True)], columns[counted].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, wanted)

@@ -11,9 +11,12 @@ import hashlib
 
 import numpy as np
 
+from stintlab.llm.common import kept
+
 SIZE = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MAX_MEMO = 300_000
+#: A worker's memory of words: their number, and the length of the longest.
+_MAX_MEMO, _MAX_KEPT_CHARS = 300_000, 100
 
 
 class _Hashes(dict):
@@ -24,15 +27,13 @@ class _Hashes(dict):
         if not word.isalnum():
             word = "".join(filter(str.isalnum, word))
         code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1 if word else 0
-        if len(self) > _MAX_MEMO:
-            self.clear()
-        self[raw] = code
+        if len(raw) <= _MAX_KEPT_CHARS:
+            if len(self) >= _MAX_MEMO:
+                self.clear()
+            self[raw] = code
         return code
 
 
-_HASHES = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose results look random."""
     x = x.astype(np.uint64, copy=True)
@@ -47,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     raw = (text or "").split()
-    words = np.fromiter(map(_HASHES.__getitem__, raw), np.uint64, len(raw))
+    words = np.fromiter(map(kept("word hashes", _Hashes).__getitem__, raw), np.uint64, len(raw))
     words = words[words != 0]
     if not len(words):
         return words

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintlab.llm.common import id_text, shared_dir, slices
+from stintlab.llm.common import id_text, kept, shared_dir, slices
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -52,7 +52,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_words, self.words, self.older = max_words, {"": b""}, {}
@@ -100,13 +99,9 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """A worker's encoder, kept from task to task."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def default_vocabulary() -> str:

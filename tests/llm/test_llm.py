@@ -81,6 +81,9 @@ def test_utf8_stream_replaces_as_the_standard_does():
         raw = bytes(rng.choice([0x41, 0x80, 0xBF, 0xC3, 0xE0, 0xA0, 0xED, 0xF0, 0x90, 0xF4, 0xFF, rng.randrange(256)]) for _ in range(9))
         k, u = rng.randint(0, 9), Utf8Stream()
         assert u.feed(raw[:k]) + u.feed(raw[k:]) + u.end() == raw.decode(errors="replace")
+        text = "".join(rng.choice("aé漢🙂") for _ in range(9)).encode()
+        u = Utf8Stream()
+        assert "".join(u.feed(text[i : i + 1 + k]) for i in range(0, len(text), 1 + k)) + u.end() == text.decode()
 
 
 def brute_repeats(rows, n=50):
@@ -160,7 +163,7 @@ def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     assert {r["n_links"] for r in rows_of(jaccard.jaccard_join(docs_of(spark, rows)))} == {39}
 
 
-def test_decontamination_by_both_ways(spark, texts):
+def test_decontamination_in_one_part_and_in_many(spark, texts):
     from stintlab.llm import decontaminate as d
 
     item = texts[300 % 40][1]
@@ -181,7 +184,7 @@ def test_decontamination_by_both_ways(spark, texts):
         return len(w), len(hit), len(items)
 
     one = rows_of(d.decontaminate(docs_of(spark, rows), bench))
-    two = rows_of(d.decontaminate(docs_of(spark, [r for r in rows if r[0] != 405]), bench, max_benchmark_bytes=1))
+    two = rows_of(d.decontaminate(docs_of(spark, rows), bench, part_words=12))
     assert len(one) == len(rows)
     for r in one:
         if r["doc_id"] is not None:
@@ -191,27 +194,27 @@ def test_decontamination_by_both_ways(spark, texts):
                 s = r["spans"][0]
                 assert t[s["start"] : s["end"]].lower().startswith(passage.split()[0])
     by_id = {r["doc_id"]: r for r in one}
-    assert all(by_id[r["doc_id"]] == r for r in two if r["doc_id"] is not None)
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
     assert by_id[900]["contaminated"] and by_id[405]["contaminated"] and not by_id[400]["contaminated"]
     kept = {r["doc_id"] for r in rows_of(d.keep_clean(docs_of(spark, rows), bench))}
     assert 900 not in kept and 405 not in kept and {0, 400, 401} <= kept
 
 
-def test_decontamination_tells_rows_apart_by_both_ways(spark, texts):
+def test_decontamination_tells_rows_apart_in_any_parts(spark, texts):
     from stintlab.llm import decontaminate as d
 
     passage, unnamed = (" ".join(texts[k][1].split()[5:25]) for k in (50, 51))
     bench = spark.createDataFrame([(1, passage), (2, "SHORT one"), (None, "items without ids"), (None, unnamed), (3, None)], "item_id long, text string")
     rows = [*texts, (None, f"null {passage}", "en"), (7000, f"hit {passage}", "en"), (7000, "clean words", "en"), (7001, "some items without ids", "en")]
     docs = docs_of(spark, rows)
-    one, two = (sorted(map(repr, rows_of(d.decontaminate(docs, bench, max_benchmark_bytes=most)))) for most in (1 << 20, 1))
+    one, two = (sorted(map(repr, rows_of(d.decontaminate(docs, bench, part_words=most)))) for most in (1 << 20, 1))
     assert one == two and len(one) == len(rows)
     by_id = [r for r in rows_of(d.decontaminate(docs, bench)) if r["doc_id"] in (7000, 7001)]
     assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["items"]) for r in by_id)[0] == (7000, 0, 0, [])
     assert [(r["n_hit"], r["n_items"], r["items"]) for r in by_id if r["doc_id"] == 7001] == [(3, 1, [])]
-    one, two = (sorted(map(repr, rows_of(d.keep_clean(docs, bench, max_benchmark_bytes=most)))) for most in (1 << 20, 1))
+    one, two = (sorted(map(repr, rows_of(d.keep_clean(docs, bench, part_words=most)))) for most in (1 << 20, 1))
     assert one == two and any("clean words" in r for r in one) and not any("null " in r or "without ids" in r or "hit " in r for r in one)
-    assert d.keep_clean(docs, bench, max_benchmark_bytes=1).columns == docs.columns
+    assert d.keep_clean(docs, bench, part_words=1).columns == docs.columns
 
 
 def test_secrets(spark):
@@ -327,6 +330,7 @@ def test_warc_text_resolves_every_reference(spark):
 
 
 def test_token_files_round_trip(spark, texts):
+    texts = [*texts, (910, "a <|endoftext|> b", "en"), (911, "x<|startoftext|>Yé<|endoftext|>, <|endof text|>", "en")]
     from pyarrow import fs
 
     from stintlab.llm import token_files as tf
@@ -336,7 +340,9 @@ def test_token_files_round_trip(spark, texts):
     docs = docs_of(spark, texts)
     index = tf.write_tokens(docs, folder, length=16, docs_a_file=20)
     got = rows_of(tf.read_back(folder, index))
-    encoder = tf.encoder(tf.default_vocabulary()).tokenizer
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tf.default_vocabulary())
     at, expected = 0, []
     for i, t, _ in sorted(texts, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
