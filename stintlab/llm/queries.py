@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,8 +96,12 @@ def _warc_sql() -> str:
     plain = "payload"
     for pattern, by in warc.TEXT_STEPS:
         plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
-    for entity, by in warc.ENTITIES:
-        plain = f"replace({plain}, {_quoted(entity)}, {_quoted(by)})"
+    # every reference by its code, or by its name in the standard's table; both with their semicolons
+    names = {f"&{k}": v.replace("\xa0", " ") for k, v in html5.items() if k.endswith(";")}
+    table = f"MAP([{', '.join(map(_quoted, names))}], [{', '.join(map(_quoted, names.values()))}])"
+    cuts = f"regexp_extract_all({plain}, '&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&')"
+    code = "replace(chr(CAST(replace(lower(substr(x, 3, len(x) - 3)), 'x', '0x') AS INTEGER)), chr(160), ' ')"
+    plain = f"array_to_string(list_transform({cuts}, lambda x: CASE WHEN x LIKE '&#_%;' THEN {code} ELSE coalesce(names[x], x) END), '')"
     for pattern, by in warc.SPACE_STEPS:
         plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
     plain = f"trim({plain}, {_quoted(' ' + chr(10))})"
@@ -126,10 +131,10 @@ def _warc_sql() -> str:
         ])
         return f"SELECT page_id, record_id AS refers_to, digest AS payload_digest, '{kind}' AS warc_type, {own} AS record_id, {headers} AS headers, {block} AS block FROM f"
 
-    response = urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")
+    response = urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(coalesce(html, ''))")
     return (
-        f"WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, {response} AS record_id FROM pages), "
-        f"q AS (SELECT *, 'sha256:' || sha256(payload) AS digest, {plain} AS plain FROM p), f AS (SELECT *, {fields} AS fields FROM q) "
+        f"WITH refs AS (SELECT {table} AS names), p AS (SELECT page_id, url, coalesce(html, '') AS payload, {response} AS record_id FROM pages), "
+        f"q AS (SELECT p.*, 'sha256:' || sha256(payload) AS digest, {plain} AS plain FROM p, refs), f AS (SELECT *, {fields} AS fields FROM q) "
         + record("metadata", "application/warc-fields", "fields") + " UNION ALL " + record("conversion", "text/plain; charset=utf-8", "plain")
     )
 

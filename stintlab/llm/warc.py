@@ -5,8 +5,9 @@ Both refer to their response by ``WARC-Refers-To`` and carry its target URI and
 (title, language, number of links); the conversion record's block is the page's visible text.
 
 Everything but the character references is built-in column functions. All named and numeric references are resolved
-as HTML has them, but that a no-break space becomes a space. Record ids are made from a digest of the source's id and the derivative's type, so a rerun gives the same ids. Null payloads
-count as empty, and a null URI is left out of the headers.
+as HTML has them, but that a no-break space becomes a space. A response's record id is made from a digest of its page id,
+URI and payload, a derivative's from its source's id and its type, so a rerun gives the same ids and rows that differ have
+different ones; repeated rows repeat their records. Null payloads count as empty, and a null URI is left out of the headers.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ TEXT_STEPS = (
     (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
-#: What the DuckDB text resolves; :func:`resolved` knows all.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 SPACE_STEPS = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 
 
@@ -70,7 +69,7 @@ def responses(pages: DataFrame, date: str = DATE, http_headers: str = HTTP_HEADE
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        _urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))).alias("record_id"),
+        _urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit("")), F.sha2(payload.cast("binary"), 256)).alias("record_id"),
         F.col("url").cast("string").alias("target_uri"),
         F.lit(date).alias("warc_date"),
         F.lit(http_headers).alias("http_headers"),
