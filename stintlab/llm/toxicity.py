@@ -2,16 +2,19 @@
 
 A sentence's score is the logistic of a bias and its words' weights; a document's is the noisy-or of its
 sentences', one minus the product of their complements. Weights are trained from documents' labels alone, so
-that the sentences which explain a label get the blame, and :func:`locate` names them.
+that the sentences which explain a label get the blame; those that score half or more are located, by the same cuts.
 
-The training sample is bounded (``MAX_A_CLASS`` documents of each label, the first in the order of a hash of
-their ids) and weighted back to the labels' true shares. A null or empty text is one sentence without words.
-Documents that have several labels count as toxic if any says so.
+The training sample is bounded, ``MAX_A_CLASS`` documents and ``MAX_BYTES`` bytes of text of each label, the first that
+fit in the order of a hash of their ids, and weighted back to the labels' true shares. A null or empty text is one
+sentence without words. Documents that have several labels count as toxic if any says so. Repeated document rows are
+scored each, and learned from each; equal scores need no order. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -21,14 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlab.llm.common import crc_mod, id_text, map_texts, slices
+from stintlab.llm.common import crc_mod, cut, id_text, kept, map_texts, slices
 
-MAX_A_CLASS = 2500
+MAX_A_CLASS, MAX_BYTES = 3000, 24 << 20
 MIN_DOCS, STEPS, RATE, DECAY = 3, 150, 0.2, 1e-6
 PREFIXES = (3, 4, 5, 6)
 _MAX_MEMO = 300_000
 _EDGE = re.compile(r"^\W+|\W+$")
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
+#: What :func:`raw_words` cuts a text into, in place: a line's end counts as a word.
+_PIECE = re.compile(r"\n|\S+")
 #: Weights are kept as whole multiples of this, with the lowest bit marking the end of a sentence.
 UNIT = 1e-6
 
@@ -73,18 +77,38 @@ class Model:
     def __init__(self, bias: float, weights: dict[str, int]):
         self.bias, self.weights = bias, weights
 
-    def scorer(self):
+    def bags(self):
+        """The function from a text to its sentences' log odds and the number of each raw word's sentence."""
         table, bias = _Weights(self.weights), self.bias
 
-        def score(text: str | None) -> float:
+        def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             words = raw_words(text)
             if not words:
-                return float(1 / (1 + np.exp(-bias)))
+                return np.array([bias]), np.empty(0, np.int64)
             values = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-            z = bias + np.bincount(_bags(values), (values >> 1) * UNIT)
-            return float(-np.expm1(-np.logaddexp(0, z).sum()))
+            bag = _bags(values)
+            return bias + np.bincount(bag, (values >> 1) * UNIT), bag
 
-        return score
+        return of
+
+
+def noisy_or(z: np.ndarray) -> float:
+    """One minus the product of the sentences' complements."""
+    return float(-np.expm1(-np.logaddexp(0, z).sum()))
+
+
+def located(text: str | None, z: np.ndarray, bag: np.ndarray, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """The sentences with log odds of ``least`` or more: their character ranges and scores."""
+    which = np.flatnonzero(z >= least)
+    if not len(which) or not len(bag):
+        return []
+    places = [m.span() for m in _PIECE.finditer(text)]  # one for each raw word
+    out = []
+    for k in which.tolist():
+        own = [places[i] for i in np.flatnonzero(bag == k).tolist() if text[places[i][0]] != "\n"]
+        if own:
+            out.append((own[0][0], own[-1][1], float(1 / (1 + np.exp(-z[k])))))
+    return out
 
 
 def fit(words: pa.ListArray, ends: pa.ListArray, labels: np.ndarray, weight: np.ndarray, steps: int = STEPS) -> Model:
@@ -143,8 +167,9 @@ def fit(words: pa.ListArray, ends: pa.ListArray, labels: np.ndarray, weight: np.
     return Model(float(b), {f: x for f, x in zip(kept, units, strict=True) if x})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS) -> Model:
-    """A model from the labelled documents whose crc32 modulo 5 isn't 0, at most ``max_a_class`` of each label."""
+def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from the labelled documents whose crc32 modulo 5 isn't 0, at most ``max_a_class`` of each label
+    and ``max_bytes`` of their text."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     told = told.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.where(crc_mod("doc_id", 5) != 0)
@@ -153,10 +178,18 @@ def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS) ->
     def first(k: int) -> DataFrame:
         return told.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_a_class)
 
-    # at most twice max_a_class ids
-    sample = id_text(docs).join(F.broadcast(first(0).unionByName(first(1))), "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # at most twice max_a_class ids, here and as rows of sizes
+    ids = cut(first(0).unionByName(first(1)), "labelled")
+    sizes = id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    fit_in, left = [], {0: max_bytes, 1: max_bytes}
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        if r.bytes <= left[r.toxic]:
+            left[r.toxic] -= r.bytes
+            fit_in.append((r.doc_id, r.toxic))
+    chosen = docs.sparkSession.createDataFrame(fit_in, "doc_id long, toxic int")
+    sample = id_text(docs).join(F.broadcast(chosen), "doc_id")
+
+    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = [list(zip(*map(normal, raw_words(t)), strict=True)) or [(), ()] for t in part.column(1).to_pylist()]
@@ -165,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS) ->
                     names=["doc_id", "toxic", "words", "ends"],
                 )
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(cut, "doc_id long, toxic int, words array<string>, ends array<boolean>").toArrow()
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(words_in, "doc_id long, toxic int, words array<string>, ends array<boolean>").toArrow()
     got = got.sort_by("doc_id")
     labels_of = got["toxic"].to_numpy()
     shares = {k: totals.get(k, 0) / max(1, int((labels_of == k).sum())) for k in (0, 1)}
@@ -173,36 +206,49 @@ def train(docs: DataFrame, labels: DataFrame, max_a_class: int = MAX_A_CLASS) ->
     return fit(words, ends, labels_of, np.array([shares[k] for k in labels_of.tolist()], float))
 
 
+def _bags_of(held):
+    """A worker's scorer of a broadcast model, which stays from task to task."""
+    name = uuid.uuid4().hex
+    return lambda: kept(name, lambda: held.value.bags())
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, held_out, score and predicted for every document, and the number and character ranges (start:end,
+    comma-joined) of its offending sentences."""
+    bags = _bags_of(docs.sparkSession.sparkContext.broadcast(model))
 
     def make():
-        of = held.value.scorer()
+        of = bags()
 
         def fn(texts):
-            scores = [of(t) for t in texts]
-            return scores, [int(s >= 0.5) for s in scores]
+            rows = []
+            for t in texts:
+                z, bag = of(t)
+                s = noisy_or(z)
+                # of a toxic document the worst sentence at least
+                found = located(t, z, bag, min(0.0, float(z.max())) if s >= 0.5 else 0.0)
+                rows.append((s, int(s >= 0.5), len(found), ",".join(f"{a}:{b}" for a, b, _ in found)))
+            return list(zip(*rows, strict=True))
 
         return fn
 
-    told = map_texts(docs, make, [("score", pa.float64(), "double"), ("predicted", pa.int32(), "int")])
-    return told.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    columns = [("score", pa.float64(), "double"), ("predicted", pa.int32(), "int"), ("n_offending", pa.int64(), "long"), ("spans", pa.string(), "string")]
+    told = map_texts(docs, make, columns)
+    return told.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_offending", "spans")
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The sentences with scores of ``threshold`` or more: doc_id, their character range and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """A row for each sentence with a score of ``threshold`` or more: doc_id, its character range and score."""
+    bags = _bags_of(docs.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = held.value.scorer()
+        of = bags()
         for batch in batches:
             for part in slices(batch):
                 rows = [
-                    (i, m.start(), m.end(), s)
+                    (i, *found)
                     for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                    for m in _SENTENCE.finditer(t or "")
-                    if m[0].strip() and (s := of(m[0].strip())) >= threshold
+                    for found in located(t, *of(t), math.log(threshold / (1 - threshold)))
                 ]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
