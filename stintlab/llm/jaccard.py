@@ -5,7 +5,9 @@ a random tree: a node picks ``BRANCHES`` of the sets' min-hash coordinates by it
 to the child named by its value, a token sampled from the set, there. Two sets of similarity s share a child with
 probability s for each coordinate. Nodes of at most ``SMALL`` sets are compared by brute force; larger ones are
 split again, unless a child keeps most of its parent, as near copies do, or the depth is reached: then its pairs
-are compared whole, dealt out in blocks. Runs are repeated until the target recall is reached at the threshold.
+are compared whole, dealt out in blocks. So many runs are made that a pair at the threshold is found with the target
+recall; then the recall is measured on sampled pairs, found by their sketches whatever the paths, and while it is too
+low as many runs are added. If they don't help, the join fails rather than lose links.
 
 A pair may meet in several leaves; it counts in the one with the least number, which both sides can tell from
 their lists of leaves, so pairs are counted where they meet and never gathered. In a leaf, sketches first rule
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlab.llm.common import cut, groups, id_text, slices, spans
@@ -37,6 +39,9 @@ DENSE = 0.4
 #: Bits of the filter of documents whose sets are needed, which is broadcast: 8 MB.
 FILTER_BITS = 1 << 26
 SEED = 7
+#: Sets of either half of an audit's sample, partners that each is tried with, the share that has to be found (with room
+#: for chance, as a pair right at the threshold is found with the target's probability), and how often runs are added.
+AUDIT, AUDIT_PARTNERS, AUDIT_RECALL, MAX_TURNS = 128, 32, 0.99, 4
 
 
 def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, depth: int = DEPTH, branches: int = BRANCHES) -> int:
@@ -193,13 +198,13 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, key binary, n long, sketch binary")
 
 
-def _leaves(reps: DataFrame, runs: int) -> DataFrame:
+def _leaves(reps: DataFrame, runs: range) -> DataFrame:
     """(rep, node, m): the leaves of every set that have at least two sets, with their numbers of sets."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH)
-            for r in range(runs):
+            for r in runs:
                 root = mix(np.array([r + 1], np.uint64) * np.uint64(0xA24BAED4963EE407))
                 nodes = child_nodes(np.repeat(root, len(values)), values)
                 for k in range(BRANCHES):
@@ -280,6 +285,67 @@ def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return hashed.mapInArrow(run, "rep long, hashes binary")
 
 
+def _audit_pairs(reps: DataFrame, likely: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that may be similar by their sketches, of each of some sampled sets, however paths went, with up
+    to ``AUDIT_PARTNERS`` others. One half of the sample is of all sets, the other of those with a likely partner."""
+    spark = reps.sparkSession
+    order = (F.xxhash64("rep", F.lit(SEED)), "rep")
+    some = reps.orderBy(*order).limit(AUDIT).select("rep", "sketch").collect()
+    linked = likely.select("rep").distinct().orderBy(*order).limit(AUDIT).join(reps, "rep").select("rep", "sketch").collect()
+    held = spark.sparkContext.broadcast(sorted({r.rep: bytes(r.sketch) for r in (*some, *linked)}.items()))
+    least = (threshold - 5 * math.sqrt(threshold * (1 - threshold) / SKETCH)) * SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([i for i, _ in held.value], np.int64)
+        asked = np.frombuffer(b"".join(s for _, s in held.value), np.uint32).reshape(-1, SKETCH)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            values = np.ascontiguousarray(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SKETCH).T)
+            for k in range(len(ids)):
+                alike = np.zeros(len(own), np.uint8)
+                for c in range(16):  # few go on to the other coordinates
+                    alike += values[c] == asked[k, c]
+                at = np.flatnonzero(alike >= least / SKETCH * 16 - 8)
+                at = at[(values[:, at] == asked[k][:, None]).sum(0) >= least]
+                at = at[own[at] != ids[k]]
+                turn = mix(own[at].view(np.uint64) ^ ids[k : k + 1].view(np.uint64)) >> np.uint64(1)
+                best = np.argsort(turn)[:AUDIT_PARTNERS]
+                found.append((np.full(len(best), ids[k]), own[at[best]], turn[best].astype(np.int64)))
+            if sum(len(f[0]) for f in found) > 100_000:
+                yield from _audit_batch(found)
+                found = []
+        yield from _audit_batch(found)
+
+    pairs = reps.select("rep", "sketch").mapInArrow(run, "a long, b long, turn long")
+    first = Window.partitionBy("a").orderBy("turn", "b")
+    return pairs.withColumn("n", F.row_number().over(first)).where(F.col("n") <= AUDIT_PARTNERS).select("a", "b")
+
+
+def _audit_batch(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], names=["a", "b", "turn"])
+
+
+def audited_recall(audit: DataFrame, sets: DataFrame, leaves: DataFrame, threshold: float) -> float:
+    """Of the sampled pairs that are similar by their whole sets, the share that meets in a leaf; 1 if none is similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(s, np.uint64) for s in batch.column(k).to_pylist()] for k in (2, 3))
+            shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
+            near = [s * 1e6 >= round(threshold * 1e6) * (len(x) + len(y) - s) for s, x, y in zip(shared, left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    whole = audit.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
+    near = whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean").where("near").select("a", "b")
+    asked = audit.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = leaves.join(asked, "rep").select("rep", "node")
+    met = near.join(own.withColumnRenamed("rep", "a"), "a").join(own.withColumnRenamed("rep", "b"), ["b", "node"]).select("a", "b").distinct()
+    all_ = near.count()
+    return met.count() / all_ if all_ else 1.0
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id, class_size, n_links, component_id, kept."""
     known = cut(_sketches(docs), "sketches")
@@ -288,11 +354,20 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
     classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sketch").alias("sketch"))
     classes = cut(classes, "classes")
     reps = classes.select("rep", "size", "sketch")
-    leaves = cut(_leaves(reps, runs_needed(threshold, target_recall)), "leaves")
-    likely = _dealt(_members(leaves, reps)).mapInArrow(_likely(threshold), _MEMBER)
-    likely = cut(likely, "likely")
-    sets = _sets_of(docs, likely.select("rep"))
-    pairs = _dealt(likely.join(sets.dropDuplicates(["rep"]), "rep"))
+    need = runs_needed(threshold, target_recall)
+    leaves = cut(_leaves(reps, range(need)), "leaves")
+    for turn in range(1, MAX_TURNS + 1):
+        likely = _dealt(_members(leaves, reps)).mapInArrow(_likely(threshold), _MEMBER)
+        likely = cut(likely, "likely")
+        audit = cut(_audit_pairs(reps, likely, threshold), "audit")
+        asked = audit.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = cut(_sets_of(docs, likely.select("rep").unionByName(asked)).dropDuplicates(["rep"]), "sets")
+        if audited_recall(audit, sets, leaves, threshold) >= AUDIT_RECALL:
+            break
+        if turn == MAX_TURNS:
+            raise RuntimeError(f"{need * turn} runs of paths miss more than {1 - AUDIT_RECALL} of the sampled pairs")
+        leaves = cut(leaves.unionByName(_leaves(reps, range(need * turn, need * (turn + 1)))), "leaves")
+    pairs = _dealt(likely.join(sets, "rep"))
     links = cut(pairs.mapInArrow(_linked(threshold), "rep long, links long, root long"), "links")
     joined = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -309,5 +384,5 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, target_recall: f
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, of which each component keeps the one with the least doc_id; null ids stay."""
-    gone = jaccard_join(docs, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = jaccard_join(docs, threshold).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

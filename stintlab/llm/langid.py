@@ -13,6 +13,7 @@ near languages the first by name wins; repeated rows give repeated rows and coun
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,7 +214,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
     """The documents, all columns, without those that have no letter or resemble no learned language."""
     prototypes = learn(held_out_split(docs).where("not held_out"))
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns))
-    clash = {c: f"__{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    clash = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in ("lang_pred", "score")}
     told = predict(plain.withColumnsRenamed(clash), prototypes)
     kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))
