@@ -252,6 +252,8 @@ def _refined(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     bars = graph.groupBy("u").agg(F.first("bar").alias("bar")).withColumnRenamed("u", "rep")
     forward = graph.select(F.col("u").alias("at"), F.col("v").alias("rep"), "sim", "new")
     reverse = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new")
+    # a hub's list is cut in the tasks that hold parts of it, then again where they meet
+    reverse = reverse.sortWithinPartitions("u").mapInArrow(_top(k), _GRAPH)
     reverse = _merged(reverse, k).select(F.col("u").alias("at"), F.col("v").alias("rep"), "sim", "new")
     both = forward.unionByName(reverse).groupBy("at", "rep").agg(F.max("new").alias("new"))
     held = reps.select("rep", "vec").join(bars, "rep", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0)))

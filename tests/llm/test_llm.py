@@ -445,3 +445,160 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     out = p.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count()
     assert p.run(spark, SF).count() == docs.count()
+
+
+def test_jaccard_recall_is_audited(spark, monkeypatch):
+    from stintlab.llm import jaccard
+
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        long = words(rng, 60).split()
+        rows += [(g * 10 + i, " ".join([*long[: 10 + i], f"x{i}", *long[11 + i :]]), "en") for i in range(4)]
+    docs = docs_of(spark, rows)
+    true = {r["doc_id"]: r["n_links"] for r in rows_of(jaccard.jaccard_join(docs))}
+    # one run whose paths part nearly all pairs is found out, and runs are added until the pairs meet
+    turns = []
+    kept, leaves = jaccard._leaves, jaccard._leaves
+    empty = spark.createDataFrame([], "rep long, node long, m long")
+    monkeypatch.setattr(jaccard, "_leaves", lambda reps, runs: turns.append(runs) or (kept(reps, runs) if len(turns) > 1 else leaves(reps, runs).where("rep % 4 <> 1")))
+    assert {r["doc_id"]: r["n_links"] for r in rows_of(jaccard.jaccard_join(docs))} == true and len(turns) > 1
+    assert turns[1].start == turns[0].stop
+    monkeypatch.setattr(jaccard, "_leaves", lambda reps, runs: empty)
+    monkeypatch.setattr(jaccard, "MAX_TURNS", 1)
+    if any(true.values()):
+        with pytest.raises(RuntimeError):
+            jaccard.jaccard_join(docs)
+
+
+def test_secrets_base_spans_are_the_plain_patterns(spark):
+    from stintlab.llm import secrets as s
+
+    kinds = [
+        ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    ]
+    rng = random.Random(8)
+    bits = ["password", "PassWD", "secret", "ſecret", "toKen", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEF0123", "0123456789ab", "cdef", "xyzw", "é", "🙂", "\n", "\t", ".", "-", "/"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))), None) for i in range(1500)]
+    rows += [(None, "token=" + "q" * 12, None), (9000, "a1" * 3000 + " token = " + "Zz9" * 900, None), (9001, "token=" + "q" * 11, None), (9001, "token=" + "q" * 11, None)]
+    got = rows_of(s.find_secrets(docs_of(spark, rows)))
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, t, _ in rows:
+        found = sorted((m.start(), k, m.end(), name) for k, (name, pattern, ok) in enumerate(kinds) for m in pattern.finditer(t) if ok(m))
+        text = ",".join(f"{name}:{a}:{z}" for a, _, z, name in found)
+        r = by_id[i]
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), (i, t)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(n == name for *_, n in found) for name, _, _ in kinds]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+
+
+def test_toxicity_scores_are_the_plain_noisy_or(spark, texts):
+    from stintlab.llm import toxicity as x
+
+    rng = random.Random(2)
+    vocabulary = [w for _, t, _ in texts[:20] for w in t.split()]
+    model = x.Model(-2.0, {f: rng.randint(-400_000, 900_000) for w in vocabulary for f in x.features(w)})
+    rows = [(i, re.sub(r" (?=\w)", lambda m: rng.choice([" ", " ", " ", ". ", "!\n", "\n", " «"]), t or "") if t else t, lang) for i, t, lang in texts[:60]]
+    rows += [(2000, "a.\n\n \n b! www.a.b?c", "en"), (2001, " \n ", "en"), (2002, None, None), (2002, "", None)]
+    got = rows_of(x.score(docs_of(spark, rows), model))
+    assert len(got) == len(rows)
+
+    def brute(t):
+        sentences, now = [], []
+        for m in re.finditer(r"\n|\S+", t or ""):
+            now.append(m)
+            if m[0] == "\n" or m[0][-1] in ".!?":
+                sentences.append(now)
+                now = []
+        sentences += [now] if now or not sentences else []
+        clean, spans, chances = 1.0, [], []
+        for s in sentences:
+            z = -2.0
+            for m in s:
+                word = re.sub(r"^\W+|\W+$", "", m[0].lower())
+                z += sum(model.weights.get(f, 0) for f in x.features(word)) * 1e-6 if word else 0
+            p = 1 / (1 + np.exp(-z))
+            clean *= 1 - p
+            there = [m for m in s if m[0] != "\n"]
+            chances.append(p)
+            if there and p >= 0.5:
+                spans.append(f"{there[0].start()}:{there[-1].end()}")
+        return 1 - clean, spans, max(chances)
+
+    for r in got:
+        if r["doc_id"] is None or r["doc_id"] == 405 or r["doc_id"] == 2002:
+            continue
+        score, spans, top = brute(next(t for i, t, _ in rows if i == r["doc_id"]))
+        assert abs(r["score"] - score) < 1e-9 and r["predicted"] == int(score >= 0.5), r
+        if top >= 0.5 or score < 0.5:
+            assert r["spans"] == ",".join(spans) and r["n_offending"] == len(spans), r
+        elif r["doc_id"] != 2001:
+            assert r["n_offending"] >= 1
+    assert rows_of(x.score(docs_of(spark, []), model)) == []
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    from stintlab.llm import toxicity as x
+
+    rows = [(i, "good words here. " * 20, "en") for i in range(40)] + [(100 + i, "vile words here. " * 20, "en") for i in range(40)] + [(200, "vile " * 100_000, "en")]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _, _ in rows], "doc_id long, toxic int")
+    model = x.train(docs_of(spark, rows), labels, max_bytes=8_000)
+    got = {r["doc_id"]: r["predicted"] for r in rows_of(x.score(docs_of(spark, rows), model))}
+    assert all(got[i] == int(i >= 100) for i, _, _ in rows)
+
+
+def test_languages_by_explicit_binding_and_bundling(spark):
+    from stintlab.llm import langid as g
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 12).translate(str.maketrans("abcdefgh", "αβγδεζηθ")) if i % 3 == 0 else words(rng, 12) for _ in range(2)), "el" if i % 3 == 0 else "xx") for i in range(30)]
+    rows += [(100, None, "xx"), (101, "", None), (102, "1 2 3", "xx"), (103, "я", "xx"), (104, "é" * 30_000 + " b", None), (105, "abc abc", None), (105, "abc abc", None), (None, "abc", "xx")]
+    docs = docs_of(spark, rows)
+    got = rows_of(g.identify(docs))
+    assert len(got) == len(rows)
+
+    def letter(c):
+        return np.random.Generator(np.random.PCG64([g.SEED, ord(c)])).integers(0, 2, g.DIM, dtype=np.int8).astype(int) * 2 - 1
+
+    def bundle(t):
+        clean = " " + re.sub(r"[^\w]|[\d_]", " ", (t or "").lower()) + " "
+        clean = re.sub(" +", " ", clean)
+        total = np.zeros(g.DIM)
+        for i in range(len(clean) - 2):
+            total += np.roll(letter(clean[i]), 2) * np.roll(letter(clean[i + 1]), 1) * letter(clean[i + 2])
+        return total, len(clean) - 2
+
+    held = {"el": np.zeros(g.DIM), "xx": np.zeros(g.DIM)}
+    for i, t, lang in rows:
+        if t and any(map(str.isalpha, t)) and lang and zlib.crc32(str("" if i is None else i).encode()) % 3 != 1:
+            v, n = bundle(t)
+            held[lang] += v / np.sqrt(n)
+    for r in got:
+        t = "abc" if r["doc_id"] is None else next(t for i, t, _ in rows if i == r["doc_id"])
+        if not t or not any(map(str.isalpha, t)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        if len(t) > 10_000:
+            assert r["lang_pred"] in held
+            continue
+        v, _ = bundle(t)
+        near = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in held.items()}
+        best = max(near, key=near.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0.0, near[best])) < 1e-4, r
+
+
+def test_pipeline_stages_with_clashing_names_and_without_rows(spark):
+    import corpus_pipeline as p
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, __score string, __lang_pred string, __gone long, __hit long, row long, key string"
+    rows = [(i, f"{'plain words of a letter' if i % 2 else 'les mots simples'} {i} " * (i % 5), "en" if i % 2 else "fr", "s", 1, *["x"] * 4, 1, 2, 3, "k") for i in range(20)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, columns)
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            assert out.count() <= len(data)
+        assert p.STAGES[-1][1](spark, docs, SF).count() == len(data)
