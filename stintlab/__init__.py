@@ -1 +1 @@
-"""Telemetry analytics as DataFrame-to-DataFrame operators on PySpark."""
+"""Analytics of vehicle recordings as DataFrame-to-DataFrame operators on PySpark."""

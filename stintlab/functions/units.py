@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Metres a second for one of each speed unit, and g for one of each acceleration unit.
-SPEED_UNITS = {"m/s": 1.0, "km/h": 1 / 3.6, "mph": 0.44704, "kn": 1852 / 3600}
-ACCELERATION_UNITS = {"g": 1.0, "m/s2": 1 / 9.80665, "m/s²": 1 / 9.80665}
-_SPEED_NAMES = {"kmh": "km/h", "kph": "km/h", "km/h": "km/h", "mps": "m/s", "m/s": "m/s", "mph": "mph", "kn": "kn", "kt": "kn", "knots": "kn"}
+#: An undeclared speed counts as km/h and an undeclared acceleration as g.
+SPEED_UNITS = {"m/s": 1.0, "km/h": 1 / 3.6, "mph": 0.44704, "kn": 0.514444, "": 1 / 3.6}
+ACCELERATION_UNITS = {"g": 1.0, "m/s2": 1 / 9.80665, "m/s^2": 1 / 9.80665, "m/s²": 1 / 9.80665, "": 1.0}
+_SPEED_NAMES = {
+    "km/h": "km/h", "kmh": "km/h", "kph": "km/h", "km/hr": "km/h", "mph": "mph", "mi/h": "mph", "m/s": "m/s",
+    "kn": "kn", "kt": "kn", "knots": "kn", "": "",
+}
+#: Units of a direction.
+DEGREE_UNITS = ("", "deg", "degree", "degrees", "°")
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -28,7 +34,56 @@ def speed_in_mps(value: Column, unit: Column) -> Column:
 
 
 def acceleration_in_g(value: Column, unit: Column) -> Column:
-    return value * _lookup(F.lower(F.trim(unit)), ACCELERATION_UNITS)
+    return value * _lookup(F.replace(F.lower(F.trim(unit)), F.lit(" "), F.lit("")), ACCELERATION_UNITS)
+
+
+def same_speed_unit(a: Column, b: Column) -> Column:
+    """Whether two speeds may be subtracted: the same unit however written, or none on either side."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    known = [F.when(speed_unit(u).isin("km/h", "mph"), speed_unit(u)).otherwise(u) for u in (x, y)]
+    return F.when((x == "") | (y == ""), (x == "") & (y == "")).otherwise(known[0] == known[1])
+
+
+def is_speed(name: Column) -> Column:
+    """Whether a channel is a speed by its name."""
+    return (F.lower(name) == "speed") | F.lower(name).startswith("velocity")
+
+
+def is_temperature(name: Column) -> Column:
+    return F.lower(name).contains("temp")
+
+
+def is_direction(name: Column, unit: Column) -> Column:
+    """Whether a channel is a compass direction: its name with at most a source or a unit after it, in degrees."""
+    pattern = r"(?i)^(gps[ _-]?)?(heading|course|bearing)([ _-](gps|calc|rcz|obd|deg|degrees))?(\s*\((deg|degrees|°)\))?$"
+    return F.trim(name).rlike(pattern) & F.lower(F.trim(unit)).isin(*DEGREE_UNITS)
+
+
+def declared_unit(own: Column, name: Column, headers: Column) -> Column:
+    """A channel's unit: its own, else what follows its name on the first of the header's lines that begins so."""
+    words = F.transform(headers, lambda h: F.split(F.trim(h), r"\s+"))
+    line = F.filter(words, lambda w: (F.size(w) >= 2) & (F.lower(w[0]) == F.lower(name)))
+    rest = F.when(F.size(line) > 0, F.array_join(F.slice(F.get(line, F.lit(0)), 2, 1000), " "))
+    return F.coalesce(F.nullif(F.trim(own), F.lit("")), rest, F.lit(""))
+
+
+def effective_unit(declared: Column, name: Column, assumed: Column) -> Column:
+    """The unit that analysis reads: of a speed without a declared one, the one assumed for it."""
+    known = F.when(speed_unit(declared).isin("km/h", "mph"), speed_unit(declared)).otherwise(F.trim(declared))
+    guess = F.when(speed_unit(assumed).isin("km/h", "mph"), speed_unit(assumed)).otherwise(F.lit(""))
+    return F.when(~is_speed(name), declared).otherwise(F.coalesce(F.nullif(known, F.lit("")), guess))
+
+
+def setup_number(text: Column) -> Column:
+    """A plain decimal with a point or a comma, or null."""
+    clean = F.replace(F.trim(text), F.lit(","), F.lit("."))
+    return F.when(clean.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), clean.try_cast("double"))
+
+
+def spread_band(spread: Column, typical: Column, tight: float = 0.01, wide: float = 0.03) -> Column:
+    """``tight``, ``normal`` or ``wide`` by the spread's share of the typical value."""
+    share = spread / F.nullif(typical, F.lit(0.0))
+    return F.when(share.isNull(), None).when(share <= tight, "tight").when(share <= wide, "normal").otherwise("wide")
 
 
 def celsius(value: Column, unit: Column) -> Column:

@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Folders that runs are dealt to.
+RUN_PARTS = 64
+
+
 def append_new(batch: DataFrame, folder: str) -> None:
-    """Appends the samples of runs that the table doesn't have; a batch that is delivered again adds nothing."""
+    """Appends the samples that the table doesn't have, told by run, channel and time, so a run may come in parts and a
+    batch that is delivered again adds nothing. Only the batch's own runs are read, which the table is laid out by."""
     spark = batch.sparkSession
-    runs = f"{folder}/samples"
+    table = f"{folder}/samples"
+    key = ["run_id", "channel", "t"]
+    new = batch.dropDuplicates(key).persist()
     try:
-        known = spark.read.parquet(runs).select("run_id").distinct()
+        known = spark.read.parquet(table)
     except Exception as e:  # the first batch has no table yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         known = None
-    new = batch if known is None else batch.join(known, "run_id", "left_anti")
-    new.dropDuplicates(["run_id", "channel", "t"]).write.mode("append").parquet(runs)
+    if known is not None:
+        runs = new.select(F.pmod(F.xxhash64("run_id"), F.lit(RUN_PARTS)).alias("part"), "run_id").distinct()
+        own = known.join(F.broadcast(runs.select("part").distinct()), "part", "left_semi")  # RUN_PARTS rows at most
+        new = new.join(own.select(*key), key, "left_anti")
+    laid = new.withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(RUN_PARTS)))
+    laid.repartition("part").write.partitionBy("part").mode("append").parquet(table)
+    new.unpersist()
 
 
 def follow(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

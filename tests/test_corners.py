@@ -76,21 +76,60 @@ def test_sector_times_and_speeds(spark, progress):
     assert [r.segment_id for r in corners.pickup(progress, throttle, segs).collect()] == [2]
 
 
+def _archive(**members):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, value in members.items():
+            z.writestr(name.replace("__", "."), value if isinstance(value, bytes) else json.dumps(value))
+    return raw.getvalue()
+
+
 def test_rcz_folder(spark, tmp_path):
     from stintlab.sources.rcz import read_rcz
 
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("session.json", json.dumps({"version": 1, "trackName": "x"}))
-        z.writestr("channel_1_100_0_1_1", np.array([0, 100, 200], "<i8").tobytes())
-        z.writestr("channel_1_100_0_3_1", (np.array([[52, 21], [52, 21], [53, 21]]) * 6_000_000).astype("<i4").tobytes())
-        z.writestr("channel_1_100_0_4_0", np.array([1, 2, 3], "<i4").tobytes())
-        z.writestr("channel2_1_100_0_7_3", np.array([0.5, np.nan, 2.5], "<f8").tobytes())
-    (tmp_path / "a.rcz").write_bytes(raw.getvalue())
+    ticks, other = np.array([1000, 1100, 1200, 9000], "<i8"), np.array([1000, 1100], "<i8")
+    trap = {"type": 3, "uniDirectional": True, "centerLatitude": 52 * 6e6, "centerLongitude": 21 * 6e6, "width": 20_000, "bearing": 90_000}
+    good = {
+        "session__json": {"version": 1, "firstTimestamp": 1000, "trackName": "x"}, "sessionfragment__json": {"version": 1, "firstTimestamp": 1000, "primaryGpsDeviceIndex": 100},
+        "channel_1_100_0_1_1": ticks.tobytes(), "channel_1_101_0_1_1": other.tobytes(), "channel_5_7_0_1_1": other.tobytes(),
+        "channel_1_100_0_3_1": (np.array([[52, 21], [52, 21], [53, 21], [95, 21]]) * 6_000_000).astype("<i4").tobytes(),
+        "channel_1_100_0_4_0": np.array([10_000, 20_000, 2**31 - 1, 30_000], "<i4").tobytes(),
+        "channel_1_101_0_4_0": np.array([1, 2], "<i4").tobytes(), "channel2_5_7_0_10024_3": np.array([0.5, np.nan], "<f8").tobytes(),
+        "channel_9_1_0_77_0": b"", "trackId__json": {"track": {"traps": [trap, {"type": 4}]}},
+    }
+    (tmp_path / "a.rcz").write_bytes(_archive(**good))
     (tmp_path / "b.rcz").write_bytes(b"no archive")
+    broken = bytearray(_archive(session__json={"version": 1, "pad": "x" * 4000}))
+    broken[60:80] = bytes(20)
+    (tmp_path / "c.rcz").write_bytes(bytes(broken))
+    (tmp_path / "d.rcz").write_bytes(_archive(session__json=[1]))
+    (tmp_path / "e.rcz").write_bytes(_archive(**{**good, "channel_1_100_0_4_0": b"123"}))
     read, notes = read_rcz(spark, str(tmp_path))
-    got = {(r.channel, r.t): r.v for r in read.collect()}
-    assert got["1_100_0_3_latitude", 0.2] == pytest.approx(53.0) and got["1_100_0_4", 0.1] == 2.0
-    assert got["1_100_0_7", 0.1] is None and got["1_100_0_7", 0.2] == 2.5
-    assert sorted(r.kind for r in notes.collect()) == ["error", "session"]
-    assert read.where(F.col("v").isNotNull()).count() == 11
+    got = {}
+    for r in read.collect():
+        got.setdefault((r.channel, r.unit), []).append((round(r.t, 6), r.v if r.v is None else round(r.v, 6)))
+    assert got["velocity", "km/h"] == [(0.0, 36.0), (0.1, 72.0), (0.2, None), (0.2, None), (8.0, None), (8.0, 108.0)]
+    assert got["lat", "deg"][2] == (0.2, 53.0) and got["lat", "deg"][-1] == (8.0, None) and got["rpm-obd", "rpm"] == [(0.0, 0.5), (0.1, None)]
+    assert set(got) == {("velocity", "km/h"), ("lat", "deg"), ("long", "deg"), ("rpm-obd", "rpm")}
+    kinds = [(r.path[-5:], r.kind) for r in notes.collect()]
+    assert sorted(kinds) == [("a.rcz", "gate"), ("a.rcz", "note"), ("a.rcz", "note"), ("a.rcz", "session"), *((f"{c}.rcz", "error") for c in "bcde")]
+    gate = next(r.gate for r in notes.collect() if r.kind == "gate")
+    assert gate[0] == pytest.approx(21.0) and abs(gate[3] - gate[1]) * 111_194.9 == pytest.approx(20.0, rel=1e-3) and gate[1] > gate[3]
+
+
+def test_vbo_coordinates_are_never_guessed():
+    from stintlab.sources.vbo import gate_of, parse
+
+    head = "[column names]\ntime lat lon velocity\n[data]\n1 30.5 20.2 5\n2 3120.0 1260.0 6\n"
+    arc = parse(("[comments]\nGenerated by RaceChrono Pro v10.2.4\n[laptiming]\nStart 1260.0 3120.0 1260.0 3119.99 main\n" + head).encode())
+    assert arc[2][1] == [30.5 / 60, 52.0] and arc[2][2] == [20.2 / 60, 21.0]
+    lon1, lat1, lon2, lat2 = arc[3][0]
+    assert lat1 == pytest.approx(52.0) == lat2 and lon1 != lon2 and (lon1 + lon2) / 2 == pytest.approx(21.0)
+    plain = parse(("[header]\ncoordinate units = degrees\n" + head).encode())
+    assert plain[2][1] == [30.5, None] and plain[2][3] == [5.0, 6.0]
+    for start in ("", "[comments]\nGenerated by Other\n", "[header]\ncoordinate units: furlongs\n", "[comments]\nGenerated by RaceChrono Pro v10.2.4\n[header]\ncoordinate units: degrees\n"):
+        got = parse((start + head).encode())
+        assert got[2][1] == [None, None] and any("coordinate" in n for n in got[4])
+    assert gate_of("Start 21 52 21.001 52", 1.0, False) == (21.0, 52.0, 21.001, 52.0)
+    with pytest.raises(ValueError):
+        gate_of("Start 21 52 21 52", 1.0, False)

@@ -219,7 +219,7 @@ def test_streamed_recordings_are_added_once(spark, tmp_path):
     spark.createDataFrame([("a", "x", 9.0, 1.0), ("b", "x", 0.0, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
     follow(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out" / "samples")).groupBy("run_id").count().collect()
-    assert {r.run_id: r["count"] for r in got} == {"a": 5, "b": 1}
+    assert {r.run_id: r["count"] for r in got} == {"a": 6, "b": 1}
     timed = spark.createDataFrame([("a", "x", float(i), 1.0) for i in (0, 1, 2, 50, 51)], schema).withColumn("ts", F.timestamp_seconds("t"))
     assert sessions(timed).count() == 2
 
