@@ -252,11 +252,11 @@ class Codec:
     def _unit(self, unit: str) -> tuple:
         """Ids of a space and what follows it up to the next."""
         encode = self.transducer.encode
-        if unit.isascii():  # the common shapes need no pattern: a word, alone or with one mark after it
-            if unit[1:].isalpha():
-                return tuple(encode(unit.encode()))
-            if unit[1:-1].isalpha() and unit[-1] in ",.;:!?)":
-                return (*encode(unit[:-1].encode()), *encode(unit[-1:].encode()))
+        # the common shapes need no pattern: a word of letters, alone or with one mark after it
+        if unit[1:].isalpha():
+            return tuple(encode(unit.encode()))
+        if unit[-1] in ",.;:!?)" and unit[1:-1].isalpha():
+            return (*encode(unit[:-1].encode()), *encode(unit[-1:].encode()))
         return tuple(self._whole(unit))
 
     def _whole(self, text: str) -> list[int]:
@@ -274,15 +274,9 @@ class Codec:
         if len(self.units) > self.max_kept // 2:
             self.units, self.older = {}, self.units
         units = self.units
-        got = list(map(units.get, words))
-        if None in got:
-            for i, known in enumerate(got):
-                if known is None:
-                    word = words[i]
-                    if (known := units.get(word)) is None:
-                        known = units[word] = self.older.get(word) or self._unit(" " + word)
-                    got[i] = known
-        return [*self._whole(first), *chain.from_iterable(got)]
+        for word in set(words).difference(units):
+            units[word] = self.older.get(word) or self._unit(" " + word)
+        return [*self._whole(first), *chain.from_iterable(map(units.__getitem__, words))]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
