@@ -74,16 +74,25 @@ def effective_unit(declared: Column, name: Column, assumed: Column) -> Column:
     return F.when(~is_speed(name), declared).otherwise(F.coalesce(F.nullif(known, F.lit("")), guess))
 
 
+#: Edges of a spread's bands in seconds, and tolerances of two recordings of one quantity by unit.
+SPREAD_BANDS = (0.10, 0.25, 0.50, 1.00)
+TOLERANCES = {"km/h": 2.0, "kmh": 2.0, "kph": 2.0, "%": 3.0, "g": 0.05, "c": 2.0, "°c": 2.0, "degc": 2.0, "rpm": 100.0}
+
+
 def setup_number(text: Column) -> Column:
-    """A plain decimal with a point or a comma, or null."""
-    clean = F.replace(F.trim(text), F.lit(","), F.lit("."))
-    return F.when(clean.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), clean.try_cast("double"))
+    """Up to three digits and up to two decimals after a point, white space apart, or null."""
+    clean = F.regexp_replace(text, r"\s", "")
+    return F.when(clean.rlike(r"^\d{0,3}(\.\d{0,2})?$") & clean.rlike(r"\d"), F.concat(F.lit("0"), clean).try_cast("double"))
+
+
+def spread_band(seconds: Column) -> Column:
+    """How many of the fixed edges a spread exceeds."""
+    return sum((F.when(seconds > e, 1).otherwise(0) for e in SPREAD_BANDS), F.lit(0))
 
 
-def spread_band(spread: Column, typical: Column, tight: float = 0.01, wide: float = 0.03) -> Column:
-    """``tight``, ``normal`` or ``wide`` by the spread's share of the typical value."""
-    share = spread / F.nullif(typical, F.lit(0.0))
-    return F.when(share.isNull(), None).when(share <= tight, "tight").when(share <= wide, "normal").otherwise("wide")
+def conflict_tolerance(unit: Column, overlap_range: Column) -> Column:
+    """The difference above which two recordings of one quantity conflict: by unit, else 5 % of the range."""
+    return F.coalesce(_lookup(F.lower(F.trim(unit)), TOLERANCES), F.greatest(F.lit(1e-9), F.abs(overlap_range) * 0.05))
 
 
 def celsius(value: Column, unit: Column) -> Column:
