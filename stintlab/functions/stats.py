@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,21 +16,18 @@ def median(value: Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at n div 2 of the sorted values."""
-    return _at(value, lambda n: F.floor(n / 2) + 1)
+def upper_median(name: str) -> Column:
+    """Of a column, the element at n div 2 of the sorted values. Counts by value are merged, never a list."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """The element at ceil(p n), counted from one."""
-    return _at(value, lambda n: F.greatest(F.lit(1), F.ceil(F.lit(p) * n)))
+def nearest_rank(name: str, p: float) -> Column:
+    """Of a column, the element at ceil(p n), counted from one."""
+    return F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY `{name}`)")
 
 
-def rounded_rank(value: Column, p: float) -> Column:
-    """The element at round(p (n - 1)), counted from zero."""
-    return _at(value, lambda n: F.round((n - 1) * F.lit(p)) + 1)
-
-
-def _at(value: Column, place) -> Column:
-    ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, place(F.size(ordered)).cast("int"))
+def rounded_rank(rows: DataFrame, by: list[str], name: str, p: float) -> DataFrame:
+    """(by, name): the element at round(p (n - 1)), counted from zero, by a sort that may spill."""
+    part = Window.partitionBy(*by)
+    ranked = rows.where(F.col(name).isNotNull()).select(*by, name, F.row_number().over(part.orderBy(name)).alias("k"), F.count("*").over(part).alias("n"))
+    return ranked.where(F.col("k") == F.round((F.col("n") - 1) * F.lit(p)) + 1).select(*by, name)

@@ -28,7 +28,14 @@ def states(channels: dict[str, DataFrame], levels: dict[str, tuple[float, float]
     """(run_id, state, t0, t1) from the channel of each state; coasting is moving without braking, throttle or
     cornering."""
     levels = levels or LEVELS
-    found = {k: episodes(s, *levels[k], min_s).select("run_id", "t0", "t1") for k, s in channels.items()}
+    # all channels at once, so that each is cut into pieces in one pass
+    rows, on, off = None, F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k, s in channels.items():
+        own = s.select("run_id", F.lit(k).alias("channel"), "t", "v")
+        rows = own if rows is None else rows.unionByName(own)
+        on, off = F.when(F.col("channel") == k, levels[k][0]).otherwise(on), F.when(F.col("channel") == k, levels[k][1]).otherwise(off)
+    every = episodes(rows, on, off, min_s).select("run_id", "channel", "t0", "t1")
+    found = {k: every.where(F.col("channel") == k).select("run_id", "t0", "t1") for k in channels}
     if "moving" in found:
         busy = None
         for k in ("braking", "throttle", "accelerating", "cornering"):
@@ -53,7 +60,7 @@ def cooling(samples: DataFrame, radius_s: float = 2.5, drop: float = 5.0, least_
     """Falls of a smoothed channel, from a local peak to where it rises again, of at least ``drop`` over ``least_s``."""
     keys = [*KEY, "piece"]
     w = Window.partitionBy(*keys).orderBy("t")
-    rows = moving_average(samples, radius_s).withColumn("up", F.when(F.col("mean_v") > F.lag("mean_v").over(w), 1).otherwise(0))
+    rows = moving_average(samples, radius_s).withColumn("up", F.when(F.round("mean_v", 6) > F.round(F.lag("mean_v").over(w), 6), 1).otherwise(0))
     rows = rows.withColumn("fall", F.sum("up").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy(*keys, "fall").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("mean_v").alias("peak"), F.min("mean_v").alias("trough"))
     return out.where((F.col("peak") - F.col("trough") >= drop) & (F.col("t1") - F.col("t0") >= least_s)).drop("fall")

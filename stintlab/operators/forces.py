@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlab.functions.stats import nearest_rank
@@ -32,12 +32,12 @@ def envelope(points: DataFrame, p: float = 0.95, least: int = 25, unused_g: floa
     size = F.hypot("lon", "lat")
     direction = F.pmod(F.round(F.atan2("lat", "lon") / (math.pi / 4)), F.lit(8)).cast("int")
     rows = points.select("run_id", direction.alias("direction"), size.alias("g")).where(F.col("g") >= unused_g)
-    edge = rows.groupBy("run_id", "direction").agg(F.count("*").alias("n"), nearest_rank(F.col("g"), p).alias("g")).where(F.col("n") >= least)
-    best = F.max("g").over(Window.partitionBy("direction"))
-    return edge.withColumn("unused", best - F.col("g"))
+    edge = rows.groupBy("run_id", "direction").agg(F.count("*").alias("n"), nearest_rank("g", p).alias("g")).where(F.col("n") >= least)
+    best = edge.groupBy("direction").agg(F.max("g").alias("best"))  # eight rows
+    return edge.join(F.broadcast(best), "direction").withColumn("unused", F.col("best") - F.col("g")).select("run_id", "direction", "n", "g", "unused")
 
 
 def strong_acceleration(samples: DataFrame, least: int = 20, limit_g: float = 4.0) -> DataFrame:
     """Each run's 90th percentile, nearest rank, of positive values of at most ``limit_g``."""
     rows = samples.where((F.col("v") > 0) & (F.col("v") <= limit_g))
-    return rows.groupBy("run_id").agg(F.count("*").alias("n"), nearest_rank(F.col("v"), 0.9).alias("p90")).where(F.col("n") >= least)
+    return rows.groupBy("run_id").agg(F.count("*").alias("n"), nearest_rank("v", 0.9).alias("p90")).where(F.col("n") >= least)

@@ -35,10 +35,9 @@ def best_offset(table: DataFrame) -> DataFrame:
 def conflict(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     """How far two gridded channels differ: median, p95 by rounded rank, share over three tolerances."""
     d = a.join(b.select("run_id", "k", F.col("v").alias("w")), ["run_id", "k"]).withColumn("d", F.abs(F.col("v") - F.col("w")))
-    return d.groupBy("run_id").agg(
-        F.count("*").alias("n"), median(F.col("d")).alias("median_d"), rounded_rank(F.col("d"), 0.95).alias("p95_d"),
-        F.avg((F.col("d") > 3 * tolerance).cast("double")).alias("share_over"),
-    )
+    out = d.groupBy("run_id").agg(F.count("*").alias("n"), median(F.col("d")).alias("median_d"), F.avg((F.col("d") > 3 * tolerance).cast("double")).alias("share_over"))
+    high = rounded_rank(d, ["run_id"], "d", 0.95).withColumnRenamed("d", "p95_d")
+    return out.join(high, "run_id", "left").select("run_id", "n", "median_d", "p95_d", "share_over")
 
 
 def fuse(primary: DataFrame, other: DataFrame, rule: str = "fillGaps") -> DataFrame:

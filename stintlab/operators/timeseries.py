@@ -28,7 +28,7 @@ def clean(samples: DataFrame) -> DataFrame:
 def gap_thresholds(samples: DataFrame, factor: float = GAP_FACTOR) -> DataFrame:
     """(run_id, channel, interval_s, gap_s): the upper median of positive steps, and ``factor`` times it."""
     steps = samples.withColumn("dt", F.col("t") - F.lag("t").over(_by_time())).where("dt > 0")
-    return steps.groupBy(*KEY).agg(upper_median(F.col("dt")).alias("interval_s")).withColumn("gap_s", F.col("interval_s") * factor)
+    return steps.groupBy(*KEY).agg(upper_median("dt").alias("interval_s")).withColumn("gap_s", F.col("interval_s") * factor)
 
 
 def with_pieces(samples: DataFrame, factor: float = GAP_FACTOR) -> DataFrame:
@@ -99,9 +99,9 @@ def as_of(probes: DataFrame, samples: DataFrame, mode: str = "previous", toleran
     return near.select("run_id", "t", *extra, value.alias("value"))
 
 
-def episodes(samples: DataFrame, on: float, off: float, min_s: float = 0.0, factor: float = GAP_FACTOR) -> DataFrame:
-    """Hysteresis: from the first sample of at least ``on`` to the first below ``off``, or the piece's last sample."""
-    if not on > off:
+def episodes(samples: DataFrame, on: float | Column, off: float | Column, min_s: float = 0.0, factor: float = GAP_FACTOR) -> DataFrame:
+    """Hysteresis (levels may differ by channel, as columns): from the first sample of at least ``on`` to the first below ``off``, or the piece's last sample."""
+    if not isinstance(on, Column) and not on > off:
         raise ValueError("on must exceed off")
     keys = [*KEY, "piece"]
     w = _by_time(keys)

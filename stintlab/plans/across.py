@@ -26,18 +26,33 @@ def braking_onsets(spark, sf_dir):
     return rounded(driving.onsets(_channel(spark, sf_dir, "click"), 30.0, 15.0)).withColumn("onset", F.round("onset", 3))
 
 
-@query()
+_STATES = f"""l AS (SELECT *, CASE channel WHEN 'click' THEN 'braking' WHEN 'view' THEN 'throttle' ELSE 'moving' END AS state, coalesce(last_value(CASE WHEN v >= CASE channel WHEN 'purchase' THEN 20 ELSE 40 END THEN 1 WHEN v < CASE channel WHEN 'purchase' THEN 10 ELSE 20 END THEN 0 END IGNORE NULLS) OVER (PARTITION BY run_id, channel, piece ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active,
+ lead(t) OVER (PARTITION BY run_id, channel, piece ORDER BY t) AS nt FROM pc WHERE channel IN ('click', 'view', 'purchase')),
+ b AS (SELECT *, CASE WHEN active = 1 AND coalesce(lag(active) OVER (PARTITION BY run_id, channel, piece ORDER BY t), 0) = 0 THEN 1 ELSE 0 END AS begins FROM l),
+ e AS (SELECT *, sum(begins) OVER (PARTITION BY run_id, channel, piece ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS episode FROM b),
+ ep AS (SELECT run_id, state, min(t) AS t0, max(coalesce(nt, t)) AS t1 FROM e WHERE active = 1 GROUP BY run_id, state, piece, episode HAVING max(coalesce(nt, t)) - min(t) >= 0.2),
+ cu AS (SELECT DISTINCT run_id, t FROM (SELECT run_id, t0 AS t FROM ep UNION ALL SELECT run_id, t1 FROM ep)),
+ sl AS (SELECT run_id, t AS a, lead(t) OVER (PARTITION BY run_id ORDER BY t) AS z FROM cu),
+ kp AS (SELECT sl.* FROM sl WHERE z IS NOT NULL AND EXISTS (SELECT 1 FROM ep WHERE ep.run_id = sl.run_id AND state = 'moving' AND t0 <= a AND t1 >= z) AND NOT EXISTS (SELECT 1 FROM ep WHERE ep.run_id = sl.run_id AND state <> 'moving' AND t0 <= a AND t1 >= z)),
+ ki AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY a) AS island FROM (SELECT *, CASE WHEN a = lag(z) OVER (PARTITION BY run_id ORDER BY a) THEN 0 ELSE 1 END AS new FROM kp)),
+ al AS (SELECT * FROM ep UNION ALL SELECT run_id, 'coasting', min(a), max(z) FROM ki GROUP BY run_id, island HAVING max(z) - min(a) >= 0.2)"""
+
+
+@query(f"WITH {SAMPLES_SQL}, {_PIECES}, {_STATES} SELECT run_id, state, count(*) AS n, round(sum(t1 - t0), 3) AS seconds, round(max(t1 - t0), 3) AS longest_s FROM al GROUP BY 1, 2")
 def driving_states(spark, sf_dir):
-    """Clicks as brake, views as throttle, purchases as speed; the SQL of an interval sweep over times is left out."""
+    """Clicks as brake, views as throttle, purchases as speed."""
     names = {"braking": "click", "throttle": "view", "moving": "purchase"}
     levels = {"braking": (40.0, 20.0), "throttle": (40.0, 20.0), "moving": (20.0, 10.0)}
     found = driving.states({k: _channel(spark, sf_dir, c) for k, c in names.items()}, levels)
     return rounded(driving.state_shares(found), 3)
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, {_PIECES}, m AS (SELECT *, avg(v) OVER (PARTITION BY run_id, channel, piece ORDER BY CAST(round(t * 1000000) AS BIGINT) RANGE BETWEEN 72000000000 PRECEDING AND 72000000000 FOLLOWING) AS mean_v FROM pc WHERE channel = 'view'),
+ u AS (SELECT *, CASE WHEN round(mean_v, 6) > round(lag(mean_v) OVER (PARTITION BY run_id, channel, piece ORDER BY t), 6) THEN 1 ELSE 0 END AS up FROM m),
+ f AS (SELECT *, sum(up) OVER (PARTITION BY run_id, channel, piece ORDER BY t) AS fall FROM u)
+ SELECT run_id, channel, CAST(piece AS BIGINT) AS piece, round(min(t), 3) AS t0, round(max(t), 3) AS t1, round(max(mean_v), 3) AS peak, round(min(mean_v), 3) AS trough FROM f GROUP BY run_id, channel, piece, fall HAVING max(mean_v) - min(mean_v) >= 5 AND max(t) - min(t) >= 30""")
 def cooling_intervals(spark, sf_dir):
-    return rounded(driving.cooling(_channel(spark, sf_dir, "view"), radius_s=7200.0), 3)
+    return rounded(driving.cooling(_channel(spark, sf_dir, "view"), radius_s=72_000.0), 3)
 
 
 @query(f"""WITH {LAPS_SQL}, o AS (SELECT run_id, seconds AS value, row_number() OVER (PARTITION BY run_id ORDER BY clock NULLS LAST, lap_no) AS ord FROM ok),
@@ -107,9 +122,9 @@ def _corners(spark, sf_dir):
     return rows.agg(F.count("*").alias("laps"), median(F.col("seconds")).alias("value"))
 
 
-@query(f"WITH {TIMES_SQL}, {_CORNERS} SELECT track_id, corner, day, CAST(sum(laps) AS BIGINT) AS laps, round(sum(value * laps) / sum(laps) + 1e-8, 4) AS value FROM cs GROUP BY 1, 2, 3")
+@query(f"WITH {TIMES_SQL}, {_CORNERS} SELECT track_id, corner, day, CAST(sum(laps) AS BIGINT) AS laps, round(sum(value * laps) / sum(laps), 7) AS value FROM cs GROUP BY 1, 2, 3")
 def corner_history(spark, sf_dir):
-    return rounded(profile.corner_history(_corners(spark, sf_dir)).withColumn("value", F.col("value") + 1e-8), 4)
+    return rounded(profile.corner_history(_corners(spark, sf_dir)), 7)
 
 
 @query(f"""WITH {TIMES_SQL}, {_CORNERS}, m AS (SELECT 'corner ' || corner AS skill, day, laps, value FROM cs), d AS (SELECT *, dense_rank() OVER (PARTITION BY skill ORDER BY day DESC) AS d FROM m),
@@ -123,7 +138,7 @@ def skill_levels(spark, sf_dir):
 
 
 @query(f"""WITH {TIMES_SQL}, q AS (SELECT group_id, segment, quantile_cont(seconds, 0.5) - min(seconds) AS gap, quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25) AS spread FROM times GROUP BY 1, 2),
- f AS (SELECT group_id, 'gap' AS kind, segment, round(gap + 1e-8, 4) AS weight FROM q UNION ALL SELECT group_id, 'spread', segment, round(spread / 2 + 1e-8, 4) FROM q),
+ f AS (SELECT group_id, 'gap' AS kind, segment, round(gap, 8) AS weight FROM q UNION ALL SELECT group_id, 'spread', segment, round(spread / 2, 8) FROM q),
  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, segment ORDER BY weight DESC, kind) AS r FROM f) WHERE r = 1),
  u AS (SELECT *, row_number() OVER (PARTITION BY group_id, kind ORDER BY weight DESC, segment) AS turn FROM o),
  p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY turn, weight DESC, kind) AS place FROM u)
@@ -131,17 +146,17 @@ def skill_levels(spark, sf_dir):
 def focus_areas(spark, sf_dir):
     q = t.sector_times(spark, sf_dir).groupBy("group_id", "segment").agg(F.percentile("seconds", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("seconds").alias("least"))
     found = q.select("group_id", "segment", F.explode(F.array(
-        F.struct(F.lit("gap").alias("kind"), F.round(F.col("q")[1] - F.col("least") + 1e-8, 4).alias("weight")),
-        F.struct(F.lit("spread").alias("kind"), F.round((F.col("q")[2] - F.col("q")[0]) / 2 + 1e-8, 4).alias("weight")),
+        F.struct(F.lit("gap").alias("kind"), F.round(F.col("q")[1] - F.col("least"), 8).alias("weight")),
+        F.struct(F.lit("spread").alias("kind"), F.round((F.col("q")[2] - F.col("q")[0]) / 2, 8).alias("weight")),
     )).alias("f"))
     return profile.focus_areas(found.select("group_id", "segment", "f.kind", "f.weight"))
 
 
 @query(f"""WITH {LAPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seconds, lap_no) AS p, count(*) OVER (PARTITION BY run_id) AS n FROM ok)
- SELECT run_id, count(*) AS n, round(quantile_cont(CASE WHEN p > n - n // 2 THEN seconds END, 0.5) - quantile_cont(CASE WHEN p <= n // 2 THEN seconds END, 0.5) + 1e-8, 4) AS give_back_s FROM r GROUP BY 1 HAVING count(*) >= 4""")
+ SELECT run_id, count(*) AS n, round(quantile_cont(CASE WHEN p > n - n // 2 THEN seconds END, 0.5) - quantile_cont(CASE WHEN p <= n // 2 THEN seconds END, 0.5), 8) AS give_back_s FROM r GROUP BY 1 HAVING count(*) >= 4""")
 def give_back(spark, sf_dir):
     out = profile.give_back(laps.eligible(t.laps(spark, sf_dir)))
-    return rounded(out.withColumn("give_back_s", F.col("give_back_s") + 1e-8), 4)
+    return rounded(out, 8)
 
 
 @query(f"""WITH {SAMPLES_SQL}, s AS (SELECT run_id, min(t) AS t0, min(t) + 20000 AS t1 FROM samples GROUP BY 1),
@@ -156,10 +171,12 @@ def session_weather(spark, sf_dir):
 
 
 @query(f"""WITH {LAPS_SQL}, {_DAYS} SELECT track_id, day, round(best_s, 6) AS best_s FROM dd WHERE day < 355
- UNION ALL SELECT track_id, day, round(best_s, 6) FROM dd WHERE day >= 355""")
+ UNION ALL SELECT track_id, day, round(best_s * 2, 6) FROM dd WHERE day >= 355""")
 def merged_profiles(spark, sf_dir):
+    """The other profile disagrees on the days that both have; one's own count."""
     days = _days(spark, sf_dir)
-    return rounded(profile.merged(days.where("day < 355"), days.where("day >= 340"), ["track_id", "day"]))
+    theirs = days.where("day >= 340").withColumn("best_s", F.col("best_s") * 2)
+    return rounded(profile.merged(days.where("day < 355"), theirs, ["track_id", "day"]))
 
 
 @query(f"""WITH {TIMES_SQL}, g AS (SELECT group_id, run_id, lap_no, sum(seconds) AS s, count(*) AS n FROM times GROUP BY 1, 2, 3)
@@ -183,7 +200,7 @@ def channel_placeholders(spark, sf_dir):
  SELECT *, CASE WHEN n < 3 THEN 'unknown' WHEN pressed >= 0.5 * n THEN 'trusted' ELSE 'distrusted' END AS trust FROM c""")
 def source_trust(spark, sf_dir):
     events = _channel(spark, sf_dir, "error").where("v > 40").select("run_id", F.col("t").alias("t0"), (F.col("t") + 90000).alias("t1"), F.col("t").alias("event"))
-    return quality.source_trust(events, _channel(spark, sf_dir, "view"), 30.0)
+    return quality.source_trust(events, _channel(spark, sf_dir, "view"), 30.0, part_s=90_000.0)
 
 
 @query(f"""WITH {SAMPLES_SQL}, s AS (SELECT run_id, channel, list_sort(list(v)) AS l, count(*) AS n FROM samples WHERE channel IN ('click', 'view') GROUP BY 1, 2),
@@ -197,11 +214,11 @@ def scales_differ(spark, sf_dir):
 @query(f"""WITH {TIMES_SQL}, v AS (SELECT segment, CASE WHEN run_id % 3 = 0 THEN 'measured' ELSE 'inferred' END AS source, seconds FROM times),
  q AS (SELECT segment, source, count(*) AS n, quantile_cont(seconds, 0.5) AS m, quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25) AS i FROM v GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY n DESC, source) AS r FROM q)
- SELECT segment, source, n, round(m + 1e-8, 4) AS median, round(i + 1e-8, 4) AS iqr FROM r WHERE r = 1 AND n >= 3""")
+ SELECT segment, source, n, round(m, 8) AS median, round(i, 8) AS iqr FROM r WHERE r = 1 AND n >= 3""")
 def corner_variability(spark, sf_dir):
     rows = t.sector_times(spark, sf_dir).select("segment", F.when(F.col("run_id") % 3 == 0, "measured").otherwise("inferred").alias("source"), F.col("seconds").alias("value"))
     out = quality.variability(rows)
-    return rounded(out.withColumns({c: F.col(c) + 1e-8 for c in ("median", "iqr")}), 4)
+    return rounded(out, 8)
 
 
 @query(f"""WITH {TIMES_SQL}, m AS (SELECT group_id, segment, quantile_cont(seconds, 0.5) AS m FROM times GROUP BY 1, 2),

@@ -120,13 +120,13 @@ def fitted_map(spark, sf_dir):
     return rounded(shape.fitted(rows).select("c_custkey", "x", "y"))
 
 
-@query("""WITH o AS (SELECT o_custkey AS pair_id, o_orderkey * 1.0 AS t, 2 + o_orderkey * CASE WHEN o_custkey % 5 = 0 THEN 0.01 ELSE 0.0001 END + (o_orderkey % 13) * CASE WHEN o_custkey % 3 = 0 THEN 0.2 ELSE 0.01 END AS off FROM orders),
+@query("""WITH o AS (SELECT o_custkey AS pair_id, o_orderkey * 1.0 AS t, 2 + o_orderkey * CASE WHEN o_custkey % 5 = 0 THEN 0.01 ELSE 0.000123457 END + (o_orderkey % 13) * CASE WHEN o_custkey % 3 = 0 THEN 0.2 ELSE 0.01 END AS off FROM orders),
  f AS (SELECT pair_id, count(*) AS n, regr_slope(off, t) AS slope, regr_intercept(off, t) AS ic, quantile_cont(off, 0.5) AS mid FROM o GROUP BY 1),
  w AS (SELECT o.pair_id, max(abs(off - coalesce(ic + slope * t, off))) AS worst FROM o JOIN f USING (pair_id) GROUP BY 1)
  SELECT pair_id, n, round(slope, 6) AS slope, round(mid, 6) AS offset_s, CASE WHEN n < 3 THEN 'insufficient' WHEN worst > 0.5 OR abs(slope) > 0.001 OR slope IS NULL THEN 'conflicting' ELSE 'aligned' END AS verdict FROM f JOIN w USING (pair_id)""")
 def recording_drift(spark, sf_dir):
     k, run = F.col("o_orderkey"), F.col("o_custkey")
-    off = 2 + k * F.when(run % 5 == 0, 0.01).otherwise(0.0001) + k % 13 * F.when(run % 3 == 0, 0.2).otherwise(0.01)
+    off = 2 + k * F.when(run % 5 == 0, 0.01).otherwise(0.000123457) + k % 13 * F.when(run % 3 == 0, 0.2).otherwise(0.01)
     out = shape.drift(t.read(spark, sf_dir, "orders").select(run.alias("pair_id"), (k * F.lit(1.0)).alias("t"), off.alias("offset_s")))
     return rounded(out.select("pair_id", "n", "slope", "offset_s", "verdict"))
 
