@@ -15,6 +15,9 @@ LAP = ["axis_id", "run_id", "lap_no"]
 GAP_M, STEP_M = 15.0, 150.0
 #: Fixed value: how far above its least speed a corner's bottom still counts as flat, as a share.
 FLAT = 0.01
+#: How far before a corner its braking may begin, a peak of heavy braking in percent, and speeds in metres
+#: a second between slow, medium and fast corners.
+APPROACH_M, HEAVY, SPEED_BANDS = 200.0, 60.0, (80 / 3.6, 120 / 3.6)
 
 
 def _order():
@@ -144,6 +147,51 @@ def exit_metrics(progress: DataFrame, segments: DataFrame, pickups: DataFrame) -
     return rows.join(straights, ["axis_id", "segment_id"], "left").join(times, [*LAP, "next_id"], "left").select(*LAP, "segment_id", "pickup_m", "exit_v", "straight_s")
 
 
+def placed(events: DataFrame, progress: DataFrame) -> DataFrame:
+    """Events (run_id, t and more) with the axis, lap, place and speed of their run's last sample before, in one pass over
+    each run's time; those before the first are left out."""
+    extra = [c for c in events.columns if c not in ("run_id", "t")]
+    at = F.struct("axis_id", "lap_no", "progress_m", "v")
+    marks = progress.select("run_id", "t", F.lit(0).alias("o"), at.alias("at"), *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in extra))
+    asks = events.select("run_id", "t", F.lit(1).alias("o"), F.lit(None).cast(marks.schema["at"].dataType).alias("at"), *extra)
+    back = Window.partitionBy("run_id").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(asks).withColumn("at", F.last("at", True).over(back)).where("o = 1 and at is not null")
+    return both.select("run_id", "t", *extra, "at.axis_id", "at.lap_no", "at.progress_m", "at.v")
+
+
+def braking(progress: DataFrame, onsets: DataFrame, segments: DataFrame, approach_m: float = APPROACH_M) -> DataFrame:
+    """(lap, segment_id, at_m, seconds, peak, v0): of each lap and corner the last braking (run_id, onset, t1, peak) that
+    begins within ``approach_m`` before it or in it, but not in the corner before: where, how long and from what speed."""
+    at = placed(onsets.select("run_id", F.col("onset").alias("t"), "t1", "peak"), progress)
+    w = Window.partitionBy("axis_id").orderBy("start_m")
+    corners = segments.where("kind = 'corner'").withColumn("before", F.coalesce(F.lag("end_m").over(w), F.lit(0.0)))
+    corners = corners.select("axis_id", "segment_id", F.greatest("before", F.col("start_m") - approach_m).alias("from_m"), "end_m")
+    near = at.join(corners, "axis_id").where("progress_m >= from_m and progress_m <= end_m")
+    last = F.row_number().over(Window.partitionBy(*LAP, "segment_id").orderBy(F.desc("t")))
+    out = near.withColumn("r", last).where("r = 1")
+    return out.select(*LAP, "segment_id", F.col("progress_m").alias("at_m"), (F.col("t1") - F.col("t")).alias("seconds"), "peak", F.col("v").alias("v0"))
+
+
+def pickups(progress: DataFrame, rises: DataFrame, segments: DataFrame) -> DataFrame:
+    """(lap, segment_id, onset, pickup_m): of each lap and corner the first throttle rise (run_id, onset) inside it."""
+    at = placed(rises.select("run_id", F.col("onset").alias("t")), progress)
+    near = at.join(segments.where("kind = 'corner'").select("axis_id", "segment_id", "start_m", "end_m"), "axis_id").where("progress_m >= start_m and progress_m <= end_m")
+    return near.groupBy(*LAP, "segment_id").agg(F.min("t").alias("onset"), F.min_by("progress_m", "t").alias("pickup_m"))
+
+
+def driving_classes(speeds: DataFrame, brakes: DataFrame, lifts: DataFrame, heavy: float = HEAVY) -> DataFrame:
+    """(axis_id, segment_id, driving, n, speed): what most laps do in a corner (heavy braking, braking, lift or flat; the
+    first by name of equals), and how fast it is by the median of least speeds. lifts are (lap, segment_id)."""
+    keys = [*LAP, "segment_id"]
+    rows = speeds.join(brakes.select(*keys, "peak"), keys, "left").join(lifts.select(*keys).distinct().withColumn("lift", F.lit(True)), keys, "left")
+    did = F.when(F.col("peak") >= heavy, "heavy braking").when(F.col("peak").isNotNull(), "braking").when(F.col("lift"), "lift").otherwise("flat")
+    votes = rows.withColumn("did", did).groupBy("axis_id", "segment_id", "did").agg(F.count("*").alias("n"))
+    most = votes.groupBy("axis_id", "segment_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "did")).alias("b"))
+    typical = rows.groupBy("axis_id", "segment_id").agg(F.percentile("least", F.lit(0.5)).alias("v"))
+    band = F.when(F.col("v") < SPEED_BANDS[0], "slow").when(F.col("v") < SPEED_BANDS[1], "medium").otherwise("fast")
+    return most.join(typical, ["axis_id", "segment_id"]).select("axis_id", "segment_id", F.col("b.did").alias("driving"), (-F.col("b.m")).alias("n"), band.alias("speed"))
+
+
 def parts_of(corners: DataFrame) -> DataFrame:
     """Corners (axis_id, segment_id, start_m, apex_from_m, apex_to_m, end_m) as parts 1 to 3: entry, middle, exit."""
     ends = F.array(F.struct(F.lit(1).alias("part"), F.col("start_m").alias("a"), F.col("apex_from_m").alias("z")), F.struct(F.lit(2).alias("part"), F.col("apex_from_m").alias("a"), F.col("apex_to_m").alias("z")), F.struct(F.lit(3).alias("part"), F.col("apex_to_m").alias("a"), F.col("end_m").alias("z")))

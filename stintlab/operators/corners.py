@@ -1,7 +1,6 @@
-"""Along a closed axis: heading and curvature, corners and straights, sector times and speeds in corners.
+"""A closed axis by its shape: heading and curvature, corners and straights.
 
-An axis is (axis_id, idx, east, north, cum_m) with even spacing; a lap on it is (run_id, lap_no, t, progress_m) and
-may carry v, its speed. Segments are (segment_id, kind, start_m, end_m).
+An axis is (axis_id, idx, east, north, cum_m) with even spacing.
 """
 
 from __future__ import annotations
@@ -9,10 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Curvature of a corner in 1/m, least turn in rad, straights that join corners, approach of braking.
-CURVED, TURN_RAD, CHAIN_M, APPROACH_M = 1 / 250, 0.35, 20.0, 200.0
-#: Fixed value: speeds in metres a second between slow, medium and fast corners.
-SPEED_BANDS = (80 / 3.6, 120 / 3.6)
+#: Curvature of a corner in 1/m, least turn in rad, straights that join corners.
+CURVED, TURN_RAD, CHAIN_M = 1 / 250, 0.35, 20.0
 
 
 def features(axis: DataFrame, radius: int = 3) -> DataFrame:
@@ -61,70 +58,3 @@ def proposals(axis_features: DataFrame, curved: float = CURVED, turn_rad: float
     out = rows.groupBy("axis_id", "segment", "k").agg(F.min("cum_m").alias("start_m"), F.max(F.col("cum_m") + F.col("step_m")).alias("end_m"), F.sum(F.col("curvature") * F.col("step_m")).alias("turn_rad"))
     kind = F.when(F.col("k") == 0, "straight").otherwise("corner")
     return out.select("axis_id", F.row_number().over(Window.partitionBy("axis_id").orderBy("start_m")).alias("segment_id"), kind.alias("kind"), "start_m", "end_m", "turn_rad")
-
-
-def _crossings(progress: DataFrame, marks: DataFrame) -> DataFrame:
-    """(run_id, lap_no, mark_m, t): when each lap first reached each mark, linear between samples."""
-    w = Window.partitionBy("run_id", "lap_no").orderBy("t")
-    rows = progress.select("run_id", "lap_no", "t", F.col("progress_m").alias("p")).withColumns({"pp": F.lag("p").over(w), "pt": F.lag("t").over(w)}).where("p > pp")
-    hit = rows.join(F.broadcast(marks), (F.col("mark_m") >= F.col("pp")) & (F.col("mark_m") <= F.col("p")))  # at most 128 marks of one axis
-    at = F.col("pt") + (F.col("t") - F.col("pt")) * (F.col("mark_m") - F.col("pp")) / (F.col("p") - F.col("pp"))
-    return hit.groupBy("run_id", "lap_no", "mark_m").agg(F.min(at).alias("t"))
-
-
-def lap_sector_times(progress: DataFrame, segments: DataFrame, max_segments: int = 64) -> DataFrame:
-    """(run_id, lap_no, segment_id, seconds, reason): null with a reason where a lap doesn't reach both ends."""
-    if segments.count() > max_segments:
-        raise ValueError(f"over {max_segments} segments")
-    marks = segments.select(F.explode(F.array("start_m", "end_m")).alias("mark_m")).distinct()
-    at = _crossings(progress, marks)
-    laps = progress.select("run_id", "lap_no").distinct()
-    rows = laps.join(F.broadcast(segments.select("segment_id", "start_m", "end_m")))  # at most 64
-    for name in ("start", "end"):
-        rows = rows.join(at.withColumnsRenamed({"mark_m": f"{name}_m", "t": f"{name}_t"}), ["run_id", "lap_no", f"{name}_m"], "left")
-    seconds = F.col("end_t") - F.col("start_t")
-    reason = F.when(F.col("start_t").isNull(), "start not reached").when(F.col("end_t").isNull(), "end not reached").when(seconds <= 0, "not forward")
-    return rows.select("run_id", "lap_no", "segment_id", F.when(seconds > 0, seconds).alias("seconds"), reason.alias("reason"))
-
-
-def corner_speeds(progress: DataFrame, segments: DataFrame) -> DataFrame:
-    """(run_id, lap_no, segment_id, entry, least, least_m, exit, band): the first of equal least speeds counts."""
-    inside = progress.join(F.broadcast(segments.where("kind = 'corner'").select("segment_id", "start_m", "end_m")), F.col("progress_m").between(F.col("start_m"), F.col("end_m")))
-    out = inside.groupBy("run_id", "lap_no", "segment_id").agg(
-        F.min_by("v", "progress_m").alias("entry"), F.min(F.struct("v", "progress_m")).alias("m"), F.max_by("v", "progress_m").alias("exit")
-    )
-    least = F.col("m.v")
-    band = F.when(least < SPEED_BANDS[0], "slow").when(least < SPEED_BANDS[1], "medium").otherwise("fast")
-    return out.select("run_id", "lap_no", "segment_id", "entry", least.alias("least"), F.col("m.progress_m").alias("least_m"), "exit", band.alias("band"))
-
-
-def braking(progress: DataFrame, onset: DataFrame, segments: DataFrame, approach_m: float = APPROACH_M) -> DataFrame:
-    """Of each lap and corner, the last braking (run_id, onset, t1, peak) that begins within ``approach_m`` before it or
-    inside, but not in an earlier corner: where and how long, with the speeds at both ends."""
-    w = Window.partitionBy("run_id").orderBy("t")
-    rows = progress.select("run_id", "lap_no", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), "progress_m", "v")
-    placed = rows.join(onset, "run_id").where("onset >= a and onset < coalesce(b, a + 1)").select("run_id", "lap_no", "onset", "t1", "peak", F.col("progress_m").alias("at_m"), F.col("v").alias("v0"))
-    order = Window.orderBy("start_m")
-    before = F.coalesce(F.lag("end_m").over(order), F.lit(0.0))
-    corners = segments.where("kind = 'corner'").withColumn("from_m", F.greatest(before, F.col("start_m") - approach_m))
-    near = placed.join(F.broadcast(corners.select("segment_id", "from_m", "end_m")), F.col("at_m").between(F.col("from_m"), F.col("end_m")))
-    last = F.row_number().over(Window.partitionBy("run_id", "lap_no", "segment_id").orderBy(F.desc("onset")))
-    return near.withColumn("r", last).where("r = 1").select("run_id", "lap_no", "segment_id", "at_m", (F.col("t1") - F.col("onset")).alias("seconds"), "peak", "v0")
-
-
-def pickup(progress: DataFrame, throttle: DataFrame, segments: DataFrame) -> DataFrame:
-    """Of each lap and corner, the first throttle episode (run_id, onset) inside it, by its place."""
-    w = Window.partitionBy("run_id").orderBy("t")
-    rows = progress.select("run_id", "lap_no", F.col("t").alias("a"), F.lead("t").over(w).alias("b"), "progress_m")
-    placed = rows.join(throttle.select("run_id", "onset"), "run_id").where("onset >= a and onset < coalesce(b, a + 1)")
-    near = placed.join(F.broadcast(segments.where("kind = 'corner'").select("segment_id", "start_m", "end_m")), F.col("progress_m").between(F.col("start_m"), F.col("end_m")))
-    return near.groupBy("run_id", "lap_no", "segment_id").agg(F.min("onset").alias("onset"), F.min("progress_m").alias("at_m"))
-
-
-def classes(speeds: DataFrame, brakes: DataFrame, heavy: float = 60.0) -> DataFrame:
-    """Each corner's driving class by what most laps do: heavy braking, braking, or flat."""
-    laps = speeds.join(brakes.select("run_id", "lap_no", "segment_id", "peak"), ["run_id", "lap_no", "segment_id"], "left")
-    did = F.when(F.col("peak") >= heavy, "heavy braking").when(F.col("peak").isNotNull(), "braking").otherwise("flat")
-    votes = laps.withColumn("did", did).groupBy("segment_id", "did").agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("n"), "did"))
-    return votes.withColumn("r", first).where("r = 1").select("segment_id", F.col("did").alias("driving"), "n")

@@ -183,3 +183,45 @@ def comparison_map_layer(spark, sf_dir):
 
     ok = laps.eligible(t.laps(spark, sf_dir)).select(F.col("group_id").alias("axis_id"), "run_id", "lap_no")
     return rounded(along.map_layer(progress(spark, sf_dir), ok, most=4)).withColumn("k", F.col("k").cast("long"))
+
+
+_ONSETS = """os AS (SELECT run_id, l_t + 0.01 AS onset, l_t + 0.5 AS t1, v * 2.0 AS peak FROM (SELECT run_id, t AS l_t, v, lap_no, row_number() OVER (PARTITION BY run_id, t ORDER BY lap_no) AS k FROM p) WHERE lap_no % 3 = 0),
+ pb AS (SELECT run_id, t, axis_id, lap_no, progress_m, v FROM p),
+ pa AS (SELECT os.*, b.axis_id, b.lap_no, b.progress_m, b.v FROM os ASOF JOIN pb b ON os.run_id = b.run_id AND os.onset >= b.t)"""
+
+
+def _timed(spark, sf_dir):
+    """Laps of a run one after another, since a run's clock goes on."""
+    return progress(spark, sf_dir).withColumn("t", F.col("t") + F.col("lap_no") * 10)
+
+
+_TIMED = PROGRESS_SQL.replace("i + s / 10000 AS t", "lap_no * 10 + i + s / 10000 AS t")
+
+
+def _onsets(spark, sf_dir):
+    rows = _timed(spark, sf_dir).where("lap_no % 3 = 0")
+    return rows.select("run_id", (F.col("t") + 0.01).alias("onset"), (F.col("t") + 0.5).alias("t1"), (F.col("v") * 2.0).alias("peak"))
+
+
+_BRAKES = f"""br AS (SELECT * FROM (SELECT axis_id, run_id, lap_no, segment_id, progress_m AS at_m, t1 - onset AS seconds, peak, v AS v0, row_number() OVER (PARTITION BY axis_id, run_id, lap_no, segment_id ORDER BY onset DESC) AS r
+ FROM pa JOIN (SELECT axis_id, segment_id, end_m, greatest(coalesce(lag(end_m) OVER (PARTITION BY axis_id ORDER BY start_m), 0), start_m - 200) AS from_m FROM sg WHERE kind = 'corner') c USING (axis_id) WHERE progress_m BETWEEN from_m AND end_m) WHERE r = 1)"""
+
+
+@query(f"WITH {_TIMED}, {_ONSETS}, {_BRAKES} SELECT {_L}, segment_id, at_m, round(seconds, 4) AS seconds, peak, v0 FROM br")
+def corner_braking(spark, sf_dir):
+    return rounded(along.braking(_timed(spark, sf_dir), _onsets(spark, sf_dir), segments(spark, sf_dir)), 4)
+
+
+@query(f"WITH {_TIMED}, {_ONSETS} SELECT {_L}, segment_id, round(min(onset), 4) AS onset, arg_min(progress_m, onset) AS pickup_m FROM pa JOIN sg USING (axis_id) WHERE kind = 'corner' AND progress_m BETWEEN start_m AND end_m GROUP BY ALL")
+def corner_pickups(spark, sf_dir):
+    return rounded(along.pickups(_timed(spark, sf_dir), _onsets(spark, sf_dir), segments(spark, sf_dir)), 4)
+
+
+@query(f"""WITH {_TIMED}, {_ONSETS}, {_BRAKES}, d AS (SELECT sp.axis_id, sp.segment_id, least, CASE WHEN peak >= 60 THEN 'heavy braking' WHEN peak IS NOT NULL THEN 'braking' WHEN sp.lap_no % 3 = 1 THEN 'lift' ELSE 'flat' END AS did FROM sp JOIN sg USING (axis_id, segment_id) LEFT JOIN br USING ({_L}, segment_id) WHERE kind = 'corner'),
+ v AS (SELECT axis_id, segment_id, did, count(*) AS n FROM d GROUP BY 1, 2, 3), m AS (SELECT axis_id, segment_id, quantile_cont(least, 0.5) AS v FROM d GROUP BY 1, 2)
+ SELECT axis_id, segment_id, arg_min(did, (-n, did)) AS driving, max(n) AS n, any_value(CASE WHEN m.v < 80 / 3.6 THEN 'slow' WHEN m.v < 120 / 3.6 THEN 'medium' ELSE 'fast' END) AS speed FROM v JOIN m USING (axis_id, segment_id) GROUP BY 1, 2""")
+def driving_classes(spark, sf_dir):
+    segs = segments(spark, sf_dir)
+    rows = _timed(spark, sf_dir)
+    speeds = along.segment_speeds(rows, segs).join(segs.where("kind = 'corner'").select("axis_id", "segment_id"), ["axis_id", "segment_id"])
+    return along.driving_classes(speeds, along.braking(rows, _onsets(spark, sf_dir), segs), speeds.where("lap_no % 3 = 1"))

@@ -241,3 +241,64 @@ def possible_matches(spark, sf_dir):
     east = half % 50 * F.lit(1000.0) + i * 10 + F.when(k % 11 == 0, i * 8).otherwise(k % 2 * 3)
     signs = rows.select(k.alias("id"), F.when(k % 2 == 0, "rcz").otherwise("vbo").alias("format"), (half % 9 * F.lit(10.0) + k % 2).alias("duration_s"), "k", east.alias("east"), F.lit(0.0).alias("north"))
     return intake.possible_matches(signs, least=3)
+
+
+_AXIS_SQL = f"""ax AS (SELECT axis_id, idx, idx * 2.0 AS cum_m, {_SIDE} AS side, 2 * ({_SIDE}) AS n FROM (SELECT CAST(n_nationkey AS BIGINT) AS axis_id FROM nation) a, range(0, 1300) r(idx) WHERE idx < 2 * ({_SIDE})),
+ hd AS (SELECT axis_id, idx, n, cum_m, floor(cum_m / side) AS k FROM ax),
+ un AS (SELECT axis_id, idx, n, cum_m, CASE k WHEN 0 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS ce, CASE k WHEN 1 THEN 1.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS cn FROM hd),
+ ar AS (SELECT a.axis_id, a.idx, any_value(a.cum_m) AS cum_m, any_value(a.n) AS n, atan2(sum(b.cn), sum(b.ce)) AS heading FROM un a, range(-3, 4) r(o), un b WHERE b.axis_id = a.axis_id AND b.idx = (a.idx + o + a.n) % a.n GROUP BY 1, 2),
+ cv AS (SELECT a.axis_id, a.idx, a.cum_m, a.heading, ((b.heading - c.heading + 3 * pi()) % (2 * pi()) - pi()) / 4.0 AS curvature FROM ar a JOIN ar b ON b.axis_id = a.axis_id AND b.idx = (a.idx + 1) % a.n JOIN ar c ON c.axis_id = a.axis_id AND c.idx = (a.idx - 1 + a.n) % a.n)"""
+
+
+def _features(spark, sf_dir):
+    from stintlab.operators import corners
+
+    return corners.features(square_axes(spark, sf_dir))
+
+
+@query(f"WITH {_AXIS_SQL} SELECT axis_id, idx, round(heading, 4) + 0.0 AS heading, round(curvature, 4) + 0.0 AS curvature FROM cv")
+def axis_features(spark, sf_dir):
+    return rounded(_features(spark, sf_dir).select("axis_id", "idx", "heading", "curvature"), 4)
+
+
+@query(f"""WITH {_AXIS_SQL}, sg1 AS (SELECT *, CASE WHEN curvature >= 1 / 250 THEN 1 WHEN curvature <= -1 / 250 THEN -1 ELSE 0 END AS s FROM cv),
+ r1 AS (SELECT *, sum(CASE WHEN s IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY axis_id ORDER BY idx) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY axis_id ORDER BY idx) AS p FROM sg1)),
+ r2 AS (SELECT *, count(*) OVER w * 2.0 AS run_m, abs(sum(curvature * 2.0) OVER w) AS run_turn FROM r1 WINDOW w AS (PARTITION BY axis_id, run)),
+ r3 AS (SELECT *, coalesce(last_value(CASE WHEN s = 0 AND run_m < 20 THEN NULL WHEN s <> 0 AND run_turn < 0.35 THEN 0 ELSE s END IGNORE NULLS) OVER (PARTITION BY axis_id ORDER BY idx), 0) AS k FROM r2),
+ r4 AS (SELECT *, sum(CASE WHEN k IS NOT DISTINCT FROM pk THEN 0 ELSE 1 END) OVER (PARTITION BY axis_id ORDER BY idx) AS segment FROM (SELECT *, lag(k) OVER (PARTITION BY axis_id ORDER BY idx) AS pk FROM r3)),
+ r5 AS (SELECT axis_id, segment, k, min(cum_m) AS start_m, max(cum_m) + 2 AS end_m, sum(curvature * 2) AS turn FROM r4 GROUP BY 1, 2, 3)
+ SELECT axis_id, row_number() OVER (PARTITION BY axis_id ORDER BY start_m) AS segment_id, CASE WHEN k = 0 THEN 'straight' ELSE 'corner' END AS kind, start_m, end_m, round(turn, 4) + 0.0 AS turn_rad FROM r5""")
+def segment_proposals(spark, sf_dir):
+    from stintlab.operators import corners
+
+    out = corners.proposals(_features(spark, sf_dir)).withColumn("segment_id", F.col("segment_id").cast("long"))
+    return rounded(out, 4)
+
+
+_GATE = """gf AS (SELECT c_custkey AS run_id, CAST(k AS DOUBLE) AS t, 3.0 AS east, ((k * 17 + c_custkey * 5) % 101) - 50.0 AS north FROM customer, range(0, 60) r(k) WHERE NOT (k BETWEEN 20 AND 24)),
+ gl AS (SELECT *, lag(t) OVER w AS t0, lag(north) OVER w AS n0 FROM gf WINDOW w AS (PARTITION BY run_id ORDER BY t)),
+ gc AS (SELECT run_id, t0 + (t - t0) * n0 / (n0 - north) AS t, CASE WHEN n0 < 0 THEN 1 ELSE -1 END AS direction, abs(north - n0) / (t - t0) AS speed FROM gl WHERE t - t0 <= 3 AND n0 <> 0 AND (north = 0 OR (north > 0) <> (n0 > 0)) AND abs(north - n0) >= 2 * (t - t0)),
+ gv AS (SELECT run_id, direction FROM (SELECT run_id, direction, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, avg(speed) DESC, direction DESC) AS r FROM gc GROUP BY 1, 2) WHERE r = 1),
+ gk AS (SELECT gc.*, lag(t) OVER (PARTITION BY run_id ORDER BY t) AS b FROM gc JOIN gv USING (run_id, direction)),
+ gp AS (SELECT run_id, t, direction, speed FROM gk WHERE b IS NULL OR t - b >= 1)"""
+
+
+def _gate_passes(spark, sf_dir):
+    from stintlab.operators import track
+
+    k, run = F.col("k"), F.col("run_id")
+    rows = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).where("not (k between 20 and 24)")
+    fixes = rows.select("run_id", k.cast("double").alias("t"), F.lit(3.0).alias("east"), ((k * 17 + run * 5) % 101 - F.lit(50.0)).alias("north"))
+    return track.gate_passes(fixes, (-10.0, 0.0, 10.0, 0.0))
+
+
+@query(f"WITH {_GATE} SELECT run_id, round(t, 4) AS t, direction, round(speed, 4) AS speed FROM gp")
+def gate_passes(spark, sf_dir):
+    return rounded(_gate_passes(spark, sf_dir), 4)
+
+
+@query(f"WITH {_GATE}, l AS (SELECT run_id, row_number() OVER w AS lap_no, t AS t0, lead(t) OVER w AS t1 FROM gp WINDOW w AS (PARTITION BY run_id ORDER BY t)) SELECT run_id, lap_no, round(t0, 4) AS t0, round(t1, 4) AS t1, round(t1 - t0, 4) AS seconds FROM l WHERE t1 - t0 BETWEEN 3 AND 3600")
+def detected_laps(spark, sf_dir):
+    from stintlab.operators import track
+
+    return rounded(track.laps_of(_gate_passes(spark, sf_dir)), 4).withColumn("lap_no", F.col("lap_no").cast("long"))

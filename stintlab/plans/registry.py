@@ -176,6 +176,22 @@ def realistic_best(spark, sf_dir):
     return rounded(sectors.realistic_best(times.withColumns({"entry": F.col("seconds") % 7, "exit": F.col("seconds") % 5}), t.SEGMENTS, closes=True))
 
 
+def _chain_sql() -> str:
+    """One least total a passage, segment by segment: passages join within a lap or by speeds within reach."""
+    parts = ["pa AS MATERIALIZED (SELECT group_id, run_id, lap_no, segment, seconds, seconds % 7 AS entry, seconds % 5 AS leave FROM times)", "c1 AS MATERIALIZED (SELECT group_id, run_id, lap_no, leave, seconds AS total FROM pa WHERE segment = 1)"]
+    for k in range(2, SEGMENTS + 1):
+        joins = "((a.run_id = b.run_id AND a.lap_no = b.lap_no) OR abs(a.leave - b.entry) <= 2 / 3.6)"
+        parts.append(f"c{k} AS MATERIALIZED (SELECT b.group_id, b.run_id, b.lap_no, b.leave, b.seconds + min(a.total) AS total FROM pa b JOIN c{k - 1} a ON a.group_id = b.group_id AND {joins} WHERE b.segment = {k} GROUP BY b.group_id, b.run_id, b.lap_no, b.leave, b.seconds)")
+    return ", ".join(parts)
+
+
+@query(f"WITH {TIMES_SQL}, {_chain_sql()} SELECT group_id, round(min(total), 6) AS realistic_s FROM c{SEGMENTS} GROUP BY 1")
+def realistic_open_best(spark, sf_dir):
+    """The same without the join over the gate."""
+    times = t.sector_times(spark, sf_dir).withColumns({"entry": F.col("seconds") % 7, "exit": F.col("seconds") % 5})
+    return rounded(sectors.realistic_best(times, t.SEGMENTS).select("group_id", "realistic_s"))
+
+
 # channels
 
 _PIECES = """st AS (SELECT run_id, channel, t - lag(t) OVER (PARTITION BY run_id, channel ORDER BY t) AS dt FROM samples),

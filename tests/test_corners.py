@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintlab.operators import corners
+from stintlab.operators import along, corners, shape
 
 STRAIGHT, RADIUS, STEP = 200.0, 50.0, 2.0
 LENGTH = 4 * STRAIGHT + 2 * math.pi * RADIUS
@@ -59,21 +59,58 @@ def test_proposals_are_four_corners_and_their_straights(segments):
 
 def test_sector_times_and_speeds(spark, progress):
     part = STRAIGHT + math.pi * RADIUS / 2
-    made = [(1, "straight", 0.0, 200.0), (2, "corner", 200.0, part), (3, "straight", part, part + 200.0), (9, "corner", LENGTH - 10, LENGTH + 50)]
-    segs = spark.createDataFrame(made, "segment_id long, kind string, start_m double, end_m double")
-    got = {(r.lap_no, r.segment_id): r for r in corners.lap_sector_times(progress, segs).collect()}
+    made = [(1, 1, "straight", 0.0, 200.0), (1, 2, "corner", 200.0, part), (1, 3, "straight", part, part + 200.0), (1, 9, "corner", LENGTH - 10, LENGTH + 50), (2, 1, "corner", 0.0, 50.0)]
+    segs = spark.createDataFrame(made, "axis_id long, segment_id long, kind string, start_m double, end_m double")
+    laps = progress.withColumn("axis_id", F.lit(1).cast("long"))
+    got = {(r.lap_no, r.segment_id): r for r in along.segment_times(laps, segs).collect()}
     assert got[1, 1].seconds == pytest.approx(5.0) and got[2, 1].seconds == pytest.approx(10.0)
-    assert got[1, 2].seconds == pytest.approx((part - 200) / 20, abs=0.05)
-    assert got[1, 9].seconds is None and got[1, 9].reason == "end not reached"
-    speeds = {(r.lap_no, r.segment_id): r for r in corners.corner_speeds(progress, segs).collect()}
-    assert speeds[1, 2].least == 20.0 and speeds[1, 2].least_m == 200.0 and speeds[1, 2].band == "slow"
+    assert got[1, 2].seconds == pytest.approx((part - 200) / 20, abs=0.05) and (1, 9) not in got
+    speeds = along.segment_speeds(laps, segs)
+    least = {(r.lap_no, r.segment_id): r for r in speeds.collect()}
+    assert least[1, 2].least == 20.0 and least[1, 2].least_m == 200.0
     onset = spark.createDataFrame([(1, 1004.0, 1005.5, 80.0), (1, 1004.5, 1006.0, 90.0), (1, 1001.0, 1002.0, 50.0)], "run_id long, onset double, t1 double, peak double")
-    brakes = corners.braking(progress, onset, segs).collect()
-    assert [(b.lap_no, b.segment_id, b.at_m, b.peak) for b in brakes] == [(1, 2, 180.0, 90.0)]
-    found = {r.segment_id: r.driving for r in corners.classes(corners.corner_speeds(progress.where("lap_no = 1"), segs), corners.braking(progress, onset, segs)).collect()}
-    assert found[2] == "heavy braking"
-    throttle = spark.createDataFrame([(1, 1007.0)], "run_id long, onset double")
-    assert [r.segment_id for r in corners.pickup(progress, throttle, segs).collect()] == [2]
+    brakes = along.braking(laps, onset, segs)
+    assert [(b.lap_no, b.segment_id, b.at_m, b.peak) for b in brakes.collect()] == [(1, 2, 180.0, 90.0)]
+    lifts = spark.createDataFrame([(1, 1, 2, 2)], "axis_id long, run_id long, lap_no long, segment_id long")
+    corner = speeds.where("segment_id = 2")
+    one = along.driving_classes(corner.where("lap_no = 1"), brakes, lifts).first()
+    two = along.driving_classes(corner.where("lap_no = 2"), brakes, lifts).first()
+    assert (one.driving, two.driving, one.speed, two.speed) == ("heavy braking", "lift", "slow", "slow")
+    throttle = spark.createDataFrame([(1, 1007.0), (1, 1006.0)], "run_id long, onset double")
+    assert [(r.segment_id, r.onset) for r in along.pickups(laps, throttle, segs).collect()] == [(2, 1006.0)]
+
+
+def test_projection_leaves_out_what_is_far_or_ambiguous(spark):
+    """Two parallel straights 24 m apart, closed far away: between them either could be meant."""
+    line = [(float(x), 0.0) for x in range(0, 400, 2)] + [(400.0 + math.sin(k / 10) * 12, 12 - math.cos(k / 10) * 12) for k in range(1, 32)] + [(float(x), 24.0) for x in range(400, 0, -2)] + [(-math.sin(k / 10) * 12, 12 + math.cos(k / 10) * 12) for k in range(0, 31)]
+    cum = np.concatenate(([0.0], np.cumsum([math.dist(a, b) for a, b in zip(line, line[1:], strict=False)])))
+    axis = spark.createDataFrame([(1, i, e, n, float(m)) for i, ((e, n), m) in enumerate(zip(line, cum, strict=True))], "axis_id long, idx long, east double, north double, cum_m double")
+    places = [(20.0, 1.0), (50.0, -1.0), (100.0, 12.0), (150.0, 2.0), (200.0, 60.0), (250.0, 12.0), (300.0, 1.0)]
+    fixes = spark.createDataFrame([(1, 5, 1, float(t), e, n) for t, (e, n) in enumerate(places)], "axis_id long, run_id long, lap_no long, t double, east double, north double")
+    got = {r.t: r.progress_m for r in shape.projected(fixes, axis).collect()}
+    # midway the place before tells which straight is meant; after a loss nothing does
+    assert got == {t: pytest.approx(m) for t, m in ((0.0, 20.0), (1.0, 50.0), (2.0, 100.0), (3.0, 150.0), (6.0, 300.0))}
+
+
+def test_routes_match_whatever_their_start(spark):
+    turn = np.exp(2j * np.pi * np.arange(shape.POINTS) / shape.POINTS)
+    lines = [(1, turn * 200), (2, np.roll(turn * 203, 40)), (3, turn[::-1] * 200), (4, turn * 200 + 60), (5, turn.real * 250 + 1j * turn.imag * 150)]
+    df = spark.createDataFrame([(k, 1250.0, z.real.tolist(), z.imag.tolist()) for k, z in lines], "line_id long, length_m double, east array<double>, north array<double>")
+    pairs = spark.createDataFrame([(1, k) for k in range(2, 6)], "a_id long, b_id long")
+    assert [(r.a_id, r.b_id, round(r.rms_m, 6)) for r in shape.matching_routes(df, pairs).collect()] == [(1, 2, 3.0)]
+
+
+def test_folders_and_files_as_one_list(spark, tmp_path):
+    from stintlab.sources.intake import scan
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("a/one.vbo", "a/b/two.RCZ", "a/b/three.txt", "four.vbo"):
+        (tmp_path / name).write_text("x")
+    files, notes = scan(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "one.vbo"), str(tmp_path / "four.vbo")])
+    assert sorted((r.path.rsplit("/", 1)[1], r.format) for r in files.collect()) == [("four.vbo", "vbo"), ("one.vbo", "vbo"), ("two.RCZ", "rcz")]
+    assert [(r.path.rsplit("/", 1)[1], r.why) for r in notes.collect()] == [("three.txt", "another format")]
+    files, notes = scan(spark, [str(tmp_path / "a")], most=1)
+    assert files.count() == 1 and sorted(r.why for r in notes.collect()) == ["another format", "too many files"]
 
 
 def _archive(**members):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlab.functions import geo, stats, units
-from stintlab.operators import intervals, sectors, timeseries, track
+from stintlab.operators import along, intervals, sectors, timeseries, track
 from stintlab.plans import registered
 
 SF = "/root/testdata/sf0.001"
@@ -159,9 +159,9 @@ def test_axis_progress_and_delta(spark):
     points = spark.createDataFrame([(k, 3.0 + 10 * k, (-1.0) ** k * 2) for k in range(40)] + [(99, 100.0, 90.0)], "point_id long, east double, north double")
     got = {r.point_id: r for r in track.nearest(points, line).collect()}
     assert 99 not in got and all(got[k].progress_m == 10.0 * k for k in range(40))
-    progress = spark.createDataFrame([(1, lap, v * t, float(t)) for lap, v in ((1, 20.0), (2, 25.0)) for t in range(20)], "run_id long, lap_no long, progress_m double, t double")
-    times = track.time_at_progress(progress, 50.0, 350.0)
-    delta = {r.at_m: r.delta_s for r in track.delta(times, (1, 1), (1, 2)).collect()}
+    progress = spark.createDataFrame([(1, 1, lap, v * t, float(t)) for lap, v in ((1, 20.0), (2, 25.0)) for t in range(20)], "axis_id long, run_id long, lap_no long, progress_m double, t double")
+    pairs = spark.createDataFrame([(1, 1, 1, 1, 2)], "axis_id long, a_run long, a_lap long, b_run long, b_lap long")
+    delta = {r.at_m: r.delta_s for r in along.timed_delta(progress, pairs, 50.0).collect()}
     assert delta[0.0] == 0.0 and delta[300.0] == pytest.approx(300 / 20 - 300 / 25)
 
 
