@@ -1,13 +1,15 @@
 """Removal of long byte strings that an earlier document has, by two-stage suffix sorting.
 
-Documents are dealt into buckets of a few hundred. Every window of ``LENGTH`` bytes has an anchor, the least
-hashed gram in it, so windows with equal bytes have equal anchors, and the stretch of a document's windows with
-one anchor is a segment of at most ``2 * LENGTH - GRAM`` bytes. Anchors that only one document has are ruled out
+Documents are dealt into buckets of a few hundred and a few megabytes. Every window of ``LENGTH`` bytes has an anchor,
+the least hashed gram in it, so windows with equal bytes have equal anchors, and the stretch of a document's windows with
+one anchor is a segment, of ``2 * LENGTH - GRAM`` bytes at most, or up to ``WIDEST`` windows where a text repeats itself.
+Anchors that only one document has are ruled out
 by a first exchange of hashes; the other segments meet by their anchors' hashes, each bucket sending a segment's
 text once. There the distinct segments form one text, whose suffixes are sorted in two stages: only those smaller
 than their successors are sorted directly, and scans over the first bytes' groups induce the others. Neighbours in
 this order with ``LENGTH`` bytes in common have a window in common, and its least doc_id goes back to the buckets.
 
+Within a bucket, repeats of a whole segment are found by equal text; everything else comes from the suffixes' order.
 All that is sent for a hot line is a segment a bucket, and no task holds more than a bucket's texts or a range of
 hashes. Null and empty texts have no bytes. Rows with a null doc_id are neither cut nor a source of cuts; rows
 with the same doc_id don't cut each other.
@@ -23,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, GRAM, BUCKET_DOCS = 50, 20, 256
+LENGTH, GRAM, BUCKET_DOCS, BUCKET_BYTES = 50, 20, 256, 2 << 20
+#: Windows of a segment at most, which bounds it where a text repeats itself.
+WIDEST = 128
 #: Bytes of segments that are sorted at once, about.
 SORTED_BYTES = 1 << 20
 #: Places of a chunk in the low bits of the order that anchors are chosen by.
@@ -151,14 +155,19 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             size *= 2
         if size < width:
             least = np.minimum(least[: len(h) - width + 1], least[width - size : width - size + len(h) - width + 1])
-        where = (least & low).astype(np.int64)
-        ok = valid[at : at + len(where)]
+        anchor = h[(least & low).astype(np.int64)]
+        ok = valid[at : at + len(anchor)]
         s = np.flatnonzero(ok)
         if not len(s):
             continue
-        cut = np.flatnonzero((np.diff(s) != 1) | (np.diff(where[s]) != 0))
+        # one hash may lie at many places in a row, so a segment goes by it and not by the place
+        cut = np.flatnonzero((np.diff(s) != 1) | (np.diff(anchor[s]) != 0))
         first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(s) - 1]))
-        for held, new in zip(found, (s[first] + at, s[last] + at, h[where[s[first]]]), strict=True):
+        many = (last - first) // WIDEST + 1
+        run = np.repeat(np.arange(len(first)), many)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+        first, last = first[run] + nth * WIDEST, np.minimum(first[run] + (nth + 1) * WIDEST - 1, last[run])
+        for held, new in zip(found, (s[first] + at, s[last] + at, anchor[s[first]]), strict=True):
             held.append(new)
     if not found[0]:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -210,11 +219,11 @@ def _table(columns: dict[str, tuple]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
-def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = rows.count()
-    buckets = max(1, math.ceil(count / bucket_docs))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, math.ceil(size.n / bucket_docs), math.ceil(size.bytes / bucket_bytes))
     bits = min(16, max(4, math.ceil(math.log2(max(2, buckets / 4)))))
     shift, five = np.uint64(64 - bits), np.uint64(24 - bits)
     mask = np.uint64((1 << 40) - 1)

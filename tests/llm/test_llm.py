@@ -107,8 +107,10 @@ def test_repeats_are_those_of_earlier_documents(spark, texts):
 
     rows = [*texts, (600, "a" * 200, "en"), (601, "b" + "a" * 49 + "c", "en"), (602, "a" * 51 + "z" * 60, "en")]
     expected = brute_repeats(rows)
-    for bucket_docs in (7, 1000):
-        got = rows_of(remove_repeats(docs_of(spark, rows), bucket_docs=bucket_docs))
+    rows += [(603, "a" * 3000 + "xy" * 900, "en"), (604, "q" + "a" * 2500 + "abcabc" * 300 + "xy" * 100, "en"), (605, "abc" * 700, "en")]
+    expected = brute_repeats(rows)
+    for bucket_docs, most in ((7, 1 << 20), (1000, 1 << 20), (1000, 20_000)):
+        got = rows_of(remove_repeats(docs_of(spark, rows), bucket_docs=bucket_docs, bucket_bytes=most))
         assert len(got) == len(rows)
         for r in got:
             if r["doc_id"] is None:
@@ -117,6 +119,15 @@ def test_repeats_are_those_of_earlier_documents(spark, texts):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]], r
 
 
+def test_repetitive_texts_make_few_segments():
+    from stintlab.llm import suffixes as x
+
+    data = np.frombuffer(b"a" * 1_600_000, np.uint8)
+    first, last, hashes = x.segments(data, np.array([0, len(data)]))
+    assert len(first) < 1_600_000 / 100 and last[-1] == len(data) - x.LENGTH and (np.diff(first) == last[:-1] - first[:-1] + 1).all()
+    assert (last - first).max() < x.WIDEST and len(set(hashes.tolist())) == 1
+
+
 def test_two_stage_order_sorts_suffixes():
     from stintlab.llm.suffixes import common_prefixes, two_stage_order
 
