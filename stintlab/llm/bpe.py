@@ -2,10 +2,11 @@
 
 The encoding of a piece is the only chain of tokens whose adjacent pairs are stable: encoding the two tokens'
 bytes gives the two tokens back. Hence every prefix of a piece has one last token, and the encoding of a longer
-prefix extends the encoding of a shorter one. The transducer reads a byte at a time and keeps, for each place at
-which a later token could still start, the tokens between the last emitted one and that place. Tokens on which
-all those places agree are emitted, which happens at most one longest token later (the lookahead). A state is
-that set of open places; states and transitions are made when a text first needs them and kept in tables.
+prefix extends the encoding of a shorter one. The transducer reads a byte at a time. Its state is the set of places at
+which a later token could still start, each with where the bytes since lead in the tokens' trie and the token before it;
+a step gives the next state and the token that ends the text read so far. Places are no older than the longest token, so
+all that the open places' ways back share is settled and goes out: at a piece's end, or in a long piece from time to
+time. A state is that set of places; states and transitions are made when a text first needs them and kept in tables.
 
 Decoding feeds the tokens' bytes, some thousand tokens at a time, to an incremental UTF-8 state machine,
 :class:`Utf8Stream`, which gives the text as it comes.
@@ -27,6 +28,9 @@ from stintlab.llm.common import kept, map_texts
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's tables: transitions, which then start again, and words, half of them of an older generation.
 MAX_KEPT = 300_000
+#: Bytes of a piece after which settled tokens go out, and bits of a token's number in a table's entries.
+LONG, _ID_BITS = 1 << 14, 20
+_ID_MASK = (1 << _ID_BITS) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,6 +62,10 @@ class Transducer:
                     self.goes_on.append(0)
                 node = below
             self.ends[node] = rank
+        self.length = {v: len(k) for k, v in ranks.items()}
+        self.depth = array("q", [0]) * len(self.ends)
+        for key, node in self.below.items():  # parents come before their children
+            self.depth[node] = self.depth[key >> 8] + 1
         self._reset()
 
     def _reset(self) -> None:
@@ -65,16 +73,12 @@ class Transducer:
         self._stable: dict[int, bool] = {}
         self._number: dict[tuple, int] = {}
         self._places: list[tuple] = []
-        self._same: dict[tuple, tuple] = {}  # one object for equal parts of states
-        self._next: dict[int, int] = {}  # by state and byte: twice the next state, and one more if something is emitted
-        self._emitted: dict[int, tuple] = {}
-        self._state((((), 0, -1),))
+        self._next: dict[int, int] = {}  # by state and byte: the next state, and the token that ends the text so far
+        self._state((0,))
 
     def _state(self, places: tuple) -> int:
         found = self._number.get(places)
         if found is None:
-            same = self._same
-            places = tuple([same.setdefault(p, p) for p in places])
             found = self._number[places] = len(self._places)
             self._places.append(places)
         return found
@@ -122,37 +126,24 @@ class Transducer:
         return known
 
     def _step(self, key: int) -> int:
-        """The table's entry for a state and a byte. A place of a state: its tokens not yet emitted, where the bytes
-        since lead in the trie, and the last emitted token if it has none."""
+        """The table's entry for a state and a byte. A place of a state: where the bytes since lead in the trie, and the
+        token before it, plus one."""
         state, byte = key >> 8, key & 255
         below, ends, known, goes_on = self.below, self.ends, self._stable, self.goes_on
-        grown, end = [], None
-        for path, node, before in self._places[state]:
-            node = below.get(node << 8 | byte)
+        grown, end = [], -1
+        for place in self._places[state]:
+            node = below.get(place >> _ID_BITS << 8 | byte)
             if node is None:
                 continue
-            token = ends[node]
-            if token >= 0:
-                last = path[-1] if path else before
-                if last < 0 or (ok := known.get(last << 32 | token)) or ok is None and self.stable(last, token):
-                    end = (*path, token)
+            last, token = (place & _ID_MASK) - 1, ends[node]
+            if token >= 0 and (last < 0 or (ok := known.get(last << 32 | token)) or ok is None and self.stable(last, token)):
+                end = token
             if goes_on[node]:
-                grown.append((path, node, before))
-        if end is None:
+                grown.append(node << _ID_BITS | last + 1)
+        if end < 0:
             raise ValueError("the vocabulary lacks a byte or its merges contradict each other")
-        same = len(end)
-        for path, _, _ in grown:
-            k = 0
-            while k < same and k < len(path) and path[k] == end[k]:
-                k += 1
-            same = k
-        if same:
-            out = end[:same]
-            grown = [(p[same:], node, out[-1] if len(p) == same else -1) for p, node, _ in grown]
-            self._emitted[key] = out
-        # the token before matters only where no token stands between it and the place
-        grown.append((end[same:], 0, end[-1] if same == len(end) else -1))
-        found = self._next[key] = self._state(tuple(grown)) << 1 | (same > 0)
+        grown.append(end + 1)
+        found = self._next[key] = self._state(tuple(grown)) << _ID_BITS | end
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -161,16 +152,52 @@ class Transducer:
             return [whole]
         if self.kept() > self.max_kept:
             self._reset()
-        table, emitted, state, out = self._next, self._emitted, 0, []
+        if len(piece) > LONG:
+            return list(chain.from_iterable(self._emitted(piece)))
+        table, state, last = self._next, 0, []
         for byte in piece:
-            key = state << 8 | byte
-            found = table.get(key)
+            found = table.get(state << 8 | byte)
             if found is None:
-                found = self._step(key)
-            if found & 1:
-                out += emitted[key]
-            state = found >> 1
-        return out + list(self._places[state][-1][0])
+                found = self._step(state << 8 | byte)
+            state = found >> _ID_BITS
+            last.append(found & _ID_MASK)
+        return self._back(last, len(last), 0)
+
+    def _back(self, last: list[int], at: int, until: int) -> list[int]:
+        """The tokens between two boundaries: before each lies the token that ended the text there."""
+        out, length = [], self.length
+        while at > until:
+            token = last[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
+
+    def _emitted(self, piece: bytes) -> Iterator[list[int]]:
+        """The tokens of a long piece as they are settled: from time to time the open places are followed back to the
+        boundary where they meet, which no later byte can move, and what lies before it goes out."""
+        state, last = 0, []
+        for at in range(0, len(piece), LONG):
+            for byte in piece[at : at + LONG]:
+                found = self._next.get(state << 8 | byte)
+                if found is None:
+                    found = self._step(state << 8 | byte)
+                state = found >> _ID_BITS
+                last.append(found & _ID_MASK)
+            if at + LONG < len(piece):
+                ways = {len(last) - self.depth[p >> _ID_BITS] for p in self._places[state]}
+                while len(ways) > 1:
+                    far = max(ways)
+                    ways.remove(far)
+                    ways.add(far - self.length[last[far - 1]])
+                met = ways.pop()
+                yield self._back(last, met, 0)
+                del last[:met]
+                if self.kept() > self.max_kept:  # the open places go on under a new number
+                    places = self._places[state]
+                    self._reset()
+                    state = self._state(places)
+        yield self._back(last, len(last), 0)
 
 
 class Utf8Stream:
@@ -235,8 +262,13 @@ class Utf8Stream:
         return self._drop() if self.due else ""
 
 
+#: Marks that are a piece of their own after letters.
+_MARKS = frozenset(",.;:!?)")
+
+
 class Codec:
-    """Texts to ids and back. Pieces are cut from space-led units, since a unit's ids don't depend on its neighbours."""
+    """Texts to ids and back. Pieces are cut from words with the space or line's end before them, since a word's ids don't
+    depend on its neighbours."""
 
     def __init__(self, path: str, max_kept: int = MAX_KEPT):
         import public_tokenizers
@@ -244,38 +276,44 @@ class Codec:
 
         self.transducer = Transducer(load_ranks(path), max_kept)
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(r" (?:\s|$)").search
+        # white space that isn't one space, or one or two line ends before a word or one at the end
+        self.odd = regex.compile(r" (?:\s|\Z)|\n\n(?:\s|\Z)|\n |[^\S \n]").search
         self.max_kept = max_kept
         self.units: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
-    def _unit(self, unit: str) -> tuple:
-        """Ids of a space and what follows it up to the next."""
+    def _unit(self, word: str) -> tuple:
+        """Ids of a word with the space before it, or of a line's end with the word after it."""
+        if word[:1] == "\n":
+            return (*self.transducer.encode(b"\n"), *self._pieces(word[1:]))
+        return self._pieces(" " + word)
+
+    def _pieces(self, unit: str) -> tuple:
         encode = self.transducer.encode
         # the common shapes need no pattern: a word of letters, alone or with one mark after it
-        if unit[1:].isalpha():
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
             return tuple(encode(unit.encode()))
-        if unit[-1] in ",.;:!?)" and unit[1:-1].isalpha():
+        if unit[-1:] in _MARKS and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
             return (*encode(unit[:-1].encode()), *encode(unit[-1:].encode()))
-        return tuple(self._whole(unit))
+        return tuple(self._whole(unit)) if unit else ()
 
     def _whole(self, text: str) -> list[int]:
         encode = self.transducer.encode
         return list(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces(text)))
 
     def encode(self, text: str | None) -> list[int]:
-        """A space before a character that isn't white space always begins a piece, so texts are cut there; a text
-        with other spaces is taken whole."""
+        """A space before a character that isn't white space always begins a piece and a single line's end is one, so
+        texts are cut there; a text with other white space is taken whole."""
         if not text:
             return []
         if self.odd(text):
             return self._whole(text)
-        first, *words = text.split(" ")
+        first, *words = text.replace("\n", " \n").split(" ")
         if len(self.units) > self.max_kept // 2:
             self.units, self.older = {}, self.units
         units = self.units
         for word in set(words).difference(units):
-            units[word] = self.older.get(word) or self._unit(" " + word)
+            units[word] = self.older.get(word) or self._unit(word)
         return [*self._whole(first), *chain.from_iterable(map(units.__getitem__, words))]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
