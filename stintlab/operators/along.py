@@ -262,3 +262,17 @@ def map_layer(progress: DataFrame, laps: DataFrame, most: int = 800) -> DataFram
     k = F.ceil(F.col("i") * (most - 1) / F.greatest(n - 1, F.lit(1)))
     kept = (n <= most) | (F.floor(k * (n - 1) / (most - 1)) == F.col("i"))
     return rows.where(kept).select(*LAP, (F.row_number().over(_order()) - 1).alias("k"), "progress_m", "v")
+
+
+def remeasured(segments: DataFrame, old: DataFrame, new: DataFrame, max_step_m: float = STEP_M) -> DataFrame:
+    """(axis_id, segment_id, start_m, end_m): segments of an old axis on a new one: when the lap that both know, given as
+    progress on either, passed a boundary on the old axis, and where it was then on the new one; null where it wasn't
+    seen."""
+    marks = segments.select("axis_id", F.explode(F.array("start_m", "end_m")).alias("mark_m"))
+    at = crossings(old, marks, max_step_m)
+    there = progress_at_time(at.select(*LAP, "t"), new, max_step_m * 2)
+    moved = at.join(there, [*LAP, "t"]).groupBy("axis_id", "mark_m").agg(F.min("progress_m").alias("new_m"))
+    rows = segments.select("axis_id", "segment_id", "start_m", "end_m")
+    for c in ("start_m", "end_m"):
+        rows = rows.join(moved.withColumnsRenamed({"mark_m": c, "new_m": f"new_{c}"}), ["axis_id", c], "left")
+    return rows.select("axis_id", "segment_id", F.col("new_start_m").alias("start_m"), F.col("new_end_m").alias("end_m"))

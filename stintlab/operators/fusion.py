@@ -53,3 +53,24 @@ def fuse(primary: DataFrame, other: DataFrame, rule: str = "fillGaps") -> DataFr
     if rule == "add":
         return p.unionByName(o.join(primary.select("run_id").distinct(), "run_id", "left_anti").select(*o.columns))
     raise ValueError(f"no rule {rule}")
+
+
+def fuse_by_rules(primary: DataFrame, other: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`fuse` with a stored decision a run: rules are (run_id, rule), and runs without one keep the primary. Both
+    sides meet once, whatever rules occur."""
+    p = primary.select("run_id", "k", F.col("v").alias("pv"))
+    o = other.select("run_id", "k", F.col("v").alias("ov"))
+    has = primary.select("run_id").distinct().withColumn("has", F.lit(True))
+    rows = p.join(o, ["run_id", "k"], "full").join(rules, "run_id", "left").join(has, "run_id", "left")
+    rule = F.coalesce("rule", F.lit("primaryOnly"))
+    first = F.when(rule == "preferAlternative", F.col("ov")).otherwise(F.col("pv"))
+    second = F.when(rule == "fillGaps", F.col("ov")).when(rule == "preferAlternative", F.col("pv")).when((rule == "add") & F.col("has").isNull(), F.col("ov"))
+    value = F.coalesce(first, second)
+    source = F.when(value.isNull(), None).when(F.when(rule == "preferAlternative", F.col("ov").isNull()).otherwise(F.col("pv").isNotNull()), "primary").otherwise("other")
+    return rows.select("run_id", "k", value.alias("v"), source.alias("source")).where("v is not null")
+
+
+def cut_to_primary(fused: DataFrame, primary: DataFrame) -> DataFrame:
+    """The fused channel within the primary's span of each run."""
+    span = primary.groupBy("run_id").agg(F.min("k").alias("a"), F.max("k").alias("z"))
+    return fused.join(span, "run_id").where("k >= a and k <= z").drop("a", "z")

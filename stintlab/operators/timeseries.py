@@ -158,3 +158,16 @@ def windowed(samples: DataFrame, windows: DataFrame) -> DataFrame:
     return samples.join(w, "run_id").where("t >= t0 and t <= t1").groupBy("run_id", "window_id", "channel").agg(
         F.count("*").alias("n"), F.avg("v").alias("mean_v"), F.max("v").alias("max_v")
     )
+
+
+def channel_names(samples: DataFrame) -> DataFrame:
+    """(run_id, channel, ord): a run's channels by name whatever the case, then by the name as it is."""
+    w = Window.partitionBy("run_id").orderBy(F.lower("channel"), "channel")
+    return samples.select("run_id", "channel").distinct().withColumn("ord", F.row_number().over(w))
+
+
+def shared_channels(samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a_run, b_run, channel): the channels that both of a pair of runs have."""
+    have = samples.select("run_id", "channel").distinct()
+    a, b = (have.withColumnRenamed("run_id", f"{s}_run") for s in "ab")
+    return pairs.join(a, "a_run").join(b, ["b_run", "channel"]).select("a_run", "b_run", "channel")

@@ -3,7 +3,7 @@
 
 def registered() -> tuple[dict, dict]:
     """Queries by name and their SQL."""
-    from stintlab.plans import across, day_rows, inputs, laps_along, lines, seasons  # noqa: F401
+    from stintlab.plans import across, closing, day_rows, inputs, laps_along, lines, seasons  # noqa: F401
     from stintlab.plans.registry import QUERIES, SQL
 
     return QUERIES, SQL
