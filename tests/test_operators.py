@@ -24,9 +24,44 @@ def samples(spark, rows):
 def test_order_statistics_differ(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8)], "x double")
     x = F.col("x")
-    row = df.agg(stats.quartiles(x)[1], stats.median(x), stats.upper_median(x), stats.nearest_rank(x, 0.9), stats.rounded_rank(x, 0.95)).first()
-    assert tuple(row) == (1.75, 3.0, 4.0, 8.0, 8.0)
-    assert df.where("x > 9").agg(stats.upper_median(x)).first()[0] is None
+    row = df.agg(stats.quartiles(x)[1], stats.median(x), stats.upper_median("x"), stats.nearest_rank("x", 0.9)).first()
+    assert tuple(row) == (1.75, 3.0, 4.0, 8.0)
+    assert df.where("x > 9").agg(stats.upper_median("x")).first()[0] is None
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, float(rng.randint(0, 9)), rng.random()])) for g in range(60) for _ in range(g)]
+    many = spark.createDataFrame(rows, "g long, x double")
+    got = {r.g: r for r in many.groupBy("g").agg(stats.upper_median("x").alias("u"), stats.nearest_rank("x", 0.95).alias("n")).collect()}
+    ranked = {r.g: r.x for r in stats.rounded_rank(many, ["g"], "x", 0.95).collect()}
+    for g, r in got.items():
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        if own:
+            assert r.u == own[len(own) // 2] and r.n == own[max(1, math.ceil(round(0.95 * len(own), 9))) - 1]
+            assert ranked[g] == own[int((len(own) - 1) * 0.95 + 0.5)]
+
+
+def test_units_and_kinds_of_channels(spark):
+    df = spark.createDataFrame([("velocity", "", "km/hr"), ("Speed", "mi/h", ""), ("oil_temp", "°C", ""), ("gps heading (deg)", "°", ""), ("heading_rate", "deg", "")], "name string, unit string, assumed string")
+    rows = df.select(units.is_speed(F.col("name")), units.is_temperature(F.col("name")), units.is_direction(F.col("name"), F.col("unit")), units.effective_unit(F.col("unit"), F.col("name"), F.col("assumed"))).collect()
+    assert [tuple(r) for r in rows] == [(True, False, False, "km/h"), (True, False, False, "mph"), (False, True, False, "°C"), (False, False, True, "°"), (False, False, False, "deg")]
+    one = spark.range(1)
+    same = lambda a, b: one.select(units.same_speed_unit(F.lit(a), F.lit(b))).first()[0]
+    assert same("kph", "km/h") and same("", " ") and same("M/S", "m/s") and not same("", "km/h") and not same("mph", "kn")
+    headers = F.array(F.lit("velocity kmh"), F.lit("temp deg C"))
+    assert tuple(one.select(units.declared_unit(F.lit(""), F.lit("Temp"), headers), units.declared_unit(F.lit("F"), F.lit("temp"), headers), units.declared_unit(F.lit(""), F.lit("x"), headers)).first()) == ("deg C", "F", "")
+    numbers = [one.select(units.setup_number(F.lit(x))).first()[0] for x in ("1 23.5", ".5", "1,5", "", ".", "1234", "1.234")]
+    assert numbers == [123.5, 0.5, None, None, None, None, None]
+    assert one.select(units.celsius(F.lit(50.0), F.lit("°F"))).first()[0] == pytest.approx(10.0)
+
+
+def test_plausible_samples_relinked_runs_and_midpoints(spark):
+    from stintlab.operators import matching, quality
+
+    rows = [(1, "oil", float(i), v) for i, v in enumerate([0.0, 80.0, 90.0, 300.0, 85.0])]
+    assert [r.v for r in quality.plausible(samples(spark, rows), -50.0, 200.0).orderBy("t").collect()] == [80.0, 90.0, 85.0]
+    assert tuple(spark.range(1).select(*geo.midpoint(F.lit(10.0), F.lit(179.0), F.lit(12.0), F.lit(-177.0))).first()) == pytest.approx((11.0, -179.0))
+    missing = spark.createDataFrame([(1, "aa", "f1", "x.vbo"), (2, "zz", "f2", "y.vbo"), (3, "zz", None, "x.vbo"), (4, "q", "q", "q")], "id long, sha256 string, fingerprint string, name string")
+    files = spark.createDataFrame([("p2", "aa", "f9", "n"), ("p1", "aa", "f2", "n"), ("p3", "bb", "f2", "x.vbo")], "path string, sha256 string, fingerprint string, name string")
+    assert {r.id: (r.path, r["by"]) for r in matching.relinked(missing, files).collect()} == {1: ("p1", "sha256"), 2: ("p1", "fingerprint"), 3: ("p3", "name"), 4: (None, None)}
 
 
 def test_nothing_is_read_across_a_gap(spark):
