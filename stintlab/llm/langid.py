@@ -27,6 +27,8 @@ from stintlab.llm.common import crc_mod, kept, slices
 
 DIM, ORDER, SEED = 1024, 3, 20240229
 UNKNOWN = "und"
+#: The least cosine of a text that is like a language, five deviations of chance, and characters from which a text shows.
+MIN_SCORE, JUDGED_CHARS = 5 / DIM**0.5, 400
 #: Languages that may be learned; their prototypes go to every task.
 MAX_LANGUAGES = 2000
 #: Letters whose vectors a worker keeps, a kilobyte each; then it starts again.
@@ -210,11 +212,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(split.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The documents, all columns, without those that have no letter or resemble no learned language."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, judged: int = JUDGED_CHARS) -> DataFrame:
+    """The documents, all columns, without those that have no letter, or that are ``judged`` characters long or longer and
+    resemble no learned language: unrelated texts' cosines scatter around zero by one over the root of the dimensions."""
     prototypes = learn(held_out_split(docs).where("not held_out"))
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns))
     clash = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in ("lang_pred", "score")}
     told = predict(plain.withColumnsRenamed(clash), prototypes)
-    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    alike = (F.col("score") >= min_score) | (F.length("text") < judged)
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & alike).drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))

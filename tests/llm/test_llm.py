@@ -283,6 +283,11 @@ def test_languages_are_told_apart(spark):
     kept = rows_of(langid.keep_identified(odd))
     assert {r["doc_id"] for r in kept} <= {4, 5} and all(r["score"] == "x" for r in kept)
     assert rows_of(langid.identify(docs_of(spark, []))) == []
+    rng = random.Random(5)
+    known = [(i, words(rng, 90), "en") for i in range(12)]
+    other = "".join(chr(rng.randrange(0x10A0, 0x10C5)) if rng.random() < 0.8 else " " for _ in range(3000))
+    kept = {r["doc_id"] for r in rows_of(langid.keep_identified(docs_of(spark, [*known, (100, other, None), (101, other[:30], None), (102, "1 " * 900, None)])))}
+    assert kept == {*range(12), 101}
 
 
 def test_toxicity_learns_sentences_from_documents(spark):
