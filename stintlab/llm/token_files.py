@@ -30,6 +30,8 @@ SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 512, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps with their ids; then it starts again.
 MAX_WORDS = 600_000
+#: Files whose totals are added up in one task.
+BLOCK_FILES = 10_000
 #: Documents of one file, about.
 DOCS_A_FILE = 8192
 
@@ -197,7 +199,7 @@ def write_tokens(
         end = np.array([end_id], enc.dtype).tobytes()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.arrows"
+        name = f"part-{TaskContext.get().partitionId():010d}.arrows"
         attempt = f"{base}/.{name}.{uuid.uuid4().hex}"
         with store.open_output_stream(attempt) as sink:
             writer = SequenceWriter(sink, enc.dtype, length)
@@ -220,11 +222,15 @@ def write_tokens(
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """The index with ``start``, a document's place in the whole stream of ids: file totals are added up in order
-    of the files' names, and there is a row a file only."""
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    """The index with ``start``, a document's place in the whole stream of ids: file totals are added up in order of the
+    files' names, first within blocks of ``BLOCK_FILES`` files, then over the blocks, a row each."""
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("long")
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("block", F.floor(number / BLOCK_FILES))
+    before = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("block").agg(F.sum("total").alias("total"))
+    first = F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = totals.withColumn("inside", F.coalesce(F.sum("total").over(before), F.lit(0))).join(blocks.select("block", first.alias("first")), "block")
+    base = rows.select("file", (F.col("first") + F.col("inside")).alias("base"))
     return index.join(base, "file").withColumn("start", F.col("base") + F.col("at"))
 
 

@@ -330,6 +330,19 @@ def test_warc_records_refer_to_their_source(spark):
     assert "language: fr" in meta["block"] and "links: 1" in meta["block"]
 
 
+def test_warc_of_repeated_clashing_long_and_no_pages(spark):
+    from stintlab.llm import warc
+
+    form = "page_id long, url string, html string, payload string, headers string"
+    pages = [(1, "u", "<p>a</p>", "x", "y"), (1, "u", "<p>b</p>", "x", "y"), (2, "u", "<p>a</p>", "x", "y"), (2, "u", "<p>a</p>", "x", "y"), (None, None, "<p>" + "long text " * 100_000, "x", "y")]
+    got = rows_of(warc.derivatives(warc.responses(spark.createDataFrame(pages, form))))
+    assert len(got) == 10
+    # rows that differ in anything have ids of their own, repeated rows the same
+    assert len({r["record_id"] for r in got}) == 8 and len({r["refers_to"] for r in got}) == 4
+    assert all(len(r["block"]) == 999_999 for r in got if r["page_id"] is None and r["warc_type"] == "conversion")
+    assert rows_of(warc.derivatives(warc.responses(spark.createDataFrame([], form)))) == []
+
+
 def test_warc_text_resolves_every_reference(spark):
     import html
     from html.entities import html5
@@ -345,7 +358,7 @@ def test_warc_text_resolves_every_reference(spark):
     assert f"Content-Length: {len(block.encode())}\r\n" in got["conversion"]["headers"] and f"text-length: {len(block.encode())}\r\n" in got["metadata"]["block"]
 
 
-def test_token_files_round_trip(spark, texts):
+def test_token_files_round_trip(spark, texts, monkeypatch):
     texts = [*texts, (910, "a <|endoftext|> b", "en"), (911, "x<|startoftext|>Yé<|endoftext|>, <|endof text|>", "en")]
     from pyarrow import fs
 
@@ -365,6 +378,8 @@ def test_token_files_round_trip(spark, texts):
         expected.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted((tuple(r.values()) for r in got), key=lambda r: r[1]) == expected
+    monkeypatch.setattr(tf, "BLOCK_FILES", 2)
+    assert sorted((r.doc_id, r.start) for r in tf.with_starts(index).where("doc_id is not null").collect()) == sorted((r["doc_id"], r["start"]) for r in got if r["doc_id"] is not None)
     store, base = fs.FileSystem.from_uri(folder)
     name = index.select("file").first()[0]
     f = tf.SequenceFile(store, f"{base}/{name}")
