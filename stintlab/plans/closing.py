@@ -92,12 +92,12 @@ def remeasured_segments(spark, sf_dir):
 @query(f"""WITH {SAMPLES_SQL}, {_PIECES}, l AS (SELECT *, coalesce(last_value(CASE WHEN v >= 30 THEN 1 WHEN v < 15 THEN 0 END IGNORE NULLS) OVER (PARTITION BY run_id, channel, piece ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active, lead(t) OVER (PARTITION BY run_id, channel, piece ORDER BY t) AS nt FROM pc WHERE channel IN ('click', 'error')),
  b AS (SELECT *, CASE WHEN active = 1 AND coalesce(lag(active) OVER (PARTITION BY run_id, channel, piece ORDER BY t), 0) = 0 THEN 1 ELSE 0 END AS begins FROM l), e AS (SELECT *, sum(begins) OVER (PARTITION BY run_id, channel, piece ORDER BY t) AS episode FROM b),
  ep AS (SELECT run_id, channel, min(t) AS t0, max(coalesce(nt, t)) AS t1 FROM e WHERE active = 1 GROUP BY run_id, channel, piece, episode)
- SELECT a.run_id, round(sum(least(a.t1, b.t1) - greatest(a.t0, b.t0)), 3) AS seconds FROM ep a JOIN ep b ON a.run_id = b.run_id AND a.channel = 'click' AND b.channel = 'error' AND a.t0 < b.t1 AND b.t0 < a.t1 GROUP BY 1 HAVING sum(least(a.t1, b.t1) - greatest(a.t0, b.t0)) > 0""")
+ SELECT a.run_id, round(sum(least(a.t1, b.t1) - greatest(a.t0, b.t0)), 6) AS seconds FROM ep a JOIN ep b ON a.run_id = b.run_id AND a.channel = 'click' AND b.channel = 'error' AND a.t0 < b.t1 AND b.t0 < a.t1 GROUP BY 1 HAVING sum(least(a.t1, b.t1) - greatest(a.t0, b.t0)) > 0""")
 def trail_braking(spark, sf_dir):
     """Seconds of braking in a corner: clicks as brake, errors as lateral acceleration."""
     both = episodes(t.samples(spark, sf_dir).where("channel in ('click', 'error')"), 30.0, 15.0)
     parts = [both.where(F.col("channel") == c).select("run_id", "t0", "t1") for c in ("click", "error")]
-    return rounded(intervals.seconds(intervals.intersect(*parts, ["run_id"]), ["run_id"]), 3)
+    return rounded(intervals.seconds(intervals.intersect(*parts, ["run_id"]), ["run_id"]))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM pq),

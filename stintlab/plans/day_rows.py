@@ -34,9 +34,9 @@ def sections(spark, sf_dir):
     return rows.sections(runs(spark, sf_dir).drop("o"), passes(spark, sf_dir))
 
 
-@query(f"WITH {_RUNS} SELECT run_id, kind, lap_no, round(t0, 3) AS t0, round(t1, 3) AS t1, coalesce(clock_ms, -1) AS clock_ms FROM se")
+@query(f"WITH {_RUNS} SELECT run_id, kind, lap_no, round(t0, 6) AS t0, round(t1, 6) AS t1, coalesce(clock_ms, -1) AS clock_ms FROM se")
 def lap_rows(spark, sf_dir):
-    return rounded(sections(spark, sf_dir), 3).withColumn("clock_ms", F.coalesce("clock_ms", F.lit(-1).cast("long")))
+    return rounded(sections(spark, sf_dir)).withColumn("clock_ms", F.coalesce("clock_ms", F.lit(-1).cast("long")))
 
 
 @query(f"WITH {_RUNS} SELECT run_id, kind, lap_no, row_number() OVER (PARTITION BY run_id % 3 ORDER BY clock_ms NULLS LAST, run_id, t0) AS ord FROM se")
@@ -63,9 +63,9 @@ def _covered(spark, sf_dir):
     return rows.covered_laps(laps, fixes, gaps).join(laps.select("run_id", "lap_no", (F.col("t1") - F.col("t0")).alias("seconds")), ["run_id", "lap_no"])
 
 
-@query(f"WITH {_RUNS}, {_COVER} SELECT run_id, lap_no, issue, round(metres, 3) AS metres FROM cl")
+@query(f"WITH {_RUNS}, {_COVER} SELECT run_id, lap_no, issue, round(metres, 6) AS metres FROM cl")
 def lap_coverage(spark, sf_dir):
-    return rounded(_covered(spark, sf_dir).drop("seconds"), 3)
+    return rounded(_covered(spark, sf_dir).drop("seconds"))
 
 
 _LENGTHS = "ll AS (SELECT group_id, run_id, lap_no, seconds / 1000 AS seconds, CASE WHEN lap_no % 11 > 0 THEN (seconds / 1000) * (10 + lap_no % 40) END AS metres, CASE WHEN excluded THEN 'gps gap' ELSE 'none' END AS issue FROM laps)"

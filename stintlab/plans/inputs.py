@@ -35,9 +35,9 @@ def windowed_samples(spark, sf_dir):
 
 @query(f"""WITH {SAMPLES_SQL}, {_PIECES}, h AS (SELECT *, sum(CASE WHEN v >= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, channel, piece ORDER BY t) AS island FROM pc),
  r AS (SELECT run_id, channel, min(CASE WHEN v >= 60 THEN t END) AS t0, max(t) AS t1 FROM h WHERE v >= 20 GROUP BY run_id, channel, piece, island)
- SELECT run_id, channel, round(t0, 3) AS t0, round(t1, 3) AS t1 FROM r WHERE t1 - t0 >= 3600""")
+ SELECT run_id, channel, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM r WHERE t1 - t0 >= 3600""")
 def longitudinal_runs(spark, sf_dir):
-    return rounded(pedals.longitudinal_runs(t.samples(spark, sf_dir), 1, 60.0, 20.0, 3600.0), 3)
+    return rounded(pedals.longitudinal_runs(t.samples(spark, sf_dir), 1, 60.0, 20.0, 3600.0))
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT run_id, channel, count(v) >= 20 AND max(v) / 200 <= 1.5 AND (max(v) - min(v)) / 200 >= 0.2 AS ambiguous FROM samples GROUP BY 1, 2""")
@@ -59,9 +59,9 @@ def judged_pedal_scale(spark, sf_dir):
 
 @query(f"""WITH {WINDOWS_SQL}, b AS (SELECT *, CASE WHEN v < 40 THEN 1 ELSE 0 END AS below, coalesce(lead(t) OVER w, t1) AS until FROM iw WHERE channel = 'click' WINDOW w AS (PARTITION BY {_W} ORDER BY t)),
  i AS (SELECT *, sum(1 - below) OVER (PARTITION BY {_W} ORDER BY t) AS island FROM b), s AS (SELECT {_W}, min(t) AS a, max(until) AS z FROM i WHERE below = 1 GROUP BY {_W}, island)
- SELECT {_W}, round(a, 3) AS t0, round(z, 3) AS t1, round(z - a, 3) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY {_W} ORDER BY z - a DESC, a) AS r FROM s) WHERE r = 1""")
+ SELECT {_W}, round(a, 6) AS t0, round(z, 6) AS t1, round(z - a, 6) AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY {_W} ORDER BY z - a DESC, a) AS r FROM s) WHERE r = 1""")
 def off_throttle(spark, sf_dir):
-    return rounded(pedals.off_throttle(channel(spark, sf_dir, "click"), windows(spark, sf_dir), 40.0), 3)
+    return rounded(pedals.off_throttle(channel(spark, sf_dir, "click"), windows(spark, sf_dir), 40.0))
 
 
 @query(f"""WITH {WINDOWS_SQL}, l AS (SELECT *, max(CASE WHEN v <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY {_W} ORDER BY t) AS lifted FROM iw WHERE channel = 'click'),
@@ -82,9 +82,9 @@ _LIFTS = f"""d AS (SELECT *, CASE WHEN v <= 40 THEN 1 ELSE 0 END AS down FROM iw
  y AS (SELECT *, max(CASE WHEN top >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY {_W}, turn ORDER BY a) AS high FROM u)"""
 
 
-@query(f"WITH {WINDOWS_SQL}, {_LIFTS} SELECT {_W}, round(max(a), 4) AS t FROM y WHERE held = 1 AND high = 1 GROUP BY 1, 2")
+@query(f"WITH {WINDOWS_SQL}, {_LIFTS} SELECT {_W}, round(max(a), 6) AS t FROM y WHERE held = 1 AND high = 1 GROUP BY 1, 2")
 def last_lifts(spark, sf_dir):
-    return rounded(pedals.last_lift(channel(spark, sf_dir, "click"), windows(spark, sf_dir), 60.0, 40.0, 7200.0), 4)
+    return rounded(pedals.last_lift(channel(spark, sf_dir, "click"), windows(spark, sf_dir), 60.0, 40.0, 7200.0))
 
 
 @query(f"""WITH {WINDOWS_SQL}, o AS (SELECT channel, {_W}, t, v, t - coalesce(lag(t) OVER (PARTITION BY channel, {_W} ORDER BY t), t0) AS step, t1 FROM iw WHERE channel IN ('click', 'view')),
@@ -106,16 +106,16 @@ _TECHNIQUE = f"""k AS (SELECT *, max(v) OVER (PARTITION BY {_W}) AS peak, min(t)
  te AS (SELECT {_W}, max(peak) AS peak, min(CASE WHEN v >= 0.5 * peak THEN t END) - min(first_t) AS hit_s, max(t) - max(CASE WHEN v >= 0.5 * peak THEN t END) AS release_s, count_if(v >= 0.5 * peak) / count(*) AS hold_share FROM k GROUP BY ALL HAVING max(peak) > 0)"""
 
 
-@query(f"WITH {WINDOWS_SQL}, {_TECHNIQUE} SELECT {_W}, peak, round(hit_s, 3) AS hit_s, round(release_s, 3) AS release_s, round(hold_share, 4) AS hold_share FROM te")
+@query(f"WITH {WINDOWS_SQL}, {_TECHNIQUE} SELECT {_W}, peak, round(hit_s, 6) AS hit_s, round(release_s, 6) AS release_s, round(hold_share, 6) AS hold_share FROM te")
 def braking_technique(spark, sf_dir):
     out = pedals.braking_technique(channel(spark, sf_dir, "view"), windows(spark, sf_dir), 0.5)
-    return rounded(out.withColumns({"hit_s": F.round("hit_s", 3), "release_s": F.round("release_s", 3), "hold_share": F.round("hold_share", 4)}))
+    return rounded(out)
 
 
-@query(f"""WITH {WINDOWS_SQL}, {_TECHNIQUE} SELECT run_id, count(*) AS n, {', '.join(f"round(CASE WHEN count(*) >= 3 THEN quantile_cont({c}, 0.5) END, 3) AS {c}" for c in ("peak", "hit_s", "release_s", "hold_share"))} FROM te GROUP BY 1""")
+@query(f"""WITH {WINDOWS_SQL}, {_TECHNIQUE} SELECT run_id, count(*) AS n, {', '.join(f"round(CASE WHEN count(*) >= 3 THEN quantile_cont({c}, 0.5) END, 8) AS {c}" for c in ("peak", "hit_s", "release_s", "hold_share"))} FROM te GROUP BY 1""")
 def typical_technique(spark, sf_dir):
     out = pedals.braking_technique(channel(spark, sf_dir, "view"), windows(spark, sf_dir), 0.5)
-    return rounded(pedals.typical_technique(out, ["run_id"]), 3)
+    return rounded(pedals.typical_technique(out, ["run_id"]), 8)
 
 
 _SIDES = """, sd AS (SELECT run_id, t AS mid, x.k AS k, t + x.k * 50000.0 AS t FROM samples, (VALUES (-1), (1)) x(k) WHERE channel = 'purchase'),
@@ -126,10 +126,9 @@ _SIDES = """, sd AS (SELECT run_id, t AS mid, x.k AS k, t + x.k * 50000.0 AS t F
  gv AS (SELECT run_id, mid AS t, (sum(CASE WHEN k = 1 THEN value END) - sum(CASE WHEN k = -1 THEN value END)) * 3600 / 100000.0 / 9.80665 AS v FROM s3 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {SAMPLES_SQL}, {_PIECES}{_SIDES} SELECT run_id, round(t, 3) AS t, round(v, 4) + 0.0 AS v FROM gv WHERE abs(v) <= 4")
+@query(f"WITH {SAMPLES_SQL}, {_PIECES}{_SIDES} SELECT run_id, round(t, 6) AS t, round(v, 6) + 0.0 AS v FROM gv WHERE abs(v) <= 4")
 def longitudinal_from_speed(spark, sf_dir):
-    out = rounded(grip.from_speed(channel(spark, sf_dir, "purchase"), 3600.0, 50_000.0), 4)
-    return out.withColumn("t", F.round("t", 3))
+    return rounded(grip.from_speed(channel(spark, sf_dir, "purchase"), 3600.0, 50_000.0))
 
 
 @query(f"""WITH {WINDOWS_SQL}, {_PIECES}, er AS (SELECT run_id, window_id, t, v FROM iw WHERE channel = 'error'), sv AS (SELECT run_id, t, v FROM samples WHERE channel = 'purchase'),

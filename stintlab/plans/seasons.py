@@ -179,10 +179,10 @@ def coach_plan(spark, sf_dir):
     return rounded(season.plan(_findings(spark, sf_dir), ["axis_id"]), 4).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"WITH {TIMES_SQL} SELECT group_id, segment, count(*) AS n, round(quantile_cont(seconds, 0.5), 3) AS median, round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 3) AS spread FROM times GROUP BY 1, 2 HAVING count(*) >= 3 AND round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 9) >= 1000")
+@query(f"WITH {TIMES_SQL} SELECT group_id, segment, count(*) AS n, round(quantile_cont(seconds, 0.5), 8) AS median, round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 8) AS spread FROM times GROUP BY 1, 2 HAVING count(*) >= 3 AND round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 9) >= 1000")
 def inconsistent_corners(spark, sf_dir):
     rows = t.sector_times(spark, sf_dir).select("group_id", "segment", F.col("seconds").alias("value"))
-    return rounded(season.inconsistent(rows, ["group_id", "segment"], 1000.0), 3)
+    return rounded(season.inconsistent(rows, ["group_id", "segment"], 1000.0), 8)
 
 
 @query(f"""WITH {TIMES_SQL}, m AS (SELECT run_id, segment AS segment_id, min(seconds) AS value FROM times WHERE lap_no % 3 > 0 GROUP BY 1, 2), g AS (SELECT DISTINCT run_id, segment AS segment_id, CAST(1400 AS DOUBLE) AS before, segment % 2 = 0 AS lower_is_better FROM times)
