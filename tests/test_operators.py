@@ -285,3 +285,25 @@ def test_query_is_its_sql(spark, duck, name):
 def test_queries_without_sql_run(spark):
     for name in set(QUERIES) - set(SQL):
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_a_pickup_that_is_let_go_again(spark):
+    from stintlab.operators import pedals
+
+    # window 1: picked up at 1.5 and let go at 3 while the speed rose by 1; window 2: kept; window 3: the speed rose by 20
+    throttle = {1: [0, 0, 80, 0, 0, 0], 2: [0, 0, 80, 90, 90, 95], 3: [0, 0, 80, 0, 0, 0]}
+    speed = {1: [10, 10, 10, 11, 11, 11], 2: [10, 12, 20, 30, 40, 50], 3: [10, 10, 10, 30, 31, 32]}
+    rows = [(1, "x", w * 100.0 + i, float(v)) for w, vs in throttle.items() for i, v in enumerate(vs)]
+    speeds = [(1, "v", w * 100.0 + i, float(v)) for w, vs in speed.items() for i, v in enumerate(vs)]
+    windows = spark.createDataFrame([(1, w, w * 100.0, w * 100.0 + 5) for w in throttle], "run_id long, window_id long, t0 double, t1 double")
+    got = pedals.pickup_then_lift(samples(spark, rows), samples(spark, speeds), windows, on=40.0, off=10.0, gain=5.0).collect()
+    assert [(r.window_id, r.pickup_t, r.lift_t, r.gained) for r in got] == [(1, 101.5, 103.0, 1.0)]
+
+
+def test_samples_find_the_last_window_that_began(spark):
+    from stintlab.operators import pedals
+
+    windows = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 2, 2.0, 3.0), (1, 3, 5.0, 5.0), (2, 1, 1.0, 9.0)], "run_id long, window_id long, t0 double, t1 double")
+    rows = samples(spark, [(1, "a", t, 1.0) for t in (-1.0, 0.0, 1.9, 2.0, 3.0, 3.1, 5.0, 6.0)] + [(2, "a", 9.0, 1.0), (3, "a", 1.0, 1.0)])
+    got = sorted((r.run_id, r.t, r.window_id) for r in pedals.in_windows(rows, windows).collect())
+    assert got == [(1, 0.0, 1), (1, 1.9, 1), (1, 2.0, 2), (1, 3.0, 2), (1, 5.0, 3), (2, 9.0, 1)]
