@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, secrets, suffixes, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, phrases, secrets, suffixes, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nn_descent": op1_nn_descent,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_token_files": op9_token_files,
         "op10_secrets": op10_secrets,
+        "op11_phrases": op11_phrases,
     }
 
 
@@ -86,6 +91,21 @@ _WINDOWS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SE
  FROM d LEFT JOIN ps USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+_PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ x AS (SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w CROSS JOIN range(1, 5) AS s(k)),
+ g AS (SELECT lang, size, phrase, count(*) AS f FROM x GROUP BY ALL),
+ c AS (SELECT *, string_split(phrase, ' ') AS v FROM g WHERE size > 1 AND f >= 30),
+ cuts AS (SELECT lang, phrase, size, f, k, array_to_string(v[1:k], ' ') AS x, array_to_string(v[k + 1:], ' ') AS y FROM c JOIN range(1, 4) AS s(k) ON k < size),
+ s AS (SELECT cuts.*, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.f // (l.f + r.f) AS BIGINT) AS score FROM cuts JOIN g l ON l.lang = cuts.lang AND l.phrase = x JOIN g r ON r.lang = cuts.lang AND r.phrase = y),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ y AS (SELECT lang, f, unnest(list_transform(range(1, size - m + 2), lambda j: array_to_string(v[j:j + m - 1], ' '))) AS phrase FROM c JOIN range(2, 4) AS s(m) ON m < size),
+ i AS (SELECT lang, phrase, max(f) AS longer FROM y GROUP BY ALL),
+ n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY 1)
+ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.f DESC, b.phrase) AS rank, b.phrase, b.f AS a, l, r, n, score
+ FROM b JOIN n USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE coalesce(100 * longer < 80 * b.f, true) QUALIFY rank <= 2000"""
+
+
 def _quoted(text: str) -> str:
     """A SQL literal; control characters by their codes."""
     parts = text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
@@ -140,4 +160,4 @@ def _warc_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS}
+    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS, "op11_phrases": _PHRASES}
