@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, jaccard, langid, nn_descent, phrases, secrets, suffixes, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, jaccard, langid, mix, nn_descent, phrases, secrets, suffixes, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(read(spark, sf_dir, "documents")).drop("copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nn_descent": op1_nn_descent,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_secrets": op10_secrets,
         "op11_phrases": op11_phrases,
+        "op12_mix": op12_mix,
     }
 
 
@@ -106,6 +111,19 @@ _PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_sp
  FROM b JOIN n USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE coalesce(100 * longer < 80 * b.f, true) QUALIFY rank <= 2000"""
 
 
+_MIX = r"""WITH d AS (SELECT doc_id, coalesce('s' || source, 't') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+ s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY key) - 1) % 3 AS w FROM d GROUP BY key),
+ o AS (SELECT *, row_number() OVER r AS i, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+ sum(w) OVER () - coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS den FROM s WINDOW r AS (ORDER BY source_size / w, key)),
+ f AS (SELECT CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den FROM o WHERE w * num <= 3 * source_size * den ORDER BY i LIMIT 1),
+ t AS (SELECT key, source_size, CASE WHEN w * num > 3 * source_size * den THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM s, f),
+ n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0.0 END AS whole FROM d JOIN t USING (key)),
+ u AS (SELECT *, target - whole * source_size AS rest, (CAST(CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', size, '|mix-1')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM n),
+ q AS (SELECT *, (u / (1 - u)) / ((rest / source_size) / (1 - rest / source_size)) AS odds, size > 0 AND rest > 0 AS due FROM u),
+ b AS (SELECT *, sum(CASE WHEN due THEN size ELSE 0 END) OVER (PARTITION BY key, due ORDER BY odds / (1 + odds), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM q)
+ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN due AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b"""
+
+
 def _quoted(text: str) -> str:
     """A SQL literal; control characters by their codes."""
     parts = text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
@@ -160,4 +178,4 @@ def _warc_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS, "op11_phrases": _PHRASES}
+    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS, "op11_phrases": _PHRASES, "op12_mix": _MIX}
