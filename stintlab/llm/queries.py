@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlab.llm import bpe, decontaminate, jaccard, langid, mix, nn_descent, phrases, secrets, suffixes, token_files, toxicity, warc
+from stintlab.llm import bpe, decontaminate, dual_tree, jaccard, langid, mix, nn_descent, phrases, secrets, suffixes, token_files, toxicity, warc
 from stintlab.llm.common import read
 
 
@@ -61,6 +61,10 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nn_descent": op1_nn_descent,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secrets": op10_secrets,
         "op11_phrases": op11_phrases,
         "op12_mix": op12_mix,
+        "op13_dual_tree": op13_dual_tree,
     }
 
 
@@ -124,6 +129,23 @@ _MIX = r"""WITH d AS (SELECT doc_id, coalesce('s' || source, 't') AS key, CAST(l
  SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN due AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b"""
 
 
+def _lloyd_sql(rounds: int = dual_tree.ROUNDS) -> str:
+    far = "CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = [
+        """e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+ FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, p AS c FROM (SELECT p, sha256('2:' || vec_id) AS h FROM e ORDER BY h LIMIT 40))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT i, vec_id, p, k, {far} AS d FROM e CROSS JOIN c{n} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, k) = 1)")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c
+ FROM (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(p) AS x, unnest(range(1, 65)) AS j FROM a{n}) GROUP BY k, j) GROUP BY k
+ UNION ALL SELECT k, c FROM c{n} WHERE k NOT IN (SELECT k FROM a{n}))""")
+    return f"""WITH {', '.join(steps)} SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
 def _quoted(text: str) -> str:
     """A SQL literal; control characters by their codes."""
     parts = text.replace("'", "''").replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
@@ -178,4 +200,4 @@ def _warc_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS, "op11_phrases": _PHRASES, "op12_mix": _MIX}
+    return {"op1_nn_descent": _VECTORS, "op6_warc": _warc_sql(), "op7_decontaminate": _WINDOWS, "op11_phrases": _PHRASES, "op12_mix": _MIX, "op13_dual_tree": _lloyd_sql()}
