@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
 #: Bits of the rank by which words are counted at once, how often at most, and how many rows of a source are ordered at last.
 BITS, LEVELS, ORDERED = 12, 4, 4096
+#: How many tasks the documents of one source are dealt to where its numbers are joined to them.
+SALTS = 32
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -70,10 +72,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return own.select("key", "source_size", F.when(above, (F.col("source_size") * most).cast("double")).otherwise(share).alias("target"))
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows (doc_id, size, ...) with what ``sources`` says of them: each source stands ``SALTS`` times, so that a source with
+    a third of all rows isn't one task's."""
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    dealt = sources.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt, [*on, "salt_"], how).drop("salt_")
+
+
 def ranked(docs: DataFrame, due: DataFrame) -> DataFrame:
     """Documents (doc_id, key, size) with their source's numbers and, where a sample is due, the rank v in (0, 1): Pareto's
     odds over one plus them."""
-    out = docs.join(due, "key")
+    out = with_sources(docs, due, ["key"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(F.lit(0.0))
     out = out.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     text = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.lit(SEED))
@@ -90,7 +100,7 @@ def _prefix(bits: int) -> Column:
 
 def ends(rows: DataFrame) -> DataFrame:
     """(key, last_v, last_id, last_size, last_n): the last row of each source's sample and how many rows like it are in."""
-    drawn = rows.where("v IS NOT NULL").select("key", "v", "size", "rest", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    drawn = rows.where("v IS NOT NULL").select("key", "v", "size", "rest", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     left, marks = drawn.withColumn("before", F.lit(0).cast("long")), None
     for level in range(LEVELS):
         bits = BITS * (level + 1)
@@ -101,7 +111,7 @@ def ends(rows: DataFrame) -> DataFrame:
         counts = counts.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(order), F.lit(0)))
         last = F.max(F.struct("part", "before", "rows")).alias("m")
         marks = cut(counts.where("before <= rest").groupBy("key").agg(last).select("key", "m.*"), "marks")
-        left = drawn.withColumn("part", _prefix(bits)).join(marks.select("key", "part", "before"), ["key", "part"])
+        left = with_sources(drawn.withColumn("part", _prefix(bits)), marks.select("key", "part", "before"), ["key", "part"])
         if (marks.agg(F.max("rows")).first()[0] or 0) <= ORDERED:
             break
     order = Window.partitionBy("key").orderBy("v", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +129,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, id_col: str = "doc_i
     sizes = cut(sized(docs, id_col, text_col, source_col), "sizes")
     due = targets(sizes.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most)
     rows = cut(ranked(sizes, due), "ranked")
-    out = rows.join(ends(rows), "key", "left")
+    out = with_sources(rows, ends(rows), ["key"], "left")
     id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
     alike = F.col("last_id").isNotNull() & (F.col("v") == F.col("last_v")) & (id_ == F.col("last_id")) & (F.col("size") == F.col("last_size"))
     out = out.withColumn("alike", F.coalesce(alike, F.lit(False)))
