@@ -14,6 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,10 +67,11 @@ def _is_known(run: str) -> bool:
     return run.isdigit() or len(run) in DIGEST_LENGTHS and bool(_ALL_HEX.fullmatch(run)) or bool(_UUID.fullmatch(run))
 
 
-def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a range outside of spans, which are sorted by their starts."""
+def uncovered(a: int, b: int, base: list[tuple[int, int, int]], first: int = 0) -> list[tuple[int, int]]:
+    """The parts of a range outside of spans, which are sorted by their starts, from the ``first`` on."""
     out = []
-    for s, _, e in base:
+    for i in range(first, len(base)):
+        s, _, e = base[i]
         if s >= b:
             break
         if a < s:
@@ -88,16 +91,17 @@ def spans_of(text: str | None, encode, min_ratio: float = MAX_RATIO) -> tuple[li
     base.sort()
     added = []
     if any(_RUN.search(w) for w in long):
+        # a run meets no span before the first whose end, or that of one before it, lies beyond the run's start
+        ends = list(accumulate((e for *_, e in base), max))
         for m in _RUN.finditer(text):
             if _is_known(m[0]):
                 continue
-            for a, b in uncovered(m.start(), m.end(), base):
+            for a, b in uncovered(m.start(), m.end(), base, bisect_right(ends, m.start())):
                 run = text[a:b]
                 # a piece begins or ends with what joined it to a span
                 if len(run) < MIN_RUN or len(run) < len(m[0]) and _is_known(run.strip("-_/+=")):
                     continue
-                # in parts, as an encoder's time may grow with the square of an unbroken run
-                if len(set(run)) >= 8 and len(run) < min_ratio * sum(len(encode(run[k : k + 1000])) for k in range(0, len(run), 1000)):
+                if len(set(run)) >= 8 and len(run) < min_ratio * len(encode(run)):
                     added.append((a, 3, b))
     return base, sorted(base + added)
 
