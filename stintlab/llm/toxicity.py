@@ -104,8 +104,10 @@ def located(text: str | None, z: np.ndarray, bag: np.ndarray, least: float = 0.0
         return []
     places = [m.span() for m in _PIECE.finditer(text)]  # one for each raw word
     out = []
-    for k in which.tolist():
-        own = [places[i] for i in np.flatnonzero(bag == k).tolist() if text[places[i][0]] != "\n"]
+    # words are in the order of their sentences
+    first, end = (np.searchsorted(bag, which, side).tolist() for side in ("left", "right"))
+    for k, i, j in zip(which.tolist(), first, end, strict=True):
+        own = [p for p in places[i:j] if text[p[0]] != "\n"]
         if own:
             out.append((own[0][0], own[-1][1], float(1 / (1 + np.exp(-z[k])))))
     return out
