@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stintlab.operators import shape
+from stintlab.operators import projection, shape
 from stintlab.plans import tables as t
 from stintlab.plans.registry import query, rounded
 from stintlab.plans.tables import SAMPLES_SQL
@@ -49,16 +49,61 @@ def square_fixes(spark, sf_dir):
     return rows.select("axis_id", "run_id", F.lit(1).cast("long").alias("lap_no"), k.cast("double").alias("t"), (east + le * F.col("off")).alias("east"), (north + ln * F.col("off")).alias("north"), "k")
 
 
-@query(f"WITH {_FIXES} SELECT axis_id, run_id, 1 AS lap_no, CAST(k AS DOUBLE) AS t, p AS progress_m, abs(off) AS metres FROM fx")
+#: Where a corner is cut, the window by the straight way driven may end short of a fix's place, which is then left out.
+_CUT = f"""{_FIXES}, en AS (SELECT *, CASE floor(p / side) WHEN 0 THEN p WHEN 1 THEN side - off WHEN 2 THEN 3 * side - p ELSE off END AS east, CASE floor(p / side) WHEN 0 THEN off WHEN 1 THEN p - side WHEN 2 THEN side - off ELSE 4 * side - p END AS north FROM fx),
+ be AS (SELECT *, lag(k) OVER w AS k0, lag(p) OVER w AS p0, sqrt((east - lag(east) OVER w) ** 2 + (north - lag(north) OVER w) ** 2) AS chord FROM en WINDOW w AS (PARTITION BY run_id ORDER BY k)),
+ kept AS (SELECT * FROM be WHERE k0 IS NULL OR k - k0 > 3 OR p < 2 * (floor(p0 / 2 + 0.5) + round(least(greatest(1.6 * chord, 15), 150) / 2) + 1))"""
+
+
+@query(f"WITH {_CUT} SELECT axis_id, run_id, 1 AS lap_no, CAST(k AS DOUBLE) AS t, p AS progress_m, abs(off) AS metres FROM kept")
 def projected_laps(spark, sf_dir):
-    return rounded(shape.projected(square_fixes(spark, sf_dir).drop("k"), square_axes(spark, sf_dir)), 4)
+    return rounded(projection.projected(square_fixes(spark, sf_dir).drop("k"), square_axes(spark, sf_dir)).drop("stretch"), 4)
+
+
+def _legs(p, length):
+    """(east, north) at p metres along a loop of two legs 12 m apart."""
+    east = F.when(p < length, p).when(p < length + 12, length).when(p < 2 * length + 12, 2 * length + 12 - p).otherwise(F.lit(0.0))
+    north = F.when(p < length, F.lit(0.0)).when(p < length + 12, p - length).when(p < 2 * length + 12, F.lit(12.0)).otherwise(2 * length + 24 - p)
+    return east, north
 
 
-@query(f"WITH {_FIXES} SELECT run_id * 1000 + k AS point_id, axis_id, off AS offset_m FROM fx WHERE run_id % 25 = 3 AND axis_id = 7")
+_CLOSE = """lg AS (SELECT *, CASE WHEN k <= m - 2 THEN 20 + 20 * k WHEN k = m - 1 THEN len + 6 WHEN k <= 2 * m - 2 THEN len + 32 + 20 * (k - m) ELSE 2 * len + 18 END AS p
+ FROM (SELECT CAST(c_nationkey AS BIGINT) AS axis_id, c_custkey AS run_id, c_custkey % 3 AS v, 20 + c_nationkey AS m, 400 + 20 * c_nationkey AS len FROM customer) c, range(0, 90) r(k) WHERE k < 2 * m),
+ lp AS (SELECT *, CASE WHEN v = 0 AND p BETWEEN 60 AND len - 60 THEN 6.5 ELSE 0 END AS off FROM lg WHERE NOT (v = 2 AND k BETWEEN 5 AND 9))"""
+
+
+def close_legs(spark, sf_dir):
+    """(axes, fixes): loops of two legs 12 m apart; laps that are driven 6.5 m off a leg towards the other, that stand and
+    reverse, and that have a gap."""
+    nation, run = F.col("n_nationkey").cast("long"), F.col("c_custkey")
+    axes = t.read(spark, sf_dir, "nation").select(nation.alias("axis_id"), (400.0 + 20 * nation).alias("len"))
+    axes = axes.select("axis_id", "len", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len").cast("long") + 11)).alias("idx")).withColumn("cum_m", F.col("idx") * F.lit(2.0))
+    east, north = _legs(F.col("cum_m"), F.col("len"))
+    axes = axes.select("axis_id", "idx", east.alias("east"), north.alias("north"), "cum_m")
+    k, m, length, p, v = (F.col(c) for c in ("k", "m", "len", "p", "v"))
+    rows = t.read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("axis_id"), run.alias("run_id"), (run % 3).alias("v"), (20 + F.col("c_nationkey")).alias("m"), (400.0 + 20 * F.col("c_nationkey")).alias("len"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), 2 * m - 1)))
+    rows = rows.withColumn("p", F.when(k <= m - 2, 20 + 20.0 * k).when(k == m - 1, length + 6).when(k <= 2 * m - 2, length + 32 + 20 * (k - m)).otherwise(2 * length + 18))
+    rows = rows.where(~((v == 2) & k.between(5, 9))).withColumn("off", F.when((v == 0) & p.between(60, length - 60), 6.5).otherwise(0.0)).withColumn("t", k.cast("double"))
+    extra = rows.where((v == 1) & (k.isin(7, 8) | (k == m + 5)))
+    extra = extra.withColumns({"t": F.col("t") + 0.5, "p": F.when(k == m + 5, p - 10).otherwise(p)})
+    rows = rows.unionByName(extra)
+    east, north = _legs(p, length)
+    return axes, rows.select("axis_id", "run_id", F.lit(1).cast("long").alias("lap_no"), "t", east.alias("east"), (north + F.col("off")).alias("north"))
+
+
+@query(f"""WITH {_CLOSE} SELECT axis_id, run_id, 1 AS lap_no, CASE WHEN v = 2 AND k > 9 OR v = 1 AND k > m + 5 THEN 1 ELSE 0 END AS stretch, CAST(k AS DOUBLE) AS t, p AS progress_m, off AS metres FROM lp
+ UNION ALL SELECT axis_id, run_id, 1, 0, k + 0.5, p, 0 FROM lp WHERE v = 1 AND k IN (7, 8)""")
+def projected_close_legs(spark, sf_dir):
+    """The other leg is nearer all along; a car that stands keeps its place, one that reverses isn't placed."""
+    axes, fixes = close_legs(spark, sf_dir)
+    return rounded(projection.projected(fixes, axes), 4)
+
+
+@query(f"WITH {_FIXES} SELECT run_id * 1000 + k AS point_id, axis_id, off AS offset_m FROM fx")
 def lateral_offsets(spark, sf_dir):
-    """Of one axis, since the points carry no axis."""
-    points = square_fixes(spark, sf_dir).where("axis_id = 7 and run_id % 25 = 3").select((F.col("run_id") * 1000 + F.col("k")).alias("point_id"), "east", "north")
-    return rounded(shape.lateral_offsets(points, square_axes(spark, sf_dir).where("axis_id = 7")).drop("idx"), 4)
+    points = square_fixes(spark, sf_dir).select((F.col("run_id") * 1000 + F.col("k")).alias("point_id"), "axis_id", "east", "north")
+    return rounded(shape.lateral_offsets(points, square_axes(spark, sf_dir)).drop("idx"), 4)
 
 
 @query(f"""WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS axis_id, k, k / 4.0 AS q, 400.0 + 10 * n_nationkey AS s FROM nation, range(0, 16) r(k))

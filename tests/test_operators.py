@@ -191,9 +191,9 @@ def test_laps_of_a_circle(spark):
 
 def test_axis_progress_and_delta(spark):
     line = track.axis_of(spark.createDataFrame([(1, i, 10.0 * i, 0.0) for i in range(50)], "axis_id long, idx long, east double, north double"))
-    points = spark.createDataFrame([(k, 3.0 + 10 * k, (-1.0) ** k * 2) for k in range(40)] + [(99, 100.0, 90.0)], "point_id long, east double, north double")
+    points = spark.createDataFrame([(k, 1, 3.0 + 10 * k, (-1.0) ** k * 2) for k in range(40)] + [(99, 1, 100.0, 90.0), (98, 2, 100.0, 2.0)], "point_id long, axis_id long, east double, north double")
     got = {r.point_id: r for r in track.nearest(points, line).collect()}
-    assert 99 not in got and all(got[k].progress_m == 10.0 * k for k in range(40))
+    assert not {98, 99} & set(got) and all(got[k].progress_m == 10.0 * k for k in range(40))
     progress = spark.createDataFrame([(1, 1, lap, v * t, float(t)) for lap, v in ((1, 20.0), (2, 25.0)) for t in range(20)], "axis_id long, run_id long, lap_no long, progress_m double, t double")
     pairs = spark.createDataFrame([(1, 1, 1, 1, 2)], "axis_id long, a_run long, a_lap long, b_run long, b_lap long")
     delta = {r.at_m: r.delta_s for r in along.timed_delta(progress, pairs, 50.0).collect()}
