@@ -176,31 +176,6 @@ def recording_drift(spark, sf_dir):
     return rounded(out.select("pair_id", "n", "slope", "offset_s", "verdict"))
 
 
-def _routes(spark, sf_dir):
-    points = shape.resampled(square_axes(spark, sf_dir), shape.POINTS)
-    # 256 points a line
-    lines = points.groupBy(F.col("axis_id").alias("line_id")).agg(F.array_sort(F.collect_list(F.struct("k", "east", "north"))).alias("p"))
-    lines = lines.select("line_id", (4 * (400.0 + 10 * F.col("line_id"))).alias("length_m"), F.transform("p", lambda x: x["east"]).alias("east"), F.transform("p", lambda x: x["north"]).alias("north"))
-    ids = lines.select(F.col("line_id").alias("a_id"))
-    # routes of near lengths only
-    pairs = ids.withColumn("b_id", F.explode(F.sequence(F.col("a_id") + 1, F.col("a_id") + 3))).where("b_id < 25")
-    return shape.matching_routes(lines, pairs)
-
-
-_RMS = "m AS (SELECT sqrt(avg(x * x + y * y)) AS r FROM (SELECT CASE floor(k / 64) WHEN 0 THEN (k % 64) / 64.0 WHEN 1 THEN 1 WHEN 2 THEN 1 - (k % 64) / 64.0 ELSE 0 END AS x, CASE floor(k / 64) WHEN 0 THEN 0 WHEN 1 THEN (k % 64) / 64.0 WHEN 2 THEN 1 ELSE 1 - (k % 64) / 64.0 END AS y FROM range(0, 256) t(k)))"
-
-
-@query(f"WITH {_RMS} SELECT a AS a_id, a + 1 AS b_id, round(10 * r, 3) AS rms_m, round(10 * sqrt(2), 3) AS most_m FROM m, range(0, 24) t(a)")
-def matching_routes(spark, sf_dir):
-    return rounded(_routes(spark, sf_dir), 3)
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS run_id, CAST(n_nationkey - n_nationkey % 2 AS BIGINT) AS route FROM nation")
-def route_groups(spark, sf_dir):
-    runs = t.read(spark, sf_dir, "nation").select(F.lit(1).cast("long").alias("day"), F.col("n_nationkey").cast("long").alias("run_id"))
-    return shape.route_groups(runs, _routes(spark, sf_dir).select(F.lit(1).cast("long").alias("day"), "a_id", "b_id")).drop("day")
-
-
 _NAMES = ("click", "error", "purchase", "signup", "view")
 _HEAD = "[header]\nvelocity kmh\ncoordinate units = degrees\n[column names]\ntime " + " ".join(_NAMES) + "\n[data]\n"
 _TEXT = (

@@ -92,14 +92,6 @@ def test_projection_leaves_out_what_is_far_or_ambiguous(spark):
     assert got == {t: pytest.approx(m) for t, m in ((0.0, 20.0), (1.0, 50.0), (3.0, 150.0), (6.0, 300.0))}
 
 
-def test_routes_match_whatever_their_start(spark):
-    turn = np.exp(2j * np.pi * np.arange(shape.POINTS) / shape.POINTS)
-    lines = [(1, turn * 200), (2, np.roll(turn * 203, 40)), (3, turn[::-1] * 200), (4, turn * 200 + 60), (5, turn.real * 250 + 1j * turn.imag * 150)]
-    df = spark.createDataFrame([(k, 1250.0, z.real.tolist(), z.imag.tolist()) for k, z in lines], "line_id long, length_m double, east array<double>, north array<double>")
-    pairs = spark.createDataFrame([(1, k) for k in range(2, 6)], "a_id long, b_id long")
-    assert [(r.a_id, r.b_id, round(r.rms_m, 6)) for r in shape.matching_routes(df, pairs).collect()] == [(1, 2, 3.0)]
-
-
 def test_folders_and_files_as_one_list(spark, tmp_path):
     from stintlab.sources.intake import scan
 
