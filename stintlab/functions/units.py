@@ -15,6 +15,9 @@ _SPEED_NAMES = {
 }
 #: Units of a direction.
 DEGREE_UNITS = ("", "deg", "degree", "degrees", "°")
+#: Words for a direction and for where it comes from.
+DIRECTIONS = ("heading", "course", "bearing")
+DIRECTION_SOURCES = ("gps", "calc", "rcz", "obd")
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -54,9 +57,14 @@ def is_temperature(name: Column) -> Column:
 
 
 def is_direction(name: Column, unit: Column) -> Column:
-    """Whether a channel is a compass direction: its name with at most a source or a unit after it, in degrees."""
-    pattern = r"(?i)^(gps[ _-]?)?(heading|course|bearing)([ _-](gps|calc|rcz|obd|deg|degrees))?(\s*\((deg|degrees|°)\))?$"
-    return F.trim(name).rlike(pattern) & F.lower(F.trim(unit)).isin(*DEGREE_UNITS)
+    """Whether a channel is a compass direction, in degrees: its name's words are one of the directions, a receiver before it
+    or not, and behind it at most a source or a unit, then a unit."""
+    words = F.filter(F.split(F.lower(F.trim(name)), "[-_ ()]+"), lambda w: w != "")
+    first = F.when((F.get(words, F.lit(0)) == "gps") & (F.size(words) > 1), 1).otherwise(0)
+    left = F.size(words) - first - 1
+    after, last = (F.get(words, first + k) for k in (1, 2))
+    behind = (left == 0) | (left == 1) & after.isin(*DIRECTION_SOURCES, *DEGREE_UNITS) | (left == 2) & after.isin(*DIRECTION_SOURCES, "deg", "degrees") & last.isin(*DEGREE_UNITS)
+    return F.get(words, first).isin(*DIRECTIONS) & behind & F.lower(F.trim(unit)).isin(*DEGREE_UNITS)
 
 
 def declared_unit(own: Column, name: Column, headers: Column) -> Column:
@@ -79,10 +87,17 @@ SPREAD_BANDS = (0.10, 0.25, 0.50, 1.00)
 TOLERANCES = {"km/h": 2.0, "kmh": 2.0, "kph": 2.0, "%": 3.0, "g": 0.05, "c": 2.0, "°c": 2.0, "degc": 2.0, "rpm": 100.0}
 
 
+def _digits(text: Column, least: int, most: int) -> Column:
+    """Whether a text is that many of the ten digits."""
+    return F.length(text).between(least, most) & (F.translate(text, "0123456789", "") == "")
+
+
 def setup_number(text: Column) -> Column:
     """Up to three digits and up to two decimals after a point, white space apart, or null."""
-    clean = F.regexp_replace(text, r"\s", "")
-    return F.when(clean.rlike(r"^\d{0,3}(\.\d{0,2})?$") & clean.rlike(r"\d"), F.concat(F.lit("0"), clean).try_cast("double"))
+    parts = F.split(F.regexp_replace(text, r"\s", ""), "[.]")
+    whole, rest = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    fits = (F.size(parts) <= 2) & _digits(whole, 0, 3) & _digits(rest, 0, 2) & (F.length(whole) + F.length(rest) > 0)
+    return F.when(fits, F.concat(F.lit("0"), whole, F.lit("."), rest, F.lit("0")).cast("double"))
 
 
 def spread_band(seconds: Column) -> Column:
@@ -102,15 +117,17 @@ def celsius(value: Column, unit: Column) -> Column:
 
 def parse_clock(text: Column) -> Column:
     """Seconds of ``HH:MM:SS.f``, ``HHMMSS.f`` or plain seconds; null for anything else."""
-    colon = r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$"
-    packed = r"^(\d{2})(\d{2})(\d{2}(?:\.\d+)?)$"
-
-    def total(pattern: str) -> Column:
-        h, m, s = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2, 3))
-        return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
-
-    plain = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
-    return F.when(text.rlike(colon), total(colon)).when(text.rlike(packed), total(packed)).otherwise(plain)
+    point = F.split(text, "[.]")
+    whole, rest = F.get(point, F.lit(0)), F.get(point, F.lit(1))
+    sound = (F.size(point) == 1) | (F.size(point) == 2) & _digits(rest, 1, 1000)
+    places = F.split(whole, ":")
+    packed = _digits(whole, 6, 6)
+    h, m, s = (F.when(packed, F.substring(whole, 2 * k + 1, 2)).otherwise(F.get(places, F.lit(k))) for k in range(3))
+    clock = packed | (F.size(places) == 3) & _digits(h, 1, 2) & _digits(m, 2, 2) & _digits(s, 2, 2)
+    # a day's hours, an hour's minutes, a minute's seconds
+    h, m, s = h.try_cast("int"), m.try_cast("int"), F.concat_ws(".", s, rest).try_cast("double")
+    total = F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
+    return F.when(sound & clock, total).when(sound & _digits(whole, 1, 1000), text.try_cast("double"))
 
 
 def lap_time_text(seconds: Column) -> Column:
