@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintlab.operators.written import shared_folder
+from stintlab.operators.written import written as cut  # noqa: F401  ends lineage
+
 #: Characters of text that a task turns into results at once.
 SLICE_CHARS = 4_000_000
 
@@ -111,32 +111,6 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which all executors see; under /tmp only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/stintlab-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_WRITTEN: list[str] = []
-
-
-def _clear() -> None:
-    """Removes what :func:`cut` wrote, when the driver's Python ends: until then a plan may read it."""
-    jvm = SparkContext._jvm
-    for path in _WRITTEN if jvm is not None else ():
-        # a store that is gone by then, or a session that was cut off, is no reason to fail at the end
-        with contextlib.suppress(Exception):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again, which ends their lineage. The folder goes when the driver's
-    Python ends."""
-    path = shared_dir(df.sparkSession, name)
-    if not _WRITTEN:
-        atexit.register(_clear)
-    _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new folder's URI below spark.checkpoint.dir, which all executors see. Where that is unset, a session on one machine
+    gets a folder of its own and a cluster an error."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
