@@ -27,8 +27,11 @@ from stintlab.llm.common import crc_mod, kept, slices
 
 DIM, ORDER, SEED = 1024, 3, 20240229
 UNKNOWN = "und"
-#: The least cosine of a text that is like a language, five deviations of chance, and characters from which a text shows.
-MIN_SCORE, JUDGED_CHARS = 5 / DIM**0.5, 400
+#: The least cosine of a text that is like a language, five deviations of chance; and deviations of the text's own scatter,
+#: one over the root of its distinct n-grams, by which it may fall short.
+MIN_SCORE, OWN_SCATTER = 5 / DIM**0.5, 1.0
+#: What a prediction adds.
+TOLD = ("lang_pred", "score", "n_grams")
 #: Languages that may be learned; their prototypes go to every task.
 MAX_LANGUAGES = 2000
 #: Letters whose vectors a worker keeps, a kilobyte each; then it starts again.
@@ -169,7 +172,8 @@ def learn(training: DataFrame, dim: int = DIM, order: int = ORDER, seed: int = S
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM, order: int = ORDER, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with ``lang_pred`` and ``score``, the cosine cut to 0 to 1."""
+    """``docs`` (doc_id, text and any more columns) with ``lang_pred``, ``score``, the cosine cut to 0 to 1, and ``n_grams``, how
+    many distinct ones the text has."""
     names = list(prototypes)
     held = docs.sparkSession.sparkContext.broadcast(np.stack([prototypes[n] for n in names]).astype(np.float32) if names else None)
     at = docs.columns.index("text")
@@ -179,7 +183,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
         for batch in batches:
             for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                lang, score, n_grams = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
                 for start, group in _groups(texts) if names else ():
                     counts, grams, has = profile(group, space)
                     vectors = counts @ grams.astype(np.float32)
@@ -189,12 +193,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                     for i in np.flatnonzero(has).tolist():
                         lang[start + i] = names[best[i]]
                         score[start + i] = float(min(1.0, max(0.0, near[i, best[i]])))
+                    n_grams[start : start + len(group)] = (counts > 0).sum(1).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=[*part.schema.names, "lang_pred", "score"],
+                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n_grams, pa.int64())],
+                    names=[*part.schema.names, *TOLD],
                 )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(TOLD, (T.StringType(), T.DoubleType(), T.LongType()), strict=True))])
     return docs.mapInArrow(run, schema)
 
 
@@ -212,13 +217,17 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(split.select("doc_id", "held_out", "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, judged: int = JUDGED_CHARS) -> DataFrame:
-    """The documents, all columns, without those that have no letter, or that are ``judged`` characters long or longer and
-    resemble no learned language: unrelated texts' cosines scatter around zero by one over the root of the dimensions."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, own_scatter: float = OWN_SCATTER) -> DataFrame:
+    """The documents, all columns, without those that have no letter or resemble no learned language.
+
+    Unrelated texts' cosines scatter around zero by one over the root of the dimensions; a text's cosine with its own language
+    scatters by one over the root of its distinct n-grams, so that a text shows the less the shorter it is. Each text is
+    judged by both: it goes if its cosine falls short of ``min_score`` by more than ``own_scatter`` of its own deviations.
+    """
     prototypes = learn(held_out_split(docs).where("not held_out"))
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns))
-    clash = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in ("lang_pred", "score")}
+    clash = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in TOLD}
     told = predict(plain.withColumnsRenamed(clash), prototypes)
-    alike = (F.col("score") >= min_score) | (F.length("text") < judged)
-    kept = told.where((F.col("lang_pred") != UNKNOWN) & alike).drop("lang_pred", "score")
+    alike = F.col("score") + own_scatter / F.sqrt(F.greatest("n_grams", F.lit(1))) >= min_score
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & alike).drop(*TOLD)
     return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))
