@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM, BUCKET_DOCS, BUCKET_BYTES = 50, 20, 256, 2 << 20
+#: Bits of a hash that name a range at most: 16 million ranges, enough for a hundred terabytes.
+MOST_BITS = 24
 #: Windows of a segment at most, which bounds it where a text repeats itself.
 WIDEST = 128
 #: Bytes of segments that are sorted at once, about.
@@ -211,8 +214,12 @@ def _from_five(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _ranges(values: np.ndarray, parts: int) -> np.ndarray:
-    return np.searchsorted(values, np.arange(parts + 1))
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of sorted values each with where it begins and ends."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True):
+        if z > a:
+            yield int(values[a]), a, z
 
 
 def _table(columns: dict[str, tuple]) -> pa.Table:
@@ -224,10 +231,11 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS, bucket_bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     buckets = max(1, math.ceil(size.n / bucket_docs), math.ceil(size.bytes / bucket_bytes))
-    bits = min(16, max(4, math.ceil(math.log2(max(2, buckets / 4)))))
+    bits = min(MOST_BITS, max(4, math.ceil(math.log2(max(2, buckets / 4)))))
     shift, five = np.uint64(64 - bits), np.uint64(24 - bits)
     mask = np.uint64((1 << 40) - 1)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets))).groupBy("bucket")
+    # rows of one id, or of none, go by their texts too, as any number of them may have it
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(buckets))).groupBy("bucket")
 
     def hashed(key: tuple, table: pa.Table) -> pa.Table:
         """The bucket's anchors by range of hashes, and which of them several documents here have."""
@@ -241,8 +249,7 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS, bucket_bytes
             differs = np.concatenate(([False], (owner[1:] != owner[:-1]) & ~new[1:]))
             several = np.add.reduceat(differs, start) > 0
         h = h[start]
-        cuts = _ranges((h >> np.uint64(40)).astype(np.int64), 1 << bits)
-        own = [(p, _five(h[a:z] & mask), np.packbits(several[a:z]).tobytes()) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+        own = [(p, _five(h[a:z] & mask), np.packbits(several[a:z]).tobytes()) for p, a, z in _runs((h >> np.uint64(40)).astype(np.int64))]
         p, keys, flags = zip(*own, strict=True) if own else ((), (), ())
         return _table({"part": (list(p), pa.int64()), "bucket": ([key[0].as_py()] * len(p), pa.int64()), "keys": (list(keys), pa.binary()), "flags": (list(flags), pa.binary())})
 
@@ -275,8 +282,7 @@ def remove_repeats(docs: DataFrame, bucket_docs: int = BUCKET_DOCS, bucket_bytes
         first = np.array(first, np.int64)
         first = first[np.argsort(b.hash[first] >> shift, kind="stable")]
         texts = b.texts(first)
-        cuts = _ranges((b.hash[first] >> shift).astype(np.int64), 1 << bits)
-        own = [(p, a, z) for p, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if z > a]
+        own = list(_runs((b.hash[first] >> shift).astype(np.int64)))
         return _table({
             "part": ([p for p, _, _ in own], pa.int64()), "bucket": ([key[0].as_py()] * len(own), pa.int64()),
             "numbers": ([first[a:z].astype("<u4").tobytes() for _, a, z in own], pa.binary()),
