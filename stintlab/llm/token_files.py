@@ -189,8 +189,10 @@ def write_tokens(
     path = vocabulary_path or default_vocabulary()
     rows = id_text(docs)
     files = max(1, -(-rows.count() // docs_a_file))
-    # the text breaks ties, so that a task that runs again writes the same file
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's hash and the text break ties: rows of one id, or of none, spread over files, and a task that runs again
+    # writes the same file
+    ties = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = ties.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
