@@ -293,7 +293,7 @@ def _links(graph: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFra
     members = cut(names.select("component", F.col("node").alias("rep")), "members")
 
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("m") / EXACT_BLOCK).cast("int")
     rows = members.join(sizes, "component").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
     rows = rows.join(reps, "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select(
