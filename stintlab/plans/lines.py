@@ -129,33 +129,54 @@ def line_deviations(spark, sf_dir):
     return rounded(shape.line_deviations(points))
 
 
-_FEATURES = """fe AS (SELECT axis_id, i * 5.0 AS cum_m, curvature FROM (SELECT l_suppkey AS axis_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS i, l_discount - 0.05 AS curvature FROM lineitem) WHERE i <= 100),
- co AS (SELECT axis_id, segment_id, (segment_id - 1) * 250.0 + 2.5 AS start_m, segment_id * 250.0 + 2.5 AS end_m FROM (SELECT DISTINCT axis_id FROM fe), range(1, 3) r(segment_id)),
- sz AS (SELECT axis_id, segment_id, cum_m, abs(curvature) AS c, abs(curvature) / nullif(max(abs(curvature)) OVER (PARTITION BY axis_id, segment_id), 0) AS s FROM fe JOIN co USING (axis_id) WHERE cum_m BETWEEN start_m AND end_m),
- la AS (SELECT *, coalesce(last_value(CASE WHEN s >= 0.8 THEN 1 WHEN s < 0.6 THEN 0 END IGNORE NULLS) OVER (PARTITION BY axis_id, segment_id ORDER BY cum_m), 0) AS active FROM sz),
- be AS (SELECT *, CASE WHEN active = 1 AND coalesce(lag(active) OVER (PARTITION BY axis_id, segment_id ORDER BY cum_m), 0) = 0 THEN 1 ELSE 0 END AS begins FROM la),
- rg AS (SELECT axis_id, segment_id, region, min(cum_m) AS from_m, max(cum_m) AS to_m, max(c) AS peak FROM (SELECT *, sum(begins) OVER (PARTITION BY axis_id, segment_id ORDER BY cum_m) AS region FROM be) WHERE active = 1 GROUP BY 1, 2, 3)"""
+#: Every supplier's line items are points 5 m apart, fifty a corner; a corner's form goes by supplier and number, its values
+#: by the tax too.
+_FORMS = (
+    "greatest(0.0, 1 - abs(j - 25) / 20.7)", "CASE WHEN j BETWEEN 5 AND 45 THEN greatest(0.5, 1 - abs(j - 33) / 8.3) ELSE 0.0 END", "CASE WHEN j <= 46 THEN j / 45.7 ELSE 0.0 END",
+    "CASE WHEN j >= 3 THEN (49 - j) / 45.7 ELSE 0.0 END", "greatest(0.0, 1 - abs(j - 13) / 8.3, 1 - abs(j - 37) / 8.3)", "greatest(0.0, 1 - abs(j - 9) / 6.7, 1 - abs(j - 25) / 6.7, 1 - abs(j - 41) / 6.7)",
+    "greatest(0.0, 1 - abs(j - 13) / 10.7) - 0.8 * greatest(0.0, 1 - abs(j - 37) / 10.7)", "0.0", "CASE WHEN j = 25 THEN 1.0 ELSE 0.0 END",
+)
+_FORM = "CASE (axis_id + c) % 9 " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(_FORMS)) + " END"
+_FEATURES = f"""pt AS (SELECT l_suppkey AS axis_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS i, l_tax FROM lineitem),
+ pc AS (SELECT axis_id, i, i // 50 AS c, i % 50 AS j, l_tax FROM pt),
+ fe AS (SELECT axis_id, c, j, i * 5.0 AS cum_m, CASE WHEN (axis_id + c) % 2 = 0 THEN 1 ELSE -1 END * 0.02 * (1 + 0.01 * l_tax) * CAST({_FORM} AS DOUBLE) AS curvature FROM pc),
+ tu AS (SELECT *, sign(sum(curvature) OVER p) * curvature AS turning, count(*) OVER p AS points, sign(sum(curvature) OVER p) AS way FROM fe WINDOW p AS (PARTITION BY axis_id, c)),
+ pk AS (SELECT * FROM (SELECT *, max(turning) OVER (PARTITION BY axis_id, c) AS peak FROM tu) WHERE points >= 3 AND peak > 0 AND way <> 0),
+ la AS (SELECT *, coalesce(last_value(CASE WHEN turning >= 0.8 * peak THEN 1 WHEN turning < 0.6 * peak THEN 0 END IGNORE NULLS) OVER (PARTITION BY axis_id, c ORDER BY j), 0) AS active FROM pk),
+ be AS (SELECT *, CASE WHEN active = 1 AND coalesce(lag(active) OVER (PARTITION BY axis_id, c ORDER BY j), 0) = 0 THEN 1 ELSE 0 END AS begins FROM la),
+ rg AS (SELECT axis_id, c, region, min(j) AS a, max(j) AS z, min(cum_m) AS from_m, max(cum_m) AS to_m, max(turning) AS peak FROM (SELECT *, sum(begins) OVER (PARTITION BY axis_id, c ORDER BY j) AS region FROM be) WHERE active = 1 AND turning >= 0.8 * peak GROUP BY 1, 2, 3),
+ tp AS (SELECT axis_id, c, count(*) AS parts, min(a) AS a, max(z) AS z, min((from_m + to_m) / 2) AS apex_m, min((z - a) * 2.5) AS half_m FROM rg GROUP BY 1, 2)"""
 
 
 def _curved(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber")
-    rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("axis_id"), F.row_number().over(w).alias("i"), (F.col("l_discount") - 0.05).alias("curvature")).where("i <= 100")
-    features = rows.select("axis_id", (F.col("i") * F.lit(5.0)).alias("cum_m"), "curvature")
-    corners = features.select("axis_id").distinct().select("axis_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("segment_id"))
-    return features, corners.select("axis_id", "segment_id", ((F.col("segment_id") - 1) * F.lit(250.0) + 2.5).alias("start_m"), (F.col("segment_id") * F.lit(250.0) + 2.5).alias("end_m"))
+    rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("axis_id"), (F.row_number().over(w) - 1).alias("i"), "l_tax")
+    rows = rows.select("axis_id", "i", F.floor(F.col("i") / 50).alias("c"), (F.col("i") % 50).alias("j"), "l_tax")
+    form = F.expr(_FORM).cast("double") * F.when((F.col("axis_id") + F.col("c")) % 2 == 0, 1).otherwise(-1) * 0.02 * (1 + 0.01 * F.col("l_tax"))
+    features = rows.select("axis_id", (F.col("i") * F.lit(5.0)).alias("cum_m"), form.alias("curvature"))
+    corners = rows.select("axis_id", F.col("c").cast("long").alias("segment_id")).distinct()
+    return features, corners.select("axis_id", "segment_id", (F.col("segment_id") * F.lit(250.0)).alias("start_m"), (F.col("segment_id") * F.lit(250.0) + 250).alias("end_m"))
 
 
-@query(f"WITH {_FEATURES} SELECT axis_id, segment_id, CAST(region AS BIGINT) AS region, from_m, to_m, round(peak, 4) AS peak FROM rg")
+@query(f"WITH {_FEATURES} SELECT axis_id, c AS segment_id, CAST(region AS BIGINT) AS region, from_m, to_m, (from_m + to_m) / 2 AS apex_m, round(peak, 6) AS peak FROM rg")
 def apex_regions(spark, sf_dir):
-    return rounded(shape.apex_regions(*_curved(spark, sf_dir)), 4)
+    return rounded(shape.apex_regions(*_curved(spark, sf_dir)), 6)
 
 
-@query(f"""WITH {_FEATURES}, tp AS (SELECT *, row_number() OVER (PARTITION BY axis_id, segment_id ORDER BY peak DESC, region) AS r, count(*) OVER (PARTITION BY axis_id, segment_id) AS n FROM rg),
- sh AS (SELECT axis_id, segment_id, n AS regions, ((from_m + to_m) / 2 - start_m) / (end_m - start_m) AS apex_share FROM tp JOIN co USING (axis_id, segment_id) WHERE r = 1)
- SELECT axis_id, segment_id, regions, round(apex_share, 4) AS apex_share, CASE WHEN regions >= 3 THEN 'complex' WHEN regions = 2 THEN 'double apex' WHEN apex_share < 0.4 THEN 'early apex' WHEN apex_share > 0.6 THEN 'late apex' ELSE 'single apex' END AS shape FROM sh""")
+@query(f"""WITH {_FEATURES} SELECT axis_id, c AS segment_id, c * 250.0 AS entry_m, CASE WHEN parts = 1 THEN apex_m END AS apex_m, c * 250.0 + 250 AS exit_m, CASE WHEN parts = 1 THEN greatest(11.0, half_m + 5) END AS tolerance_m, coalesce(parts, 0) AS apexes,
+ CASE WHEN parts IS NULL THEN 'insufficient geometry' WHEN parts > 1 THEN 'multiple apexes' WHEN half_m > 11 THEN 'broad peak' ELSE 'resolved' END AS state FROM (SELECT DISTINCT axis_id, c FROM pc) LEFT JOIN tp USING (axis_id, c)""")
+def corner_geometry(spark, sf_dir):
+    return rounded(shape.corner_phases(*_curved(spark, sf_dir), smoothing_m=6.0), 4)
+
+
+@query(f"""WITH {_FEATURES}, sp AS (SELECT axis_id, c, min(CASE WHEN turning >= least(0.004, peak / 2) THEN j END) AS f, max(CASE WHEN turning >= least(0.004, peak / 2) THEN j END) AS l, greatest(0, 0 - min(turning)) / max(peak) AS reversal FROM pk GROUP BY 1, 2),
+ hv AS (SELECT axis_id, c, avg(CASE WHEN j >= f AND j < f + (l - f + 1) // 2 THEN greatest(turning, 0) END) AS m1, avg(CASE WHEN j <= l AND j > l - (l - f + 1) // 2 THEN greatest(turning, 0) END) AS m2 FROM pk JOIN sp USING (axis_id, c) GROUP BY 1, 2),
+ al AS (SELECT axis_id, c, parts, reversal, m2 / nullif(m1, 0) AS ratio, (a - f) / nullif(l - f, 0) AS b, (z - f) / nullif(l - f, 0) AS e, ((a + z) / 2 - f) / nullif(l - f, 0) AS mid, parts IS NULL OR (parts = 1 AND l - f < 2) AS lacking FROM (SELECT DISTINCT axis_id, c FROM pc) LEFT JOIN sp USING (axis_id, c) LEFT JOIN tp USING (axis_id, c) LEFT JOIN hv USING (axis_id, c))
+ SELECT axis_id, c AS segment_id, CASE WHEN lacking THEN NULL WHEN reversal >= 0.6 OR parts >= 3 THEN 'complex' WHEN parts = 2 THEN 'double apex' WHEN coalesce(ratio, 'infinity'::DOUBLE) >= 1.3 AND e >= 0.8 THEN 'decreasing radius'
+ WHEN ratio <= 1 / 1.3 AND b <= 0.2 THEN 'increasing radius' WHEN mid >= 0.6 THEN 'late apex' ELSE 'single apex' END AS shape, CASE WHEN lacking THEN 'insufficient geometry' END AS reason,
+ CAST(CASE WHEN lacking THEN 0 ELSE parts END AS BIGINT) AS tight_parts, NOT lacking AND coalesce(reversal >= 0.6, false) AS changes_direction, round(CASE WHEN NOT lacking AND parts = 1 THEN least(greatest(mid, 0), 1) END, 4) AS apex_fraction, round(CASE WHEN NOT lacking AND parts = 1 THEN ratio END, 4) AS radius_ratio FROM al""")
 def corner_shapes(spark, sf_dir):
-    features, corners = _curved(spark, sf_dir)
-    return rounded(shape.corner_shapes(shape.apex_regions(features, corners), corners), 4)
+    return rounded(shape.corner_shapes(*_curved(spark, sf_dir)), 4)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS axis_id, c_custkey, c_acctbal AS east, c_custkey * 3.0 AS north FROM customer), s AS (SELECT axis_id, greatest(max(east) - min(east), max(north) - min(north)) AS side, (max(east) + min(east)) / 2 AS me, (max(north) + min(north)) / 2 AS mn FROM c GROUP BY 1)
