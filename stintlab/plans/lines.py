@@ -132,9 +132,9 @@ def line_deviations(spark, sf_dir):
 #: Every supplier's line items are points 5 m apart, fifty a corner; a corner's form goes by supplier and number, its values
 #: by the tax too.
 _FORMS = (
-    "greatest(0.0, 1 - abs(j - 25) / 20.7)", "CASE WHEN j BETWEEN 5 AND 45 THEN greatest(0.5, 1 - abs(j - 33) / 8.3) ELSE 0.0 END", "CASE WHEN j <= 46 THEN j / 45.7 ELSE 0.0 END",
-    "CASE WHEN j >= 3 THEN (49 - j) / 45.7 ELSE 0.0 END", "greatest(0.0, 1 - abs(j - 13) / 8.3, 1 - abs(j - 37) / 8.3)", "greatest(0.0, 1 - abs(j - 9) / 6.7, 1 - abs(j - 25) / 6.7, 1 - abs(j - 41) / 6.7)",
-    "greatest(0.0, 1 - abs(j - 13) / 10.7) - 0.8 * greatest(0.0, 1 - abs(j - 37) / 10.7)", "0.0", "CASE WHEN j = 25 THEN 1.0 ELSE 0.0 END",
+    "greatest(0.0e0, 1 - abs(j - 25) / 20.7e0)", "CASE WHEN j BETWEEN 5 AND 45 THEN greatest(0.5e0, 1 - abs(j - 33) / 8.3e0) ELSE 0.0e0 END", "CASE WHEN j <= 46 THEN j / 45.7e0 ELSE 0.0e0 END",
+    "CASE WHEN j >= 3 THEN (49 - j) / 45.7e0 ELSE 0.0e0 END", "greatest(0.0e0, 1 - abs(j - 13) / 8.3e0, 1 - abs(j - 37) / 8.3e0)", "greatest(0.0e0, 1 - abs(j - 9) / 6.7e0, 1 - abs(j - 25) / 6.7e0, 1 - abs(j - 41) / 6.7e0)",
+    "greatest(0.0e0, 1 - abs(j - 13) / 10.7e0) - 0.8e0 * greatest(0.0e0, 1 - abs(j - 37) / 10.7e0)", "0.0e0", "CASE WHEN j = 25 THEN 1.0e0 ELSE 0.0e0 END",
 )
 _FORM = "CASE (axis_id + c) % 9 " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(_FORMS)) + " END"
 _FEATURES = f"""pt AS (SELECT l_suppkey AS axis_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS i, l_tax FROM lineitem),
@@ -174,9 +174,9 @@ def corner_geometry(spark, sf_dir):
  al AS (SELECT axis_id, c, parts, reversal, m2 / nullif(m1, 0) AS ratio, (a - f) / nullif(l - f, 0) AS b, (z - f) / nullif(l - f, 0) AS e, ((a + z) / 2 - f) / nullif(l - f, 0) AS mid, parts IS NULL OR (parts = 1 AND l - f < 2) AS lacking FROM (SELECT DISTINCT axis_id, c FROM pc) LEFT JOIN sp USING (axis_id, c) LEFT JOIN tp USING (axis_id, c) LEFT JOIN hv USING (axis_id, c))
  SELECT axis_id, c AS segment_id, CASE WHEN lacking THEN NULL WHEN reversal >= 0.6 OR parts >= 3 THEN 'complex' WHEN parts = 2 THEN 'double apex' WHEN coalesce(ratio, 'infinity'::DOUBLE) >= 1.3 AND e >= 0.8 THEN 'decreasing radius'
  WHEN ratio <= 1 / 1.3 AND b <= 0.2 THEN 'increasing radius' WHEN mid >= 0.6 THEN 'late apex' ELSE 'single apex' END AS shape, CASE WHEN lacking THEN 'insufficient geometry' END AS reason,
- CAST(CASE WHEN lacking THEN 0 ELSE parts END AS BIGINT) AS tight_parts, NOT lacking AND coalesce(reversal >= 0.6, false) AS changes_direction, round(CASE WHEN NOT lacking AND parts = 1 THEN least(greatest(mid, 0), 1) END, 4) AS apex_fraction, round(CASE WHEN NOT lacking AND parts = 1 THEN ratio END, 4) AS radius_ratio FROM al""")
+ CAST(CASE WHEN lacking THEN 0 ELSE parts END AS BIGINT) AS tight_parts, NOT lacking AND coalesce(reversal >= 0.6, false) AS changes_direction, round(CASE WHEN NOT lacking AND parts = 1 THEN least(greatest(mid, 0), 1) END, 6) AS apex_fraction, round(CASE WHEN NOT lacking AND parts = 1 THEN ratio END, 6) AS radius_ratio FROM al""")
 def corner_shapes(spark, sf_dir):
-    return rounded(shape.corner_shapes(*_curved(spark, sf_dir)), 4)
+    return rounded(shape.corner_shapes(*_curved(spark, sf_dir)), 6)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS axis_id, c_custkey, c_acctbal AS east, c_custkey * 3.0 AS north FROM customer), s AS (SELECT axis_id, greatest(max(east) - min(east), max(north) - min(north)) AS side, (max(east) + min(east)) / 2 AS me, (max(north) + min(north)) / 2 AS mn FROM c GROUP BY 1)
