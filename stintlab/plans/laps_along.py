@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stintlab.operators import along
+from stintlab.operators import along, measures
+from stintlab.operators.written import written
 from stintlab.plans import tables as t
 from stintlab.plans.registry import query, rounded
 from stintlab.plans.tables import LAPS_SQL
@@ -154,6 +155,12 @@ def compared_speeds(spark, sf_dir):
     return rounded(along.compared(speeds, lap_pairs(spark, sf_dir), ["segment_id"], ["least", "exit"], "n"))
 
 
+def bundle(spark, sf_dir):
+    """What is measured of every lap in every segment, written once for the uses of a query."""
+    rows = measures.measured(progress(spark, sf_dir), segments(spark, sf_dir), F.col("v") >= 25)
+    return written(rows, "measured")
+
+
 @query(f"""WITH {PROGRESS_SQL}, {_EXITS}, bu AS (SELECT {_L}, segment_id, seconds, entry, least, least_m, exit, pickup_m, straight_s FROM tm FULL JOIN sp USING ({_L}, segment_id) LEFT JOIN ex USING ({_L}, segment_id)),
  lo AS (UNPIVOT (SELECT {_L}, segment_id, seconds, CAST(entry AS DOUBLE) AS entry, CAST(least AS DOUBLE) AS least, CAST(least_m AS DOUBLE) AS least_m, CAST(exit AS DOUBLE) AS exit, CAST(pickup_m AS DOUBLE) AS pickup_m, straight_s FROM bu) ON seconds, entry, least, least_m, exit, pickup_m, straight_s INTO NAME measure VALUE v),
  bs AS (SELECT {_PAIR}, segment_id FROM pr JOIN bu a USING (axis_id) JOIN bu b USING (axis_id, segment_id) WHERE a.run_id = a_run AND a.lap_no = a_lap AND b.run_id = b_run AND b.lap_no = b_lap)
@@ -161,9 +168,7 @@ def compared_speeds(spark, sf_dir):
  LEFT JOIN lo a ON a.axis_id = bs.axis_id AND a.run_id = a_run AND a.lap_no = a_lap AND a.segment_id = bs.segment_id AND a.measure = m.measure
  LEFT JOIN lo b ON b.axis_id = bs.axis_id AND b.run_id = b_run AND b.lap_no = b_lap AND b.segment_id = bs.segment_id AND b.measure = m.measure WHERE a.v IS NOT NULL OR b.v IS NOT NULL""")
 def corner_analyzer(spark, sf_dir):
-    rows, segs = progress(spark, sf_dir), segments(spark, sf_dir)
-    bundle = along.corner_bundle(along.segment_times(rows, segs), along.segment_speeds(rows, segs).drop("n", "greatest"), _exits(spark, sf_dir).drop("exit_v"))
-    return rounded(along.analyzed(bundle, lap_pairs(spark, sf_dir)), 4)
+    return rounded(along.analyzed(bundle(spark, sf_dir), lap_pairs(spark, sf_dir)), 4)
 
 
 @query(f"""WITH {PROGRESS_SQL}, ok2 AS (SELECT group_id AS axis_id, run_id, lap_no, seconds FROM ok), bl AS (SELECT axis_id, arg_min({{'r': run_id, 'l': lap_no}}, (seconds, run_id, lap_no)) AS w FROM ok2 GROUP BY 1),
@@ -225,3 +230,39 @@ def driving_classes(spark, sf_dir):
     rows = _timed(spark, sf_dir)
     speeds = along.segment_speeds(rows, segs).join(segs.where("kind = 'corner'").select("axis_id", "segment_id"), ["axis_id", "segment_id"])
     return along.driving_classes(speeds, along.braking(rows, _onsets(spark, sf_dir), segs), speeds.where("lap_no % 3 = 1"))
+
+
+_MEASURED = f"""{_EXITS}, cv AS (SELECT {_L}, segment_id, sum(least(progress_m, end_m) - greatest(p0, start_m)) AS covered_m FROM st JOIN sg USING (axis_id) WHERE p0 < end_m AND progress_m > start_m GROUP BY ALL),
+ me AS (SELECT {_L}, segment_id, kind, seconds, covered_m, coalesce(n, 0) AS n, entry, least, least_m, greatest, exit, pickup_m, straight_s FROM tm FULL JOIN sp USING ({_L}, segment_id) FULL JOIN cv USING ({_L}, segment_id) LEFT JOIN ex USING ({_L}, segment_id) JOIN sg USING (axis_id, segment_id))"""
+
+
+@query(f"WITH {PROGRESS_SQL}, {_MEASURED} SELECT * REPLACE (round(seconds, 4) AS seconds, round(covered_m, 4) AS covered_m, round(straight_s, 4) AS straight_s) FROM me")
+def measured_laps(spark, sf_dir):
+    """Times, coverage, speeds, pick-ups and straights of all laps in all segments from one scan of their samples."""
+    return rounded(measures.measured(progress(spark, sf_dir), segments(spark, sf_dir), F.col("v") >= 25), 4)
+
+
+def _eligible(spark, sf_dir):
+    from stintlab.operators import laps
+
+    return laps.eligible(t.laps(spark, sf_dir)).select(F.col("group_id").alias("axis_id"), "run_id", "lap_no", "seconds")
+
+
+_OUTING = f"""ol AS (SELECT group_id AS axis_id, run_id, lap_no, seconds FROM ok), ob AS (SELECT axis_id, min(seconds) AS best_lap_s, arg_min({{'r': run_id, 'l': lap_no}}, (seconds, run_id, lap_no)) AS w FROM ol GROUP BY 1),
+ ot AS (SELECT tm.axis_id, tm.run_id, tm.lap_no, tm.segment_id, tm.seconds FROM tm SEMI JOIN ol USING ({_L})),
+ os AS (SELECT sg.axis_id, sg.segment_id, sg.kind, count(ot.seconds) AS n, min(ot.seconds) AS best_s, arg_min({{'r': run_id, 'l': lap_no}}, (ot.seconds, run_id, lap_no)) AS b, quantile_cont(ot.seconds, 0.5) AS median_s, quantile_cont(ot.seconds, 0.75) - quantile_cont(ot.seconds, 0.25) AS iqr,
+ max(CASE WHEN w.r = run_id AND w.l = lap_no THEN ot.seconds END) AS actual_s, any_value(best_lap_s) AS best_lap_s FROM sg JOIN ob USING (axis_id) LEFT JOIN ot ON ot.axis_id = sg.axis_id AND ot.segment_id = sg.segment_id GROUP BY 1, 2, 3),
+ oo AS (SELECT *, CASE WHEN count(best_s) OVER a = count(*) OVER a THEN sum(best_s) OVER a END AS total_s FROM os WINDOW a AS (PARTITION BY axis_id))"""
+
+
+@query(f"""WITH {PROGRESS_SQL}, {_OUTING} SELECT axis_id, segment_id, kind, round(best_s, 4) AS best_s, b.r AS run_id, b.l AS lap_no, n, round(median_s, 4) AS median_s, round(CASE WHEN n >= 3 THEN iqr END, 4) AS spread_s, round(actual_s, 4) AS actual_s,
+ round(actual_s - best_s, 4) AS loss_s, round(total_s, 4) AS total_s, round(best_lap_s, 4) AS best_lap_s, round(best_lap_s - total_s, 4) AS gain_s, CASE WHEN total_s IS NULL THEN 'untimed sector' END AS reason FROM oo""")
+def outing_best(spark, sf_dir):
+    return rounded(measures.outing_best(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)
+
+
+@query(f"""WITH {PROGRESS_SQL}, {_OUTING}, ev AS (SELECT ol.axis_id, ol.run_id, ol.lap_no, oo.segment_id, oo.best_s FROM ol JOIN oo USING (axis_id)), lo AS (SELECT ev.*, ot.seconds, ot.seconds - best_s AS loss_s FROM ev LEFT JOIN ot USING ({_L}, segment_id))
+ SELECT lo.axis_id, lo.run_id, lo.lap_no, segment_id, round(seconds, 4) AS seconds, round(loss_s, 4) AS loss_s, round(CASE WHEN count(loss_s) OVER l = count(*) OVER l THEN sum(loss_s) OVER l END, 4) AS total_loss_s, w.r = lo.run_id AND w.l = lo.lap_no AS best_of_day
+ FROM lo JOIN ob ON ob.axis_id = lo.axis_id WINDOW l AS (PARTITION BY lo.axis_id, lo.run_id, lo.lap_no)""")
+def sector_table(spark, sf_dir):
+    return rounded(measures.sector_table(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)

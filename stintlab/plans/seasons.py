@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stintlab.functions import units
-from stintlab.operators import along, laps, season, sectors
+from stintlab.operators import laps, season, sectors
 from stintlab.plans import tables as t
 from stintlab.plans.across import _CORNERS, _corners
 from stintlab.plans.inputs import _TECHNIQUE, WINDOWS_SQL, channel, windows
-from stintlab.plans.laps_along import _EXITS, _L, PROGRESS_SQL, _exits, progress, segments
+from stintlab.plans.laps_along import _EXITS, _L, PROGRESS_SQL, bundle
 from stintlab.plans.registry import query, rounded
 from stintlab.plans.tables import LAPS_SQL, SAMPLES_SQL, SEGMENTS, TIMES_SQL
 
@@ -159,9 +159,7 @@ _FINDINGS = f"""{_EXITS}, bu AS (SELECT {_L}, segment_id, seconds, entry, least,
 
 
 def _findings(spark, sf_dir):
-    rows, segs = progress(spark, sf_dir), segments(spark, sf_dir)
-    bundle = along.corner_bundle(along.segment_times(rows, segs), along.segment_speeds(rows, segs), _exits(spark, sf_dir))
-    return season.findings(bundle.where("entry is not null"), 0.005)
+    return season.findings(bundle(spark, sf_dir).where("entry is not null"), 0.005)
 
 
 @query(f"WITH {PROGRESS_SQL}, {_FINDINGS} SELECT axis_id, run_id, lap_no, segment_id, kind, round(loss_s, 4) AS loss_s FROM fi")
