@@ -316,21 +316,36 @@ def segment_proposals(spark, sf_dir):
     return rounded(out, 4)
 
 
-_GATE = """gf AS (SELECT c_custkey AS run_id, CAST(k AS DOUBLE) AS t, 3.0 AS east, ((k * 17 + c_custkey * 5) % 101) - 50.0 AS north FROM customer, range(0, 60) r(k) WHERE NOT (k BETWEEN 20 AND 24)),
- gl AS (SELECT *, lag(t) OVER w AS t0, lag(north) OVER w AS n0 FROM gf WINDOW w AS (PARTITION BY run_id ORDER BY t)),
- gc AS (SELECT run_id, t0 + (t - t0) * n0 / (n0 - north) AS t, CASE WHEN n0 < 0 THEN 1 ELSE -1 END AS direction, abs(north - n0) / (t - t0) AS speed FROM gl WHERE t - t0 <= 3 AND n0 <> 0 AND (north = 0 OR (north > 0) <> (n0 > 0)) AND abs(north - n0) >= 2 * (t - t0)),
- gv AS (SELECT run_id, direction FROM (SELECT run_id, direction, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, avg(speed) DESC, direction DESC) AS r FROM gc GROUP BY 1, 2) WHERE r = 1),
- gk AS (SELECT gc.*, lag(t) OVER (PARTITION BY run_id ORDER BY t) AS b FROM gc JOIN gv USING (run_id, direction)),
- gp AS (SELECT run_id, t, direction, speed FROM gk WHERE b IS NULL OR t - b >= 1)"""
+#: Each customer visits a gate of its own eight times, each time in another way: three clean passes, one that turns back at 3 m,
+#: a slow one, one the other way, one that crosses three times, and one beside the gate.
+_GATE = """gp AS (SELECT c_custkey AS run_id, k * 100 + 2.85 AS t, 1 AS direction, CASE WHEN (c_custkey + k) % 8 = 6 THEN 10.5 ELSE 20 END AS speed FROM customer, range(0, 8) r(k) WHERE (c_custkey + k) % 8 IN (0, 1, 2, 6))"""
+
+
+def visits(spark, sf_dir):
+    run, k, v, j = (F.col(c) for c in ("run_id", "k", "v", "j"))
+    rows = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    rows = rows.withColumn("v", (run + k) % 8).withColumn("j", F.explode(F.sequence(F.lit(0), F.when(v == 4, 80).otherwise(12))))
+    there = -57.0 + 10 * j
+    back = F.when(j <= 5, there).when(j == 6, -3.0).otherwise(-7.0 - 10 * (j - 7))
+    thrice = F.when(j <= 6, there).when(j == 7, -2.0).otherwise(4.0 + 10 * (j - 8))
+    north = F.when(v == 3, back).when(v == 4, -20.0 + 0.5 * j).when(v == 5, -there).when(v == 6, thrice).otherwise(there)
+    east = F.when(v == 7, 30.0).otherwise(3.0)
+    # gates lie apart and look their own ways: the visits are turned with them
+    turn, place = run % 4 * (3.141592653589793 / 2), run * F.lit(1000.0)
+
+    def turned(x, y):
+        return place + x * F.cos(turn) - y * F.sin(turn), x * F.sin(turn) + y * F.cos(turn)
+
+    (e, n), (ax, ay), (bx, by) = turned(east, north), turned(F.lit(-10.0), F.lit(0.0)), turned(F.lit(10.0), F.lit(0.0))
+    fixes = rows.select("run_id", (k * 100 + j * 0.5).alias("t"), e.alias("east"), n.alias("north"))
+    gates = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id")).select("run_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    return fixes, gates
 
 
 def _gate_passes(spark, sf_dir):
     from stintlab.operators import track
 
-    k, run = F.col("k"), F.col("run_id")
-    rows = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).where("not (k between 20 and 24)")
-    fixes = rows.select("run_id", k.cast("double").alias("t"), F.lit(3.0).alias("east"), ((k * 17 + run * 5) % 101 - F.lit(50.0)).alias("north"))
-    return track.gate_passes(fixes, (-10.0, 0.0, 10.0, 0.0))
+    return track.gate_passes(*visits(spark, sf_dir)).select("run_id", "t", "direction", "speed")
 
 
 @query(f"WITH {_GATE} SELECT run_id, round(t, 4) AS t, direction, round(speed, 4) AS speed FROM gp")
