@@ -29,21 +29,6 @@ def corner_history(stats: DataFrame) -> DataFrame:
     return stats.groupBy("track_id", "corner", "day").agg(F.sum("laps").alias("laps"), mean.alias("value"))
 
 
-def skill_levels(measures: DataFrame, bands: dict[str, list[float]], days: int = 3, cap_laps: tuple[int, ...] = (10, 30, 60)) -> DataFrame:
-    """Measures(skill, day, laps, value): level by bands of the lap-weighted mean over the last measuring days.
-
-    Bands are descending: a value of at most band k earns level k + 1. Few laps cap the level.
-    """
-    recent = measures.withColumn("d", F.dense_rank().over(Window.partitionBy("skill").orderBy(F.desc("day")))).where(F.col("d") <= days)
-    out = recent.groupBy("skill").agg(F.sum("laps").alias("laps"), (F.sum(F.col("value") * F.col("laps")) / F.nullif(F.sum("laps"), F.lit(0))).alias("value"))
-    level = F.lit(None).cast("int")
-    for skill, steps in bands.items():
-        reached = sum((F.when(F.col("value") <= s, 1).otherwise(0) for s in steps), F.lit(0))
-        level = F.when(F.col("skill") == skill, reached).otherwise(level)
-    cap = F.lit(1) + sum((F.when(F.col("laps") >= n, 1).otherwise(0) for n in cap_laps), F.lit(0))
-    return out.withColumn("level", F.least(level, cap).cast("long"))
-
-
 def focus_areas(findings: DataFrame, top: int = 3) -> DataFrame:
     """Findings(group_id, kind, segment, weight): the strongest of each kind in turn, a segment once, ``top`` in all.
 

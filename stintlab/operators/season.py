@@ -110,28 +110,12 @@ def then_and_now(corners: DataFrame, then: int, now: int) -> DataFrame:
     return a.join(corners.where(F.col("day") == now).select("track_id", "corner", F.col("loss_s").alias("now_s")), ["track_id", "corner"])
 
 
-def skill_catalogue(spark) -> DataFrame:
-    return spark.createDataFrame([(n, g, u, [float(x) for x in b]) for n, g, u, b in SKILLS], "skill string, kind string, unit string, bands array<double>")
-
-
-def skill_measures(corners: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(run_id, skill, value): the median over a session's corners of each skill's measure, missing ones left out."""
-    rows = corners.select("run_id", F.explode(F.array(*(F.struct(F.lit(k).alias("skill"), v.cast("double").alias("x")) for k, v in values.items()))).alias("s")).where("s.x is not null")
-    return rows.groupBy("run_id", F.col("s.skill").alias("skill")).agg(median(F.col("s.x")).alias("value"))
-
-
 def commitment(corners: DataFrame, least: int = 3) -> DataFrame:
     """(run_id, value): the share in percent of known pick-ups that were let go again; null below ``least`` of them."""
     out = corners.groupBy("run_id").agg(F.sum("known").alias("k"), F.sum("released").alias("r"))
     return out.select("run_id", F.when(F.col("k") >= least, F.col("r") / F.col("k") * 100).alias("value"))
 
 
-def banded(measures: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """measures(skill, value) with ``band``: how many of the skill's bands hold the value, more is better."""
-    rows = measures.join(F.broadcast(catalogue.select("skill", "kind", "unit", "bands")), "skill")  # a dozen skills
-    return rows.withColumn("band", F.size(F.filter("bands", lambda b: F.col("value") <= b))).drop("bands")
-
-
 def findings(bundle: DataFrame, slower_s: float = 0.05, faster: int = 2, speed: float = 2.0, metres: float = 5.0) -> DataFrame:
     """(axis_id, run_id, lap_no, segment_id, kind, loss_s): why a lap lost time in a corner against the quickest laps there,
     at most ``faster`` of them: the first that applies of a lower entry, a lower least speed, a later or earlier

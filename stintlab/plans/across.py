@@ -127,16 +127,6 @@ def corner_history(spark, sf_dir):
     return rounded(profile.corner_history(_corners(spark, sf_dir)), 7)
 
 
-@query(f"""WITH {TIMES_SQL}, {_CORNERS}, m AS (SELECT 'corner ' || corner AS skill, day, laps, value FROM cs), d AS (SELECT *, dense_rank() OVER (PARTITION BY skill ORDER BY day DESC) AS d FROM m),
- s AS (SELECT skill, CAST(sum(laps) AS BIGINT) AS laps, sum(value * laps) / sum(laps) AS value FROM d WHERE d <= 3 GROUP BY 1)
- SELECT skill, laps, round(value, 3) AS value, CAST(least(CASE WHEN skill IN ('corner 1', 'corner 2', 'corner 3') THEN (value <= 4000)::INT + (value <= 3000)::INT + (value <= 2000)::INT END,
- 1 + (laps >= 10)::INT + (laps >= 30)::INT + (laps >= 60)::INT) AS BIGINT) AS level FROM s""")
-def skill_levels(spark, sf_dir):
-    rows = _corners(spark, sf_dir).withColumn("skill", F.concat(F.lit("corner "), F.col("corner").cast("string")))
-    bands = {f"corner {k}": [4000.0, 3000.0, 2000.0] for k in (1, 2, 3)}
-    return rounded(profile.skill_levels(rows, bands), 3)
-
-
 @query(f"""WITH {TIMES_SQL}, q AS (SELECT group_id, segment, quantile_cont(seconds, 0.5) - min(seconds) AS gap, quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25) AS spread FROM times GROUP BY 1, 2),
  f AS (SELECT group_id, 'gap' AS kind, segment, round(gap, 8) AS weight FROM q UNION ALL SELECT group_id, 'spread', segment, round(spread / 2, 8) FROM q),
  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, segment ORDER BY weight DESC, kind) AS r FROM f) WHERE r = 1),

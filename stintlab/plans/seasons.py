@@ -119,33 +119,6 @@ def last_time_corners(spark, sf_dir):
     return rounded(season.then_and_now(_losses(spark, sf_dir), 1, 4), 5)
 
 
-@query("SELECT unnest(['liftTiming', 'brakePointConsistency', 'brakeReleaseTiming', 'brakingEffectiveness', 'turnInConsistency', 'minimumSpeedControl', 'lineConsistency', 'throttleReapplication', 'throttleCommitment', 'exitSpeedExecution', 'cornerSequenceManagement', 'paceConsistency']) AS skill, unnest([0.1, 2, 3, 0.02, 1, 1, 0.4, 2, 2, 1, 0.01, 0.5]::DOUBLE[]) AS first, unnest([0.8, 12, 16, 0.12, 7, 7, 1.8, 12, 35, 7, 0.1, 4]::DOUBLE[]) AS last")
-def skill_catalogue(spark, sf_dir):
-    return season.skill_catalogue(spark).select("skill", F.col("bands")[0].alias("first"), F.col("bands")[3].alias("last"))
-
-
-_MEASURES = f"""{_TECHNIQUE}, me AS (SELECT run_id, 'liftTiming' AS skill, median(hit_s / 100000) AS value FROM te WHERE hit_s IS NOT NULL GROUP BY 1 UNION ALL SELECT run_id, 'brakePointConsistency', median(peak / 10) FROM te GROUP BY 1 UNION ALL SELECT run_id, 'minimumSpeedControl', median(hold_share * 5) FROM te GROUP BY 1)"""
-
-
-def _measures(spark, sf_dir):
-    from stintlab.operators import pedals
-
-    te = pedals.braking_technique(channel(spark, sf_dir, "view"), windows(spark, sf_dir), 0.5)
-    return season.skill_measures(te, {"liftTiming": F.col("hit_s") / 100_000, "brakePointConsistency": F.col("peak") / 10, "minimumSpeedControl": F.col("hold_share") * 5})
-
-
-@query(f"WITH {WINDOWS_SQL}, {_MEASURES} SELECT run_id, skill, round(value, 4) AS value FROM me")
-def skill_measures(spark, sf_dir):
-    return rounded(_measures(spark, sf_dir), 4)
-
-
-@query(f"""WITH {WINDOWS_SQL}, {_MEASURES}, b AS (SELECT * FROM (VALUES ('liftTiming', 'braking', 's', [0.1, 0.25, 0.5, 0.8]), ('brakePointConsistency', 'braking', 'm', [2, 4, 7, 12]), ('minimumSpeedControl', 'corner', 'km/h', [1, 2, 4, 7])) x(skill, kind, unit, bands))
- SELECT run_id, skill, round(value, 4) AS value, kind, unit, CAST(len(list_filter(bands, lambda x: value <= x)) AS BIGINT) AS band FROM me JOIN b USING (skill)""")
-def skill_bands(spark, sf_dir):
-    out = season.banded(_measures(spark, sf_dir), season.skill_catalogue(spark))
-    return rounded(out.withColumn("band", F.col("band").cast("long")), 4)
-
-
 @query("SELECT o_custkey AS run_id, round(CASE WHEN count(*) >= 3 THEN 100.0 * count_if(o_orderstatus = 'O') / count(*) END, 4) AS value FROM orders GROUP BY 1")
 def throttle_commitment(spark, sf_dir):
     rows = t.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.lit(1).alias("known"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("released"))
