@@ -14,7 +14,7 @@ LAP = ["axis_id", "run_id", "lap_no"]
 #: Metres of a gap in coverage, and of a step within which nothing is missing.
 GAP_M, STEP_M = 15.0, 150.0
 #: Fixed value: how far above its least speed a corner's bottom still counts as flat, as a share.
-FLAT = 0.01
+FLAT = 0.02
 #: How far before a corner its braking may begin, a peak of heavy braking in percent, and speeds in metres
 #: a second between slow, medium and fast corners.
 APPROACH_M, HEAVY, SPEED_BANDS = 200.0, 60.0, (80 / 3.6, 120 / 3.6)
@@ -120,19 +120,31 @@ def segment_speeds(progress: DataFrame, segments: DataFrame) -> DataFrame:
     return out.select(*LAP, "segment_id", "n", "entry", F.col("m.v").alias("least"), F.col("m.progress_m").alias("least_m"), "greatest", "exit")
 
 
-def minimum_speed(progress: DataFrame, segments: DataFrame, flat: float = FLAT) -> DataFrame:
-    """(lap, segment_id, least, from_m, to_m, apex_m): the stretch around the least speed on which the speed stays within
-    ``flat`` of it, and its middle, which a flat bottom moves less than the least sample's own place."""
-    rows = progress.join(segments.where("kind = 'corner'").select("axis_id", "segment_id", "start_m", "end_m"), "axis_id")
+def minimum_speed(progress: DataFrame, segments: DataFrame, step_m: float, flat: float = FLAT) -> DataFrame:
+    """(lap, segment_id, least, least_m, from_m, to_m, tolerance_m, state): where a corner's speed is least, and the stretch around
+    it on which the speed rises by no more than ``flat`` of the corner's range.
+
+    ``progress`` has samples every ``step_m``. The first of equal least speeds counts. State is ``flat speed``, without a place,
+    where all are equal, ``at the boundary`` where the stretch reaches the first or the last sample, else ``resolved``. Corners
+    that end before they begin cross the gate, where a lap is cut, and aren't looked at.
+    """
+    rows = progress.join(segments.where("kind = 'corner' and end_m >= start_m").select("axis_id", "segment_id", "start_m", "end_m"), "axis_id")
     rows = rows.where("progress_m >= start_m and progress_m <= end_m and v is not null")
     part = Window.partitionBy(*LAP, "segment_id")
-    rows = rows.withColumn("m", F.min(F.struct("v", "progress_m")).over(part))
-    out_of = F.col("v") > F.col("m.v") * (1 + flat)
-    before, after = F.col("progress_m") < F.col("m.progress_m"), F.col("progress_m") > F.col("m.progress_m")
-    rows = rows.withColumns({"lo": F.max(F.when(out_of & before, F.col("progress_m"))).over(part), "hi": F.min(F.when(out_of & after, F.col("progress_m"))).over(part)})
-    kept = rows.where((F.col("progress_m") > F.coalesce("lo", F.lit(float("-inf")))) & (F.col("progress_m") < F.coalesce("hi", F.lit(float("inf")))))
-    out = kept.groupBy(*LAP, "segment_id").agg(F.min("v").alias("least"), F.min("progress_m").alias("from_m"), F.max("progress_m").alias("to_m"))
-    return out.withColumn("apex_m", (F.col("from_m") + F.col("to_m")) / 2)
+    p, v = F.col("progress_m"), F.col("v")
+    rows = rows.withColumns({"m": F.min(F.struct("v", "progress_m")).over(part), "top": F.max("v").over(part), "first_m": F.min(p).over(part), "last_m": F.max(p).over(part)})
+    out_of = v > F.col("m.v") + flat * (F.col("top") - F.col("m.v"))
+    before, after = p < F.col("m.progress_m"), p > F.col("m.progress_m")
+    rows = rows.withColumns({"lo": F.max(F.when(out_of & before, p)).over(part), "hi": F.min(F.when(out_of & after, p)).over(part)})
+    kept = rows.where((p > F.coalesce("lo", F.lit(float("-inf")))) & (p < F.coalesce("hi", F.lit(float("inf")))))
+    out = kept.groupBy(*LAP, "segment_id").agg(F.first("m").alias("m"), F.first("top").alias("top"), F.first("first_m").alias("first_m"), F.first("last_m").alias("last_m"), F.min(p).alias("from_m"), F.max(p).alias("to_m"))
+    told = F.col("top") - F.col("m.v") > 1e-9 * F.greatest(F.lit(1.0), F.abs("top"))
+    ends = (F.col("from_m") == F.col("first_m")) | (F.col("to_m") == F.col("last_m"))
+    place = F.col("m.progress_m")
+    return out.select(
+        *LAP, "segment_id", F.col("m.v").alias("least"), F.when(told, place).alias("least_m"), F.when(told, F.col("from_m")).alias("from_m"), F.when(told, F.col("to_m")).alias("to_m"),
+        F.when(told, step_m + F.greatest(place - F.col("from_m"), F.col("to_m") - place)).alias("tolerance_m"), F.when(~told, "flat speed").when(ends, "at the boundary").otherwise("resolved").alias("state"),
+    )
 
 
 def exit_metrics(progress: DataFrame, segments: DataFrame, pickups: DataFrame) -> DataFrame:

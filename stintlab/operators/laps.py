@@ -22,26 +22,6 @@ def eligible(laps: DataFrame) -> DataFrame:
     return laps.where("seconds is not null and not isnan(seconds) and not coalesce(excluded, false)")
 
 
-def issues(laps: DataFrame, short_factor: float = 0.8, slow_factor: float = 1.05) -> DataFrame:
-    """Every lap with its reasons: excluded, implausible (below ``short_factor`` of its run's median of at least two
-    laps), short for its group (likewise, of at least two runs), slow (over ``slow_factor`` of a median of three)."""
-    run, group = Window.partitionBy("group_id", "run_id"), Window.partitionBy("group_id")
-    fair = F.when(~F.coalesce("excluded", F.lit(False)), F.col("seconds"))
-    rows = laps.withColumns({
-        "run_n": F.count(fair).over(run), "run_median": median(fair).over(run),
-        "group_median": median(fair).over(group),
-    })
-    runs = eligible(laps).groupBy("group_id").agg(F.countDistinct("run_id").alias("runs"))
-    rows = rows.join(runs, "group_id", "left")
-    found = F.array(
-        F.when(F.coalesce("excluded", F.lit(False)), "excluded"),
-        F.when((F.col("run_n") >= 2) & (F.col("seconds") < short_factor * F.col("run_median")), "implausible"),
-        F.when((F.col("runs") >= 2) & (F.col("seconds") < short_factor * F.col("group_median")), "short"),
-        F.when((F.col("run_n") >= 3) & (F.col("seconds") > slow_factor * F.col("run_median")), "slow"),
-    )
-    return rows.select("group_id", "run_id", "lap_no", "seconds", F.array_compact(found).alias("issues"))
-
-
 def rank_group(laps: DataFrame) -> DataFrame:
     """Eligible laps in order, with the gap to the best, the run's best and whether another lap has the same time."""
     group = Window.partitionBy("group_id").orderBy(*_order())

@@ -94,9 +94,9 @@ def short_laps(spark, sf_dir):
 
 
 _COMPAT = """cc AS (SELECT group_id, run_id, lap_no, seconds, CASE WHEN run_id % 13 > 0 THEN 'l' || (run_id % 2) END AS layout, CASE WHEN run_id % 17 > 0 THEN CASE WHEN lap_no % 29 = 0 THEN 'back' ELSE 'on' END END AS direction,
- CASE WHEN run_id % 19 > 0 THEN 'gates-v2:ab' || (run_id % 3) ELSE 'none' END AS gates, CASE lap_no % 23 WHEN 0 THEN 'gps gap' WHEN 1 THEN 'invalid gps' WHEN 2 THEN 'implausible' ELSE 'none' END AS issue, excluded FROM laps),
+ CASE run_id % 19 WHEN 0 THEN 'none' WHEN 1 THEN 'none' WHEN 2 THEN 'none' ELSE 'gates-v2:' || sha256(CAST(run_id % 3 AS VARCHAR)) END AS gates, CASE lap_no % 23 WHEN 0 THEN 'gps gap' WHEN 1 THEN 'invalid gps' WHEN 2 THEN 'implausible' ELSE 'none' END AS issue, excluded FROM laps),
  ci AS (SELECT group_id, run_id, lap_no, seconds, concat_ws(',', CASE WHEN layout IS NULL THEN 'layout unresolved' END, CASE WHEN direction IS NULL THEN 'direction unresolved' END, CASE WHEN gates = 'none' THEN 'gate unresolved' END,
- CASE WHEN layout <> 'l1' THEN 'changed layout' END, CASE WHEN direction <> 'on' THEN 'opposite direction' END, CASE WHEN gates <> 'none' AND gates <> 'gates-v2:ab1' THEN 'changed gate' END,
+ CASE WHEN layout <> 'l1' THEN 'changed layout' END, CASE WHEN direction <> 'on' THEN 'opposite direction' END, CASE WHEN gates <> 'none' AND gates <> 'gates-v2:' || sha256('1') THEN 'changed gate' END,
  CASE issue WHEN 'gps gap' THEN 'incomplete gps' WHEN 'invalid gps' THEN 'invalid gps' WHEN 'implausible' THEN 'implausible' END, CASE WHEN excluded THEN 'excluded' END) AS issues FROM cc)"""
 
 
@@ -105,22 +105,30 @@ def _compat(spark, sf_dir):
     r = t.laps(spark, sf_dir).select(
         "group_id", "run_id", "lap_no", "seconds", "excluded", F.when(run % 13 > 0, F.concat(F.lit("l"), (run % 2).cast("string"))).alias("layout"),
         F.when(run % 17 > 0, F.when(lap % 29 == 0, "back").otherwise("on")).alias("direction"),
-        F.when(run % 19 > 0, F.concat(F.lit("gates-v2:ab"), (run % 3).cast("string"))).otherwise("none").alias("gates"),
+        F.when(run % 19 == 0, "none").when(run % 19 == 1, F.concat(F.lit("gates-v3:"), F.sha2(F.lit("1"), 256))).when(run % 19 == 2, "gates-v2:ab12").otherwise(F.concat(F.lit("gates-v2:"), F.sha2((run % 3).cast("string"), 256))).alias("gates"),
         F.when(lap % 23 == 0, "gps gap").when(lap % 23 == 1, "invalid gps").when(lap % 23 == 2, "implausible").otherwise("none").alias("issue"),
-        F.lit("l1").alias("ref_layout"), F.lit("on").alias("ref_direction"), F.lit("gates-v2:ab1").alias("ref_gates"),
+        F.lit("l1").alias("ref_layout"), F.lit("on").alias("ref_direction"), F.concat(F.lit("gates-v2:"), F.sha2(F.lit("1"), 256)).alias("ref_gates"),
     )
-    return rows.compatibility(r)
+    return r
 
 
 @query(f"WITH {LAPS_SQL}, {_COMPAT} SELECT group_id, run_id, lap_no, issues FROM ci")
 def lap_compatibility(spark, sf_dir):
-    return _compat(spark, sf_dir).select("group_id", "run_id", "lap_no", F.concat_ws(",", "issues").alias("issues"))
+    return rows.compatibility(_compat(spark, sf_dir)).select("group_id", "run_id", "lap_no", F.concat_ws(",", "issues").alias("issues"))
+
+
+@query(f"""WITH {LAPS_SQL}, {_COMPAT}, di AS (SELECT *, concat_ws(',', nullif(issues, ''), CASE WHEN lap_no % 31 = 0 THEN 'different route' END, CASE WHEN lap_no % 37 = 0 AND NOT contains(issues, 'implausible') THEN 'implausible' END, CASE WHEN run_id % 41 = 0 THEN 'stale source' END) AS d FROM ci)
+ SELECT group_id, run_id, lap_no, concat_ws(',', nullif(d, ''), CASE WHEN lap_no % 43 = 0 THEN 'not a timed lap' WHEN lap_no % 47 = 0 AND d = '' THEN 'ineligible' END) AS issues FROM di""")
+def lap_issues(spark, sf_dir):
+    lap, run = F.col("lap_no"), F.col("run_id")
+    told = _compat(spark, sf_dir).withColumns({"off_route": lap % 31 == 0, "short": lap % 37 == 0, "stale": run % 41 == 0, "timed": lap % 43 != 0, "eligible": lap % 47 != 0})
+    return rows.day_issues(told).select("group_id", "run_id", "lap_no", F.concat_ws(",", "issues").alias("issues"))
 
 
 @query(f"""WITH {LAPS_SQL}, {_COMPAT}, ok3 AS (SELECT * FROM ci WHERE issues = ''), b AS (SELECT group_id, run_id AS other_run, arg_min(lap_no, (seconds, lap_no)) AS other_lap FROM ok3 GROUP BY 1, 2)
  SELECT group_id, run_id, lap_no, other_run, other_lap FROM ok3 JOIN b USING (group_id) WHERE run_id <> other_run""")
 def comparison_candidates(spark, sf_dir):
-    return rows.candidates(_compat(spark, sf_dir))
+    return rows.candidates(rows.compatibility(_compat(spark, sf_dir)))
 
 
 #: Of each brand the first parts by key, one after another; every third axis has a segment that wraps or a flaw.

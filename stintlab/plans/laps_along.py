@@ -94,11 +94,16 @@ def segment_speeds(spark, sf_dir):
     return rounded(along.segment_speeds(progress(spark, sf_dir), segments(spark, sf_dir)))
 
 
-@query(f"""WITH {PROGRESS_SQL}, c AS (SELECT {_L}, segment_id, progress_m, v, least, least_m FROM p JOIN sg USING (axis_id) JOIN sp USING ({_L}, segment_id) WHERE kind = 'corner' AND progress_m BETWEEN start_m AND end_m),
- e AS (SELECT {_L}, segment_id, coalesce(max(CASE WHEN v > least * 1.5 AND progress_m < least_m THEN progress_m END), -1) AS lo, coalesce(min(CASE WHEN v > least * 1.5 AND progress_m > least_m THEN progress_m END), 1e9) AS hi FROM c GROUP BY ALL)
- SELECT {_L}, segment_id, min(v) AS least, min(progress_m) AS from_m, max(progress_m) AS to_m, (min(progress_m) + max(progress_m)) / 2 AS apex_m FROM c JOIN e USING ({_L}, segment_id) WHERE progress_m > lo AND progress_m < hi GROUP BY ALL""")
+@query(f"""WITH {PROGRESS_SQL}, wd AS (SELECT axis_id, 9 AS segment_id, 90.0 + axis_id AS start_m, 760.0 AS end_m FROM g),
+ c AS (SELECT {_L}, segment_id, progress_m, v, min(v) OVER w AS least, max(v) OVER w AS top, min(progress_m) OVER w AS a, max(progress_m) OVER w AS z, arg_min(progress_m, (v, progress_m)) OVER w AS least_m FROM p JOIN wd USING (axis_id) WHERE progress_m BETWEEN start_m AND end_m WINDOW w AS (PARTITION BY {_L}, segment_id)),
+ e AS (SELECT {_L}, segment_id, coalesce(max(CASE WHEN v > least + 0.02 * (top - least) AND progress_m < least_m THEN progress_m END), -1) AS lo, coalesce(min(CASE WHEN v > least + 0.02 * (top - least) AND progress_m > least_m THEN progress_m END), 1e9) AS hi FROM c GROUP BY ALL),
+ n AS (SELECT {_L}, segment_id, any_value(least) AS least, any_value(top) AS top, any_value(least_m) AS least_m, any_value(a) AS a, any_value(z) AS z, min(progress_m) AS from_m, max(progress_m) AS to_m FROM c JOIN e USING ({_L}, segment_id) WHERE progress_m > lo AND progress_m < hi GROUP BY ALL)
+ SELECT {_L}, segment_id, least, CASE WHEN top > least THEN least_m END AS least_m, CASE WHEN top > least THEN from_m END AS from_m, CASE WHEN top > least THEN to_m END AS to_m, CASE WHEN top > least THEN 100 + greatest(least_m - from_m, to_m - least_m) END AS tolerance_m,
+ CASE WHEN top = least THEN 'flat speed' WHEN from_m = a OR to_m = z THEN 'at the boundary' ELSE 'resolved' END AS state FROM n""")
 def minimum_speeds(spark, sf_dir):
-    return rounded(along.minimum_speed(progress(spark, sf_dir), segments(spark, sf_dir), flat=0.5))
+    """Of one long corner, so that a lap has up to seven samples in it."""
+    whole = segments(spark, sf_dir).select("axis_id").distinct().select("axis_id", F.lit(9).cast("long").alias("segment_id"), F.lit("corner").alias("kind"), (F.col("axis_id") + 90.0).alias("start_m"), F.lit(760.0).alias("end_m"))
+    return rounded(along.minimum_speed(progress(spark, sf_dir), whole, 100.0))
 
 
 _EXITS = f"""pk AS (SELECT {_L}, segment_id, min(progress_m) AS pickup_m FROM p JOIN sg USING (axis_id) WHERE kind = 'corner' AND progress_m BETWEEN start_m AND end_m AND v >= 25 GROUP BY ALL),

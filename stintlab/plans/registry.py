@@ -51,17 +51,6 @@ def run_ranking(spark, sf_dir):
     return rounded(laps.rank_runs(t.laps(spark, sf_dir)))
 
 
-@query(f"""WITH {LAPS_SQL}, f AS (SELECT *, CASE WHEN NOT excluded THEN seconds END AS fair FROM laps),
- w AS (SELECT f.*, count(fair) OVER r AS run_n, quantile_cont(fair, 0.5) OVER r AS run_median, quantile_cont(fair, 0.5) OVER g AS group_median, runs
- FROM f LEFT JOIN (SELECT group_id, count(DISTINCT run_id) AS runs FROM ok GROUP BY 1) USING (group_id)
- WINDOW r AS (PARTITION BY group_id, run_id), g AS (PARTITION BY group_id))
- SELECT group_id, run_id, lap_no, round(seconds, 6) AS seconds, concat_ws(',', CASE WHEN excluded THEN 'excluded' END,
- CASE WHEN run_n >= 2 AND seconds < 0.8 * run_median THEN 'implausible' END, CASE WHEN runs >= 2 AND seconds < 0.8 * group_median THEN 'short' END,
- CASE WHEN run_n >= 3 AND seconds > 1.05 * run_median THEN 'slow' END) AS issues FROM w""")
-def lap_issues(spark, sf_dir):
-    return rounded(laps.issues(t.laps(spark, sf_dir)).withColumn("issues", F.concat_ws(",", "issues")))
-
-
 _FIVE = "round(quantile_cont(seconds, 0.0), 6) AS least, round(quantile_cont(seconds, 0.25), 6) AS q1, round(quantile_cont(seconds, 0.5), 6) AS median, round(quantile_cont(seconds, 0.75), 6) AS q3, round(quantile_cont(seconds, 1.0), 6) AS greatest, round(quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25), 6) AS iqr"
 _FIVE3 = _FIVE.replace("round(", "CASE WHEN count(*) >= 3 THEN round(").replace(", 6) AS", ", 6) END AS")
 
