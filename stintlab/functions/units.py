@@ -67,6 +67,12 @@ def is_direction(name: Column, unit: Column) -> Column:
     return F.get(words, first).isin(*DIRECTIONS) & behind & F.lower(F.trim(unit)).isin(*DEGREE_UNITS)
 
 
+def turns_near(value: Column, reference: Column) -> Column:
+    """The whole turns, in degrees, that bring a direction within half a turn of another; halves go away from zero."""
+    turns = (value - reference) / 360.0
+    return -360.0 * F.signum(turns) * F.floor(F.abs(turns) + 0.5)
+
+
 def declared_unit(own: Column, name: Column, headers: Column) -> Column:
     """A channel's unit: its own, else what follows its name on the first of the header's lines that begins so."""
     words = F.transform(headers, lambda h: F.split(F.trim(h), r"\s+"))

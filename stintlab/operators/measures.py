@@ -102,3 +102,18 @@ def sector_table(bundle: DataFrame, segments: DataFrame, laps: DataFrame) -> Dat
     total = F.when(F.count("loss_s").over(w) == F.count("*").over(w), F.sum("loss_s").over(w))
     is_best = (F.col("run_id") == F.col("best_run")) & (F.col("lap_no") == F.col("best_lap"))
     return every.select(*LAP, "segment_id", "seconds", "loss_s", total.alias("total_loss_s"), F.coalesce(is_best, F.lit(False)).alias("best_of_day"))
+
+
+def focus_inputs(bundle: DataFrame, segments: DataFrame, laps: DataFrame) -> DataFrame:
+    """(axis_id, kind, segment_id, run_id, lap_no, value, n): what a driver's focus is chosen from: each ``gap`` of the group's best lap
+    to the fastest time of a sector, with the lap that drove it; each ``loss`` of every run's fastest lap against it, where it is
+    one; and of each ``corner`` the spread of its times and how many there are. Groups whose best lap isn't timed have none."""
+    best = outing_best(bundle, segments, laps)
+    ready = best.where("actual_s IS NOT NULL").select("axis_id").distinct()
+    gaps = best.where("loss_s IS NOT NULL").select("axis_id", F.lit("gap").alias("kind"), "segment_id", "run_id", "lap_no", F.col("loss_s").alias("value"), F.lit(None).cast("long").alias("n"))
+    fastest = laps.groupBy("axis_id", "run_id").agg(F.min(F.struct("seconds", "lap_no")).alias("f")).select("axis_id", "run_id", F.col("f.lap_no").alias("lap_no"))
+    reference = best.where("actual_s IS NOT NULL").select("axis_id", "segment_id", "actual_s")
+    own = bundle.where("seconds IS NOT NULL").join(fastest, LAP, "left_semi").join(reference, ["axis_id", "segment_id"])
+    losses = own.where(F.col("seconds") > F.col("actual_s")).select("axis_id", F.lit("loss").alias("kind"), "segment_id", "run_id", "lap_no", (F.col("seconds") - F.col("actual_s")).alias("value"), F.lit(None).cast("long").alias("n"))
+    corners = best.where("kind = 'corner' AND n > 0").select("axis_id", F.lit("corner").alias("kind"), "segment_id", F.lit(None).cast("long").alias("run_id"), F.lit(None).cast("long").alias("lap_no"), F.col("spread_s").alias("value"), "n")
+    return gaps.unionByName(losses).unionByName(corners).join(ready, "axis_id", "left_semi")

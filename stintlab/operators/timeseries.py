@@ -171,3 +171,25 @@ def shared_channels(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     have = samples.select("run_id", "channel").distinct()
     a, b = (have.withColumnRenamed("run_id", f"{s}_run") for s in "ab")
     return pairs.join(a, "a_run").join(b, ["b_run", "channel"]).select("a_run", "b_run", "channel")
+
+
+def plausible_at(samples: DataFrame, probes: DataFrame, low: float, high: float, zero_missing: bool = False, factor: float = GAP_FACTOR) -> DataFrame:
+    """(run_id, channel, t, v): a channel's value at each probe (run_id, channel, t) from its two neighbouring samples.
+
+    A sample at the probe's own time is the value. Null where a neighbour is missing, out of ``low`` to ``high``, a zero that
+    stands for nothing, or where a gap lies between them. Both neighbours come from running values over one sorted union.
+    """
+    limits = gap_thresholds(samples, factor).select(*KEY, "gap_s")
+    sound = F.col("v").between(low, high) & ~F.isnan("v")
+    if zero_missing:
+        sound = sound & (F.col("v") != 0)
+    rows = samples.select(*KEY, "t", F.lit(1).alias("o"), F.struct(F.col("t").alias("t"), F.when(sound, F.col("v")).alias("v")).alias("s"))
+    rows = rows.unionByName(probes.select(*KEY, "t").distinct().select(*KEY, "t", F.lit(0).alias("o"), F.lit(None).cast(rows.schema["s"].dataType).alias("s")))
+    # a sample at a probe's time counts as the one after it
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("t"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*KEY).orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"a": F.last("s", True).over(behind), "b": F.last("s", True).over(ahead)}).where("o = 0").join(limits, KEY, "left")
+    wide = F.col("b.t") - F.col("a.t")
+    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / F.nullif(wide, F.lit(0.0))
+    near = F.coalesce(wide <= F.col("gap_s"), F.lit(True))
+    return rows.select(*KEY, "t", F.when(F.col("b.t") == F.col("t"), F.col("b.v")).when(near, between).alias("v"))

@@ -271,3 +271,12 @@ def outing_best(spark, sf_dir):
  FROM lo JOIN ob ON ob.axis_id = lo.axis_id WINDOW l AS (PARTITION BY lo.axis_id, lo.run_id, lo.lap_no)""")
 def sector_table(spark, sf_dir):
     return rounded(measures.sector_table(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)
+
+
+@query(f"""WITH {PROGRESS_SQL}, {_OUTING}, ff AS (SELECT axis_id, run_id, arg_min(lap_no, (seconds, lap_no)) AS lap_no FROM ol GROUP BY 1, 2),
+ fi AS (SELECT axis_id, 'gap' AS kind, segment_id, b.r AS run_id, b.l AS lap_no, actual_s - best_s AS value, NULL AS n FROM oo WHERE actual_s IS NOT NULL
+ UNION ALL SELECT ot.axis_id, 'loss', ot.segment_id, ot.run_id, ot.lap_no, ot.seconds - actual_s, NULL FROM ot JOIN ff USING ({_L}) JOIN oo ON oo.axis_id = ot.axis_id AND oo.segment_id = ot.segment_id WHERE ot.seconds > actual_s
+ UNION ALL SELECT axis_id, 'corner', segment_id, NULL, NULL, CASE WHEN n >= 3 THEN iqr END, n FROM oo WHERE kind = 'corner' AND n > 0)
+ SELECT axis_id, kind, segment_id, run_id, lap_no, round(value, 4) AS value, n FROM fi WHERE axis_id IN (SELECT axis_id FROM oo WHERE actual_s IS NOT NULL)""")
+def focus_inputs(spark, sf_dir):
+    return rounded(measures.focus_inputs(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)

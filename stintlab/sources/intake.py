@@ -126,3 +126,33 @@ def possible_matches(signatures: DataFrame, least: int = 29, metres: float = 10.
     both = pairs.join(a, "a_id").join(b, ["b_id", "k"])
     met = both.groupBy("a_id", "b_id").agg(F.count_if(F.hypot(F.col("ae") - F.col("be"), F.col("an") - F.col("bn")) <= metres).alias("met"))
     return met.where(F.col("met") >= least)
+
+
+#: Fixed value: recordings of one run in a review, its own and one more.
+RUN_RECORDINGS = 2
+
+
+def checked_choices(ready: DataFrame, choices: DataFrame, runs: DataFrame) -> DataFrame:
+    """(batch_id, problem): of each review the first thing that speaks against its choices, or null.
+
+    ``ready`` are the recordings under review (batch_id, recording_id), ``choices`` what becomes of them (batch_id, recording_id,
+    ord, run_id: its own id, the id of the recording or run it belongs to, or null to skip it), ``runs`` the day's runs (batch_id,
+    run_id, grouped). Problems are ``changed`` (other recordings than those under review, or an unknown run), ``target not run`` (it
+    belongs to a recording that is no run of its own), ``too many recordings`` and ``nothing selected``.
+    """
+    own = ["batch_id", "recording_id"]
+    sides = ready.select(*own).distinct().withColumn("r", F.lit(1)).join(choices.select(*own, "ord", "run_id"), own, "full")
+    target = choices.select("batch_id", F.col("recording_id").alias("run_id"), F.col("run_id").alias("target"), F.lit(True).alias("reviewed"))
+    rows = sides.join(target, ["batch_id", "run_id"], "left").join(runs.select("batch_id", "run_id", "grouped").withColumn("known", F.lit(True)), ["batch_id", "run_id"], "left")
+    other = F.col("run_id").isNotNull() & (F.col("run_id") != F.col("recording_id"))
+    nth = F.sum(F.when(other, 1).otherwise(0)).over(Window.partitionBy("batch_id", "run_id").orderBy("ord"))
+    wrong = (
+        F.when(~other, None).when(F.col("known") & F.col("grouped"), "too many recordings").when(F.col("known").isNull() & F.col("reviewed").isNull(), "changed")
+        .when(F.col("known").isNull() & ~F.col("target").eqNullSafe(F.col("run_id")), "target not run").when(nth + 1 > RUN_RECORDINGS, "too many recordings")
+    )
+    rows = rows.withColumn("wrong", wrong)
+    out = rows.groupBy("batch_id").agg(
+        F.max(F.col("r").isNull() | F.col("ord").isNull()).alias("differs"), F.min(F.when(F.col("wrong").isNotNull(), F.struct("ord", "wrong"))).alias("first"), F.count("run_id").alias("selected")
+    )
+    problem = F.when(F.col("differs"), "changed").when(F.col("first").isNotNull(), F.col("first.wrong")).when(F.col("selected") == 0, "nothing selected")
+    return out.select("batch_id", problem.alias("problem"))
