@@ -49,8 +49,8 @@ _NEAR = f"""{SAMPLES_SQL}, gp AS (SELECT run_id, channel, 3 * quantile_disc(dt,
  sd AS (SELECT run_id, channel, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM samples WINDOW w AS (PARTITION BY run_id, channel ORDER BY t))"""
 
 
-@query(f"""WITH {_NEAR} SELECT run_id, channel, round(t + (t1 - t) / 3, 4) AS t, round(CASE WHEN v BETWEEN 1 AND 60 AND v1 BETWEEN 1 AND 60 AND coalesce(t1 - t <= gap_s, true) THEN v + (v1 - v) / 3 END, 4) AS v FROM sd LEFT JOIN gp USING (run_id, channel) WHERE t1 > t
- UNION ALL SELECT run_id, channel, round(t, 4), round(CASE WHEN v BETWEEN 1 AND 60 THEN v END, 4) FROM sd""")
+@query(f"""WITH {_NEAR} SELECT run_id, channel, CAST(round((t + (t1 - t) / 3) * 1e6) AS BIGINT) AS t_us, round(CASE WHEN v BETWEEN 1 AND 60 AND v1 BETWEEN 1 AND 60 AND coalesce(t1 - t <= gap_s, true) THEN v + (v1 - v) / 3 END, 4) AS v FROM sd LEFT JOIN gp USING (run_id, channel) WHERE t1 > t
+ UNION ALL SELECT run_id, channel, CAST(round(t * 1e6) AS BIGINT), round(CASE WHEN v BETWEEN 1 AND 60 THEN v END, 4) FROM sd""")
 def plausible_values(spark, sf_dir):
     """At every sample and a third of the way to the next one."""
     from pyspark.sql import Window
@@ -58,7 +58,8 @@ def plausible_values(spark, sf_dir):
     samples = t.samples(spark, sf_dir)
     ahead = F.lead("t").over(Window.partitionBy("run_id", "channel").orderBy("t"))
     between = samples.withColumn("t1", ahead).where("t1 > t").select("run_id", "channel", (F.col("t") + (F.col("t1") - F.col("t")) / 3).alias("t"))
-    return rounded(timeseries.plausible_at(samples, samples.select("run_id", "channel", "t").unionByName(between), 1.0, 60.0), 4)
+    found = timeseries.plausible_at(samples, samples.select("run_id", "channel", "t").unionByName(between), 1.0, 60.0)
+    return rounded(found.select("run_id", "channel", F.round(F.col("t") * 1e6).cast("long").alias("t_us"), "v"), 4)
 
 
 @query(f"""WITH {SAMPLES_SQL}, fx AS (SELECT run_id, lap_no, t, CASE WHEN v < 12 THEN NULL ELSE v END AS east, v * v / 50 AS north FROM (SELECT run_id, t, max(v) AS v, CAST(floor(t / 86400 / 7) AS BIGINT) AS lap_no FROM samples GROUP BY run_id, t)),
