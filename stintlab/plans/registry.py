@@ -135,11 +135,9 @@ def sector_consistency(spark, sf_dir):
 
 
 @query(f"""WITH {TIMES_SQL}, r AS (SELECT group_id, segment, run_id, count(*) AS n, quantile_cont(seconds, 0.5) AS m, quantile_cont(seconds, 0.75) - quantile_cont(seconds, 0.25) AS i FROM times GROUP BY 1, 2, 3)
- SELECT group_id, segment, run_id, n, round(m + 1e-7, 3) AS median, round(i + 1e-7, 3) AS iqr, row_number() OVER (PARTITION BY group_id, segment ORDER BY m, run_id) = 1 AS fastest FROM r""")
+ SELECT group_id, segment, run_id, n, round(m, 9) AS median, round(i, 9) AS iqr, row_number() OVER (PARTITION BY group_id, segment ORDER BY m, run_id) = 1 AS fastest FROM r""")
 def sector_progression(spark, sf_dir):
-    # prices have ties at the last place, which the added part turns upwards
-    out = sectors.progression(t.sector_times(spark, sf_dir))
-    return rounded(out.withColumns({c: F.col(c) + 1e-7 for c in ("median", "iqr")}), 3)
+    return rounded(sectors.progression(t.sector_times(spark, sf_dir)), 9)
 
 
 _BEST_LAPS = "l AS (SELECT group_id, run_id, lap_no, sum(seconds) AS s, count(*) AS n FROM times GROUP BY 1, 2, 3), bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, run_id ORDER BY n DESC, s, lap_no) AS r FROM l) WHERE r = 1), d AS (SELECT *, seconds - min(seconds) OVER (PARTITION BY group_id, segment) AS loss_s FROM times)"

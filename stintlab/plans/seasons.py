@@ -191,16 +191,15 @@ def day_before_run(spark, sf_dir):
  name IN ('Speed', 'velocity-obd') AS is_speed, name = 'oil_temp' AS is_temperature, name IN ('heading', 'gps course (deg)') AND unit = '' AS is_direction,
  CASE WHEN unit = '' THEN false ELSE unit IN ('km/h', 'KPH ') END AS like_kmh,
  CASE WHEN name NOT IN ('Speed', 'velocity-obd') THEN unit WHEN unit IN ('km/h', 'KPH ', '') THEN 'km/h' WHEN unit IN ('mph', 'mi/h') THEN 'mph' ELSE unit END AS effective,
- CASE WHEN unit IN ('km/h') THEN 2.0 ELSE round(greatest(1e-9, abs(v) * 0.05), 6) END AS tolerance, CAST((v / 10000 > 0.1) AS BIGINT) + CAST((v / 10000 > 0.25) AS BIGINT) + CAST((v / 10000 > 0.5) AS BIGINT) + CAST((v / 10000 > 1) AS BIGINT) AS band FROM c""")
+ CASE WHEN unit IN ('km/h', 'KPH ') THEN 2.0 ELSE round(greatest(1e-9, abs(v) * 0.05), 6) END AS tolerance, CAST((v / 10000 > 0.1) AS BIGINT) + CAST((v / 10000 > 0.25) AS BIGINT) + CAST((v / 10000 > 0.5) AS BIGINT) + CAST((v / 10000 > 1) AS BIGINT) AS band FROM c""")
 def channel_units(spark, sf_dir):
     k = F.col("c_custkey")
     pick = lambda names, n: F.element_at(F.array(*(F.lit(x) for x in names)), (k % n + 1).cast("int"))
     r = t.read(spark, sf_dir, "customer").select(k.alias("k"), pick(["km/h", "KPH ", "mph", "mi/h", "m/s", "knots", "", "furlong"], 8).alias("unit"), pick(["Speed", "velocity-obd", "oil_temp", "heading", "gps course (deg)", "course_rate"], 6).alias("name"), F.col("c_acctbal").alias("v"))
     unit, name, v = F.col("unit"), F.col("name"), F.col("v")
-    kph = F.when(F.lower(F.trim(unit)) == "kph", F.lit("other")).otherwise(unit)
     return r.select(
         "k", units.speed_unit(unit).alias("canonical"), F.round(units.speed_in_mps(v, unit), 4).alias("mps"), units.is_speed(name).alias("is_speed"),
         units.is_temperature(name).alias("is_temperature"), units.is_direction(name, unit).alias("is_direction"), units.same_speed_unit(unit, F.lit("km/h")).alias("like_kmh"),
-        units.effective_unit(unit, name, F.lit("kmh")).alias("effective"), F.round(units.conflict_tolerance(kph, v), 6).alias("tolerance"),
+        units.effective_unit(unit, name, F.lit("kmh")).alias("effective"), F.round(units.conflict_tolerance(unit, v), 6).alias("tolerance"),
         units.spread_band(v / 10000).cast("long").alias("band"),
     )
