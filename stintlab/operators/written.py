@@ -11,6 +11,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+#: The folder of a session on one machine that names none.
+_OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,10 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     is asked for it, since its executors don't see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = _OWN[0]
     return base.rstrip("/")
 
 
