@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlab.functions.stats import median, rounded_rank
+from stintlab.operators.timeseries import gap_thresholds
 
 
 def grid(samples: DataFrame, step_s: float) -> DataFrame:
@@ -74,3 +75,54 @@ def cut_to_primary(fused: DataFrame, primary: DataFrame) -> DataFrame:
     """The fused channel within the primary's span of each run."""
     span = primary.groupBy("run_id").agg(F.min("k").alias("a"), F.max("k").alias("z"))
     return fused.join(span, "run_id").where("k >= a and k <= z").drop("a", "z")
+
+
+def on_primary_clock(samples: DataFrame, clocks: DataFrame) -> DataFrame:
+    """samples (run_id, t, v) of other recordings with the primary's times, by clocks (run_id, offset_s, drift_ppm); a clock that
+    would run backwards leaves its run out."""
+    rows = samples.join(clocks.select("run_id", "offset_s", F.coalesce("drift_ppm", F.lit(0.0)).alias("drift_ppm")), "run_id")
+    return rows.where("1 + drift_ppm * 1e-6 > 0").select("run_id", (F.col("t") + F.col("offset_s") + F.col("drift_ppm") * 1e-6 * F.col("t")).alias("t"), "v")
+
+
+def merged(primary: DataFrame, other: DataFrame, rule: str = "fillGaps") -> DataFrame:
+    """(run_id, t, v, source, piece): one channel of both sides' samples (run_id, t, v), on one clock, by where each has data.
+
+    A side covers stretches of known values without a gap of its own. ``fillGaps`` keeps the primary and adds the other's samples
+    where the primary covers nothing; ``preferAlternative`` the reverse; ``primaryOnly`` keeps the primary. Pieces end where two
+    neighbours are further apart than the gap of either's side, since a mixed channel's own cadence would bridge what
+    neither recorded. Missing values are left out: they only end stretches. All is running values over one sorted union.
+    """
+    known = F.col("v").isNotNull() & ~F.isnan("v")
+    sides = {"primary": primary, "other": other}
+    told = []
+    for name, side in sides.items():
+        limit = gap_thresholds(side.where(known).select("run_id", F.lit(name).alias("channel"), "t")).select("run_id", "gap_s")
+        told.append(side.join(limit, "run_id", "left").select("run_id", "t", F.when(known, F.col("v")).alias("v"), F.lit(name).alias("source"), F.coalesce("gap_s", F.lit(float("inf"))).alias("gap_s")))
+    own = Window.partitionBy("run_id", "source").orderBy("t")
+    rows = told[0].unionByName(told[1]).withColumns({"bt": F.lag("t").over(own), "bv": F.lag("v").over(own)})
+    begins = F.col("v").isNotNull() & (F.col("bv").isNull() | (F.col("t") - F.col("bt") > F.col("gap_s")))
+    rows = rows.withColumn("stretch", F.sum(F.when(begins, 1).otherwise(0)).over(own)).where("v IS NOT NULL")
+    if rule != "primaryOnly":
+        if rule not in ("fillGaps", "preferAlternative"):
+            raise ValueError(f"no rule {rule}")
+        first = "primary" if rule == "fillGaps" else "other"
+        rows = rows.withColumn("end", F.max("t").over(Window.partitionBy("run_id", "source", "stretch")))
+        # of the preferred side the stretch that began last, at this time or before
+        back = Window.partitionBy("run_id").orderBy("t", F.when(F.col("source") == first, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+        covered = F.last(F.when(F.col("source") == first, F.col("end")), True).over(back) >= F.col("t")
+        rows = rows.withColumn("covered", F.coalesce(covered, F.lit(False))).where((F.col("source") == first) | ~F.col("covered"))
+    else:
+        rows = rows.where("source = 'primary'")
+    order = Window.partitionBy("run_id").orderBy("t", "source")
+    wide = F.greatest("gap_s", F.lag("gap_s").over(order))
+    breaks = F.coalesce(F.col("t") - F.lag("t").over(order) > wide, F.lit(True))
+    rows = rows.withColumn("breaks", breaks).withColumn("piece", F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(order) - 1)
+    return rows.select("run_id", "t", "v", "source", "piece")
+
+
+def fused_segments(fused: DataFrame) -> DataFrame:
+    """(run_id, segment, source, start_s, end_s, n): what comes of one source without a break, in order."""
+    w = Window.partitionBy("run_id").orderBy("t", "source")
+    new = F.coalesce((F.col("source") != F.lag("source").over(w)) | (F.col("piece") != F.lag("piece").over(w)), F.lit(True))
+    rows = fused.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("segment", F.sum("new").over(w) - 1)
+    return rows.groupBy("run_id", "segment", "source").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("n"))

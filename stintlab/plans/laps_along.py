@@ -260,10 +260,11 @@ _OUTING = f"""ol AS (SELECT group_id AS axis_id, run_id, lap_no, seconds FROM ok
  oo AS (SELECT *, CASE WHEN count(best_s) OVER a = count(*) OVER a THEN sum(best_s) OVER a END AS total_s FROM os WINDOW a AS (PARTITION BY axis_id))"""
 
 
-@query(f"""WITH {PROGRESS_SQL}, {_OUTING} SELECT axis_id, segment_id, kind, round(best_s, 4) AS best_s, b.r AS run_id, b.l AS lap_no, n, round(median_s, 4) AS median_s, round(CASE WHEN n >= 3 THEN iqr END, 4) AS spread_s, round(actual_s, 4) AS actual_s,
+@query(f"""WITH {PROGRESS_SQL}, {_OUTING} SELECT axis_id, segment_id, kind, round(best_s, 4) AS best_s, coalesce(b.r, 0) AS run_id, coalesce(b.l, 0) AS lap_no, n, round(median_s, 4) AS median_s, round(CASE WHEN n >= 3 THEN iqr END, 4) AS spread_s, round(actual_s, 4) AS actual_s,
  round(actual_s - best_s, 4) AS loss_s, round(total_s, 4) AS total_s, round(best_lap_s, 4) AS best_lap_s, round(best_lap_s - total_s, 4) AS gain_s, CASE WHEN total_s IS NULL THEN 'untimed sector' END AS reason FROM oo""")
 def outing_best(spark, sf_dir):
-    return rounded(measures.outing_best(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)
+    found = measures.outing_best(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir))
+    return rounded(found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("run_id", "lap_no")}), 4)
 
 
 @query(f"""WITH {PROGRESS_SQL}, {_OUTING}, ev AS (SELECT ol.axis_id, ol.run_id, ol.lap_no, oo.segment_id, oo.best_s FROM ol JOIN oo USING (axis_id)), lo AS (SELECT ev.*, ot.seconds, ot.seconds - best_s AS loss_s FROM ev LEFT JOIN ot USING ({_L}, segment_id))
@@ -277,6 +278,7 @@ def sector_table(spark, sf_dir):
  fi AS (SELECT axis_id, 'gap' AS kind, segment_id, b.r AS run_id, b.l AS lap_no, actual_s - best_s AS value, NULL AS n FROM oo WHERE actual_s IS NOT NULL
  UNION ALL SELECT ot.axis_id, 'loss', ot.segment_id, ot.run_id, ot.lap_no, ot.seconds - actual_s, NULL FROM ot JOIN ff USING ({_L}) JOIN oo ON oo.axis_id = ot.axis_id AND oo.segment_id = ot.segment_id WHERE ot.seconds > actual_s
  UNION ALL SELECT axis_id, 'corner', segment_id, NULL, NULL, CASE WHEN n >= 3 THEN iqr END, n FROM oo WHERE kind = 'corner' AND n > 0)
- SELECT axis_id, kind, segment_id, run_id, lap_no, round(value, 4) AS value, n FROM fi WHERE axis_id IN (SELECT axis_id FROM oo WHERE actual_s IS NOT NULL)""")
+ SELECT axis_id, kind, segment_id, coalesce(run_id, 0) AS run_id, coalesce(lap_no, 0) AS lap_no, round(value, 4) AS value, coalesce(n, 0) AS n FROM fi WHERE axis_id IN (SELECT axis_id FROM oo WHERE actual_s IS NOT NULL)""")
 def focus_inputs(spark, sf_dir):
-    return rounded(measures.focus_inputs(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir)), 4)
+    found = measures.focus_inputs(bundle(spark, sf_dir), segments(spark, sf_dir), _eligible(spark, sf_dir))
+    return rounded(found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("run_id", "lap_no", "n")}), 4)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from stintlab.functions import units
-from stintlab.operators import alignment, timeseries, track
+from stintlab.operators import alignment, fusion, timeseries, track
 from stintlab.plans import tables as t
 from stintlab.plans.registry import query, rounded
 from stintlab.plans.tables import SAMPLES_SQL
@@ -102,3 +102,35 @@ def import_choices(spark, sf_dir):
     choices = rows.where(~((batch % 23 == 0) & (ord_ == 1))).select("batch_id", "recording_id", "ord", run.alias("run_id"))
     runs = rows.select("batch_id").distinct().select("batch_id", F.explode(F.array(*(F.lit(k).cast("long") for k in (-1, -2, -3)))).alias("run_id"))
     return intake.checked_choices(rows, choices, runs.withColumn("grouped", F.col("run_id") == -2))
+
+
+#: Clicks are one recording of a run, views the other, whose clock is 30 s late and drifts; values under 10 are missing.
+_SIDES = f"""{SAMPLES_SQL}, si AS (SELECT run_id, t, CASE WHEN v >= 10 THEN v END AS v, 'primary' AS source FROM samples WHERE channel = 'click' UNION ALL SELECT run_id, t + 30 + 2e-6 * (t - 1.7e9), CASE WHEN v >= 10 THEN v END, 'other' FROM samples WHERE channel = 'view'),
+ ga AS (SELECT run_id, source, list_sort(list(dt))[count(*) // 2 + 1] * 3 AS gap_s FROM (SELECT run_id, source, t - lag(t) OVER (PARTITION BY run_id, source ORDER BY t) AS dt FROM si WHERE v IS NOT NULL) WHERE dt > 0 GROUP BY 1, 2),
+ st AS (SELECT *, sum(CASE WHEN v IS NOT NULL AND (bv IS NULL OR t - bt > gap_s) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, source ORDER BY t) AS stretch FROM (SELECT si.*, coalesce(gap_s, 'infinity'::DOUBLE) AS gap_s, lag(t) OVER w AS bt, lag(v) OVER w AS bv FROM si LEFT JOIN ga USING (run_id, source) WINDOW w AS (PARTITION BY run_id, source ORDER BY t))),
+ co AS (SELECT run_id, stretch, min(t) AS a, max(t) AS z FROM st WHERE source = 'primary' AND v IS NOT NULL GROUP BY 1, 2),
+ fu AS (SELECT * FROM st WHERE v IS NOT NULL AND (source = 'primary' OR NOT EXISTS (SELECT 1 FROM co WHERE co.run_id = st.run_id AND st.t BETWEEN a AND z))),
+ fp AS (SELECT *, sum(CASE WHEN coalesce(t - pt > greatest(gap_s, pg), true) THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY t, source) - 1 AS piece FROM (SELECT *, lag(t) OVER w AS pt, lag(gap_s) OVER w AS pg FROM fu WINDOW w AS (PARTITION BY run_id ORDER BY t, source)))"""
+
+
+def _sides(spark, sf_dir):
+    rows = t.samples(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 10, F.col("v")))
+    own = rows.where("channel = 'click'").select("run_id", "t", "v")
+    # the drift is around a day of the recordings, so that times keep their digits
+    clocks = rows.select("run_id").distinct().withColumns({"offset_s": F.lit(30.0), "drift_ppm": F.lit(2.0)})
+    other = rows.where("channel = 'view'").select("run_id", (F.col("t") - 1.7e9).alias("t"), "v")
+    moved = fusion.on_primary_clock(other, clocks).withColumn("t", F.col("t") + 1.7e9)
+    return fusion.merged(own, moved)
+
+
+@query(f"WITH {_SIDES} SELECT run_id, CAST(round(t * 1000) AS BIGINT) AS t_ms, v, source, CAST(piece AS BIGINT) AS piece FROM fp")
+def merged_recordings(spark, sf_dir):
+    return _sides(spark, sf_dir).select("run_id", F.round(F.col("t") * 1000).cast("long").alias("t_ms"), "v", "source", "piece")
+
+
+@query(f"""WITH {_SIDES}, sg AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY t, source) - 1 AS segment FROM (SELECT *, CASE WHEN coalesce(source <> lag(source) OVER w OR piece <> lag(piece) OVER w, true) THEN 1 ELSE 0 END AS new FROM fp WINDOW w AS (PARTITION BY run_id ORDER BY t, source)))
+ SELECT run_id, CAST(segment AS BIGINT) AS segment, source, CAST(round(min(t) * 1000) AS BIGINT) AS start_ms, CAST(round(max(t) * 1000) AS BIGINT) AS end_ms, count(*) AS n FROM sg GROUP BY 1, 2, 3""")
+def merged_segments(spark, sf_dir):
+    found = fusion.fused_segments(_sides(spark, sf_dir))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return found.select("run_id", "segment", "source", ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), "n")

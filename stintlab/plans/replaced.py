@@ -23,7 +23,7 @@ def _ranked(rows):
 
 @query(f"""WITH {LAPS_SQL}, r AS (SELECT group_id, group_id * 8 + run_id % 8 AS run_id, lap_no, clock, CASE WHEN (group_id * 8 + run_id % 8) % 67 = 5 THEN seconds * 0.5 ELSE seconds END AS seconds, excluded FROM laps),
  k AS (SELECT * FROM r WHERE run_id <> 11), e AS (SELECT group_id, run_id, lap_no, row_number() OVER (PARTITION BY group_id ORDER BY seconds, clock NULLS LAST, run_id, lap_no) AS position FROM k WHERE seconds IS NOT NULL AND NOT excluded)
- SELECT group_id, run_id, lap_no, round(seconds, 4) AS seconds, position FROM k LEFT JOIN e USING (group_id, run_id, lap_no)""")
+ SELECT group_id, run_id, lap_no, round(seconds, 4) AS seconds, coalesce(position, 0) AS position FROM k LEFT JOIN e USING (group_id, run_id, lap_no)""")
 def replaced_runs(spark, sf_dir):
     run = F.col("group_id") * 8 + F.col("run_id") % 8
     rows = t.laps(spark, sf_dir).withColumn("run_id", run)
@@ -32,4 +32,4 @@ def replaced_runs(spark, sf_dir):
     again = rows.where(F.col("run_id") % 67 == 5).withColumn("seconds", F.col("seconds") * 0.5)
     replace_runs(again, folder, "again", _ranked, gone=[11])
     found = rankings(spark, folder, T.StructType([*rows.schema.fields, T.StructField("position", T.LongType())]))
-    return found.select("group_id", "run_id", "lap_no", (F.round("seconds", 4) + 0.0).alias("seconds"), "position")
+    return found.select("group_id", "run_id", "lap_no", (F.round("seconds", 4) + 0.0).alias("seconds"), F.coalesce("position", F.lit(0)).alias("position"))

@@ -64,7 +64,7 @@ def skill_levels(spark, sf_dir):
     return rounded(found.withColumns({"level": F.col("level").cast("long")}), 5)
 
 
-@query(f"WITH {_SESSIONS} SELECT skill, count(*) AS sessions, count_if(len(list_filter(bands, lambda x: value > x)) = 0) AS at_best, any_value(bands[1]) AS first, any_value(bands[4]) AS last FROM me JOIN bd USING (skill) GROUP BY 1")
+@query(f"WITH {_SESSIONS} SELECT skill, count(*) AS sessions, CAST(count_if(len(list_filter(bands, lambda x: value > x)) = 0) AS BIGINT) AS at_best, any_value(bands[1]) AS first, any_value(bands[4]) AS last FROM me JOIN bd USING (skill) GROUP BY 1")
 def skill_catalogue(spark, sf_dir):
     """Every skill's first and last band, how many sessions measured it and how many hold the first."""
     rows = _measures(spark, sf_dir)[0].groupBy("skill").agg(F.count("*").alias("sessions"), F.count_if(skills.exceeded(F.col("value"), F.col("skill")) == 0).alias("at_best"))
