@@ -119,16 +119,16 @@ def commitment(corners: DataFrame, least: int = 3) -> DataFrame:
 def findings(bundle: DataFrame, slower_s: float = 0.05, faster: int = 2, speed: float = 2.0, metres: float = 5.0) -> DataFrame:
     """(axis_id, run_id, lap_no, segment_id, kind, loss_s): why a lap lost time in a corner against the quickest laps there,
     at most ``faster`` of them: the first that applies of a lower entry, a lower least speed, a later or earlier
-    pick-up, else ``unexplained``."""
+    pick-up. A loss that none of them explains is no finding."""
     w = Window.partitionBy("axis_id", "segment_id").orderBy("seconds", "run_id", "lap_no")
     rows = bundle.where("seconds is not null").withColumn("place", F.row_number().over(w))
     best = rows.where(F.col("place") <= faster).groupBy("axis_id", "segment_id").agg(*(F.avg(c).alias(f"b_{c}") for c in ("seconds", "entry", "least", "pickup_m")))
     both = rows.join(best, ["axis_id", "segment_id"]).where((F.col("place") > faster) & (F.col("seconds") - F.col("b_seconds") >= slower_s))
     kind = (
         F.when(F.col("b_entry") - F.col("entry") >= speed, "early lift").when(F.col("b_least") - F.col("least") >= speed, "low least speed")
-        .when(F.col("pickup_m") - F.col("b_pickup_m") >= metres, "late throttle").when(F.col("b_pickup_m") - F.col("pickup_m") >= metres, "early throttle").otherwise("unexplained")
+        .when(F.col("pickup_m") - F.col("b_pickup_m") >= metres, "late throttle").when(F.col("b_pickup_m") - F.col("pickup_m") >= metres, "early throttle")
     )
-    return both.select("axis_id", "run_id", "lap_no", "segment_id", kind.alias("kind"), (F.col("seconds") - F.col("b_seconds")).alias("loss_s"))
+    return both.select("axis_id", "run_id", "lap_no", "segment_id", kind.alias("kind"), (F.col("seconds") - F.col("b_seconds")).alias("loss_s")).where("kind IS NOT NULL")
 
 
 def inconsistent(values: DataFrame, by: list[str], spread: float, least: int = 3) -> DataFrame:

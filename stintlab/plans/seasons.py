@@ -128,7 +128,7 @@ def throttle_commitment(spark, sf_dir):
 _FINDINGS = f"""{_EXITS}, bu AS (SELECT {_L}, segment_id, seconds, entry, least, pickup_m FROM tm JOIN sp USING ({_L}, segment_id) LEFT JOIN ex USING ({_L}, segment_id)),
  pl AS (SELECT *, row_number() OVER (PARTITION BY axis_id, segment_id ORDER BY seconds, run_id, lap_no) AS place FROM bu),
  be AS (SELECT axis_id, segment_id, avg(seconds) AS bs, avg(entry) AS b_entry, avg(least) AS bl, avg(pickup_m) AS bp FROM pl WHERE place <= 2 GROUP BY 1, 2),
- fi AS (SELECT axis_id, run_id, lap_no, segment_id, CASE WHEN b_entry - entry >= 2 THEN 'early lift' WHEN bl - least >= 2 THEN 'low least speed' WHEN pickup_m - bp >= 5 THEN 'late throttle' WHEN bp - pickup_m >= 5 THEN 'early throttle' ELSE 'unexplained' END AS kind, seconds - bs AS loss_s FROM pl JOIN be USING (axis_id, segment_id) WHERE place > 2 AND seconds - bs >= 0.005)"""
+ fi AS (SELECT * FROM (SELECT axis_id, run_id, lap_no, segment_id, CASE WHEN b_entry - entry >= 2 THEN 'early lift' WHEN bl - least >= 2 THEN 'low least speed' WHEN pickup_m - bp >= 5 THEN 'late throttle' WHEN bp - pickup_m >= 5 THEN 'early throttle' END AS kind, seconds - bs AS loss_s FROM pl JOIN be USING (axis_id, segment_id) WHERE place > 2 AND seconds - bs >= 0.005) WHERE kind IS NOT NULL)"""
 
 
 def _findings(spark, sf_dir):
