@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -11,6 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 RUN_PARTS = 64
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def append_new(batch: DataFrame, folder: str) -> None:
     """Appends the samples that the table doesn't have, told by run, channel and time, so a run may come in parts and a
     batch that is delivered again adds nothing. Only the batch's own runs are read, which the table is laid out by."""
@@ -18,15 +24,11 @@ def append_new(batch: DataFrame, folder: str) -> None:
     table = f"{folder}/samples"
     key = ["run_id", "channel", "t"]
     new = batch.dropDuplicates(key).persist()
-    try:
-        known = spark.read.parquet(table)
-    except Exception as e:  # the first batch has no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = None
-    if known is not None:
+    # the first batch has no table yet
+    if _exists(spark, table):
         runs = new.select(F.pmod(F.xxhash64("run_id"), F.lit(RUN_PARTS)).alias("part"), "run_id").distinct()
-        own = known.join(F.broadcast(runs.select("part").distinct()), "part", "left_semi")  # RUN_PARTS rows at most
+        laid_out = T.StructType([*batch.schema.fields, T.StructField("part", T.LongType())])
+        own = spark.read.schema(laid_out).parquet(table).join(F.broadcast(runs.select("part").distinct()), "part", "left_semi")  # RUN_PARTS rows at most
         new = new.join(own.select(*key), key, "left_anti")
     laid = new.withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(RUN_PARTS)))
     laid.repartition("part").write.partitionBy("part").mode("append").parquet(table)

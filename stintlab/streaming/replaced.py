@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUNS, GROUPS = "runs", "groups"
 #: Runs that a call may replace: their pointers are read and swapped by the driver, one at a time.
@@ -126,5 +127,6 @@ def rankings(spark: SparkSession, folder: str, schema) -> DataFrame:
     """All groups' current rows. Pointers meet folders by a join that prunes the others."""
     now = spark.read.schema("version string, rows boolean").json(f"{folder}/pointers/{GROUPS}/*.json")
     now = now.where("rows").select(F.regexp_extract(F.input_file_name(), r"([0-9a-f]{64})\.json", 1).alias("name"), "version")
-    every = spark.read.schema(schema.add("name", "string").add("version", "string")).parquet(f"{folder}/{GROUPS}")
+    laid_out = T.StructType([*schema.fields, T.StructField("name", T.StringType()), T.StructField("version", T.StringType())])
+    every = spark.read.schema(laid_out).parquet(f"{folder}/{GROUPS}")
     return every.join(now, ["name", "version"]).drop("name", "version")
