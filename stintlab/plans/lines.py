@@ -92,8 +92,8 @@ def close_legs(spark, sf_dir):
     return axes, rows.select("axis_id", "run_id", F.lit(1).cast("long").alias("lap_no"), "t", east.alias("east"), (north + F.col("off")).alias("north"))
 
 
-@query(f"""WITH {_CLOSE} SELECT axis_id, run_id, 1 AS lap_no, CASE WHEN v = 2 AND k > 9 OR v = 1 AND k > m + 5 THEN 1 ELSE 0 END AS stretch, CAST(k AS DOUBLE) AS t, p AS progress_m, off AS metres FROM lp
- UNION ALL SELECT axis_id, run_id, 1, 0, k + 0.5, p, 0 FROM lp WHERE v = 1 AND k IN (7, 8)""")
+@query(f"""WITH {_CLOSE} SELECT axis_id, run_id, 1 AS lap_no, CASE WHEN v = 2 AND k > 9 OR v = 1 AND k > m + 5 THEN 1 ELSE 0 END AS stretch, CAST(k AS DOUBLE) AS t, CAST(p AS DOUBLE) AS progress_m, CAST(off AS DOUBLE) AS metres FROM lp
+ UNION ALL SELECT axis_id, run_id, 1, 0, CAST(k + 0.5 AS DOUBLE), CAST(p AS DOUBLE), CAST(0 AS DOUBLE) FROM lp WHERE v = 1 AND k IN (7, 8)""")
 def projected_close_legs(spark, sf_dir):
     """The other leg is nearer all along; a car that stands keeps its place, one that reverses isn't placed."""
     axes, fixes = close_legs(spark, sf_dir)
