@@ -56,7 +56,7 @@ def _exact(value) -> Column:
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(key, source_size, target) of (key, source_size); weights go round by the keys' order."""
-    cycle = F.array(*(F.lit(w) for w in weights))
+    cycle = F.array(*(F.lit(w).cast("long") for w in weights))  # a weight times all words passes 32 bits
     own = cut(numbered(sizes, "key", "ordered").withColumn("weight", F.get(cycle, (F.col("place") % len(weights)).cast("int"))), "sources")
     # every unbounded source gets num / den words for a weight of 1; what is bounded stays so as that grows
     first = own.agg(F.sum("source_size"), F.sum("weight")).first()

@@ -108,6 +108,16 @@ def test_targets_stop_and_the_excess_is_shared_again(spark):
         assert all(got[s] <= 3 * n for s, n in sizes.items())
 
 
+def test_targets_of_many_words_are_exact(spark):
+    from stintlab.llm.mix import targets
+
+    # a weight times all words passes 32 bits, then all words do, then a weight times all words passes 2^60
+    for n in (400_000_000, 1_500_000_000, 250_000_000_000_000_000):
+        df = spark.createDataFrame([(k, n) for k in ("sa", "sb", "sc")], "key string, source_size long")
+        got = {r["key"]: r["target"] for r in targets(df).collect()}
+        assert got == {"sa": n / 2, "sb": float(n), "sc": n * 3 / 2}
+
+
 def test_no_documents_and_no_words(spark):
     from stintlab.llm.mix import mix
 
