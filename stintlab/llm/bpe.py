@@ -7,6 +7,7 @@ which a later token could still start, each with where the bytes since lead in t
 a step gives the next state and the token that ends the text read so far. Places are no older than the longest token, so
 all that the open places' ways back share is settled and goes out: at a piece's end, or in a long piece from time to
 time. A state is that set of places; states and transitions are made when a text first needs them and kept in tables.
+Pieces of many texts are read together, a byte of each at a time, so that a transition is looked up once for all of them.
 
 Decoding feeds the tokens' bytes, some thousand tokens at a time, to an incremental UTF-8 state machine,
 :class:`Utf8Stream`, which gives the text as it comes.
@@ -17,10 +18,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Collection, Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from stintlab.llm.common import kept, map_texts
@@ -30,6 +33,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MAX_KEPT = 300_000
 #: Bytes of a piece after which settled tokens go out, and bits of a token's number in a table's entries.
 LONG, _ID_BITS = 1 << 14, 20
+#: Bytes of the longest piece that is read together with others.
+WIDE = 64
+#: Characters of a text or word from which its pieces are cut a part at a time, and pieces or tokens of such a part.
+VERY_LONG, PART = 1 << 20, 1 << 16
 _ID_MASK = (1 << _ID_BITS) - 1
 
 
@@ -63,6 +70,8 @@ class Transducer:
                 node = below
             self.ends[node] = rank
         self.length = {v: len(k) for k, v in ranks.items()}
+        self.lengths = np.zeros(max(self.length) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.depth = array("q", [0]) * len(self.ends)
         for key, node in self.below.items():  # parents come before their children
             self.depth[node] = self.depth[key >> 8] + 1
@@ -163,6 +172,51 @@ class Transducer:
             last.append(found & _ID_MASK)
         return self._back(last, len(last), 0)
 
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as the bytes of 32-bit integers."""
+        out, held, size = [b""] * len(pieces), [], 0
+        for i, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = array("i", [whole]).tobytes()
+            elif len(piece) > WIDE:
+                out[i] = array("i", self.encode(piece)).tobytes()
+            else:
+                held.append(i)
+                size += len(piece)
+                if size >= self.max_kept:  # so that the tables grow by this much at most before they can start again
+                    self._together(pieces, held, out)
+                    held, size = [], 0
+        if held:
+            self._together(pieces, held, out)
+        return out
+
+    def _together(self, pieces: list[bytes], rows: list[int], out: list[bytes]) -> None:
+        """Reads a byte of each of these pieces at a time; the longest come first, so those that go on are the first ones."""
+        if self.kept() > self.max_kept:
+            self._reset()
+        rows = sorted(rows, key=lambda i: len(pieces[i]), reverse=True)
+        width = len(pieces[rows[0]])
+        sizes = np.fromiter((len(pieces[i]) for i in rows), np.int64, len(rows))
+        text = np.frombuffer(b"".join(pieces[i].ljust(width) for i in rows), np.uint8).reshape(-1, width)
+        known, step = self._next.get, self._step
+        state, last = np.zeros(len(rows), np.int64), np.zeros(text.shape, np.int32)
+        for k in range(width):
+            going = int(np.searchsorted(-sizes, -k))
+            keys, which = np.unique(state[:going] << 8 | text[:going, k], return_inverse=True)
+            found = np.array([known(key) or step(key) for key in keys.tolist()])[which]
+            state[:going] = found >> _ID_BITS
+            last[:going, k] = found & _ID_MASK
+        # back from each piece's end: before each boundary lies the token that ended the text there
+        ends, open_, at = np.zeros(text.shape, bool), np.arange(len(rows)), sizes
+        while len(open_):
+            ends[open_, at - 1] = True
+            at = at - self.lengths[last[open_, at - 1]]
+            open_, at = open_[at > 0], at[at > 0]
+        ids = last[ends].tobytes()
+        bounds = (4 * np.cumsum(ends.sum(1))).tolist()
+        for i, a, b in zip(rows, [0, *bounds], bounds):
+            out[i] = ids[a:b]
+
     def _back(self, last: list[int], at: int, until: int) -> list[int]:
         """The tokens between two boundaries: before each lies the token that ended the text there."""
         out, length = [], self.length
@@ -264,6 +318,16 @@ class Utf8Stream:
 
 #: Marks that are a piece of their own after letters.
 _MARKS = frozenset(",.;:!?)")
+#: White space that isn't one space, or one or two line ends before a word or one at the end, as RE2 writes it.
+_ODD = (
+    r" [ \n]| \z|\n\n\n|\n\n\z|\n |[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
+def joined(table: pa.LargeBinaryArray, ids: np.ndarray | list[int]) -> bytes:
+    """The table's entries at ``ids``, one after another."""
+    return table.take(pa.array(ids, pa.int32())).buffers()[2].to_pybytes() if len(ids) else b""
 
 
 class Codec:
@@ -275,58 +339,95 @@ class Codec:
         import regex
 
         self.transducer = Transducer(load_ranks(path), max_kept)
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        # white space that isn't one space, or one or two line ends before a word or one at the end
-        self.odd = regex.compile(r" (?:\s|\Z)|\n\n(?:\s|\Z)|\n |[^\S \n]").search
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pieces = self.pattern.findall
         self.max_kept = max_kept
-        self.units: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-
-    def _unit(self, word: str) -> tuple:
-        """Ids of a word with the space before it, or of a line's end with the word after it."""
-        if word[:1] == "\n":
-            return (*self.transducer.encode(b"\n"), *self._pieces(word[1:]))
-        return self._pieces(" " + word)
-
-    def _pieces(self, unit: str) -> tuple:
-        encode = self.transducer.encode
+        of = self.transducer.bytes_of
+        self.bytes_of = pa.array([of.get(i, b"") for i in range(max(of) + 1)], pa.large_binary())
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _cut(self, unit: str) -> list[str]:
+        """Pieces of a word with the space before it, if any, or of a line's end with the word after it."""
+        if unit[:1] == "\n":
+            return ["\n", *self._cut(unit[1:])]
         # the common shapes need no pattern: a word of letters, alone or with one mark after it
         if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
-            return tuple(encode(unit.encode()))
+            return [unit]
         if unit[-1:] in _MARKS and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
-            return (*encode(unit[:-1].encode()), *encode(unit[-1:].encode()))
-        return tuple(self._whole(unit)) if unit else ()
-
-    def _whole(self, text: str) -> list[int]:
-        encode = self.transducer.encode
-        return list(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces(text)))
+            return [unit[:-1], unit[-1:]]
+        return self.pieces(unit)
 
-    def encode(self, text: str | None) -> list[int]:
-        """A space before a character that isn't white space always begins a piece and a single line's end is one, so
-        texts are cut there; a text with other white space is taken whole."""
-        if not text:
-            return []
-        if self.odd(text):
-            return self._whole(text)
-        first, *words = text.replace("\n", " \n").split(" ")
+    def _units(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space or with a line's end."""
         if len(self.units) > self.max_kept // 2:
             self.units, self.older = {}, self.units
-        units = self.units
-        for word in set(words).difference(units):
-            units[word] = self.older.get(word) or self._unit(word)
-        return [*self._whole(first), *chain.from_iterable(map(units.__getitem__, words))]
+        units, older = self.units, self.older
+        new = [w for w in words if w not in units]
+        for i in range(0, len(new), self.max_kept):
+            cut = {}
+            for word in new[i : i + self.max_kept]:
+                found = older.get(word)
+                if found is None and len(word) > VERY_LONG:
+                    units[word] = self._parts(word if word[:1] == "\n" else " " + word)
+                elif found is None:
+                    cut[word] = self._cut(word if word[:1] == "\n" else " " + word)
+                else:
+                    units[word] = found
+            units.update(zip(cut, self._ids(cut.values()), strict=True))
+        return list(map(units.__getitem__, words))
+
+    def _ids(self, cut: Collection[list[str]]) -> Iterator[bytes]:
+        pieces = list(dict.fromkeys(chain.from_iterable(cut)))
+        ids = dict(zip(pieces, self.transducer.encode_all([p.encode() for p in pieces]), strict=True))
+        return (ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts)) for parts in cut)
+
+    def _parts(self, text: str) -> bytes:
+        found, out = self.pattern.finditer(text), []
+        while part := [m[0] for m in islice(found, PART)]:
+            out += self._ids([part])
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        encode = self.transducer.encode
+        return list(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces(text or "")))
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.transducer.bytes_of.__getitem__, ids))
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Ids of the texts, one text after another, and where the ids of each end.
 
-    def stream(self, ids: list[int], chunk: int = 4096) -> Iterator[str]:
+        A space before a character that isn't white space always begins a piece and a single line's end is one, so texts
+        are cut there; a text with other white space is taken whole.
+        """
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD)
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), "\n", " \n"), " ")
+        bounds, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+        # each text's first word has no space before it; a text taken whole stands in the first word's place
+        firsts = words.values.take(words.offsets[:-1]).to_pylist()
+        firsts = [t if o else f for t, o, f in zip(texts, odd.to_pylist(), firsts, strict=True)]
+        short = self._ids([self.pieces(f) for f in firsts if len(f) <= VERY_LONG])
+        units = self._units(coded.dictionary.to_pylist())
+        units += [next(short) if len(f) <= VERY_LONG else self._parts(f) for f in firsts]
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[bounds[:-1]] = np.arange(len(units) - len(texts), len(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        lists = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(np.frombuffer(b"".join(units), np.int32))
+        )
+        ids = lists.take(pa.array(which)).flatten().to_numpy()
+        return ids, np.cumsum(sizes[which])[bounds[1:] - 1].tolist()
+
+    def decode_bytes(self, ids: np.ndarray | list[int]) -> bytes:
+        return joined(self.bytes_of, ids)
+
+    def stream(self, ids: np.ndarray | list[int], chunk: int = 4096) -> Iterator[str]:
         """The text of ``chunk`` tokens at a time; a character whose bytes two chunks share comes with the second."""
         stream = Utf8Stream()
         for i in range(0, len(ids), chunk):
             yield stream.feed(self.decode_bytes(ids[i : i + chunk]))
         yield stream.end()
 
-    def decode(self, ids: list[int], chunk: int = 4096) -> str:
+    def decode(self, ids: np.ndarray | list[int], chunk: int = 4096) -> str:
         return "".join(self.stream(ids, chunk))
 
 
@@ -354,14 +455,18 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
 
     def make():
         c = codec(path)
-        text_of = {i: str(i) for i in c.transducer.bytes_of}
+        text_of = pa.array([f",{i}".encode() for i in range(len(c.bytes_of))], pa.large_binary())
 
         def fn(texts):
             n, ids_hash, bytes_hash = [], [], []
-            for t in texts:
-                ids = c.encode(t)
+            every, ends = c.encode_all(texts)
+            for start, end in zip([0, *ends], ends):
+                ids = every[start:end]
                 n.append(len(ids))
-                ids_hash.append(hashlib.sha256(",".join(map(text_of.__getitem__, ids)).encode()).hexdigest())
+                written = hashlib.sha256(joined(text_of, ids[:PART])[1:])
+                for i in range(PART, len(ids), PART):
+                    written.update(joined(text_of, ids[i : i + PART]))
+                ids_hash.append(written.hexdigest())
                 decoded = hashlib.sha256()
                 for part in c.stream(ids):
                     decoded.update(part.encode("utf-8"))
@@ -376,7 +481,12 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
 def encode_ids(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id and the array of ids."""
     path = vocabulary_path or default_vocabulary()
-    return map_texts(docs, lambda: lambda texts: ([codec(path).encode(t) for t in texts],), [("ids", pa.list_(pa.int32()), "array<int>")])
+
+    def encode(texts):
+        ids, ends = codec(path).encode_all(texts)
+        return ([ids[a:b] for a, b in zip([0, *ends], ends)],)
+
+    return map_texts(docs, lambda: encode, [("ids", pa.list_(pa.int32()), "array<int>")])
 
 
 def decode_ids(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
