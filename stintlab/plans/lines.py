@@ -152,7 +152,8 @@ def _curved(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber")
     rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("axis_id"), (F.row_number().over(w) - 1).alias("i"), "l_tax")
     rows = rows.select("axis_id", "i", F.floor(F.col("i") / 50).alias("c"), (F.col("i") % 50).alias("j"), "l_tax")
-    form = F.expr(_FORM).cast("double") * F.when((F.col("axis_id") + F.col("c")) % 2 == 0, 1).otherwise(-1) * 0.02 * (1 + 0.01 * F.col("l_tax"))
+    # factors in the text's order, as products that lie on a threshold show another
+    form = F.when((F.col("axis_id") + F.col("c")) % 2 == 0, 1).otherwise(-1) * F.lit(0.02) * (1 + 0.01 * F.col("l_tax")) * F.expr(_FORM).cast("double")
     features = rows.select("axis_id", (F.col("i") * F.lit(5.0)).alias("cum_m"), form.alias("curvature"))
     corners = rows.select("axis_id", F.col("c").cast("long").alias("segment_id")).distinct()
     return features, corners.select("axis_id", "segment_id", (F.col("segment_id") * F.lit(250.0)).alias("start_m"), (F.col("segment_id") * F.lit(250.0) + 250).alias("end_m"))
