@@ -47,8 +47,9 @@ def trend(samples: DataFrame, bins: int = TREND_BINS) -> DataFrame:
     """(run_id, channel, bin, n, mean_v, min_v, max_v) in equal parts of a channel's time."""
     w = Window.partitionBy("run_id", "channel")
     span = F.max("t").over(w) - F.min("t").over(w)
-    place = F.least(F.floor((F.col("t") - F.min("t").over(w)) / F.nullif(span, F.lit(0.0)) * bins), F.lit(bins - 1))
-    rows = samples.where("v is not null").withColumn("bin", F.coalesce(place, F.lit(0)).cast("long"))
+    # a channel of one time has no span and lies in the first part; least() would skip its null
+    place = F.coalesce(F.floor((F.col("t") - F.min("t").over(w)) / F.nullif(span, F.lit(0.0)) * bins), F.lit(0))
+    rows = samples.where("v is not null").withColumn("bin", F.least(place, F.lit(bins - 1)).cast("long"))
     return rows.groupBy("run_id", "channel", "bin").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
 
 

@@ -40,3 +40,18 @@ def on_threshold(spark, folder, name):
 
 def test_apex_regions_begin_where_the_sql_has_them(spark, tmp_path):
     on_threshold(spark, tmp_path, "apex_regions")
+
+
+def test_corner_phases_agree_on_the_threshold(spark, tmp_path):
+    on_threshold(spark, tmp_path, "corner_geometry")
+
+
+def test_corner_shapes_agree_on_the_threshold(spark, tmp_path):
+    on_threshold(spark, tmp_path, "corner_shapes")
+
+
+def test_a_channel_of_one_sample_lies_in_the_first_part_of_its_time(spark, tmp_path):
+    at = [(1, "view", 0, 2.5), (2, "view", 0, 1.0), (2, "view", 6, 3.0), (2, "view", 12, 5.0), (2, "click", 3, 7.0)]
+    events = [{"user_id": u, "event_type": c, "ts": dt.datetime(2024, 1, 1, h), "value": v} for u, c, h, v in at]
+    got, told = both(spark, tmp_path, "channel_trends", events=events)
+    assert got == told and {(r[0], r[1]): r[2] for r in got if r[3] == 1 and r[1] == "click" or r[0] == 1} == {(1, "view"): 0, (2, "click"): 0}
