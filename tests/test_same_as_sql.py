@@ -55,3 +55,9 @@ def test_a_channel_of_one_sample_lies_in_the_first_part_of_its_time(spark, tmp_p
     events = [{"user_id": u, "event_type": c, "ts": dt.datetime(2024, 1, 1, h), "value": v} for u, c, h, v in at]
     got, told = both(spark, tmp_path, "channel_trends", events=events)
     assert got == told and {(r[0], r[1]): r[2] for r in got if r[3] == 1 and r[1] == "click" or r[0] == 1} == {(1, "view"): 0, (2, "click"): 0}
+
+
+def test_a_nation_of_more_runs_than_a_document_holds_is_read_whole(spark, tmp_path):
+    customer = [{"c_custkey": k, "c_nationkey": k % 40 % 3, "c_name": f"Customer#{k}"} for k in range(480)]
+    got, told = both(spark, tmp_path, "read_day_documents", customer=customer)
+    assert got == told and max(sum(r[0] == d for r in told) for d in (0, 2)) > 64
