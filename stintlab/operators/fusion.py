@@ -15,19 +15,23 @@ def grid(samples: DataFrame, step_s: float) -> DataFrame:
 
 
 def offsets(a: DataFrame, b: DataFrame, reach: int, least: int = 8) -> DataFrame:
-    """Each run's correlation at every shift of b's grid by up to ``reach`` steps.
+    """Each run's correlation at every shift of b's grid by up to ``reach`` steps; NaN where a side has no spread.
 
     The shifts multiply one side, so that the join is by equal run and place.
     """
     shifted = b.select("run_id", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift"), "k", F.col("v").alias("w"))
     shifted = shifted.withColumn("k", F.col("k") - F.col("shift"))
-    out = a.join(shifted, ["run_id", "k"]).groupBy("run_id", "shift").agg(F.count("*").alias("n"), F.corr("v", "w").alias("r"))
-    return out.where(F.col("n") >= least)
+    out = a.join(shifted, ["run_id", "k"]).groupBy("run_id", "shift").agg(
+        F.count("*").alias("n"), F.covar_pop("v", "w").alias("c"), (F.stddev_pop("v") * F.stddev_pop("w")).alias("s")
+    )
+    # not corr(), which ends the query where a side has no spread
+    r = F.when(F.col("s") > 0, F.col("c") / F.nullif("s", F.lit(0.0))).otherwise(F.lit(float("nan")))
+    return out.where(F.col("n") >= least).select("run_id", "shift", "n", r.alias("r"))
 
 
 def best_offset(table: DataFrame) -> DataFrame:
     """The shift of greatest Fisher-z significance, atanh(r) sqrt(n - 3); the smaller shift of equals."""
-    r = F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.coalesce("r", F.lit(-1.0))))
+    r = F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.nanvl(F.coalesce("r", F.lit(-1.0)), F.lit(-1.0))))
     rows = table.withColumn("z", F.round(F.atanh(r) * F.sqrt(F.col("n") - 3), 9))
     w = Window.partitionBy("run_id").orderBy(F.desc("z"), F.abs("shift"), "shift")
     return rows.withColumn("o", F.row_number().over(w)).where("o = 1").select("run_id", "shift", "n", "r", "z")

@@ -61,3 +61,12 @@ def test_a_nation_of_more_runs_than_a_document_holds_is_read_whole(spark, tmp_pa
     customer = [{"c_custkey": k, "c_nationkey": k % 40 % 3, "c_name": f"Customer#{k}"} for k in range(480)]
     got, told = both(spark, tmp_path, "read_day_documents", customer=customer)
     assert got == told and max(sum(r[0] == d for r in told) for d in (0, 2)) > 64
+
+
+def test_clock_offsets_of_channels_without_spread(spark, tmp_path):
+    """Run 1 has no spread at any shift, run 2 at one of them, run 3 only in groups too small to count."""
+    values = {1: ([3.0] * 5, [1.0, 2.0, 4.0, 3.0, 5.0]), 2: ([3.0] * 5 + [1.0, 7.0], [2.0, 9.0, 4.0, 3.0, 5.0, 8.0, 6.0]), 3: ([2.0, 2.0, 5.0, 4.0, 8.0, 6.0], [1.0, 3.0, 4.0, 4.5, 7.0, 7.0])}
+    start = dt.datetime(2024, 1, 1)
+    events = [{"user_id": u, "event_type": c, "ts": start + dt.timedelta(hours=6 * k), "value": v} for u, sides in values.items() for c, vs in zip(("click", "view"), sides, strict=True) for k, v in enumerate(vs)]
+    got, told = both(spark, tmp_path, "clock_offsets", events=events)
+    assert repr(got) == repr(told) and [r[0] for r in got] == [1, 2, 3]
