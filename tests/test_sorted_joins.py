@@ -19,7 +19,7 @@ def broadcast_whole(plan):
                 yield below
 
 
-@pytest.mark.parametrize("name", ["gate_passes", "detected_laps", "lateral_offsets"])
+@pytest.mark.parametrize("name", ["gate_passes", "detected_laps", "lateral_offsets", "reference_statuses"])
 def test_spread_rows_are_not_sent_to_the_driver(spark, name):
     queries, _ = plans.registered()
     plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
