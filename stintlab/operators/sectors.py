@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlab.functions.stats import median, quartiles
+from stintlab.operators.written import written
+
+#: Fixed value: how many passages of a segment are tried first for a chain.
+FIRST = 500
 
 
 def theoretical_best(times: DataFrame, segments: int) -> DataFrame:
@@ -169,8 +173,10 @@ def quickest_chain(
 def realistic_best(times: DataFrame, segments: int, reach: float = 2 / 3.6, meets: list[bool] | None = None, closes: bool = False) -> DataFrame:
     """(group_id, realistic_s, laps): the quickest chain of passages (entry and exit speeds known or null) of each group.
 
-    Null and without laps where a segment has no passage, no speed is known or nothing joins. A group is a driver's
-    laps of one layout in one day; its passages are a few hundred rows a segment at most.
+    Null and without laps where a segment has no passage, no speed is known or nothing joins. The quickest ``FIRST``
+    passages of each segment give a chain, if they join; a passage that with the other segments' quickest takes longer
+    than that is in no quicker one and stays out. What is left of a group is one task's, so a group of any size may come
+    while speeds join somewhere among its quickest passages.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,10 +184,28 @@ def realistic_best(times: DataFrame, segments: int, reach: float = 2 / 3.6, meet
         timed = pdf.assign(lap=lap)[np.isfinite(pdf["seconds"].astype(float))]
         parts = [p.sort_values(["seconds", "run_id", "lap_no"]) for _, p in timed.groupby("segment", sort=True)]
         got = None
-        if len(parts) == segments and pdf[["entry", "exit"]].notna().any(axis=None):
+        if len(parts) == segments and pdf["spoken"].any():
             got = quickest_chain(*([p[c].tolist() for p in parts] for c in ("seconds", "entry", "exit")), reach, [p["lap"].tolist() for p in parts], meets, closes)
         chain = [int(p["lap_no"].iloc[i]) for p, i in zip(parts, got[1], strict=True)] if got else []
         return pd.DataFrame({"group_id": pdf["group_id"].iloc[:1], "realistic_s": [got[0] if got else None], "laps": [chain]})
 
-    columns = times.select("group_id", "run_id", "lap_no", "segment", "seconds", "entry", "exit")
-    return columns.groupBy("group_id").applyInPandas(run, "group_id long, realistic_s double, laps array<long>")
+    schema = "group_id long, realistic_s double, laps array<long>"
+    passages = written(times.select("group_id", "run_id", "lap_no", "segment", "seconds", "entry", "exit"), "passages")
+    s = F.col("seconds")
+    timed = passages.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) & F.col("segment").isNotNull())
+    # whether a group knows any speed; NaN is none
+    said = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("entry", "exit")]
+    groups = passages.groupBy("group_id").agg(F.max(said[0] | said[1]).alias("spoken"))
+    order = Window.partitionBy("group_id", "segment").orderBy("seconds", "run_id", "lap_no")
+    first = timed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).withColumn("spoken", F.lit(True))
+    bound = first.groupBy("group_id").applyInPandas(run, schema).select(F.col("group_id").alias("own"), F.col("realistic_s").alias("bound_s"))
+    quickest = first.where("place = 1").withColumn("others_s", F.sum("seconds").over(Window.partitionBy("group_id")) - s)
+    # but for the rounding of sums in another order
+    most = F.col("bound_s") - F.col("others_s") + 1e-9 * (1 + F.abs("bound_s") + F.abs("others_s"))
+    limits = quickest.join(bound, F.col("group_id").eqNullSafe(F.col("own")), "left").select(F.col("group_id").alias("own"), F.col("segment").alias("part"), most.alias("most_s"))
+    # a row a group and segment, whose size is known once it is written
+    rows = timed.join(written(limits, "limits"), F.col("group_id").eqNullSafe(F.col("own")) & (F.col("segment") == F.col("part"))).drop("own", "part")
+    kept = rows.where(F.col("most_s").isNull() | (s <= F.col("most_s"))).join(groups.withColumnRenamed("group_id", "own"), F.col("group_id").eqNullSafe(F.col("own")))
+    found = kept.select(*passages.columns, "spoken").groupBy("group_id").applyInPandas(run, schema).withColumnRenamed("group_id", "own")
+    told = groups.join(found, F.col("group_id").eqNullSafe(F.col("own")), "left")
+    return told.select("group_id", "realistic_s", F.coalesce("laps", F.array().cast("array<long>")).alias("laps"))
